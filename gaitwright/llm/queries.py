@@ -3,11 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import mixing, ogg, quality, sharding
 from .common import table
 
 
+def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    media = ogg.add_media(docs, F.col("text")).select("doc_id", "media")
+    return ogg.add_media_features(media).drop("media")
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -17,5 +28,5 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op5_systematic_mix": op5_systematic_mix, "op10_hash_ring": op10_hash_ring}
+QUERIES = {"op2_additive_quality": op2_additive_quality, "op3_ogg_media": op3_ogg_media, "op5_systematic_mix": op5_systematic_mix, "op10_hash_ring": op10_hash_ring}
 ORACLES = {"op5_systematic_mix": mixing.MIX_SQL}
