@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ogg, quality, sharding
+from . import decontam, mixing, ogg, quality, rans, sharding
 from .common import table
 
 
@@ -19,14 +19,31 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.add_media_features(media).drop("media")
 
 
+def op4_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return rans.token_index(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+
+
 def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_additive_quality": op2_additive_quality, "op3_ogg_media": op3_ogg_media, "op5_systematic_mix": op5_systematic_mix, "op10_hash_ring": op10_hash_ring}
-ORACLES = {"op5_systematic_mix": mixing.MIX_SQL}
+QUERIES = {
+    "op2_additive_quality": op2_additive_quality,
+    "op3_ogg_media": op3_ogg_media,
+    "op4_rans_tokens": op4_rans_tokens,
+    "op5_systematic_mix": op5_systematic_mix,
+    "op8_suffix_decontamination": op8_suffix_decontamination,
+    "op10_hash_ring": op10_hash_ring,
+}
+ORACLES = {"op5_systematic_mix": mixing.MIX_SQL, "op8_suffix_decontamination": decontam.AUDIT_SQL}
