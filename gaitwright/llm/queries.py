@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, ogg, quality, rans, sharding
+from . import decontam, htmltemplate, mixing, ogg, quality, rans, sharding
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
 
+def op9_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltemplate.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,7 @@ QUERIES = {
     "op4_rans_tokens": op4_rans_tokens,
     "op5_systematic_mix": op5_systematic_mix,
     "op8_suffix_decontamination": op8_suffix_decontamination,
+    "op9_template_extraction": op9_template_extraction,
     "op10_hash_ring": op10_hash_ring,
 }
 ORACLES = {"op5_systematic_mix": mixing.MIX_SQL, "op8_suffix_decontamination": decontam.AUDIT_SQL}
