@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltemplate, mixing, ogg, quality, rans, sharding
+from . import decontam, htmltemplate, mixing, ogg, quality, rans, sharding, suffixindex
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixindex.strip_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op3_ogg_media": op3_ogg_media,
     "op4_rans_tokens": op4_rans_tokens,
     "op5_systematic_mix": op5_systematic_mix,
+    "op7_suffix_levels": op7_suffix_levels,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_template_extraction": op9_template_extraction,
     "op10_hash_ring": op10_hash_ring,
