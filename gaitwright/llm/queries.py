@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltemplate, mixing, ogg, quality, rans, sharding, suffixindex
+from . import decontam, htmltemplate, mixing, ogg, omh, quality, rans, sharding, suffixindex
 from .common import table
 
 
+def op1_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return omh.classify(table(spark, sf_dir, "documents"))
+
+
 def op2_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -47,6 +51,7 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_order_minhash": op1_order_minhash,
     "op2_additive_quality": op2_additive_quality,
     "op3_ogg_media": op3_ogg_media,
     "op4_rans_tokens": op4_rans_tokens,
