@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltemplate, mixing, ogg, omh, quality, rans, sharding, suffixindex
+from . import decontam, htmltemplate, mixing, ogg, omh, quality, rans, sharding, suffixindex, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixindex.strip_repeats(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_ogg_media": op3_ogg_media,
     "op4_rans_tokens": op4_rans_tokens,
     "op5_systematic_mix": op5_systematic_mix,
+    "op6_toxicity_chain": op6_toxicity_chain,
     "op7_suffix_levels": op7_suffix_levels,
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_template_extraction": op9_template_extraction,
