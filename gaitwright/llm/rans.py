@@ -17,6 +17,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,21 +156,21 @@ def decode_block(block: bytes, table: Table, parts: range | None = None) -> tupl
 
 # ---- tokens ----------------------------------------------------------------------------------
 
-#: Printable ASCII and composed Latin-1 letters: lower case and splitting need no other rules there.
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-z0-9à-öø-ÿß]+")
-_CACHE = 400_000  #: words, and as many pieces, that a worker remembers before it starts anew
-
+#: Beyond printable ASCII, plain white space and composed Latin-1 letters, texts are left to the library word by word:
+#: for these characters lower case and splitting need no other rules.
+_ODD = re.compile(r"[^ -~\n\r\tÀ-ÖØ-öø-ÿ]")
+_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \n\r\ta-z0-9à-öø-ÿß]+")
+_CACHE, _KEPT = 700_000, 200_000  #: pieces that a worker remembers, and how many of the first it keeps when full
 _LE4 = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
 class Encoder:
-    """Ids of whole texts by the library, one call for each different word.
+    """Ids of whole texts by the library, one call for each different piece.
 
-    The tokenizer drops white space and never joins over it, so a text's ids are its words' ids in
-    order. Words are cut at spaces, line ends and tabs only; anything else that might count as
-    white space stays inside a word and is left to the library. Plain words are cut further at
-    the tokenizer's own word borders and these pieces go to its model directly.
+    The tokenizer drops white space and codes each piece between its own word borders alone, so a
+    text's ids are its pieces' ids in order. Plain texts are cut at these borders and the pieces go
+    to the library's model; other texts are cut at spaces, line ends and tabs only, and their odd
+    words, or words with a special token, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -181,42 +182,32 @@ class Encoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
-    def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
     def _piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))
         return _LE4[len(found)](*[t.id for t in found]) if len(found) < len(_LE4) else np.array([t.id for t in found], "<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        if not _PLAIN.fullmatch(word) or "<|" in word and any(s in word for s in self.specials):
-            return self._library(word)
-        out = []
-        for p in _SPLIT.findall(word.lower()):
-            if (ids := self.pieces.get(p)) is None:
-                if len(self.pieces) >= _CACHE:
-                    self.pieces.clear()
-                ids = self.pieces[p] = self._piece(p)
-            out.append(ids)
-        return b"".join(out)
+    def _plain(self, text: str) -> bytes:
+        pieces = _SPLIT.findall(text.lower())
+        if len(self.pieces) > _CACHE:
+            self.pieces = dict(islice(self.pieces.items(), _KEPT))
+        known = self.pieces
+        for p in set(pieces).difference(known):
+            known[p] = self._piece(p)
+        return b"".join([known[p] for p in pieces])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.words
-        if len(known) >= _CACHE:
-            known.clear()
-            known[""] = b""
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = self._word(w)
-            return b"".join([known[w] for w in words])
+        if not _ODD.search(text) and not any(s in text for s in self.specials):
+            return self._plain(text)
+        out = []
+        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if _ODD.search(word) or any(s in word for s in self.specials):
+                out.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+            elif word:
+                out.append(self._plain(word))
+        return b"".join(out)
 
 
 _ENCODERS: dict[str, Encoder] = {}
