@@ -1 +1,6 @@
+"""Queries over the driver's tables, by name."""
 
+from . import evaluation
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation"]
