@@ -219,7 +219,7 @@ def leaderboard(spark, sf_dir):
     return rounded(A.leaderboard(load(spark, sf_dir, "part").withColumnRenamed("p_brand", "model"), "model", "p_retailprice"), "mean", "std", "margin")
 
 
-W_SQL = """t AS (SELECT o_custkey AS subject_id, o_orderkey AS trial_id, o_totalprice AS value, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 11 END::DOUBLE AS alignment_score, (o_orderkey % 13)::DOUBLE AS signal_quality, (o_orderkey % 17)::DOUBLE AS prediction_uncertainty FROM orders),
+W_SQL = """t AS (SELECT o_custkey AS subject_id, o_orderkey AS trial_id, o_totalprice AS value, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_orderkey % 11 END::DOUBLE AS alignment_score, sqrt(o_orderkey % 13) AS signal_quality, sqrt(o_orderkey % 17) AS prediction_uncertainty FROM orders),
 f AS (SELECT * REPLACE (coalesce(alignment_score, (SELECT median(alignment_score) FROM t)) AS alignment_score) FROM t),
 s AS (SELECT *, (alignment_score - min(alignment_score) OVER ()) / (max(alignment_score) OVER () - min(alignment_score) OVER ()) AS a, (signal_quality - min(signal_quality) OVER ()) / (max(signal_quality) OVER () - min(signal_quality) OVER ()) AS q,
  1 - (prediction_uncertainty - min(prediction_uncertainty) OVER ()) / (max(prediction_uncertainty) OVER () - min(prediction_uncertainty) OVER ()) AS u FROM f),
@@ -228,13 +228,13 @@ w AS (SELECT subject_id, trial_id, value, greatest(1e-3, 0.45 * a + 0.35 * q + 0
 
 def weighted_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    t = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), k.alias("trial_id"), F.col("o_totalprice").alias("value"), F.when(k % 7 != 0, k % 11).cast("double").alias("alignment_score"), (k % 13).cast("double").alias("signal_quality"), (k % 17).cast("double").alias("prediction_uncertainty"))
+    t = load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("subject_id"), k.alias("trial_id"), F.col("o_totalprice").alias("value"), F.when(k % 7 != 0, k % 11).cast("double").alias("alignment_score"), F.sqrt(k % 13).alias("signal_quality"), F.sqrt(k % 17).alias("prediction_uncertainty"))
     return A.trial_weights(t)
 
 
-@query("WITH " + W_SQL + " SELECT subject_id, round(avg(value), 7) AS mean, round(median(value), 7) AS median, round(sum(value * qw) / sum(qw), 7) AS quality_weighted, round(sum(value * cw) / sum(cw), 7) AS uncertainty_weighted, round(sum(value * hw) / sum(hw), 7) AS hybrid_weighted, count(value) AS n FROM w GROUP BY 1")
+@query("WITH " + W_SQL + " SELECT subject_id, round(avg(value), 7) AS mean, round(median(value), 7) AS median, round(sum(value * qw) / sum(qw), 4) AS quality_weighted, round(sum(value * cw) / sum(cw), 4) AS uncertainty_weighted, round(sum(value * hw) / sum(hw), 4) AS hybrid_weighted, count(value) AS n FROM w GROUP BY 1")
 def subject_aggregation(spark, sf_dir):
-    return rounded(A.subject_means(weighted_trials(spark, sf_dir), ["subject_id"], "value"), "mean", "median", "quality_weighted", "uncertainty_weighted", "hybrid_weighted", digits=7)
+    return rounded(A.subject_means(weighted_trials(spark, sf_dir), ["subject_id"], "value").withColumns({c: F.round(c, 7) for c in ("mean", "median")}), "quality_weighted", "uncertainty_weighted", "hybrid_weighted", digits=4)
 
 
 WM_SQL = W_SQL + ", wm AS (SELECT subject_id, min(value) AS weighted_median FROM (SELECT subject_id, value, sum(hw) OVER (PARTITION BY subject_id ORDER BY value) / sum(hw) OVER (PARTITION BY subject_id) AS f FROM w) WHERE f >= 0.5 - 1e-12 GROUP BY 1)"
