@@ -28,6 +28,11 @@ def average_ranks(df: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
     return df
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson's r; null for a flat side, where the plain function divides by zero."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def regression_metrics(df: DataFrame, by: Sequence[str], tolerance: float, bin_step: float = 1.0, rounded_tolerance: float = 0.0) -> DataFrame:
     """MAE, RMSE, R² (NaN for a flat truth), Pearson and Spearman (NaN under 3 rows or for a flat side),
     normalised MAE, Bland-Altman bias and limits with the population SD, shares within tolerances.
@@ -40,7 +45,7 @@ def regression_metrics(df: DataFrame, by: Sequence[str], tolerance: float, bin_s
     up = lambda c: F.floor(F.col(c) / bin_step + 0.5) * bin_step
     m = ranked.groupBy(*by).agg(
         F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.sum(e * e).alias("sse"), F.regr_syy("y_true", "y_true").alias("sst"),
-        F.stddev_pop("y_true").alias("st"), F.stddev_pop("y_pred").alias("sp"), F.corr("y_true", "y_pred").alias("r"), F.corr("rank_y_true", "rank_y_pred").alias("rho"),
+        F.stddev_pop("y_true").alias("st"), F.stddev_pop("y_pred").alias("sp"), _correlation("y_true", "y_pred").alias("r"), _correlation("rank_y_true", "rank_y_pred").alias("rho"),
         (F.max("y_true") - F.min("y_true")).alias("span"), F.avg(e).alias("bias"), F.stddev_pop(e).alias("sd"),
         F.avg((F.abs(up("y_pred") - up("y_true")) <= rounded_tolerance).cast("int")).alias("rounded_acc"), F.avg((F.abs(e) <= tolerance).cast("int")).alias("tolerance_acc"),
     )

@@ -71,8 +71,8 @@ def bags(trials: DataFrame, subject: str, trial: str, per_subject: int, size: in
     n = trials.groupBy(subject).agg(F.count("*").alias("__gw_n"))
     order = W.partitionBy(subject, "bag").orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col("bag").cast("string"), F.col(trial).cast("string"))), trial)
     ranked = trials.select(subject, trial).join(n, subject).withColumn("bag", F.explode(F.sequence(F.lit(0), F.lit(per_subject - 1)))).withColumn("__gw_r", F.row_number().over(order) - 1)
-    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit((size - 1))), lambda s: F.when(s % F.col("__gw_n") == F.col("__gw_r"), s)), lambda s: s.isNotNull())
-    return ranked.select(subject, "bag", F.explode(slots).cast("int").alias("slot"), trial)
+    slots = F.filter(F.transform(F.sequence(F.lit(0), F.lit((size - 1))), lambda s: F.when(s % F.col("__gw_n") == F.col("__gw_r"), s.cast("int"))), lambda s: s.isNotNull())
+    return ranked.select(subject, "bag", F.explode(slots).alias("slot"), trial)
 
 
 def seeded_order(df: DataFrame, by: Sequence[str], key: str, seed: int, name: str = "place") -> DataFrame:

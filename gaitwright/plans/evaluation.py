@@ -214,7 +214,7 @@ def best_seed(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT p_brand AS model, avg(p_retailprice) AS mean, coalesce(stddev_samp(p_retailprice), 0) AS std, count(*) AS n FROM part GROUP BY 1)
-SELECT model, round(mean, 5) AS mean, round(std, 5) AS std, n, row_number() OVER (ORDER BY mean DESC, model) AS place, round(mean - lead(mean) OVER (ORDER BY mean DESC, model), 5) AS margin FROM m""")
+SELECT model, round(mean, 5) AS mean, round(std, 5) AS std, n, row_number() OVER (ORDER BY mean DESC, model)::INT AS place, round(mean - lead(mean) OVER (ORDER BY mean DESC, model), 5) AS margin FROM m""")
 def leaderboard(spark, sf_dir):
     return rounded(A.leaderboard(load(spark, sf_dir, "part").withColumnRenamed("p_brand", "model"), "model", "p_retailprice"), "mean", "std", "margin")
 
