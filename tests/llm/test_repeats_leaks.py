@@ -81,7 +81,7 @@ def test_strip_odd_rows(spark, odd_documents, no_documents):
 def test_levels_merge_geometrically():
     family = suffixindex.Family(400)
     for i in range(9):
-        for _ in family.add([(bytes([65 + i]) * 464, b"", 0, 0, i)]):
+        for _ in family.add([(bytes([65 + i]) * 400, b"", 0, 0, i)]):
             pass
     assert sorted(map(len, family.levels)) == [1, 8]
 
