@@ -28,7 +28,6 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -263,14 +262,25 @@ def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     return out.select("doc_id", class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).alias("class_size"), class_id.eqNullSafe(F.col("doc_id")).alias("keep"))
 
 
+def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = [_node(words_of(text), text) for text in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], [*batch.schema.names, "__gw_node"])
+
+
 def drop_near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each class, with its own columns: the one of the least doc_id. Of rows that
-    share it one stays; rows with a null text all stay."""
-    classes = materialize(classify(docs.filter(F.col("text").isNotNull()), least), "kept")
-    keys = classes.filter("keep").groupBy(F.col("doc_id").alias("__gw_id")).agg(F.count("*").alias("__gw_n"))
-    kept = docs.filter(F.col("text").isNotNull()).join(keys, F.col("doc_id").eqNullSafe(F.col("__gw_id")))
-    if not keys.filter("__gw_n > 1").isEmpty() or not classes.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # Repeated ids: the node tells which of their rows the class means.
-        order = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-        kept = kept.withColumn("__gw_row", F.row_number().over(order)).filter("__gw_row = 1")
+    """One document of each class, with its own columns: the one of the least doc_id, null after all
+    others. Of rows that share it and their words one stays; rows with a null text all stay. An id
+    that repeats with other texts is as many documents."""
+    texts = docs.filter(F.col("text").isNotNull())
+    found = materialize(near_duplicates(texts, least), "kept")
+    first = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("f"))
+    keys = first.select(F.col("f.doc_id").alias("__gw_id"), F.col("f.node").alias("__gw_of"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    noded = texts.mapInArrow(_with_node, f"{kinds}, __gw_node binary")
+    kept = noded.join(keys, (F.col("__gw_node") == F.col("__gw_of")) & F.col("doc_id").eqNullSafe(F.col("__gw_id")))
+    if not found.groupBy("doc_id", "node").count().filter("count > 1").isEmpty():
+        # A class has one node here, so rows of one node are the same document. Aggregated, as copies may be many.
+        row = F.min_by(F.struct(*(F.col(f"`{c}`") for c in docs.columns)), F.struct(F.xxhash64("text"), "text")).alias("row")
+        kept = kept.groupBy(F.hex("__gw_node").alias("__gw_at")).agg(row).select("row.*")
     return kept.select(*docs.columns).unionByName(docs.filter(F.col("text").isNull()))

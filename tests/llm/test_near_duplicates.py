@@ -65,6 +65,17 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in texts) <= 0.01 * len(texts)
 
 
+def test_each_class_keeps_one_row_whatever_its_ids(spark):
+    r = random.Random(8)
+    one, two, three, four = (" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, one, 1), (None, two, 2), (None, two, 2), (3, three, 3), (5, three, 4), (5, four, 5), (None, four, 6), (None, None, 7), (None, None, 8)]
+    kept = omh.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted(r.n for r in kept) == [1, 2, 3, 5, 7, 8]
+    rows = [(3, one, 0), *((5, t, n) for n, t in enumerate((one, two, three, four)))]
+    kept = omh.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n long")).collect()
+    assert sorted((r.doc_id, r.n) for r in kept) == [(3, 0), (5, 1), (5, 2), (5, 3)]
+
+
 def test_real_documents_equal_brute_force(spark, documents):
     texts = {r.doc_id: r.text for r in documents.select("doc_id", "text").collect() if r.text is not None}
     got = {r.doc_id: r.class_id for r in omh.classify(documents).collect()}
