@@ -11,9 +11,13 @@ texts. Each pair is aligned: shared labelled shingles inside the band that the t
 one order. Linked texts then get the least name of their component by label propagation with pointer
 jumping, over tables in the shared folder. Buckets that still hold texts of several components are
 gone through again: up to ``CLOSE`` texts meet each other unless they are of one component; in a
-larger bucket all meet ``LEADERS`` members drawn by hash, in ``DRAWS`` rounds with other draws (fewer
-if a round links nothing new). Two texts that only ever meet in crowded buckets, neither of them drawn
-in any, can stay apart; a text of similarity 0.8 shares about fourteen buckets, so this is rare.
+larger bucket all meet ``LEADERS`` members drawn by hash, which only joins what is easily joined.
+
+What crowded buckets then still hold apart goes through an exact filter. Two texts of similarity 0.8
+have 0.8 of the larger one's shingles in common, so they share one of the rarest fifth (and one more)
+of either, if all order shingles by the texts that have them. Texts that share such a shingle meet:
+in groups of up to ``CLOSE`` all at once, in larger ones by rounds of ever more leaders until each
+member has met every other that is not of its component by then. No round and no pair is left out.
 
 Texts of equal words are one node from the start, so a group of copies is one row in all of this.
 """
@@ -38,7 +42,7 @@ PICKS = 2
 SIMILARITY = 0.8
 CLOSE = 24  #: texts of one bucket that may meet each other, a bounded number of rows for each
 LEADERS = 4
-DRAWS = 2
+GROWTH = 8  #: times the leaders of the round before
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word %d" % i) | 1 for i in range(K)], np.uint64)
 _SEEDS = np.array([xxhash.xxh64_intdigest(b"sketch %d" % i) for i in range(SKETCHES)], np.uint64)
@@ -207,17 +211,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     members = materialize(nodes.select("node", "size", F.explode("keys").alias("key")), "members")
     ends = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high"), F.count("*").alias("n")).filter("n > 1")
     met = members.join(ends, "key").select("node", "size", F.explode(F.array("low", "high")).alias("to"))
-    links = _links(docs, _pairs(met, least), least)
-    label = components(links)
-    for draw in range(1, DRAWS + 1):
-        found = _links(docs, _pairs(_open_meetings(members, label, draw), least), least)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        label = components(links)
+    label = _relabel(nodes.select("node", F.col("node").alias("label")), _links(docs, _pairs(met, least), least))
+    label = _relabel(label, _links(docs, _pairs(_open_meetings(members, label), least), least))
+    label = _settle(docs, members, label, least)
     return sketched.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
 
 
+def _relabel(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (node, label) with the components that ``links`` (a, b) join made one."""
+    one = label.select(F.col("node").alias("a"), F.col("label").alias("x"))
+    two = label.select(F.col("node").alias("b"), F.col("label").alias("y"))
+    edges = materialize(links.join(one, "a").join(two, "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "joined")
+    joined = components(edges).select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return materialize(label.join(joined, "label", "left").select("node", F.coalesce("least", "label").alias("label")), "labels")
+
+
 def _pairs(met: DataFrame, least: float) -> DataFrame:
     """Different pairs whose sizes let them be alike, of ``met`` (node, size, to)."""
     alike = F.least("size", "to.size") >= F.greatest("size", "to.size") * least
@@ -235,21 +243,67 @@ def _links(docs: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return materialize(placed.select("node", "leader", "own", "other").mapInArrow(_align(least), "a binary, b binary"), "links")
 
 
-def _open_meetings(members: DataFrame, label: DataFrame, draw: int) -> DataFrame:
-    """node, size, to: texts of different components that share a bucket. Buckets of up to ``CLOSE``
-    texts are gone through whole in the first draw and need no other."""
-    named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l != h").select("key", "n")
-    inside = materialize(named.join(several, "key"), "open")
+def _open(members: DataFrame, label: DataFrame, by: str) -> DataFrame:
+    """``members`` with label and n, the members of their group, of the groups of several components."""
+    named = members.join(label, "node")
+    several = named.groupBy(by).agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count("*").alias("n")).filter("l != h").select(by, "n")
+    return materialize(named.join(several, by), "open")
+
+
+def _open_meetings(members: DataFrame, label: DataFrame) -> DataFrame:
+    """node, size, to: texts of different components that share a bucket; all of a bucket of up to
+    ``CLOSE`` texts, with drawn members only of a larger one."""
+    inside = _open(members, label, "key")
     to = F.struct("node", "size", "label")
     large = inside.filter(F.col("n") > CLOSE)
-    drawn = large.groupBy("key").agg(*(F.min_by(to, F.xxhash64("node", "key", F.lit(draw * LEADERS + i))).alias(f"to{i}") for i in range(LEADERS)))
+    drawn = large.groupBy("key").agg(*(F.min_by(to, F.xxhash64("node", "key", F.lit(i))).alias(f"to{i}") for i in range(LEADERS)))
     met = large.join(drawn, "key").select("node", "size", "label", F.explode(F.array(*(f"to{i}" for i in range(LEADERS)))).alias("to"))
-    if draw == 1:
-        close = inside.filter(F.col("n") <= CLOSE)
-        pairs = close.join(close.select("key", to.alias("to")), "key").filter(F.col("node") < F.col("to.node"))
-        met = met.union(pairs.select("node", "size", "label", "to"))
-    return met.filter(F.col("label") != F.col("to.label")).select("node", "size", "to")
+    close = inside.filter(F.col("n") <= CLOSE)
+    pairs = close.join(close.select("key", to.alias("to")), "key").filter(F.col("node") < F.col("to.node"))
+    return met.union(pairs.select("node", "size", "label", "to")).filter(F.col("label") != F.col("to.label")).select("node", "size", "to")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        found = [shingles_of(unpack.decompress(x)).view(np.int64) for x in batch.column("packed").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "shingles"])
+
+
+def _rare(docs: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """key, node, size, rest: for each text of ``asked`` (node, size) the shingles of which texts as alike
+    as ``least`` share one: its rarest among ``asked``, without those that no other text has.
+    ``rest`` counts the text's shingles from this one on."""
+    texts = docs.select("text").mapInArrow(_texts, "node binary, packed binary").join(asked, "node", "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
+    listed = materialize(texts.mapInArrow(_shingles, "node binary, shingles array<long>"), "shingles")
+    each = listed.select("node", F.explode("shingles").alias("key"))
+    shared = materialize(each.groupBy("key").agg(F.count("*").alias("texts")).filter("texts > 1"), "shared")
+    ranked = each.join(shared, "key").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys")).join(asked, "node")
+    # Shingles that no other text has come first in the order. The small term is for rounding up 0.8 * size.
+    taken = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1 - (F.col("size") - F.size("keys"))
+    keys = ranked.filter(taken > 0).select("node", "size", F.size("keys").alias("rest"), F.posexplode(F.slice("keys", F.lit(1), taken.cast("int"))).alias("at", "k"))
+    return materialize(keys.select("node", "size", (F.col("rest") - F.col("at")).alias("rest"), F.col("k.key").alias("key")), "rare")
+
+
+def _settle(docs: DataFrame, members: DataFrame, label: DataFrame, least: float) -> DataFrame:
+    """``label`` after all texts that crowded buckets hold apart have met where they can be alike."""
+    asked = materialize(_open(members, label, "key").filter(F.col("n") > CLOSE).select("node", "size").distinct(), "asked")
+    if asked.isEmpty():
+        return label
+    groups, done, reach = _rare(docs, asked, least), 0, CLOSE
+    while True:
+        # A member leads in the round in which ``reach`` passes its draw below n; it has then met all.
+        inside = _open(groups, label, "key").withColumn("draw", F.pmod(F.xxhash64("node", "key"), F.col("n"))).filter(F.col("draw") >= done)
+        if inside.isEmpty():
+            return label
+        first = inside.filter(F.col("draw") < reach).select("key", F.struct("node", "size", "rest", "label", "draw").alias("to"))
+        # The first shingle that two texts share has all others behind it.
+        enough = F.least("rest", "to.rest") >= (F.col("size") + F.col("to.size")) * (least / (1 + least)) - 1e-6
+        alike = F.least("size", "to.size") >= F.greatest("size", "to.size") * least
+        once = (F.col("draw") >= reach) | (F.col("node") < F.col("to.node"))
+        met = inside.join(first, "key").filter((F.col("label") != F.col("to.label")) & alike & enough & once)
+        label = _relabel(label, _links(docs, _pairs(met, least), least))
+        done, reach = reach, reach * GROWTH
 
 
 def classify(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -65,6 +65,26 @@ def test_large_buckets_equal_brute_force(spark, monkeypatch):
     assert sum(got[i] != want[i] for i in texts) <= 0.01 * len(texts)
 
 
+def crowd(seed: int, pairs: int) -> dict[int, str]:
+    """Pairs of texts that share most of their words with all others, as pages of one template."""
+    r = random.Random(seed)
+    words = lambda n: [f"w{r.randrange(9999)}" for _ in range(n)]
+    passage, out = words(104), []
+    for _ in range(pairs):
+        own = words(10)
+        out += [" ".join(passage + own + words(8)) for _ in range(2)]
+    r.shuffle(out)
+    return dict(enumerate(out))
+
+
+def test_crowded_buckets_lose_no_pair(spark):
+    texts = crowd(5, 300)
+    want = brute_classes(texts)
+    assert len(set(want.values())) == 300
+    got = {r.doc_id: r.class_id for r in omh.classify(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_each_class_keeps_one_row_whatever_its_ids(spark):
     r = random.Random(8)
     one, two, three, four = (" ".join(f"w{r.randrange(9999)}" for _ in range(60)) for _ in range(4))
