@@ -103,3 +103,12 @@ def test_classes_nest(spark):
     templates = htmltemplate.deduce_templates(spark.createDataFrame(rows, "page_id long, url string, html string"))
     nested = htmltemplate.nest_classes(templates).collect()
     assert sum(r.root for r in nested) >= 1
+
+
+@pytest.mark.parametrize("page", [
+    '<html class="no-banner"><body><div class="post ad-free"><p>Story</p></div></body></html>', '<body class="has-sidebar"><article><p>Story</p></article></body>', '<body><article class="has-comments"><p>Story</p><div class="comments">First</div></article></body>',
+    '<body><div class="content with-sidebar"><p>Story</p></div><div class="cookie-notice">Cookies</div></body>', '<body><p>Skip</p><div class="layout sidebar-left"><main><p>Story</p></main></div></body>', '<body><div class="search-page"><article>Story</article></div></body>',
+    '<body><article>Story</article><div class="related-posts"><article>Other</article></div></body>',
+])
+def test_words_of_the_frame_do_not_drop_the_article(page):
+    assert htmltemplate.extract_page(page, []) == "Story"
