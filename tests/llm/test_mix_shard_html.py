@@ -112,3 +112,13 @@ def test_classes_nest(spark):
 ])
 def test_words_of_the_frame_do_not_drop_the_article(page):
     assert htmltemplate.extract_page(page, []) == "Story"
+
+
+def test_odd_pages_of_a_host_do_not_empty_its_template(spark):
+    page = "<div><p>Welcome</p><div><p>Story {}</p></div><p>Welcome</p><p>All rights</p></div>"
+    rows = [(i, f"http://h.example.com/{i}", page.format(i)) for i in range(20)]
+    rows += [(20, "http://h.example.com/20", None), (21, "http://h.example.com/21", ""), (22, "http://h.example.com/22", "<article>Other</article>"), (23, "http://h.example.com/23", "<p>cut")]
+    rows += [(i, f"http://small.example.com/{i}", page.format(i)) for i in (30, 31)] + [(i, "http://copies.example.com/", page.format(40)) for i in (40, 41)]
+    got = {r.page_id: r.text for r in htmltemplate.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    whole = "Welcome\n\nStory 40\n\nWelcome\n\nAll rights"
+    assert got == {i: f"Story {i}" for i in (*range(20), 30, 31)} | {20: "", 21: "", 22: "Other", 23: "cut", 40: whole, 41: whole}
