@@ -62,5 +62,5 @@ def test_chain_feeds_earlier_probabilities():
     r = np.random.default_rng(6)
     x = r.normal(size=(400, 4))
     first = (x[:, 0] > 0).astype(float)
-    chain = toxicity.fit_chain(x, np.c_[first, first], np.arange(400) % 5, ["a", "b"], {})
+    chain = toxicity.fit_chain(x.astype(np.float32), np.c_[first, first], np.arange(400) % 5, ["a", "b"], {})
     assert len(chain.models[1].weight) == len(chain.models[0].weight) + 1 and chain.models[1].weight[-1] > 0
