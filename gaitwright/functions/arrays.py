@@ -76,3 +76,50 @@ def holds(a: Column, part: Column) -> Column:
     """First place, from 1, at which an array has a sub-sequence; 0 if nowhere."""
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - F.size(part) + 1)), lambda i: F.slice(a, i, F.size(part)) == part)
     return F.coalesce(F.try_element_at(places, F.lit(1)), F.lit(0))
+
+
+# ---- losses and pooling ----------------------------------------------------------------------
+
+
+def log_softmax(a: Column) -> Column:
+    top = F.array_max(a)
+    rest = F.log(total(F.transform(a, lambda x: F.exp(x - top)))) + top
+    return F.transform(a, lambda x: x - rest)
+
+
+def soft_label_loss(logits: Column, target: Column, n: int, width: float) -> Column:
+    """Cross-entropy against a label that falls off with the distance from the target."""
+    return -dot(distance_label(target, n, width), log_softmax(logits))
+
+
+def huber(error: Column, delta: float = 1.0) -> Column:
+    e = F.abs(error)
+    return F.when(e <= delta, 0.5 * e * e).otherwise(delta * (e - 0.5 * delta))
+
+
+def binary_loss(logit: Column, hit: Column) -> Column:
+    """Cross-entropy of a logit, without overflow; ``hit`` is 0 or 1."""
+    return F.greatest(logit, F.lit(0.0)) - logit * hit + F.log1p(F.exp(-F.abs(logit)))
+
+
+def attention_pool(features: Column, scores: Column) -> Column:
+    """Weighted mean (softmax of the scores), mean and maximum of equally long vectors, one after the other."""
+    w = softmax(F.transform(scores, lambda s: s.cast("double")))
+    at = lambda f: F.transform(F.sequence(F.lit(0), F.size(features[0]) - 1), f)
+    column = lambda i: F.transform(features, lambda v: v[i].cast("double"))
+    return F.concat(at(lambda i: dot(column(i), w)), at(lambda i: mean(column(i))), at(lambda i: F.array_max(column(i))))
+
+
+def evenly(low: Column, high: Column, n: int) -> Column:
+    """``n`` values from ``low`` to ``high``."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: low + (high - low) * k / (n - 1))
+
+
+def place_in(a: Column, x: Column) -> Column:
+    """How many values of a sorted array are less than ``x``."""
+    return F.size(F.filter(a, lambda v: v < x))
+
+
+def with_defaults(given: Column, defaults: Column) -> Column:
+    """A map with what ``given`` lacks taken from ``defaults``."""
+    return F.map_concat(F.map_filter(defaults, lambda k, v: ~F.coalesce(F.map_contains_key(given, k), F.lit(False))), F.coalesce(given, F.map_from_arrays(F.slice(F.map_keys(defaults), 1, 0), F.slice(F.map_values(defaults), 1, 0))))

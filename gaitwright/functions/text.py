@@ -125,3 +125,66 @@ def rating(value: Column) -> Column:
 def metric_key(x: Column) -> Column:
     """1.5 as 1p5."""
     return F.replace(F.regexp_replace(F.format_string("%.6f", x.cast("double")), r"\.?0+$", ""), F.lit("."), F.lit("p"))
+
+
+# ---- cards and reports -----------------------------------------------------------------------
+
+#: Wordings of a language; the defaults are English. A key of tiers holds one wording for each tier.
+WORDS = {
+    "motor": ("severely limited", "moderately limited", "mildly limited", "slightly limited", "near normal"),
+    "dependence": ("highly dependent", "moderately dependent", "mostly independent", "independent"),
+    "goal": ("take part with the affected hand and prepare grasping", "widen active movement and control grasping", "improve grasping and finger control", "improve fine and steady use"),
+    "adl": ("use the hand in daily activities", "bring the hand into daily tasks safely"),
+    "tone": ("mind muscle tone and quality of movement", "watch muscle tone"),
+    "stage": "practise at hand stage %d",
+    "pace": "adapt the load to what is tolerated",
+}
+
+
+def fact_section(subject: Column, age: Column, days: Column, side: Column, fma: Column, bi: Column, tone: Column, stage: Column, words: Mapping = WORDS) -> Column:
+    """The sentences of a report that are said from the data alone."""
+    return F.format_string(
+        "Patient S%s, %d years, %d days since onset, %s side. FMA hand %d: %s; BI %d: %s. Tone %s, hand stage %d.",
+        subject.cast("string"), age.cast("int"), days.cast("int"), F.when(side.isin("L", "left"), "left").when(side.isin("R", "right"), "right").otherwise(side),
+        fma.cast("int"), tier(fma, FMA_TIERS, words["motor"]), bi.cast("int"), tier(bi, BI_TIERS, words["dependence"]), tone, stage.cast("int"),
+    )
+
+
+def policy_card(fma: Column, bi: Column, tone: Column, stage: Column, words: Mapping = WORDS) -> Column:
+    """struct(goal, adl, tone, stage, pace, required): what a recommendation should say and must cover."""
+    choose = lambda must, key: F.when(must, words[key][0]).otherwise(words[key][1])
+    daily, tense = bi <= 60, F.trim(tone) != "0"
+    return F.struct(
+        tier(fma, FMA_TIERS[:3], words["goal"]).alias("goal"), choose(daily, "adl").alias("adl"), choose(tense, "tone").alias("tone"), F.format_string(words["stage"], stage.cast("int")).alias("stage"), F.lit(words["pace"]).alias("pace"),
+        F.array_compact(F.array(F.lit("hand_goal"), F.lit("stage"), F.lit("pace"), F.when(daily, "adl"), F.when(tense, "tone"))).alias("required"),
+    )
+
+
+def policy_advice(card: Column) -> Column:
+    """The clauses of a policy card that must be said, in its order."""
+    has = lambda name: F.array_contains(card["required"], name)
+    clauses = F.array_compact(F.array(card["goal"], card["stage"], F.when(has("adl"), card["adl"]), F.when(has("tone"), card["tone"]), card["pace"]))
+    return F.concat(F.lit("Advice: "), F.array_join(clauses, "; "), F.lit("."))
+
+
+def canonical_report(facts: Column, advice: Column) -> Column:
+    return F.concat_ws(" ", facts, advice)
+
+
+def structured_input(fma: Column, bi: Column, tone: Column, stage: Column) -> Column:
+    """What reviewers are told about a case."""
+    return F.format_string("FMA hand %d/20; BI %d/100; tone %s; hand stage %d.", fma.cast("int"), bi.cast("int"), F.trim(tone.cast("string")), stage.cast("int"))
+
+
+def four_digits(value: Column) -> Column:
+    """A metric as text; a missing one counts 0."""
+    return F.format_string("%.4f", F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0)))
+
+
+def model_of(name: Column, registry: Sequence[tuple[str, str]]) -> Column:
+    """Id of a model named by its id or by the last part of its path, whatever the case; null if unknown."""
+    last = F.lower(F.element_at(F.split(F.rtrim(name, F.lit("/")), "/"), -1))
+    out = F.lit(None).cast("string")
+    for key, path in reversed(list(registry)):
+        out = F.when((F.lower(name) == key.lower()) | (last == path.rstrip("/").split("/")[-1].lower()), key).otherwise(out)
+    return out

@@ -40,14 +40,24 @@ REGISTRY: dict[str, Callable] = {
     # The library scales labels by their population SD before it applies the penalty.
     "ridge": lambda n, spread=1.0, **kw: R.LinearRegression(regParam=spread / max(1, n), elasticNetParam=0, standardization=False, solver="normal", **kw),
     "logistic": _logistic,
-    "forest_regression": lambda n, **kw: R.RandomForestRegressor(numTrees=100, maxDepth=12, seed=42, **kw),
-    "forest": lambda n, **kw: C.RandomForestClassifier(numTrees=100, maxDepth=12, seed=42, weightCol="weight", **kw),
-    "boosted": lambda n, **kw: R.GBTRegressor(maxIter=40, maxDepth=4, stepSize=0.1, seed=42, **kw),
+    # 30 levels are the library's limit.
+    "forest_regression": lambda n, **kw: R.RandomForestRegressor(numTrees=100, maxDepth=30, seed=42, **kw),
+    "forest": lambda n, **kw: C.RandomForestClassifier(numTrees=100, maxDepth=30, seed=42, weightCol="weight", **kw),
+    "boosted": lambda n, **kw: R.GBTRegressor(maxIter=200, maxDepth=4, stepSize=0.1, seed=42, checkpointInterval=20, **kw),
+    "boosted_classes": lambda n, **kw: C.OneVsRest(classifier=C.GBTClassifier(maxIter=200, maxDepth=4, stepSize=0.1, seed=42, checkpointInterval=20), **kw),
 }
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """``test`` with ``y_pred``: standardise by the training rows, fit, predict, hold within bounds."""
+    """``test`` with ``y_pred``: standardise by the training rows, fit, predict, hold within bounds.
+
+    Boosted classes are numbered densely for the fit and named back; a single class is predicted as it is.
+    """
+    if name == "boosted_classes":
+        classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]  # as many as there are labels
+        if len(classes) < 2:
+            return constant(train, test, label, "classification").select(*test.columns, F.col("y_pred").cast("double").alias("y_pred"))
+        train = train.withColumn(label, (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("double"))
     columns = dict(featuresCol="features", labelCol=label, predictionCol="y_pred")
     ready = standardised(train, train)
     if name == "forest":
@@ -57,6 +67,8 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds
     if name == "ridge":
         columns["spread"] = spread or 1.0
     out = REGISTRY[name](n, **columns).fit(ready).transform(standardised(train, test))
+    if name == "boosted_classes":
+        out = out.withColumn("y_pred", F.element_at(F.array(*(F.lit(float(c)) for c in classes)), F.col("y_pred").cast("int") + 1))
     if bounds:
         out = out.withColumn("y_pred", clip(F.col("y_pred"), *bounds))
     return out.select(*test.columns, "y_pred")
@@ -76,10 +88,17 @@ def isotonic(train: DataFrame, rows: DataFrame, label: str = "y_true", score: st
     return model.transform(rows)
 
 
-def chain_edges(spark, sizes: Sequence[int], dense: Sequence[tuple[int, int]] = ()) -> DataFrame:
-    """(src, dst) of both directions: neighbours within each group of nodes, and all pairs of dense groups."""
+def chain_edges(spark, sizes: Sequence[int], dense: Sequence[tuple[int, int]] = (), paired: Sequence[tuple[int, int]] = (), per: int = 1) -> DataFrame:
+    """(src, dst) of both directions: neighbours within each group of nodes, all pairs of dense groups,
+    and in paired groups node i of the first with the ``per`` nodes from i * per on of the second."""
     first = [sum(sizes[:i]) for i in range(len(sizes))]
-    edges = [(a + i, a + i + 1) for a, n in zip(first, sizes) for i in range(n - 1)]
-    edges += [(first[p] + i, first[q] + j) for p, q in dense for i in range(sizes[p]) for j in range(sizes[q])]
-    one = spark.createDataFrame(edges, "src int, dst int")
+    node = lambda n, name: spark.range(n).select(F.col("id").cast("int").alias(name))
+    parts = [node(n, "i").filter(F.col("i") < n - 1).select((F.col("i") + a).alias("src"), (F.col("i") + a + 1).alias("dst")) for a, n in zip(first, sizes)]
+    for p, q in dense:
+        parts.append(node(sizes[p], "i").crossJoin(node(sizes[q], "j")).select((F.col("i") + first[p]).alias("src"), (F.col("j") + first[q]).alias("dst")))
+    for p, q in paired:
+        parts.append(node(sizes[q], "j").filter((F.col("j") / per).cast("int") < sizes[p]).select(((F.col("j") / per).cast("int") + first[p]).alias("src"), (F.col("j") + first[q]).alias("dst")))
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.union(p)
     return one.union(one.select("dst", "src")).distinct()

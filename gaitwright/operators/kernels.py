@@ -1,6 +1,6 @@
-"""Signal steps that go sample by sample: zero-phase filters, spectra and time warping.
+"""Signal steps that go sample by sample: zero-phase filters, spectra and warping paths.
 
-Each runs on one channel of one trial at a time in ``applyInPandas``; a trial's length bounds what a
+Each runs on one channel, or all channels, of one trial at a time; a trial's length bounds what a
 task holds. Frames are (by, idx, value) unless a function says otherwise.
 """
 
@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-BANDS = {"delta": (1, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}
+#: Hz; fixed values.
+BANDS = {"delta": (0.5, 4), "theta": (4, 8), "alpha": (8, 13), "beta": (13, 30), "gamma": (30, 45)}
 
 
 def band_edges(low: float | None, high: float | None, rate: float) -> tuple[float | None, float | None]:
@@ -40,27 +41,44 @@ def notch(freq: float, q: float, rate: float) -> np.ndarray:
     return np.array([(g, -2 * g * np.cos(w), g, -2 * g * np.cos(w), 2 * g - 1)])
 
 
+BLOCK = 128  #: samples filtered by one matrix product
+
+
 def _section(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One section along the first axis, for all columns at once and a block of samples at a time.
+
+    Two numbers of state pass from block to block. Inside a block the output is a product with the
+    impulse response plus what the state at its start gives.
+    """
     b0, b1, b2, a1, a2 = map(float, c)
+    step, into = np.array([[-a1, 1], [-a2, 0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    n = min(BLOCK, len(x))
+    powers = [np.eye(2)]
+    for _ in range(n):
+        powers.append(step @ powers[-1])
+    free = np.array([p[0] for p in powers[:n]])
+    impulse = np.r_[b0, free[:-1] @ into]
+    lag = np.subtract.outer(np.arange(n), np.arange(n))
+    forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    carried = np.array([powers[n - 1 - i] @ into for i in range(n)]).T
     # Starts in the steady state of the first value.
     gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    first = float(x[0])
-    z2 = (b2 - a2 * gain) * first
-    z1 = (b1 - a1 * gain) * first + z2
-    out = np.empty(len(x))
-    for i, v in enumerate(x.tolist()):
-        y = b0 * v + z1
-        z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out[i] = y
+    state = np.multiply.outer([(b2 - a2 * gain) + (b1 - a1 * gain), b2 - a2 * gain], x[0])
+    out = np.empty_like(x, float)
+    for i in range(0, len(x), n):
+        part = x[i : i + n]
+        k = len(part)
+        out[i : i + k] = np.tensordot(forced[:k, :k], part, 1) + np.tensordot(free[:k], state, 1)
+        state = np.tensordot(powers[k], state, 1) + np.tensordot(carried[:, n - k :], part, 1)
     return out
 
 
 def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
-    """Forward and backward through all sections, with odd reflection at the ends."""
+    """Forward and backward along the first axis through all sections, with odd reflection at the ends."""
     n = min(len(x) - 1, 3 * (2 * len(sections) + 1))
     if len(x) < 2:
         return x.astype(float)
-    y = np.r_[2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]].astype(float)
+    y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]).astype(float)
     for _ in range(2):
         for c in sections:
             y = _section(y, c)
@@ -103,9 +121,13 @@ def clean_imu(x: np.ndarray, rate: float) -> np.ndarray:
     return robust(band_pass(linear_rest(np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)), None, 20, rate), 8)
 
 
-def power_envelope(x: np.ndarray, rate: float, low: float = 8, high: float = 30) -> np.ndarray:
-    """Smoothed power in a band."""
-    return band_pass(band_pass(linear_rest(x), low, high, rate) ** 2, None, 2, rate)
+def power_envelope(x: np.ndarray, rate: float, low: float = 8, high: float = 30, smooth: float = 5) -> np.ndarray:
+    """Root of the smoothed power in a band. A rate too low for the band, or for the smoothing, leaves that step out."""
+    nyquist = rate / 2
+    low, high, smooth = min(low, 0.9 * nyquist), min(high, 0.95 * nyquist), min(smooth, 0.9 * nyquist)
+    y = band_pass(x, low, high, rate) if high > low + 1 else x
+    power = band_pass(y**2, None, smooth, rate) if smooth > 0.1 else y**2
+    return np.sqrt(np.maximum(power, 0))
 
 
 def welch(x: np.ndarray, rate: float, size: int = 256) -> tuple[np.ndarray, np.ndarray]:
@@ -127,33 +149,7 @@ def band_powers(x: np.ndarray, rate: float) -> dict[str, float]:
     return out
 
 
-# ---- alignment -------------------------------------------------------------------------------
-
-
-def band_width(length: int, band: float) -> int:
-    """A share of the length below 1, else samples; 1 at least."""
-    return max(1, int(round(band * length)) if band < 1 else int(band))
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    s = x.std()
-    return (x - x.mean()) / s if s > 1e-8 else np.zeros(len(x))
-
-
-def _smooth(x: np.ndarray, k: int = 5) -> np.ndarray:
-    return np.convolve(np.pad(x, (k // 2, k - 1 - k // 2), "edge"), np.ones(k) / k, "valid") if len(x) >= 3 else x
-
-
-def _slope(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x[:1])
-
-
-def envelope_features(emg: np.ndarray, imu: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One curve for each side: level and change, 0.7 to 0.3, each smoothed and scaled."""
-    env = _smooth(np.abs(emg))
-    speed = np.abs(_slope(imu))
-    pair = (0.7 * _unit(env) + 0.3 * _unit(_smooth(_slope(env))), 0.7 * _unit(speed) + 0.3 * _unit(np.abs(_slope(_slope(imu)))))
-    return _unit(pair[0]), _unit(pair[1])
+# ---- warping -------------------------------------------------------------------------------
 
 
 def warp(cost: np.ndarray, band: int, gap: float = 0.025, pull: float = 0.02) -> tuple[np.ndarray, float]:
@@ -164,10 +160,8 @@ def warp(cost: np.ndarray, band: int, gap: float = 0.025, pull: float = 0.02) ->
     filled along anti-diagonals, whose cells do not depend on each other.
     """
     n, m = cost.shape
-    band = max(band, abs(n - m) + 1)
-    i, j = np.arange(n)[:, None], np.arange(m)[None, :]
-    off = np.abs(i * (m - 1) / max(1, n - 1) - j)
-    local = np.where(off <= band, cost + pull * (off / band) ** 2, np.inf)
+    off = np.abs(np.arange(n)[:, None] - np.arange(m)[None, :])
+    local = np.where(off <= band, cost + pull * (off / max(band, 1)) ** 2, np.inf)
     total = np.full((n + 1, m + 1), np.inf)
     total[0, 0] = 0
     came = np.zeros((n, m), np.int8)
@@ -178,71 +172,14 @@ def warp(cost: np.ndarray, band: int, gap: float = 0.025, pull: float = 0.02) ->
         way = ways.argmin(axis=0)
         came[a, b] = way
         total[a + 1, b + 1] = local[a, b] + ways[way, np.arange(len(a))]
+    if not np.isfinite(total[n, m]):
+        raise ValueError("no path inside the band")
     path, a, b = [(n - 1, m - 1)], n - 1, m - 1
     while a or b:
         way = came[a, b]
-        a, b = (a - (way != 1), b - (way != 0))
-        a, b = max(a, 0), max(b, 0)
-        path.append((int(a), int(b)))
-    return np.array(path[::-1], np.int32), float(total[n, m] / len(path))
-
-
-def resample_to(x: np.ndarray, length: int) -> np.ndarray:
-    return np.interp(np.linspace(0, 1, length), np.linspace(0, 1, len(x)), x) if len(x) > 1 else np.repeat(x, length)
-
-
-def knot_align(emg: np.ndarray, imu: np.ndarray, length: int = 256, coarse: int = 32, band: float = 0.15, strength: float = 0.01, most: float = 0.08, least_corr: float = -0.2, most_stretch: float = 1.85) -> dict:
-    """Both streams on one grid; the second follows the first along coarse warping knots.
-
-    The index is the plain grid plus ``strength`` times the held shift, made monotone. A path that
-    correlates badly or stretches too much is not used.
-    """
-    e, k = resample_to(emg, length), resample_to(imu, length)
-    c = int(np.clip(coarse, 8, 96))
-    a, b = (resample_to(f, c) for f in envelope_features(e, k))
-    path, cost = warp((a[:, None] - b[None, :]) ** 2, band_width(c, band))
-    x, y = a[path[:, 0]], b[path[:, 1]]
-    corr = float(np.corrcoef(x, y)[0, 1]) if x.std() > 1e-8 and y.std() > 1e-8 else 0.0
-    stretch = len(path) / c
-    index = np.arange(length, dtype=float)
-    used = corr >= least_corr and stretch <= most_stretch
-    if used:
-        at = np.array([path[path[:, 0] == i, 1].mean() for i in range(c)]) - np.arange(c)
-        shift = resample_to(at, length) * (length - 1) / (c - 1)
-        index = np.maximum.accumulate(np.clip(index + strength * np.clip(shift, -most * length, most * length), 0, length - 1))
-    low = np.floor(index).astype(int)
-    high = np.minimum(low + 1, length - 1)
-    return {"emg": e, "imu": k[low] + (index - low) * (k[high] - k[low]), "cost": cost, "corr": corr, "stretch": stretch, "used": used}
-
-
-def weighted_warp(emg: np.ndarray, imu: np.ndarray, length: int = 256, blend: float = 0.0, band: float = 0.15, weights: Sequence[float] = (0.35, 0.25, 0.2, 0.1, 0.1)) -> dict:
-    """Warping of EMG to movement by a five-term cost, forward and backward.
-
-    Terms: level, slope, event strength, level against slope, and place. The path blends into the
-    plain grid by ``blend``, 0.08 at most; 0 is plain resampling.
-    """
-    a, b = resample_to(emg, length), resample_to(imu, length)
-    f = [(_unit(_smooth(np.abs(x))), _unit(_slope(_smooth(np.abs(x))))) for x in (a, b)]
-    place = np.linspace(0, 1, length)
-    apart = lambda p, q: (p[:, None] - q[None, :]) ** 2
-    terms = [apart(f[0][0], f[1][0]), apart(f[0][1], f[1][1]), apart(np.abs(f[0][1]), np.abs(f[1][1])), apart(f[0][0], f[1][1]), apart(place, place)]
-    cost = sum(w * t for w, t in zip(weights, terms))
-    path, forward = warp(cost, band_width(length, band))
-    _, backward = warp(cost[::-1, ::-1], band_width(length, band))
-    index = place * (length - 1)
-    target = np.array([path[path[:, 0] == i, 1].mean() for i in range(length)])
-    index = index + min(max(blend, 0.0), 0.08) * (target - index)
-    return {"emg": a, "imu": np.interp(index, np.arange(length), b), "cost": (forward + backward) / 2, "corr": 0.0, "stretch": len(path) / length, "used": blend > 0}
-
-
-ALIGNERS: dict[str, Callable[..., dict]] = {"knot": knot_align, "weighted": weighted_warp}
-
-
-def aligner(name: str) -> Callable[..., dict]:
-    """``none`` and ``resample`` are one operator."""
-    if name in ("none", "resample"):
-        return lambda a, b, length=256, **_: {"emg": resample_to(a, length), "imu": resample_to(b, length), "cost": 0.0, "corr": 0.0, "stretch": 1.0, "used": False}
-    return ALIGNERS[name]
+        a, b = int(a - (way != 1)), int(b - (way != 0))
+        path.append((a, b))
+    return np.array(path[::-1]), float(total[n, m] / len(path))
 
 
 # ---- on frames -------------------------------------------------------------------------------
@@ -266,23 +203,3 @@ def spectral_features(df: DataFrame, by: Sequence[str], value: str, rate: float)
 
     kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
     return df.select(*by, "idx", value).groupBy(*by).applyInPandas(run, kinds + "".join(f", {b} double" for b in BANDS))
-
-
-def aligned(df: DataFrame, by: Sequence[str], strategy: str = "knot", length: int = 256) -> DataFrame:
-    """(by, emg, imu, cost, corr, stretch, used, warning) of every trial of (by, idx, emg, imu).
-
-    A trial that fails falls back to plain resampling and says why in ``warning``.
-    """
-    names = list(by)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("idx")
-        pair = [np.nan_to_num(part[c].to_numpy(dtype=float), nan=0.0, posinf=0.0, neginf=0.0) for c in ("emg", "imu")]
-        try:
-            got, warning = aligner(strategy)(*pair, length=length), None
-        except Exception as x:  # noqa: BLE001
-            got, warning = aligner("resample")(*pair, length=length), f"{type(x).__name__}: {x}"
-        return pd.DataFrame([{**dict(zip(names, key)), **got, "warning": warning}])
-
-    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
-    return df.select(*by, "idx", "emg", "imu").groupBy(*by).applyInPandas(run, kinds + ", emg array<double>, imu array<double>, cost double, corr double, stretch double, used boolean, warning string")

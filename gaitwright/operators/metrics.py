@@ -12,18 +12,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 NAN = float("nan")
 
 
 def average_ranks(df: DataFrame, by: Sequence[str], *values: str) -> DataFrame:
     """``df`` with ``rank_<value>``: average ranks within ``by``. Ties share the mean of their ranks.
 
-    Ranks come from the counts of distinct values, which are joined back.
+    Ranks come from the counts of distinct values, which are joined back; no group is ordered in one task.
     """
     for v in values:
-        counts = df.groupBy(*by, v).agg(F.count("*").alias("__gw_n"))
-        below = F.coalesce(F.sum("__gw_n").over(W.partitionBy(*by).orderBy(v).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        ranks = counts.select(*by, v, (below + (F.col("__gw_n") + 1) / 2).alias(f"rank_{v}"))
+        ranks = order.counts_below(df, by, v).select(*by, v, (F.col("below") + (F.col("n") + 1) / 2).alias(f"rank_{v}"))
         df = df.join(ranks, [*by, v])
     return df
 
@@ -130,7 +130,7 @@ def calibration(df: DataFrame, by: Sequence[str], bins: int = 5) -> DataFrame:
     q = F.least(F.lit(bins), F.greatest(F.lit(2), F.floor(F.count("*") / 3)))
     options = [F.when(q == k, F.percentile("y_pred", F.array(*(F.lit(i / k) for i in range(k + 1))))) for k in range(2, bins + 1)]
     edges = df.groupBy(*by).agg(F.array_distinct(F.coalesce(*options)).alias("edges"))
-    on = df.join(F.broadcast(edges), list(by)) if by else df.crossJoin(F.broadcast(edges))
+    on = df.join(edges, list(by)) if by else df.crossJoin(edges)
     at = F.greatest(F.lit(0), F.size(F.filter("edges", lambda x: x < F.col("y_pred"))) - 1)
     return on.withColumn("bin", at).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("y_true").alias("mean_true"), F.avg("y_pred").alias("mean_pred"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))
 
@@ -162,20 +162,14 @@ def transitions(base: DataFrame, candidate: DataFrame, key: Sequence[str], toler
 
 
 def conformal_radius(calibration_rows: DataFrame, by: Sequence[str], alpha: float) -> DataFrame:
-    """Split-conformal radius: order statistic min(n, ceil((n + 1)(1 - alpha))) of the absolute error.
-
-    Errors are counted by value, so the order statistic needs no sorted group in one task.
-    """
+    """Split-conformal radius: order statistic min(n, ceil((n + 1)(1 - alpha))) of the absolute error."""
     e = calibration_rows.select(*by, F.abs(F.col("y_pred") - F.col("y_true")).alias("e"))
-    counts = e.groupBy(*by, "e").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(W.partitionBy(*by).orderBy("e")))
-    n = e.groupBy(*by).agg(F.count("*").alias("n")).withColumn("k", F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha))))
-    on = upto.join(F.broadcast(n), list(by)) if by else upto.crossJoin(F.broadcast(n))
-    return on.filter(F.col("upto") >= F.col("k")).groupBy(*by).agg(F.min("e").alias("radius"), F.max("n").alias("n_calibration"))
+    rank = F.least(F.col("n"), F.ceil((F.col("n") + 1) * (1 - alpha)))
+    return order.nth_value(e, by, "e", rank, "radius").withColumnRenamed("n", "n_calibration")
 
 
 def conformal_intervals(df: DataFrame, radius: DataFrame, by: Sequence[str]) -> DataFrame:
-    on = df.join(F.broadcast(radius), list(by)) if by else df.crossJoin(F.broadcast(radius))
+    on = df.join(radius, list(by)) if by else df.crossJoin(radius)
     low, high = F.col("y_pred") - F.col("radius"), F.col("y_pred") + F.col("radius")
     return on.withColumns({"low": low, "high": high, "covered": (F.col("y_true") >= low) & (F.col("y_true") <= high)})
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -55,16 +57,17 @@ def sample_rate(df: DataFrame, by: Sequence[str], clock: str) -> DataFrame:
     return steps.groupBy(*by).agg((1 / F.median("__gw_d")).alias("rate"))
 
 
-def hudgins(df: DataFrame, by: Sequence[str], order: str, value: str, threshold: float = 0.0) -> DataFrame:
+def hudgins(df: DataFrame, by: Sequence[str], order: str, value: str, threshold: float = 1e-5) -> DataFrame:
     """Mean absolute value, waveform length, sign changes and slope sign changes of each series.
 
-    The sign of 0 is 0, so a passage through 0 counts twice; changes of at most ``threshold`` do not count.
+    The sign of 0 is 0, so a passage through 0 counts twice. A sign change counts if both sizes add
+    up to ``threshold`` at least; slope sign changes all count.
     """
     w = _w(by, order)
-    d = df.withColumn("__gw_d", F.col(value) - F.lag(value).over(w))
-    d = d.withColumns({"__gw_s": F.signum(value) != F.lag(F.signum(value)).over(w), "__gw_t": F.signum("__gw_d") != F.lag(F.signum("__gw_d")).over(w)})
-    big = F.abs("__gw_d") > threshold if threshold else F.lit(True)
-    count = lambda c: F.coalesce(F.sum((F.col(c) & big).cast("long")), F.lit(0))
+    d = df.withColumns({"__gw_p": F.lag(value).over(w), "__gw_d": F.col(value) - F.lag(value).over(w)})
+    crossed = (F.signum(value) != F.signum("__gw_p")) & (F.abs(value) + F.abs("__gw_p") >= threshold)
+    d = d.withColumns({"__gw_s": crossed, "__gw_t": F.signum("__gw_d") != F.lag(F.signum("__gw_d")).over(w)})
+    count = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0))
     return d.groupBy(*by).agg(F.avg(F.abs(value)).alias("mav"), F.coalesce(F.sum(F.abs("__gw_d")), F.lit(0.0)).alias("wl"), count("__gw_s").alias("zc"), count("__gw_t").alias("ssc"))
 
 
@@ -159,15 +162,38 @@ def at_fraction(df: DataFrame, by: Sequence[str], idx: str, value: str, wanted:
     return on.withColumn(value, F.col("__gw_a") + (F.col(at) - F.col("__gw_lo")) * (F.col("__gw_b") - F.col("__gw_a"))).drop("__gw_lo", "__gw_hi", "__gw_a", "__gw_b")
 
 
-def lag_scores(a: DataFrame, b: DataFrame, by: Sequence[str], idx: str, value: str, reach: int) -> DataFrame:
-    """(by, lag, score): products of a at i and b at i - lag, over the overlap, for lags up to ``reach``.
+def _lag_products(reach: int):
+    """Products over the overlap, for each lag, of two dense series that begin at given sample numbers."""
 
-    ``a`` yields one row for each lag; the join is an equi-join on the sample number.
-    """
-    left = a.select(*by, F.col(idx).alias("__gw_i"), F.col(value).alias("__gw_a"), F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("lag"))
-    right = b.select(*by, F.col(idx).alias("__gw_j"), F.col(value).alias("__gw_b"))
-    on = left.withColumn("__gw_j", F.col("__gw_i") - F.col("lag")).join(right, [*by, "__gw_j"])
-    return on.groupBy(*by, "lag").agg((F.sum(F.col("__gw_a") * F.col("__gw_b")) / F.count("*")).alias("score"), F.count("*").alias("overlap"))
+    def run(a0: pd.Series, a: pd.Series, b0: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for i, x, j, y in zip(a0, a, b0, b):
+            x, y = np.asarray(x, float), np.asarray(y, float)
+            size = 1 << int(len(x) + len(y)).bit_length()
+            # Gaps are null; they are 0 in the products and do not count in the overlap.
+            both = [np.fft.irfft(np.fft.rfft(p, size) * np.conj(np.fft.rfft(q, size)), size) for p, q in ((np.nan_to_num(x), np.nan_to_num(y)), (~np.isnan(x) * 1.0, ~np.isnan(y) * 1.0))]
+            lags = np.arange(max(-reach, int(i - j) - len(y) + 1), min(reach, int(i - j) + len(x) - 1) + 1)
+            at = (lags - int(i - j)) % size
+            n = np.rint(both[1][at]).astype(int)
+            out.append([{"lag": int(k), "score": float(s / m), "overlap": int(m)} for k, s, m in zip(lags, both[0][at], n) if m > 0])
+        return pd.Series(out)
+
+    return run
+
+
+def _dense(df: DataFrame, by: Sequence[str], idx: str, value: str, start: str, name: str) -> DataFrame:
+    """(by, start, name): each series as an array from its first sample number on, null where one is missing."""
+    held = df.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.col(idx).cast("long"), F.col(value).cast("double")))).alias("m"), F.min(idx).cast("long").alias(start), F.max(idx).cast("long").alias("__gw_z"))
+    return held.select(*by, start, F.transform(F.sequence(start, "__gw_z"), lambda i: F.try_element_at("m", i)).alias(name))
+
+
+def lag_scores(a: DataFrame, b: DataFrame, by: Sequence[str], idx: str, value: str, reach: int) -> DataFrame:
+    """(by, lag, score, overlap): mean product of a at i and b at i - lag over the overlap, for lags up
+    to ``reach``. Both series of a key meet as arrays and all lags come from one Fourier product, so
+    the work does not grow with the reach; a series' length bounds what a task holds."""
+    pair = _dense(a, by, idx, value, "__gw_i", "__gw_a").join(_dense(b, by, idx, value, "__gw_j", "__gw_b"), list(by))
+    score = F.pandas_udf(_lag_products(reach), "array<struct<lag:int,score:double,overlap:long>>")
+    return pair.select(*by, F.inline(score("__gw_i", "__gw_a", "__gw_j", "__gw_b")))
 
 
 def best_lag(scores: DataFrame, by: Sequence[str], least: float = 0.2) -> DataFrame:

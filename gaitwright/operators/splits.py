@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def fold_sizes(n: int, folds: int) -> list[int]:
     return [n // folds + (i < n % folds) for i in range(folds)]
@@ -22,30 +24,61 @@ def rarity(df: DataFrame, subject: str, labels: Sequence[str]) -> DataFrame:
     return one.select(subject, "samples", *labels, sum((F.coalesce(f"__gw_{c}", F.lit(0.0)) for c in labels), F.lit(0.0)).alias("rarity"))
 
 
-def balanced_folds(stats: DataFrame, subject: str, labels: Sequence[str], folds: int) -> DataFrame:
-    """(subject, fold): rare subjects first, each to the fold whose label counts and samples it
-    disturbs least, no fold over its size. One row per subject goes to the driver, as a greedy choice
-    depends on all earlier ones; ties go by cost, samples, size and number.
+#: Weights of what folds are balanced by; fixed values.
+WEIGHTS = {"samples": 1.0, "fma_ue": 0.6, "bi": 0.05, "hand_tone": 1.5, "hand_function": 1.5, "source": 4.0}
+
+
+def balanced_folds(stats: DataFrame, subject: str, folds: int, classes: Sequence[str], sums: Sequence[str] = (), score: str | None = None, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """(subject, fold): rare subjects first, each to the fold that it brings nearest to its share.
+
+    Balanced are the samples, the sums of numeric labels and the counts of each class. The cost of a
+    fold is how much the squared distances from a fold's share of the whole change by the subject, times
+    the weights (1 unless given). No fold grows beyond its size. Order: rarity, samples and score from
+    the top, then id; ties between folds: samples, size, number. One row per subject goes to the driver,
+    as a greedy choice depends on all earlier ones.
     """
-    rows = stats.orderBy(F.desc("rarity"), F.desc("samples"), subject).collect()
-    sizes = fold_sizes(len(rows), folds)
-    count: list[dict] = [{} for _ in range(folds)]
-    samples, held, out = [0] * folds, [0] * folds, []
-    total = max(1, sum(r["samples"] for r in rows))
+    w = {**WEIGHTS, **(weights or {})}
+    by = [F.desc("rarity"), F.desc("samples"), *([F.desc(score)] if score else []), F.col(subject).try_cast("bigint").asc_nulls_last(), F.col(subject)]
+    rows = stats.orderBy(*by).collect()
+    if not 2 <= folds <= len(rows):
+        raise ValueError(f"{len(rows)} subjects cannot make {folds} folds")
+    sizes, members, out = fold_sizes(len(rows), folds), [0] * folds, []
+    share: dict[tuple, float] = {}
+
+    def adds(r) -> list[tuple[tuple, float, float]]:
+        """(quantity, amount, weight) that a subject brings."""
+        found = [(("samples",), float(r["samples"]), w["samples"])]
+        found += [((c,), float(r[c]), w.get(c, 1.0)) for c in sums if r[c] is not None]
+        return found + [((c, r[c]), 1.0, w.get(c, 1.0)) for c in classes if r[c] is not None]
+
+    for r in rows:
+        for what, amount, _ in adds(r):
+            share[what] = share.get(what, 0.0) + amount / folds
+    held: list[dict] = [dict.fromkeys(share, 0.0) for _ in range(folds)]
     for r in rows:
+        bring = adds(r)
+
         def cost(k: int) -> tuple:
-            labels_cost = sum((count[k].get((c, r[c]), 0)) ** 2 for c in labels if r[c] is not None)
-            return labels_cost + ((samples[k] + r["samples"]) / total * folds) ** 2, samples[k], held[k], k
-
-        k = min((k for k in range(folds) if held[k] < sizes[k]), key=cost)
-        for c in labels:
-            count[k][c, r[c]] = count[k].get((c, r[c]), 0) + 1
-        samples[k] += r["samples"]
-        held[k] += 1
+            change = sum(x * ((held[k][q] + a - share[q]) ** 2 - (held[k][q] - share[q]) ** 2) for q, a, x in bring)
+            return change, held[k]["samples",], members[k], k
+
+        k = min((k for k in range(folds) if members[k] < sizes[k]), key=cost)
+        for q, a, _ in bring:
+            held[k][q] += a
+        members[k] += 1
         out.append((r[subject], k))
     return stats.sparkSession.createDataFrame(out, f"{subject} {stats.schema[subject].dataType.simpleString()}, fold int")
 
 
+def split_mode(asked: str, n_subjects: int, folds: int) -> str:
+    """"subject" or "trial"; "auto" goes by subject where every fold can have one."""
+    if asked not in ("auto", "subject", "trial"):
+        raise ValueError(f"unknown split mode: {asked}")
+    if asked == "subject" and n_subjects < folds:
+        raise ValueError(f"{n_subjects} subjects cannot make {folds} folds")
+    return asked if asked != "auto" else "subject" if n_subjects >= folds else "trial"
+
+
 def trial_round_robin(df: DataFrame, by: Sequence[str], order: Sequence[str], folds: int) -> DataFrame:
     return df.withColumn("fold", ((F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1) % folds).cast("int"))
 
@@ -56,13 +89,39 @@ def roles(assigned: DataFrame, folds: int, fold: str = "fold") -> DataFrame:
     return rounds.withColumn("role", F.when(F.col("round") == F.col(fold), "test").otherwise("train"))
 
 
+def _hash_order(*parts) -> Column:
+    return F.md5(F.concat_ws("/", *parts))
+
+
+def _place(df: DataFrame, by: Sequence[str], hashed: Column, key: str, name: str) -> DataFrame:
+    """``df`` with the place, from 0, of each row in the order of a hash, within ``by``."""
+    ranged = df.withColumn("__gw_m", hashed).withColumn("__gw_h", F.conv(F.substring("__gw_m", 1, 8), 16, 10).cast("double"))
+    if not by:
+        return order.numbered(ranged, "__gw_h", "__gw_m", key, name=name).withColumn(name, F.col(name) - 1).drop("__gw_m", "__gw_h")
+    ranged = ranged.withColumn("__gw_r", (F.col("__gw_h") / (1 << 26)).cast("int"))  # 64 even ranges
+    sizes = ranged.groupBy(*by, "__gw_r").agg(F.count("*").alias("__gw_n"))
+    start = sizes.select(*by, "__gw_r", F.coalesce(F.sum("__gw_n").over(W.partitionBy(*by).orderBy("__gw_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__gw_b"))
+    own = F.row_number().over(W.partitionBy(*by, "__gw_r").orderBy("__gw_m", key)) - 1
+    return ranged.withColumn(name, own).join(start, [*by, "__gw_r"]).withColumn(name, (F.col(name) + F.col("__gw_b")).cast("long")).drop("__gw_m", "__gw_h", "__gw_r", "__gw_b")
+
+
 def hashed_split(df: DataFrame, key: str, folds: int, validation: float, seed: int) -> DataFrame:
-    """(round, role, key): every key is test once; a share of the others, by hash, is validation."""
-    order = F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string")))
-    at = F.conv(F.substring(order, 1, 8), 16, 10).cast("long")
-    base = df.select(key).distinct().withColumn("fold", (at % folds).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    v = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("v"), F.lit(str(seed)), F.col("round").cast("string"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long")
-    return base.select("round", key, F.when(F.col("fold") == F.col("round"), "test").when(v % 1000 < int(validation * 1000), "validation").otherwise("train").alias("role"))
+    """(round, role, key): keys in the order of a hash are dealt to the folds in turn, and each is test
+    once; of the others of a round the first max(1, round(share)) in another hash order are validation."""
+    dealt = _place(df.select(key).distinct(), [], _hash_order(F.lit(str(seed)), F.col(key).cast("string")), key, "place")
+    rounds = dealt.withColumn("fold", (F.col("place") % folds).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).drop("place")
+    test = rounds.filter("fold = round").select("round", key, F.lit("test").alias("role"))
+    rest = inner_split(rounds.filter("fold != round").select("round", key), ["round"], key, validation, seed, least=1)
+    return test.unionByName(rest).select("round", key, "role")
+
+
+def inner_split(df: DataFrame, by: Sequence[str], key: str, share: float, seed: int, least: int = 2) -> DataFrame:
+    """(by, key, role): max(``least``, round(share of the group)) keys, first in a hash order, are
+    validation and the others train."""
+    hashed = _hash_order(F.lit("v"), F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col(key).cast("string"))
+    placed = _place(df, by, hashed, key, "__gw_p")
+    sizes = df.groupBy(*by).agg(F.greatest(F.lit(least), F.bround(F.count("*") * share, 0)).alias("__gw_v"))
+    return placed.join(sizes, list(by)).select(*by, key, F.when(F.col("__gw_p") < F.col("__gw_v"), "validation").otherwise("train").alias("role"))
 
 
 def bags(trials: DataFrame, subject: str, trial: str, per_subject: int, size: int, seed: int) -> DataFrame:
@@ -80,13 +139,30 @@ def seeded_order(df: DataFrame, by: Sequence[str], key: str, seed: int, name: st
     return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(key).cast("string"))), key)))
 
 
-def weighted_draws(df: DataFrame, by: Sequence[str], key: str, weight: str, draws: int) -> DataFrame:
-    """(by, draw, key): with replacement, by cumulated weight and evenly mixed draw numbers.
+def weighted_draws(df: DataFrame, by: Sequence[str], key: str, weight: str, draws: int, seed: int = 0) -> DataFrame:
+    """(by, draw, key): independent draws with replacement, each key as likely as its weight.
 
-    Rows yield the draws that fall on them; no draw is compared with all rows.
+    A draw's number is a hash of seed, group and draw; it falls on the key whose span of cumulated
+    weight holds it. Spans are cut into cells of the unit interval and meet draws by the cell, so
+    no draw is compared with all rows.
     """
     part = W.partitionBy(*by)
     upto = F.sum(weight).over(part.orderBy(key).rowsBetween(W.unboundedPreceding, 0)) / F.sum(weight).over(part)
-    spans = df.withColumn("__gw_b", upto).withColumn("__gw_a", F.coalesce(F.lag("__gw_b").over(part.orderBy(key)), F.lit(0.0)))
-    lo, hi = F.ceil(F.col("__gw_a") * draws - 0.5).cast("int"), (F.ceil(F.col("__gw_b") * draws - 0.5) - 1).cast("int")
-    return spans.withColumns({"__gw_lo": lo, "__gw_hi": F.least(hi, F.lit(draws - 1))}).filter("__gw_lo <= __gw_hi").select(*by, F.explode(F.sequence("__gw_lo", "__gw_hi")).alias("draw"), key)
+    spans = df.select(*by, key, weight).withColumn("__gw_b", upto).withColumn("__gw_a", F.coalesce(F.lag("__gw_b").over(part.orderBy(key)), F.lit(0.0)))
+    cells = spans.withColumn("__gw_c", F.explode(F.sequence((F.col("__gw_a") * CELLS).cast("int"), (F.least(F.col("__gw_b"), F.lit(1 - 1e-12)) * CELLS).cast("int"))))
+    hashed = _hash_order(F.lit("d"), F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("draw").cast("string"))
+    asked = df.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__gw_u", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / float(1 << 32))
+    on = asked.withColumn("__gw_c", (F.col("__gw_u") * CELLS).cast("int")).join(cells, [*by, "__gw_c"])
+    return on.filter((F.col("__gw_u") >= F.col("__gw_a")) & (F.col("__gw_u") < F.col("__gw_b"))).select(*by, "draw", key)
+
+
+CELLS = 256
+
+
+def sampling_weights(df: DataFrame, *labels: str) -> DataFrame:
+    """``df`` with ``sampling_weight``: the mean over labels of one over the root of the class count."""
+    for c in labels:
+        counts = df.groupBy(c).agg((1 / F.sqrt(F.count("*"))).alias(f"__gw_{c}"))
+        df = df.join(counts, c, "left")
+    mean = sum((F.coalesce(f"__gw_{c}", F.lit(0.0)) for c in labels), F.lit(0.0)) / len(labels)
+    return df.withColumn("sampling_weight", mean).drop(*(f"__gw_{c}" for c in labels))

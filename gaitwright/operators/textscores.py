@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import order
+
 
 def characters(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
@@ -18,21 +20,29 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
-def _grams(df: DataFrame, key: Sequence[str], tokens: str, most: int, name: str) -> DataFrame:
-    sized = df.select(*key, F.col(tokens).alias("__gw_t"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("size")).filter(F.size("__gw_t") >= F.col("size"))
-    at = sized.select(*key, "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("__gw_t") - F.col("size") + 1), lambda i: F.array_join(F.slice("__gw_t", i, F.col("size")), "\u0001"))).alias("gram"))
-    return at.groupBy(*key, "size", "gram").agg(F.count("*").alias(name))
+def _overlaps(most: int):
+    def run(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
+        out = []
+        for h, r in zip(hyp, ref):
+            row = [len(h), len(r)]
+            for n in range(1, most + 1):
+                a, b = (Counter(zip(*(t[i:] for i in range(n)))) for t in (list(h), list(r)))
+                row += [sum((a & b).values()), max(0, len(h) - n + 1), max(0, len(r) - n + 1)]
+            out.append(row)
+        return pd.DataFrame(out, columns=_count_names(most), dtype="int64")
+
+    return run
+
+
+def _count_names(most: int) -> list[str]:
+    return ["hyp_len", "ref_len", *(f"{k}_{n}" for n in range(1, most + 1) for k in ("match", "hyp", "ref"))]
 
 
 def overlap_counts(pairs: DataFrame, key: Sequence[str], hyp: Column, ref: Column, most: int = 4) -> DataFrame:
-    """(key, hyp_len, ref_len, match_n, hyp_n, ref_n for n up to ``most``): clipped n-gram matches.
-    Matches are counted by (pair, n, gram) before the join, so repeats cannot inflate them."""
-    t = pairs.select(*key, hyp.alias("__gw_h"), ref.alias("__gw_r"))
-    both = _grams(t, key, "__gw_h", most, "h").join(_grams(t, key, "__gw_r", most, "r"), [*key, "size", "gram"])
-    match = both.groupBy(*key).agg(*(F.sum(F.when(F.col("size") == n, F.least("h", "r")).otherwise(0)).alias(f"match_{n}") for n in range(1, most + 1)))
-    size = lambda c, n: F.greatest(F.lit(0), F.size(c) - (n - 1)).cast("long")
-    sizes = t.select(*key, F.size("__gw_h").cast("long").alias("hyp_len"), F.size("__gw_r").cast("long").alias("ref_len"), *(size("__gw_h", n).alias(f"hyp_{n}") for n in range(1, most + 1)), *(size("__gw_r", n).alias(f"ref_{n}") for n in range(1, most + 1)))
-    return sizes.join(match, list(key), "left").fillna(0, [f"match_{n}" for n in range(1, most + 1)])
+    """(key, hyp_len, ref_len, match_n, hyp_n, ref_n for n up to ``most``): clipped n-gram matches of two
+    token arrays. A pair is one row and is counted where it is, without a shuffle."""
+    counts = F.pandas_udf(_overlaps(most), ", ".join(f"{c} long" for c in _count_names(most)))
+    return pairs.select(*key, counts(hyp, ref).alias("__gw_n")).select(*key, "__gw_n.*")
 
 
 def bleu(n: int, smooth: float = 0.1) -> Column:
@@ -84,11 +94,37 @@ def rouge_l(hyp: Column, ref: Column) -> Column:
 
 
 def blinded(reports: DataFrame, subject: str, system: str, seed: int) -> DataFrame:
-    """``case_code`` by order of subject, ``review_id`` by a seeded shuffle. The review ids number the
-    reports one after the other, as a packet is read by people."""
-    cases = reports.select(subject).distinct().withColumn("case_code", F.format_string("C%03d", F.row_number().over(W.orderBy(subject))))
-    shuffled = F.row_number().over(W.orderBy(F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(subject).cast("string"), F.col(system))), subject, system))
-    return reports.withColumn("review_id", F.format_string("R%03d", shuffled)).join(cases, subject)
+    """``case_code`` by order of subject, ``review_id`` by a seeded shuffle, ids running over all reports.
+
+    A report is one (system, subject); :func:`repeated_reports` finds those that are not.
+    """
+    whole = F.col(subject).try_cast("double") if reports.schema[subject].dataType.simpleString() == "string" else F.col(subject).cast("double")
+    one = reports.select(subject).distinct().withColumn("__gw_v", F.coalesce(whole, F.lit(float("inf"))))
+    cases = order.numbered(one, "__gw_v", subject, name="__gw_c").select(subject, F.format_string("C%03d", "__gw_c").alias("case_code"))
+    drawn = reports.withColumn("__gw_m", F.md5(F.concat_ws("/", F.lit(str(seed)), F.col(subject).cast("string"), F.col(system))))
+    drawn = drawn.withColumn("__gw_h", F.conv(F.substring("__gw_m", 1, 8), 16, 10).cast("double"))
+    shuffled = order.numbered(drawn, "__gw_h", "__gw_m", subject, system, name="__gw_p")
+    return shuffled.withColumn("review_id", F.format_string("R%03d", "__gw_p")).drop("__gw_h", "__gw_m", "__gw_p").join(cases, subject)
+
+
+def repeated_reports(reports: DataFrame, subject: str, system: str) -> DataFrame:
+    return reports.groupBy(system, subject).count().filter("count > 1")
+
+
+def review_tables(reports: DataFrame, subject: str, system: str, seed: int, shown: Sequence[str], hidden: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What reviewers see, and the key that links it to systems and subjects."""
+    both = blinded(reports, subject, system, seed)
+    return both.select("review_id", "case_code", *shown), both.select("review_id", "case_code", system, subject, *hidden)
+
+
+def key_faults(ratings: DataFrame, key: DataFrame, rater: str, review: str = "review_id") -> DataFrame:
+    """(rater, review, problem): reviews a rater has not rated ("missing"), rated without being in the
+    key ("unknown"), or rated more than once ("repeated")."""
+    due = ratings.select(rater).distinct().crossJoin(F.broadcast(key.select(review).distinct()))
+    done = ratings.groupBy(rater, review).agg(F.count("*").alias("n"))
+    on = due.withColumn("due", F.lit(True)).join(done, [rater, review], "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("due").isNull(), "unknown").when(F.col("n") > 1, "repeated")
+    return on.select(rater, review, problem.alias("problem")).filter("problem is not null")
 
 
 def rating_summary(ratings: DataFrame, by: Sequence[str], case: str, score: str) -> DataFrame:
@@ -105,3 +141,34 @@ def rater_pairs(ratings: DataFrame, item: Sequence[str], rater: str, score: str)
 def audit_rates(rows: DataFrame, by: Sequence[str], flags: Sequence[str]) -> DataFrame:
     """Share of true flags; rows where a flag is null do not count, no such row gives null."""
     return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(F.col(f).cast("double")).alias(f) for f in flags))
+
+
+def scored_groups(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(group, n, char_bleu1..4, char_corpus_bleu, word_bleu1..4, rouge1_f, rouge2_f, rougeL_f) of rows
+    that have a human reference (hyp, ref, has_human_reference), of all and of each value of ``by``.
+
+    Character BLEU is the mean over reports, character corpus BLEU and word BLEU are of summed counts;
+    all in percent.
+    """
+    ok = rows.filter(F.coalesce("has_human_reference", F.lit(False)) & (F.trim(F.coalesce("ref", F.lit(""))) != ""))
+    groups = F.explode(F.array(F.lit("all"), *(F.col(c).cast("string") for c in by))).alias("group")
+    ok = ok.select(groups, F.coalesce("hyp", F.lit("")).alias("hyp"), "ref").withColumn("id", F.monotonically_increasing_id())
+    key = ["group", "id"]
+    w = overlap_counts(ok, [*key, "hyp", "ref"], words(F.col("hyp")), words(F.col("ref")))
+    c = overlap_counts(ok, key, characters(F.col("hyp")), characters(F.col("ref")))
+    percent = lambda x: 100 * F.avg(x)
+    chars = c.groupBy("group").agg(F.count("*").alias("n"), *(percent(bleu(n)).alias(f"char_bleu{n}") for n in range(1, 5)))
+    rouge = rouge_n(w.withColumn("l", rouge_l(words(F.col("hyp")), words(F.col("ref")))), ["group", "l"]).groupBy("group").agg(percent("rouge1_f").alias("rouge1_f"), percent("rouge2_f").alias("rouge2_f"), percent("l").alias("rougeL_f"))
+    whole = corpus_bleu(c, ["group"]).select("group", F.col("bleu_4").alias("char_corpus_bleu"))
+    worded = corpus_bleu(w, ["group"]).withColumnsRenamed({f"bleu_{n}": f"word_bleu{n}" for n in range(1, 5)})
+    return chars.join(whole, "group").join(worded, "group").join(rouge, "group")
+
+
+def audited(rows: DataFrame, facts_ok: str, advice_ok: str, whole_ok: str, split: str) -> DataFrame:
+    """``rows`` with ``fact_values_complete``, ``recommendation_safe``, ``raw_recommendation_safe``,
+    ``policy_covered`` and ``final_report_safe``. Rows without separate sections (``split`` false) are
+    judged as a whole, and what only sections can tell is null there."""
+    own = F.coalesce(F.col(split), F.lit(False))
+    part = lambda c: F.when(own, F.col(c)) if c in rows.columns else F.lit(None).cast("boolean")
+    facts, advice = F.when(own, F.col(facts_ok)).otherwise(F.col(whole_ok)), F.when(own, F.col(advice_ok)).otherwise(F.col(whole_ok))
+    return rows.withColumns({"fact_values_complete": facts, "recommendation_safe": advice, "raw_recommendation_safe": part("raw_ok"), "policy_covered": part("policy_ok"), "final_report_safe": facts & advice})

@@ -1,6 +1,6 @@
 """Queries over the driver's tables, by name."""
 
-from . import evaluation, reports, signals
+from . import clinic, evaluation, reports, signals
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "reports", "signals"]
+__all__ = ["ORACLES", "QUERIES", "clinic", "evaluation", "reports", "signals"]

@@ -87,10 +87,10 @@ def _ratings(spark, sf_dir):
     return o.groupBy(F.col("o_custkey").alias("item"), (F.col("o_orderkey") % 3).alias("rater")).agg(F.max(F.col("o_orderkey") % 5 + 1).cast("int").alias("score"))
 
 
-@query()
+@query("WITH r AS (SELECT o_custkey AS item, o_orderkey % 3 AS rater, max(o_orderkey % 5 + 1)::INT AS score FROM orders GROUP BY 1, 2), p AS (SELECT a.rater AS a, b.rater AS b, a.score AS x, b.score AS y FROM r a JOIN r b ON a.item = b.item AND a.rater < b.rater), u AS (SELECT a, b, s, row_number() OVER (PARTITION BY a, b ORDER BY s) AS i FROM (SELECT a, b, x AS s FROM p UNION SELECT a, b, y FROM p)), q AS (SELECT p.a, p.b, v.i AS x, w.i AS y FROM p JOIN u v ON v.a = p.a AND v.b = p.b AND v.s = x JOIN u w ON w.a = p.a AND w.b = p.b AND w.s = y), far AS (SELECT a, b, count(*) AS n, sum(abs(x - y)) AS far FROM q GROUP BY 1, 2), rows_ AS (SELECT a, b, x, count(*) AS k FROM q GROUP BY ALL), cols AS (SELECT a, b, y, count(*) AS k FROM q GROUP BY ALL), apart AS (SELECT r.a, r.b, sum(r.k * c.k * abs(x - y)) AS apart FROM rows_ r JOIN cols c ON r.a = c.a AND r.b = c.b GROUP BY 1, 2) SELECT a, b, n, round(1 - far * n / apart::DOUBLE, 8) AS weighted_kappa FROM far JOIN apart USING (a, b)")
 def rater_kappa(spark, sf_dir):
     p = X.rater_pairs(_ratings(spark, sf_dir), ["item"], "rater", "score").withColumnsRenamed({"score_a": "y_true", "score_b": "y_pred"})
-    return M.class_metrics(M.confusion(p, ["a", "b"], 6), ["a", "b"]).select("a", "b", "n", "weighted_kappa")
+    return M.class_metrics(M.confusion(p, ["a", "b"], 6), ["a", "b"]).select("a", "b", "n", F.round("weighted_kappa", 8).alias("weighted_kappa"))
 
 
 @query("WITH r AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY md5('9/' || s_suppkey || '/' || s_name), s_suppkey, s_name) AS i, dense_rank() OVER (ORDER BY s_suppkey) AS c FROM supplier) SELECT s_suppkey, format('R{:03d}', i) AS review_id, format('C{:03d}', c) AS case_code FROM r")
@@ -104,11 +104,12 @@ def vector_stats(spark, sf_dir):
     return load(spark, sf_dir, "embeddings").select("vec_id", F.round(V.dot(e, e), 6).alias("sq"), V.argmax(e).alias("top"))
 
 
-@query()
+@query("WITH e AS (SELECT vec_id, unnest(embedding[1:5])::DOUBLE * 4 AS x, unnest(range(1, 6)) AS k FROM embeddings), s AS (SELECT *, exp(sum(ln(1 / (1 + exp(-x)))) OVER (PARTITION BY vec_id ORDER BY k)) AS up, exp(x - max(x) OVER (PARTITION BY vec_id)) AS w FROM e), g AS (SELECT vec_id, k, greatest(coalesce(lag(up) OVER (PARTITION BY vec_id ORDER BY k), 1) - up, 1e-6) AS p FROM s UNION ALL SELECT vec_id, 6, greatest(up, 1e-6) FROM s WHERE k = 5), n AS (SELECT vec_id, " + ", ".join(f"round(max(CASE WHEN k = {k} THEN p END) / sum(p), 8) AS p{k}" for k in range(1, 7)) + " FROM g GROUP BY 1), d AS (SELECT vec_id, sum((up > 0.5)::INT)::INT AS rank, round(sum(w * (k - 1) * 5) / sum(w), 8) AS expected FROM s GROUP BY 1) SELECT * FROM d JOIN n USING (vec_id)")
 def ordinal_decoding(spark, sf_dir):
+    """The first five components are the logits of six ordered classes."""
     logits = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 4)
-    p = V.ordinal_probabilities(logits)
-    return load(spark, sf_dir, "embeddings").select("vec_id", V.ordinal_rank(logits).alias("rank"), p.alias("p"), V.expected_value(logits, 0, 20).alias("expected"))
+    d = load(spark, sf_dir, "embeddings").select("vec_id", V.ordinal_rank(logits).alias("rank"), V.ordinal_probabilities(logits).alias("p"), F.round(V.expected_value(logits, 0, 20), 8).alias("expected"))
+    return d.select("vec_id", "rank", "expected", *(F.round(F.col("p")[k - 1], 8).alias(f"p{k}") for k in range(1, 7)))
 
 
 @query("SELECT label, round((SELECT avg(label) FROM embeddings WHERE vec_id % 3 <> 0), 8) AS y_pred, count(*) AS n FROM embeddings WHERE vec_id % 3 = 0 GROUP BY 1")
@@ -129,4 +130,4 @@ def ridge_folds(spark, sf_dir):
 
 @query()
 def logistic_folds(spark, sf_dir):
-    return E.cross_fitted("logistic", _vectors(spark, sf_dir), "label", "fold", [0]).select("vec_id", "fold", "label", "y_pred")
+    return E.cross_fitted("logistic", _vectors(spark, sf_dir), "label", "fold", [0, 1, 2]).select("vec_id", "fold", "label", "y_pred")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaitwright.operators import alignment as L
 from gaitwright.operators import kernels as K
 from gaitwright.operators import series as S
 from gaitwright.operators import splits as G
@@ -53,7 +56,7 @@ def sample_rates(spark, sf_dir):
     return rounded(S.sample_rate(series(spark, sf_dir), BY, "t"), "rate", digits=10)
 
 
-@query("WITH " + SERIES_SQL + ", c AS (SELECT *, value - 34.5 AS v FROM s), d AS (SELECT *, v - lag(v) " + OVER + " AS d, (sign(v) <> lag(sign(v)) " + OVER + ")::INT AS z FROM c), e AS (SELECT *, (sign(d) <> lag(sign(d)) " + OVER + ")::INT AS s2 FROM d) SELECT user_id, round(avg(abs(v)), 6) AS mav, round(sum(abs(d)), 6) AS wl, coalesce(sum(z), 0)::BIGINT AS zc, coalesce(sum(s2), 0)::BIGINT AS ssc FROM e GROUP BY 1")
+@query("WITH " + SERIES_SQL + ", c AS (SELECT *, value - 34.5 AS v FROM s), d AS (SELECT *, v - lag(v) " + OVER + " AS d, (sign(v) <> lag(sign(v)) " + OVER + " AND abs(v) + abs(lag(v) " + OVER + ") >= 1e-5)::INT AS z FROM c), e AS (SELECT *, (sign(d) <> lag(sign(d)) " + OVER + ")::INT AS s2 FROM d) SELECT user_id, round(avg(abs(v)), 6) AS mav, round(sum(abs(d)), 6) AS wl, coalesce(sum(z), 0)::BIGINT AS zc, coalesce(sum(s2), 0)::BIGINT AS ssc FROM e GROUP BY 1")
 def hudgins_features(spark, sf_dir):
     return rounded(S.hudgins(series(spark, sf_dir).withColumn("v", F.col("value") - 34.5), BY, "idx", "v"), "mav", "wl", digits=6)
 
@@ -133,21 +136,54 @@ def power_envelopes(spark, sf_dir):
     return K.filtered(series(spark, sf_dir), BY, "value", lambda x: K.power_envelope(x, 200.0))
 
 
-@query()
+BANDS = (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30), ("gamma", 30, 45))
+
+
+@query("WITH " + SERIES_SQL + """, c AS (SELECT user_id, idx, count(*) OVER (PARTITION BY user_id) AS n, value - avg(value) OVER (PARTITION BY user_id) AS v FROM s),
+w AS (SELECT *, 0.5 - 0.5 * cos(2 * pi() * idx / n) AS w FROM c), d AS (SELECT user_id, k, any_value(n) AS n, sum(v * w * cos(2 * pi() * k * idx / n)) AS re, sum(v * w * sin(2 * pi() * k * idx / n)) AS im, sum(w * w) AS ww FROM w, (SELECT unnest(range(129)) AS k) WHERE k <= n // 2 GROUP BY 1, 2),
+p AS (SELECT user_id, k * 200.0::DOUBLE / n AS f, 200.0::DOUBLE / n AS df, (re * re + im * im) / (200 * ww) * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END AS p FROM d),
+q AS (SELECT *, lead(p) OVER (PARTITION BY user_id ORDER BY f) AS p2, lead(f) OVER (PARTITION BY user_id ORDER BY f) AS f2 FROM p) SELECT user_id, """ + ", ".join(f"round(ln(1 + coalesce(sum(CASE WHEN f >= {lo} AND f2 <= {hi} THEN (p + p2) / 2 * df END), 0)), 6) AS {n}" for n, lo, hi in BANDS) + " FROM q GROUP BY 1")
 def band_powers(spark, sf_dir):
-    return K.spectral_features(series(spark, sf_dir), BY, "value", 200.0)
+    return rounded(K.spectral_features(series(spark, sf_dir), BY, "value", 200.0), *(n for n, _, _ in BANDS), digits=6)
+
+
+def trials(spark, sf_dir) -> DataFrame:
+    """A trial for each user: 30, 4 and 24 channels that are functions of the events' values."""
+    channels = lambda n, f: F.transform(F.sequence(F.lit(1), F.lit(n)), f)
+    v, i = F.col("value"), F.col("idx")
+    eeg, emg, imu = channels(30, lambda c: F.sin(v * c / 10)), channels(4, lambda c: v - 30 - c), channels(24, lambda c: F.cos(v / 10 + i * c / 50))
+    at = series(spark, sf_dir).groupBy(*BY).agg(F.array_sort(F.collect_list(F.struct("idx", eeg.alias("eeg"), emg.alias("emg"), imu.alias("imu")))).alias("t"))
+    return at.select(*BY, *(F.col(f"t.{m}").alias(m) for m in L.MODALITIES))
+
+
+def _told(df: DataFrame) -> DataFrame:
+    size = F.size("emg") + F.size("imu") + F.size("eeg")
+    return df.select(*BY, "alignment_score", "feature_correlation", "path_expansion", "dtw_avg_cost", "fallback", "warning", size.alias("channels"), F.size(F.col("emg")[0]).alias("length"))
 
 
 @query()
 def knot_alignment(spark, sf_dir):
-    pairs = series(spark, sf_dir).select("user_id", "idx", F.col("value").alias("emg"), F.sin(F.col("value")).alias("imu"))
-    return K.aligned(pairs, BY, "knot")
+    return _told(L.aligned_trials(trials(spark, sf_dir), BY, "knot"))
 
 
 @query()
 def weighted_alignment(spark, sf_dir):
-    pairs = series(spark, sf_dir).select("user_id", "idx", F.col("value").alias("emg"), F.sin(F.col("value")).alias("imu"))
-    return K.aligned(pairs, BY, "weighted", 64)
+    return _told(L.aligned_trials(trials(spark, sf_dir), BY, "weighted", replace(L.RUNTIME, warp_blend=0.08)))
+
+
+@query()
+def trial_vectors(spark, sf_dir):
+    v = L.aligned_trials(trials(spark, sf_dir), BY, "resample", eeg_rate=500.0)
+    return v.select(*BY, F.size("vector").alias("size"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+@query("WITH " + SERIES_SQL + ", c AS (SELECT user_id, idx, modality, channel, value * factor AS v FROM s, (VALUES ('eeg', 'c1', 1), ('eeg', 'c2', 2), ('emg', 'm1', 3), ('imu', 'x', 5)) AS k(modality, channel, factor)), m AS (SELECT user_id, modality, count(DISTINCT idx) AS n, count(DISTINCT channel) AS k, sum(v * (idx + 1)) AS s FROM c GROUP BY 1, 2) SELECT user_id, max(n) AS samples, sum(k)::BIGINT AS channels, round(sum(s), 4) AS total FROM m GROUP BY 1")
+def trials_from_long(spark, sf_dir):
+    kinds = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(c).alias("channel"), F.lit(f).alias("factor")) for m, c, f in (("eeg", "c1", 1), ("eeg", "c2", 2), ("emg", "m1", 3), ("imu", "x", 5))))
+    long = series(spark, sf_dir).select(*BY, "idx", "value", F.explode(kinds).alias("k")).select(*BY, "idx", "k.modality", "k.channel", (F.col("value") * F.col("k.factor")).alias("value"))
+    t = L.trial_rows(long, BY)
+    total = sum(F.aggregate(F.transform(F.col(m), lambda r, i: F.aggregate(r, F.lit(0.0), lambda a, x: a + x) * (i + 1)), F.lit(0.0), lambda a, x: a + x) for m in L.MODALITIES)
+    return t.select(*BY, F.size("eeg").cast("long").alias("samples"), sum(F.size(F.col(m)[0]) for m in L.MODALITIES).cast("long").alias("channels"), F.round(total, 4).alias("total"))
 
 
 @query("WITH s AS (SELECT c_custkey, min(c_mktsegment) AS m, min(c_nationkey) AS n FROM customer GROUP BY 1) SELECT c_custkey, round(1 / count(*) OVER (PARTITION BY m) + 1 / count(*) OVER (PARTITION BY n), 8) AS rarity FROM s")
@@ -158,7 +194,8 @@ def rarity_scores(spark, sf_dir):
 @query()
 def balanced_folds(spark, sf_dir):
     stats = G.rarity(load(spark, sf_dir, "supplier").withColumn("sign", F.signum("s_acctbal")), "s_suppkey", ["s_nationkey", "sign"])
-    return G.balanced_folds(stats, "s_suppkey", ["s_nationkey", "sign"], 3)
+    stats = stats.join(load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("bi")), "s_suppkey")
+    return G.balanced_folds(stats, "s_suppkey", 3, ["s_nationkey", "sign"], ["bi"])
 
 
 @query("SELECT o_custkey, o_orderkey, ((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3)::INT AS fold FROM orders")
@@ -169,7 +206,7 @@ def trial_folds(spark, sf_dir):
 HEX = "list_sum(list_transform(range(1, 9), lambda i: (strpos('0123456789abcdef', substr({0}, i, 1)) - 1) * (16 ** (8 - i))))::BIGINT"
 
 
-@query("WITH k AS (SELECT DISTINCT s_suppkey FROM supplier), r AS (SELECT s_suppkey, r::INT AS round, md5('7/' || s_suppkey) AS a, md5('v/7/' || r || '/' || s_suppkey) AS b FROM k, (SELECT unnest(range(5)) AS r)) SELECT round, s_suppkey, CASE WHEN " + HEX.format("a") + " % 5 = round THEN 'test' WHEN " + HEX.format("b") + " % 1000 < 200 THEN 'validation' ELSE 'train' END AS role FROM r")
+@query("WITH p AS (SELECT s_suppkey, ((row_number() OVER (ORDER BY md5('7/' || s_suppkey), s_suppkey) - 1) % 5)::INT AS f FROM supplier), r AS (SELECT s_suppkey, f, r::INT AS round FROM p, (SELECT unnest(range(5)) AS r)), v AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY md5('v/7/' || round || '/' || s_suppkey), s_suppkey) AS i, count(*) OVER (PARTITION BY round) AS n FROM r WHERE f <> round) SELECT round, s_suppkey, 'test' AS role FROM r WHERE f = round UNION ALL SELECT round, s_suppkey, CASE WHEN i <= greatest(1, round_even(n * 0.2, 0)) THEN 'validation' ELSE 'train' END FROM v")
 def hashed_splits(spark, sf_dir):
     return G.hashed_split(load(spark, sf_dir, "supplier"), "s_suppkey", 5, 0.2, 7)
 
@@ -184,11 +221,17 @@ def seeded_order(spark, sf_dir):
     return G.seeded_order(load(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey"), ["s_nationkey"], "s_suppkey", 3)
 
 
-@query()
+@query("WITH s AS (SELECT p_brand, p_partkey, sum(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING) / sum(p_retailprice) OVER (PARTITION BY p_brand) AS b FROM part), t AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY p_brand ORDER BY p_partkey), 0) AS a FROM s), d AS (SELECT p_brand, d::INT AS draw, " + HEX.format("md5('d/0/' || p_brand || '/' || d)") + " / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT p_brand FROM part), (SELECT unnest(range(50)) AS d)) SELECT d.p_brand, draw, p_partkey FROM d JOIN t ON t.p_brand = d.p_brand AND u >= a AND u < b")
 def weighted_draws(spark, sf_dir):
     return G.weighted_draws(load(spark, sf_dir, "part"), ["p_brand"], "p_partkey", "p_retailprice", 50)
 
 
+@query("WITH c AS (SELECT c_custkey, c_mktsegment, c_nationkey, count(*) OVER (PARTITION BY c_mktsegment) AS a, count(*) OVER (PARTITION BY c_nationkey) AS b FROM customer) SELECT c_custkey, round((1 / sqrt(a) + 1 / sqrt(b)) / 2, 8) AS weight FROM c")
+def two_label_weights(spark, sf_dir):
+    w = G.sampling_weights(load(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey"), "c_mktsegment", "c_nationkey")
+    return w.select("c_custkey", F.round("sampling_weight", 8).alias("weight"))
+
+
 @query("SELECT time_bucket(INTERVAL '1 hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def tumbling_counts(spark, sf_dir):
     t = ST.tumbling(load(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "event_type", "value")

@@ -5,34 +5,81 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gaitwright.operators.contracts import normal_label, repeated_keys, require_columns, require_empty
+from gaitwright.operators import kernels as K
+from gaitwright.operators import series as S
+from gaitwright.operators.contracts import changing_labels, normal_label, repeated_keys, require_columns, require_empty
 
 MANIFEST = "subject_id string, trial_id string, task_id int, trial_number int, fma_score double, fma_ue double, bi double, hand_tone string, hand_function string, source string, eeg_path string, emg_path string"
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest rows with text ids and normalised labels; repeated (subject, trial) keys are an error."""
-    raw = require_columns(spark.read.option("header", True).csv(path), ["subject_id", "trial_id"])
+def read_manifest(spark: SparkSession, path: str, label: str = "fma_score") -> DataFrame:
+    """Manifest rows with text ids and normalised labels, and a numeric ``task_id`` and ``trial_number``.
+
+    Missing columns, repeated (subject, trial) keys and subjects whose ``label`` is missing or not the
+    same in all their trials are errors.
+    """
+    raw = require_columns(spark.read.option("header", True).csv(path), ["subject_id", "trial_id", label, "eeg_path", "emg_path"])
     kinds = dict(c.split() for c in MANIFEST.split(", "))
     labels = {"hand_tone": normal_label(F.col("hand_tone")), "hand_function": normal_label(F.col("hand_function"), whole=True)} if {"hand_tone", "hand_function"} <= set(raw.columns) else {}
     rows = raw.withColumns({c: F.col(c).try_cast(kinds[c]) for c in raw.columns if kinds.get(c, "string") != "string"}).withColumns(labels)
     require_empty(repeated_keys(rows, "subject_id", "trial_id"), "repeated trials")
+    require_empty(changing_labels(rows, "subject_id", label), "subjects with missing or changing labels")
     return rows
 
 
+def manifest_order(df: DataFrame) -> DataFrame:
+    """Rows by subject, task and trial, ids as numbers where they are numbers."""
+    return df.orderBy(*numeric_first("subject_id"), F.col("task_id").try_cast("int"), F.col("trial_number").try_cast("int"), *numeric_first("trial_id"))
+
+
+def subject_stats(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """(subject_id, samples, labels) of a manifest, one row for each subject."""
+    return rows.groupBy("subject_id").agg(F.count("*").alias("samples"), *(F.min(c).alias(c) for c in labels if c in rows.columns))
+
+
+def with_files(df: DataFrame, listing: DataFrame, *paths: str) -> DataFrame:
+    """Rows all of whose files are in ``listing`` (a ``path`` column, as ``binaryFile`` gives)."""
+    for p in paths:
+        df = df.join(listing.select(F.col("path").alias(p)).distinct(), p, "left_semi")
+    return df
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime, length) of all files below ``root``."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
+
+
 def numeric_first(key: str) -> list[Column]:
     """Sort order of ids: numbers by value, then other names."""
     return [F.col(key).try_cast("bigint").asc_nulls_last(), F.col(key).asc()]
 
 
 def read_channels(spark: SparkSession, path: str, channels: Sequence[str] | None = None) -> DataFrame:
-    """(path, idx, channel, value) of wide recordings, one file each. Rows are numbered by file order."""
+    """(path, idx, channel, value) of wide recordings, one file each; ``idx`` counts the rows of a file
+    from 0 in their order. A file is one task's work for the numbering: it has no clock to split it by."""
     wide = spark.read.option("header", True).option("inferSchema", True).csv(path)
     names = [c for c in channels or wide.columns if c in wide.columns]
-    numbered = wide.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("idx"), *names)
-    return numbered.unpivot(["path", "idx"], names, "channel", "value").withColumn("value", F.col("value").cast("double"))
+    placed = wide.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("__gw_s"), F.monotonically_increasing_id().alias("__gw_i"), *(F.col(f"`{c}`") for c in names))
+    # Inside a piece of a file row numbers ascend in order; pieces are ordered by where they start.
+    idx = F.row_number().over(W.partitionBy("path").orderBy("__gw_s", "__gw_i")) - 1
+    numbered = placed.withColumn("idx", idx.cast("long")).drop("__gw_s", "__gw_i")
+    return numbered.unpivot(["path", "idx"], [f"`{c}`" for c in names], "channel", "value").withColumn("value", F.col("value").cast("double"))
+
+
+def reference_free(df: DataFrame, references: Sequence[str], rate: float, to_rate: float = 500.0, mains: float = 50.0, low: float = 1.0, high: float = 45.0) -> DataFrame:
+    """EEG (path, idx, channel, value) without reference channels, against the mean of the others,
+    notched, band-passed and at ``to_rate``; no scaling."""
+
+    def chain(x):
+        y = K.zero_phase(x, K.notch(mains, 30, rate)) if mains < rate / 2 else x
+        return K.band_pass(y, low, high, rate)
+
+    kept = S.average_reference(df.filter(~F.col("channel").isin(list(references))), ["path", "idx"], "value", "value")
+    clean = K.filtered(kept, ["path", "channel"], "value", chain)
+    return S.resample_rate(clean.withColumn("t", F.col("idx") / rate), ["path", "channel"], "t", "value", to_rate)
 
 
 def interleaved_channels(columns: Sequence[str], parts: Sequence[str]) -> list[tuple[str, str]]:
@@ -46,6 +93,13 @@ def read_interleaved(df: DataFrame, parts: Sequence[str]) -> DataFrame:
     return df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
 
 
+def read_muscles_and_motion(df: DataFrame, muscles: Sequence[str], motion: Sequence[str] = ("ACC.X", "ACC.Y", "ACC.Z", "GYRO.X", "GYRO.Y", "GYRO.Z")) -> tuple[DataFrame, DataFrame]:
+    """The high-rate (": EMG") and low-rate (acceleration, rotation) channels of the named muscles."""
+    own = [c for c in df.columns if any(m in c for m in muscles)]
+    emg, imu = [c for c in own if ": EMG" in c], [c for c in own if any(f": {m}" in c for m in motion)]
+    return read_interleaved(df, emg), read_interleaved(df, imu)
+
+
 def read_fold_summaries(spark: SparkSession, root: str) -> DataFrame:
     """Fold tables under kind/variant/task folders, with what the path says."""
     rows = spark.read.option("header", True).option("inferSchema", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_summary.csv").csv(root)
@@ -104,3 +158,13 @@ def content_key(*parts: object) -> str:
     import hashlib
 
     return hashlib.sha256("\n".join(map(repr, parts)).encode()).hexdigest()[:32]
+
+
+def file_keys(listing: DataFrame, **parameters: object) -> DataFrame:
+    """(path, key): sha1 of a file's path, time of change and size and of the parameters that its result depends on."""
+    told = [F.lit(f"{k}={v!r}") for k, v in sorted(parameters.items())]
+    return listing.select("path", F.sha1(F.concat_ws("\n", "path", F.unix_micros("modificationTime").cast("string"), F.col("length").cast("string"), *told)).alias("key"))
+
+
+def rendered_json(df: DataFrame, *columns: str, name: str = "json") -> DataFrame:
+    return df.withColumn(name, F.to_json(F.struct(*(columns or df.columns))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaitwright.functions import arrays as V
 from gaitwright.functions import text as T
 from gaitwright.operators import aggregate as A
+from gaitwright.operators import alignment as L
 from gaitwright.operators import contracts as P
 from gaitwright.operators import estimators as E
 from gaitwright.operators import kernels as K
@@ -126,16 +127,9 @@ def test_warping_of_equals_is_the_diagonal():
     x = np.random.default_rng(3).normal(size=40)
     path, cost = K.warp((x[:, None] - x[None, :]) ** 2, 6)
     assert (path[:, 0] == path[:, 1]).all() and cost == 0
-    r = K.knot_align(x, x)
-    assert len(r["emg"]) == len(r["imu"]) == 256
-    assert K.band_width(100, 0.15) == 15 and K.band_width(3, 0.1) == 1 and K.band_width(10, 4) == 4
-    assert (K.aligner("none")(x, x)["imu"] == K.aligner("resample")(x, x)["imu"]).all()
-
-
-def test_failed_trials_fall_back(spark):
-    df = frame(spark, [(1, 0, 1.0, 2.0), (2, 0, 1.0, 1.0), (2, 1, 2.0, float("nan")), (2, 2, 3.0, 1.0)], "s int, idx int, emg double, imu double")
-    rows = K.aligned(df, ["s"], "knot", 16).collect()
-    assert len(rows) == 2 and all(len(r.emg) == 16 for r in rows)
+    assert L.band_width(100, 0.15) == 15 and L.band_width(3, 0.1) == 1 and L.band_width(10, 4) == 4
+    with pytest.raises(ValueError):
+        L.band_width(10, -1)
 
 
 def test_bootstrap_draws_look_independent(spark):
@@ -148,7 +142,7 @@ def test_bootstrap_draws_look_independent(spark):
 
 def test_folds_are_disjoint_and_complete(spark):
     rows = frame(spark, [(i, i % 4, i % 2) for i in range(31)], "s int, a int, b int")
-    folds = G.balanced_folds(G.rarity(rows, "s", ["a", "b"]), "s", ["a", "b"], 3)
+    folds = G.balanced_folds(G.rarity(rows, "s", ["a", "b"]), "s", 3, ["a", "b"])
     assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [10, 10, 11]
     split = G.roles(folds, 3).select(F.col("round").alias("fold"), "role", F.col("s").alias("subject_id"))
     assert P.leaking_subjects(split).count() == 0
