@@ -6,8 +6,8 @@ window; following the words past the window gives the longest verbatim match the
 
 A training suffix that starts with a word no test item has cannot match, so only suffixes inside
 runs of test words enter the array; that leaves out nothing. Tests travel to the shards in blocks
-of at most ``BLOCK`` bytes, one pass per block, so what is sent has a bound however large the test
-set is. Documents are never shuffled.
+of about ``BLOCK`` bytes, one pass and one written table for each block, so what is sent and held has
+a bound however large the test set is. Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, materialize, small_batches, tidy
+
 BLOCK = 4 << 20
 SLICE = 4 << 20  #: bytes of text that one suffix array covers
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c not in range(0x7B, 0x80) else 32 for c in range(256))
@@ -36,7 +38,9 @@ class Tests:
         self.numbers: dict[bytes, int] = {}
         self.names: list[str] = []
         suffixes: dict[tuple[int, ...], int] = {}
-        self.suffix: list[np.ndarray] = []  #: longest words that follow a window's first place
+        ways: list[set[tuple[int, int]]] = []  # (item, place) of each window
+        codes = []
+        self.suffix: list[np.ndarray] = []  #: all that tests have from a window's first place on
         self.items: list[set[int]] = []
         for name, text in items:
             words = words_of(text)
@@ -44,16 +48,23 @@ class Tests:
                 continue
             code = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words], np.int32)
             self.names.append(name)
+            codes.append(code)
             size = min(width, len(code))
             for i in range(len(code) - size + 1):
                 key = tuple(code[i : i + size].tolist())
                 at = suffixes.setdefault(key, len(suffixes))
-                if at == len(self.suffix):
-                    self.suffix.append(code[i:])
+                if at == len(ways):
+                    ways.append(set())
                     self.items.append(set())
-                elif len(code) - i > len(self.suffix[at]):
-                    self.suffix[at] = code[i:]
+                ways[at].add((len(codes) - 1, i))
                 self.items[at].add(len(self.names) - 1)
+        first = [0]
+        for own in ways:
+            # Of continuations of which one begins with another, the longer one is enough.
+            goes = sorted((codes[k][i:] for k, i in own), key=lambda c: c.tobytes())
+            self.suffix += [c for c, d in zip(goes, [*goes[1:], goes[0][:0]]) if d[: len(c)].tobytes() != c.tobytes()] if len(goes) > 1 else goes
+            first.append(len(self.suffix))
+        self.first = np.array(first)  #: where the continuations of each window begin in ``suffix``
         self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in {len(k) for k in suffixes}:
             own = [(k, i) for k, i in suffixes.items() if len(k) == size]
@@ -119,7 +130,8 @@ def search(code: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.n
     inside = inside[whole >= min(tests.windows)]
     if not len(inside):
         return none, none, none, none
-    longest = max(len(s) for s in tests.suffix)
+    ends = np.array([len(s) for s in tests.suffix])
+    longest = int(ends.max())
     array = suffix_array(code, inside, longest)
     found = []
     for size, (windows, ids) in tests.windows.items():
@@ -131,14 +143,19 @@ def search(code: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray, np.n
             at = array[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
             found.append((at, own[which], np.full(len(at), size)))
     at, window, size = (np.concatenate(x) for x in zip(*found))
-    length = size.copy()
-    going = np.arange(len(at))
-    ends = np.array([len(s) for s in tests.suffix])
+    # Every continuation of a window is tried at every place of the window.
+    n = (tests.first[1:] - tests.first[:-1])[window]
+    row = np.repeat(np.arange(len(at)), n)
+    way = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(tests.first[window], n)
+    place, reach = at[row], size[row]
+    going = np.arange(len(row))
     flat, first = np.concatenate(tests.suffix), np.cumsum(ends) - ends
-    while len(going := going[length[going] < ends[window[going]]]):
-        same = code[at[going] + length[going]] == flat[first[window[going]] + length[going]]
+    while len(going := going[reach[going] < ends[way[going]]]):
+        same = code[place[going] + reach[going]] == flat[first[way[going]] + reach[going]]
         going = going[same]
-        length[going] += 1
+        reach[going] += 1
+    length = np.zeros(len(at), np.int64)
+    np.maximum.at(length, row, reach)
     return at, window, size, length
 
 
@@ -154,6 +171,20 @@ def _merge(old: list[int], new: list[tuple[int, int]]) -> list[int]:
     return out
 
 
+_MATCHES = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+
+
+def _widest(starts: list[int], lengths: list[int]) -> list[tuple[int, int]]:
+    """(start, words) of the matches that lie in no other one; ``starts`` ascend."""
+    out: list[tuple[int, int]] = []
+    for a, n in zip(starts, lengths):
+        if out and a == out[-1][0]:
+            out[-1] = (a, max(n, out[-1][1]))
+        elif not out or a + n > sum(out[-1]):
+            out.append((a, n))
+    return out
+
+
 def _shard(tests: Tests, text: str):
     """A pass over record batches that adds what ``tests`` hit."""
     numbers = tests.numbers | {_END: -1}
@@ -170,8 +201,9 @@ def _shard(tests: Tests, text: str):
         for i, (b, e) in enumerate(zip(begins.tolist(), ends.tolist())):
             own = slice(edge[i], edge[i + 1])
             spans = list(zip((at[own] - b).tolist(), (at[own] - b + size[own]).tolist()))
+            places = _widest((at[own] - b).tolist(), length[own].tolist())
             names = {tests.names[k] for w in set(window[own].tolist()) for k in tests.items[w]}
-            yield e - b, spans, names, int(length[own].max(initial=0))
+            yield e - b, spans, names, places
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -187,12 +219,12 @@ def _shard(tests: Tests, text: str):
             if part:
                 found += look(part)
             names = whole.schema.names
-            spans, items, longest = (whole.column(n).to_pylist() for n in ("__gw_spans", "__gw_items", "__gw_longest"))
+            spans, items, matches = (whole.column(n).to_pylist() for n in ("__gw_spans", "__gw_items", "__gw_matches"))
             new = {
                 "__gw_words": pa.array([f[0] for f in found], pa.int64()),
                 "__gw_spans": pa.array([_merge(o, f[1]) for o, f in zip(spans, found)], pa.list_(pa.int32())),
                 "__gw_items": pa.array([sorted({*o, *f[2]}) for o, f in zip(items, found)], pa.list_(pa.string())),
-                "__gw_longest": pa.array([max(o, f[3]) for o, f in zip(longest, found)], pa.int32()),
+                "__gw_matches": pa.array([_widest(*zip(*sorted([*((m["start"], m["words"]) for m in o), *f[3]]))) if o or f[3] else [] for o, f in zip(matches, found)], _MATCHES),
             }
             yield pa.RecordBatch.from_arrays([new.get(n, whole.column(n)) for n in names], names)
 
@@ -201,32 +233,47 @@ def _shard(tests: Tests, text: str):
 
 def find_tests(docs: DataFrame, tests: DataFrame, width: int = 10, text: str = "text") -> DataFrame:
     """``docs`` with ``__gw_words``, ``__gw_spans`` (flat half-open word spans), ``__gw_items``
-    (sorted names of items with a window there) and ``__gw_longest`` (words of the longest verbatim match).
+    (sorted names of items with a window there) and ``__gw_matches`` (start and words of each verbatim
+    match that lies in no longer one).
 
     A null text has no words. An item without words has no window; a null item_id is the empty
-    name; items of one name count as one. Without tests nothing is hit.
+    name; items of one name count as one. Without tests nothing is hit. A block holds whole items,
+    so an item over ``BLOCK`` bytes is a block of its own.
     """
-    out = docs.withColumns({"__gw_words": F.lit(0).cast("long"), "__gw_spans": F.array().cast("array<int>"), "__gw_items": F.array().cast("array<string>"), "__gw_longest": F.lit(0)})
+    small_batches(docs.sparkSession)
+    none = F.array().cast("array<struct<start:int,words:int>>")
+    out = docs.withColumns({"__gw_words": F.lit(0).cast("long"), "__gw_spans": F.array().cast("array<int>"), "__gw_items": F.array().cast("array<string>"), "__gw_matches": none})
     named = tests.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     size = named.agg(F.sum(F.length("data"))).first()[0] or 0
     blocks = max(1, -(-size // (BLOCK // 2)))
     dealt = named.withColumn("block", F.pmod(F.xxhash64("item", "data"), F.lit(blocks)))
     for b in range(blocks):
         items = sorted((r.item, bytes(r.data)) for r in dealt.filter(F.col("block") == b).collect())
-        out = out.mapInArrow(_shard(Tests(items, width), text), out.schema)
+        before, out = out, out.mapInArrow(tidy(_shard(Tests(items, width), text)), out.schema)
+        if b + 1 < blocks:
+            out = materialize(out, "hits")
+            if b:
+                discard(before)
     return out
 
 
 def audit_documents(docs: DataFrame, tests: DataFrame, width: int = 10) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest of every document."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest (words of the longest
+    verbatim match) of every document."""
     found = find_tests(docs.select("doc_id", "text"), tests, width)
     hit = F.aggregate("__gw_spans", F.lit(0), lambda a, x: x - a)  # b - (a - 0), and so on: ends minus starts
     return found.select(
         "doc_id", F.col("__gw_words").alias("n_words"), hit.cast("long").alias("n_hit"), F.size("__gw_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("__gw_items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("__gw_spans") > 0).alias("contaminated"), F.col("__gw_longest").alias("longest"),
+        F.sha2(F.array_join(F.array_sort("__gw_items"), ",").cast("binary"), 256).alias("items_sha256"), (F.size("__gw_spans") > 0).alias("contaminated"),
+        F.coalesce(F.array_max("__gw_matches.words"), F.lit(0)).cast("long").alias("longest"),
     )
 
 
+def locate_tests(docs: DataFrame, tests: DataFrame, width: int = 10) -> DataFrame:
+    """doc_id, start, words: where the verbatim matches of ``docs`` begin, in words from 0, and how long they are."""
+    return find_tests(docs.select("doc_id", "text"), tests, width).select("doc_id", F.inline("__gw_matches"))
+
+
 def remove_contaminated(docs: DataFrame, tests: DataFrame, width: int = 10) -> DataFrame:
     """The documents in which no window of a test item occurs, with their own columns."""
     return find_tests(docs, tests, width).filter(F.size("__gw_spans") == 0).select(*docs.columns)
@@ -235,17 +282,20 @@ def remove_contaminated(docs: DataFrame, tests: DataFrame, width: int = 10) -> D
 AUDIT_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+b AS (SELECT row_number() OVER () AS bid, coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
              '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
-bw AS (SELECT DISTINCT item, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
-       FROM (SELECT item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
+bw AS (SELECT bid, item, i AS j, least(len(w), 10) AS n, array_to_string(list_slice(w, i, i + least(len(w), 10) - 1), ' ') AS win
+       FROM (SELECT bid, item, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT rid, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS win
        FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT rid, dw.n AS n, i, item FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
+m AS (SELECT rid, dw.n AS n, i, item, bid, j FROM dw JOIN bw ON dw.win = bw.win AND dw.n = bw.n),
 h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+-- Windows in a row, of the text and of one item, are one match.
+g AS (SELECT rid, max(n) AS n, count(*) AS steps FROM (SELECT rid, n, bid, i - j AS d, i - row_number() OVER (PARTITION BY rid, bid, i - j ORDER BY i) AS island FROM m) GROUP BY rid, bid, d, island),
+l AS (SELECT rid, max(steps + n - 1) AS longest FROM g GROUP BY rid),
 t AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid) LEFT JOIN l USING (rid)
 """

@@ -43,7 +43,7 @@ def op7_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("longest")
+    return decontam.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

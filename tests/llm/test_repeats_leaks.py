@@ -86,7 +86,7 @@ def test_levels_merge_geometrically():
     assert sorted(map(len, family.levels)) == [1, 8]
 
 
-AUDIT = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated"
+AUDIT = "doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest"
 
 
 def oracle(docs, items):
@@ -127,3 +127,13 @@ def test_longest_match_goes_past_the_window(spark):
     items = spark.createDataFrame([("q", " ".join(f"t{i}" for i in range(30)))], "item_id string, text string")
     r = decontam.audit_documents(docs, items).first()
     assert (r.n_hit, r.longest) == (25, 25)
+
+
+def test_longest_match_tries_every_continuation(spark):
+    w = " ".join(f"w{i}" for i in range(10))
+    x, y = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("x", 20), ("y", 5)))
+    docs = spark.createDataFrame([(1, f"a {w} {y} b {w} {x}"), (2, f"{w} {y}"), (3, w[:-3])], "doc_id long, text string")
+    items = spark.createDataFrame([("p", f"{w} {x}"), ("q", f"{w} {y}")], "item_id string, text string")
+    assert {r.doc_id: r.longest for r in decontam.audit_documents(docs, items).collect()} == {1: 30, 2: 15, 3: 0}
+    assert sorted(map(tuple, decontam.locate_tests(docs, items).collect())) == [(1, 1, 15), (1, 17, 30), (2, 0, 15)]
+    assert order(map(tuple, decontam.audit_documents(docs, items).selectExpr(*AUDIT.split(", ")).collect())) == order(oracle(docs, items))
