@@ -7,21 +7,24 @@ go on clockwise, nearest points first, until a shard has room.
 Only the count of each cell reaches the driver (at most ``CELLS`` numbers, whatever the corpus
 holds). The driver walks the ring once and returns, for each cell, which ranks go to which shard;
 that plan (cells plus splits, a proven bound) is broadcast and every row finds its place by its
-rank in its own cell. No task ever holds more than one cell in order, and cells are even because
-keys are hashed.
+rank in its own cell. A cell is ordered in ``PARTS`` parts, so one key that a third of all rows have
+is not ordered in one task, and parts are even because rows are hashed.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import drop_internal, with_outputs
+from .common import drop_internal, materialize, with_outputs
 
 CELLS = 16384
+PARTS = 8  #: of a cell, by the hash of what its rows hold beside the key
 
 
 def _point(label: str) -> int:
@@ -83,25 +86,32 @@ def ring_plan(counts: dict[int, int], n_shards: int, vnodes: int, slack: float)
     return plan
 
 
-def shard_rows(df: DataFrame, key: Column, n_shards: int = 16, vnodes: int = 64, slack: float = 1.0) -> DataFrame:
+def shard_rows(df: DataFrame, key: Column, n_shards: int = 16, vnodes: int = 64, slack: float = 1.0, ties: Sequence[str] | None = None) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
     ``slack`` is the bound as a multiple of the mean load. At 1 every shard is filled to the mean
     and counts differ by one at most; above 1 fewer keys leave their home, and less moves when a
-    shard is added. Rows of one key are ranked by the key's hash; repeated rows are
+    shard is added. Rows of one key are ranked by ``ties`` (all columns that can be ordered, unless
+    given), so a task that runs again gives the same places; rows equal in these are
     interchangeable and each gets a slot. A null key counts as the empty string. An empty table
     gives an empty result. Columns of ``df`` named shard or slot are replaced.
     """
     spark = df.sparkSession
     hashed = F.md5(F.coalesce(key.cast("string"), F.lit("")))
     cell = (F.shiftright(F.conv(F.substring(hashed, 1, 8), 16, 10).cast("long") * F.lit(CELLS), 32)).cast("int")
-    counts = {r[0]: r[1] for r in df.select(cell.alias("c")).groupBy("c").count().collect()}
+    if ties is None:
+        ties = [f"`{f.name}`" for f in df.schema.fields if isinstance(f.dataType, AtomicType)]
+    placed = df.withColumns({"__gw_cell": cell, "__gw_hash": hashed, "__gw_part": F.pmod(F.xxhash64(*ties), F.lit(PARTS)).cast("int") if ties else F.lit(0)})
+    sizes = placed.groupBy("__gw_cell", "__gw_part").agg(F.count("*").alias("__gw_n"))
+    held = materialize(sizes, "cells")  # CELLS x PARTS rows at most
+    counts = {r[0]: r[1] for r in held.groupBy("__gw_cell").agg(F.sum("__gw_n")).collect()}
+    before = held.select("__gw_cell", "__gw_part", (F.sum("__gw_n").over(W.partitionBy("__gw_cell").orderBy("__gw_part")) - F.col("__gw_n")).alias("__gw_before"))
     plan = spark.createDataFrame(ring_plan(counts, n_shards, vnodes, slack), "__gw_c int, __gw_lo long, __gw_hi long, __gw_shard int, __gw_slot long")
-    order = W.partitionBy("__gw_cell").orderBy("__gw_hash")
-    ranked = df.withColumns({"__gw_cell": cell, "__gw_hash": hashed}).withColumn("__gw_rank", F.row_number().over(order) - 1)
+    order = W.partitionBy("__gw_cell", "__gw_part").orderBy("__gw_hash", *ties)
+    ranked = placed.withColumn("__gw_rank", F.row_number().over(order) - 1).join(F.broadcast(before), ["__gw_cell", "__gw_part"]).withColumn("__gw_rank", F.col("__gw_rank") + F.col("__gw_before"))
     on = (F.col("__gw_cell") == F.col("__gw_c")) & (F.col("__gw_rank") >= F.col("__gw_lo")) & (F.col("__gw_rank") < F.col("__gw_hi"))
-    placed = ranked.join(F.broadcast(plan), on)
-    return drop_internal(with_outputs(placed, {"shard": F.col("__gw_shard"), "slot": F.col("__gw_slot") + F.col("__gw_rank") - F.col("__gw_lo")}))
+    found = ranked.join(F.broadcast(plan), on)
+    return drop_internal(with_outputs(found, {"shard": F.col("__gw_shard"), "slot": F.col("__gw_slot") + F.col("__gw_rank") - F.col("__gw_lo")}))
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 16, vnodes: int = 64, slack: float = 1.0) -> DataFrame:
