@@ -99,3 +99,10 @@ def require_empty(violations: DataFrame, what: str) -> None:
     """Raise with the first few violations."""
     if rows := violations.limit(5).collect():
         raise ValueError(f"{what}: {[tuple(r) for r in rows]}")
+
+
+def union_faults(split: DataFrame, rows: DataFrame, key: str, fold: str = "fold") -> DataFrame:
+    """(fold, key): keys of ``rows`` that no side of a fold has, and keys of a fold that ``rows`` lacks."""
+    due = split.select(fold).distinct().crossJoin(rows.select(key).distinct())
+    there = split.select(fold, key).distinct()
+    return due.join(there, [fold, key], "left_anti").union(there.join(rows.select(key).distinct(), key, "left_anti").select(fold, key))

@@ -10,6 +10,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import metrics as M
+from .cohort import one_hot
 from .contracts import clip
 
 
@@ -102,3 +104,24 @@ def chain_edges(spark, sizes: Sequence[int], dense: Sequence[tuple[int, int]] =
     for p in parts[1:]:
         one = one.union(p)
     return one.union(one.select("dst", "src")).distinct()
+
+
+def run_folds(name: str, df: DataFrame, label: str, fold: str, folds: Sequence[int], kind: str, n_classes: int = 0, bounds: tuple[float, float] | None = None, tolerance: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Predictions of every row by a model of the other folds, and the metrics of each fold.
+
+    Classes get the probability 1 for the label predicted, where a model gives none.
+    """
+    out = cross_fitted(name, df, label, fold, folds, bounds).withColumnRenamed(label, "y_true")
+    if kind == "regression":
+        return out, M.regression_metrics(out, [fold], tolerance)
+    out = out.withColumns({"y_true": F.col("y_true").cast("int"), "y_pred": F.col("y_pred").cast("int")})
+    return out.select("*", *one_hot(F.col("y_pred"), n_classes)), M.class_metrics(M.confusion(out, [fold], n_classes), [fold])
+
+
+def save_model(model, path: str) -> None:
+    """Replace a fitted model's files."""
+    model.write().overwrite().save(path)
+
+
+def load_model(kind: type, path: str):
+    return kind.load(path)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaitwright.operators import kernels as K
+from gaitwright.operators import metrics as M
 from gaitwright.operators import series as S
 from gaitwright.operators.contracts import changing_labels, normal_label, repeated_keys, require_columns, require_empty
 
@@ -168,3 +169,53 @@ def file_keys(listing: DataFrame, **parameters: object) -> DataFrame:
 
 def rendered_json(df: DataFrame, *columns: str, name: str = "json") -> DataFrame:
     return df.withColumn(name, F.to_json(F.struct(*(columns or df.columns))))
+
+
+def write_nonempty(df: DataFrame, path: str, kind: str = "csv") -> None:
+    """Write a table of which an empty one would be a mistake."""
+    if df.isEmpty():
+        raise ValueError(f"no rows for {path}")
+    write_table(df, path, kind)
+
+
+def write_figure_tables(rows: DataFrame, root: str, figures: Mapping[str, tuple[Sequence[str], Sequence[str]]]) -> None:
+    """One CSV table for each figure: the rows of its tasks and metrics; a figure without rows is an error."""
+    for name, (tasks, metrics) in figures.items():
+        write_nonempty(rows.filter(F.col("task").isin(list(tasks)) & F.col("metric").isin(list(metrics))), f"{root.rstrip('/')}/{name}")
+
+
+def write_class_tables(predictions: DataFrame, by: Sequence[str], labels: Sequence[str], root: str) -> None:
+    """Per-class metrics as JSON lines, and the confusion with labels for numbers as CSV."""
+    cells = M.confusion(predictions, by, len(labels))
+    named = F.array(*map(F.lit, labels))
+    write_table(M.class_report(cells, by).withColumn("label", F.element_at(named, F.col("cls") + 1)), f"{root}/classes", "json")
+    wide = cells.withColumns({"y_true": F.element_at(named, F.col("y_true") + 1), "y_pred": F.element_at(named, F.col("y_pred") + 1)})
+    write_table(wide.groupBy(*by, "y_true").pivot("y_pred", list(labels)).agg(F.first("n")), f"{root}/confusion", "csv")
+
+
+def write_regression_tables(predictions: DataFrame, by: Sequence[str], root: str, bins: int = 5) -> None:
+    """Agreement points and calibration bins as CSV."""
+    write_table(M.bland_altman_points(predictions), f"{root}/agreement", "csv")
+    write_table(M.calibration(predictions, by, bins), f"{root}/calibration", "csv")
+
+
+def consistency_audit(summary: DataFrame, path: str) -> None:
+    write_nonempty(summary.select("task", "MAE", "RMSE", "R2", "Spearman", "Tolerance", "`Hit/N`"), path)
+
+
+_HELD: dict[str, DataFrame] = {}
+
+
+def held_table(df: DataFrame, root: str, key: str) -> DataFrame:
+    """:func:`cached_table`, kept in executor memory as well while the session holds it."""
+    name = f"{df.sparkSession.sparkContext.applicationId}/{root}/{key}"
+    if name not in _HELD:
+        _HELD[name] = cached_table(df, root, key).persist()
+    return _HELD[name]
+
+
+def write_split(split: DataFrame, path: str, subject: str = "subject_id", **told: object) -> None:
+    """One JSON line for each fold with the sorted ids of its sides and what is told of the split."""
+    ids = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col(subject).cast("string")))).alias(f"{role}_subjects")
+    folds = split.groupBy("fold").agg(ids("train"), ids("validation"), ids("test"))
+    write_table(folds.withColumns({k: F.lit(v) for k, v in told.items()}) if told else folds, path, "json")
