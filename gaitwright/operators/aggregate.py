@@ -94,10 +94,10 @@ def trial_weights(trials: DataFrame) -> DataFrame:
     (flat: 1); uncertainty counts reversed. One row of medians and ranges is broadcast.
     """
     ok = {c: F.when(finite(F.col(c), float("nan")) == finite(F.col(c), 0.0), F.col(c)) for c in BLEND}
-    middle = None
-    for c, e in ok.items():  # a median of no rows is no row
-        one = trials.sparkSession.range(1).select(F.lit(0).alias("__gw_1")).join(order.medians(trials.select(e.cast("double").alias(c)), [], c, f"__gw_m_{c}"), F.lit(True), "left").drop("__gw_1")
-        middle = one if middle is None else middle.crossJoin(one)
+    # One pass for all measures: a measure is a group.
+    long = trials.select(*(e.cast("double").alias(c) for c, e in ok.items())).unpivot([], list(ok), "measure", "v")
+    per = order.medians(long, ["measure"], "v", "m")
+    middle = per.agg(*(F.max(F.when(F.col("measure") == c, F.col("m"))).alias(f"__gw_m_{c}") for c in ok))
     filled = trials.crossJoin(F.broadcast(middle)).withColumns({f"__gw_{c}": F.coalesce(F.when(~F.isnan(e), e), F.col(f"__gw_m_{c}"), F.lit(0.0)) for c, e in ok.items()})
     ends = F.broadcast(filled.agg(*(f(f"__gw_{c}").alias(f"__gw_{n}_{c}") for c in BLEND for f, n in ((F.min, "lo"), (F.max, "hi")))))
     on = filled.crossJoin(ends)

@@ -56,6 +56,10 @@ def nth_value(df: DataFrame, by: Sequence[str], value: str, rank: Column, name:
 def medians(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """(by, name): exact medians, by the two middle values; null values do not count."""
     ok = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(*by, value)
-    low, high = (nth_value(ok, by, value, F.floor((F.col("n") + up) / 2), n).drop("n") for up, n in ((1, "__gw_a"), (2, "__gw_z")))
-    both = low.join(high, list(by)) if by else low.crossJoin(high)
-    return both.select(*by, ((F.col("__gw_a") + F.col("__gw_z")) / 2).alias(name))
+    places = counts_below(ok, by, value)
+    total = places.groupBy(*by).agg(F.sum("n").alias("__gw_n"))
+    on = places.join(total, list(by)) if by else places.crossJoin(F.broadcast(total))
+    low, high = F.floor((F.col("__gw_n") + 1) / 2), F.floor((F.col("__gw_n") + 2) / 2)
+    # The rows that hold the two middle places: two values, or one.
+    middle = on.filter((F.col("below") < high) & (F.col("below") + F.col("n") >= low))
+    return middle.groupBy(*by).agg(((F.min(value) + F.max(value)) / 2).alias(name))

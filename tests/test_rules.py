@@ -208,10 +208,10 @@ def test_estimators(spark):
 
 
 def test_sources_round_trip(spark, tmp_path):
-    (tmp_path / "m.csv").write_text("subject_id,trial_id,hand_tone,hand_function,bi\n1,1,1+,3.0,40\n1,2,nan,,50\n10,1,2,x,60\n")
+    (tmp_path / "m.csv").write_text("subject_id,trial_id,hand_tone,hand_function,bi,fma_score,eeg_path,emg_path\n1,1,1+,3.0,40,7,e,m\n1,2,nan,,50,7,e,m\n10,1,2,x,60,9,e,m\n")
     rows = files.read_manifest(spark, str(tmp_path / "m.csv"))
     assert [(r.hand_tone, r.hand_function) for r in rows.orderBy("subject_id", "trial_id").collect()] == [("1+", 3), (None, None), ("2", None)]
-    (tmp_path / "bad.csv").write_text("subject_id,trial_id\n1,1\n1,1\n")
+    (tmp_path / "bad.csv").write_text("subject_id,trial_id,fma_score,eeg_path,emg_path\n1,1,3,e,m\n1,1,3,e,m\n")
     with pytest.raises(ValueError, match="repeated"):
         files.read_manifest(spark, str(tmp_path / "bad.csv"))
     ids = frame(spark, [("10",), ("9",), ("b",), ("a",)], "id string")
