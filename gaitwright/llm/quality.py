@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from operator import eq
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_outputs
+from .common import release, small_batches, with_outputs
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper", "symbols", "bangs", "bars", "digits", "stops", "spaces", "wide",
@@ -55,8 +56,12 @@ def text_features(data: bytes) -> list[float]:
     ]
 
 
-def _features(data: pd.Series) -> pd.Series:
-    return data.map(text_features)
+def _features(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    try:
+        for data in batches:
+            yield data.map(text_features)
+    finally:
+        release()
 
 
 def features(text: Column) -> Column:
@@ -173,8 +178,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     """Fit on labelled rows that are not held out, at most ``bound`` of them, chosen by hash.
 
     Rows without a label or a key are left out. The chosen keys have a proven bound, so they are
-    broadcast; a key that stands in many rows counts once.
+    broadcast; a key that stands in many rows counts once, with the least of its feature vectors,
+    and of contradicting labels the greater one counts.
     """
+    small_batches(docs.sparkSession)
     usable = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("__gw_y"))
     n = usable.count()
     share = min(1.0, bound * 0.97 / max(1, n))
@@ -188,10 +195,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 def add_score(docs: DataFrame, model: AdditiveModel, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the score of each whole text (0 to 1). Null texts count as empty."""
 
-    def score(data: pd.Series) -> pd.Series:
-        x = np.array([text_features(b) for b in data], dtype=float).reshape(-1, len(FEATURES))
-        return pd.Series(model.score(x))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            for data in batches:
+                x = np.array([text_features(b) for b in data], dtype=float).reshape(-1, len(FEATURES))
+                yield pd.Series(model.score(x))
+        finally:
+            release()
 
+    small_batches(docs.sparkSession)
     return with_outputs(docs, {name: F.pandas_udf(score, "double")(F.coalesce(F.col(f"`{text}`").cast("binary"), F.lit(b"")))})
 
 

@@ -1,6 +1,8 @@
 """Token-id output coded with a static range asymmetric numeral system.
 
-All blocks share one frequency table made from every id of the corpus. A block holds the ids of
+All blocks share one frequency table made from every id of the corpus. It is written beside them,
+with a manifest that holds its checksum and the coder's parameters, so a folder of token files can
+be decoded by anyone who has just the folder. A block holds the ids of
 whole documents, dealt in turn to ``LANES`` interleaved coders, so that one NumPy step codes an id
 in each lane. Every ``CHECK`` steps a checkpoint keeps the coders' states and the place in the
 stream: decoding can start there, and pieces of a block can be decoded side by side. A block
@@ -13,8 +15,10 @@ range. The driver sees the id counts (as many as the vocabulary has) and one num
 
 from __future__ import annotations
 
+import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import islice
@@ -22,11 +26,11 @@ from itertools import islice
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, shared_dir, small_batches, tidy
 
 BITS = 20  #: frequencies add up to 1 << BITS
 LOW = 1 << 31  #: states stay in [LOW, LOW << 32)
@@ -160,7 +164,16 @@ def decode_block(block: bytes, table: Table, parts: range | None = None) -> tupl
 #: for these characters lower case and splitting need no other rules.
 _ODD = re.compile(r"[^ -~\n\r\tÀ-ÖØ-öø-ÿ]")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \n\r\ta-z0-9à-öø-ÿß]+")
-_CACHE, _KEPT = 700_000, 200_000  #: pieces that a worker remembers, and how many of the first it keeps when full
+_CACHE, _KEPT = 250_000, 100_000  #: pieces that a task remembers (some 130 bytes each), and how many of the first it keeps when full
+#: The rules that plain texts are cut by; a tokenizer file with others gets whole texts.
+_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 _LE4 = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
@@ -170,7 +183,8 @@ class Encoder:
     The tokenizer drops white space and codes each piece between its own word borders alone, so a
     text's ids are its pieces' ids in order. Plain texts are cut at these borders and the pieces go
     to the library's model; other texts are cut at spaces, line ends and tabs only, and their odd
-    words, or words with a special token, go to the library whole.
+    words, or words with a special token, go to the library whole. A tokenizer file of other rules
+    than ``_RULES`` gets every text whole.
     """
 
     def __init__(self, path: str):
@@ -178,6 +192,9 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        told["model"] = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+        self.known_rules = all(told[k] == v for k, v in _RULES.items())
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -199,6 +216,8 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
+        if not self.known_rules:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not _ODD.search(text) and not any(s in text for s in self.specials):
             return self._plain(text)
         out = []
@@ -210,24 +229,15 @@ class Encoder:
         return b"".join(out)
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = encoder(path), zstandard.ZstdCompressor(level=1)
+        enc, pack = Encoder(path), zstandard.ZstdCompressor(level=1)
         end = np.array([END_ID], "<u4").tobytes()
         small = enc.tokenizer.get_vocab_size() <= 65536
         for batch in batches:
             ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
             packed = [pack.compress(np.frombuffer(i, "<u4").astype("<u2").tobytes() if small else b"\1" + i) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(packed, pa.binary())], ["doc_id", "tie", "packed"])
 
     return run
 
@@ -290,35 +300,66 @@ def _read_blocks(freq: np.ndarray):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, ranges: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Write the ids of every document, in ascending doc_id order, as blocks; (blocks, frequencies).
+def write_tokens(docs: DataFrame, tokenizer: str, ranges: int | None = None) -> str:
+    """Write the ids of every document, in ascending doc_id order; returns the folder of the files.
 
-    Blocks: part, block, before (ids that precede it in its part), n_ids, doc_ids, data. Null texts
-    are empty; every document ends with ``END_ID``; null keys stand first, equal keys together. An
-    empty table gives no block.
+    ``blocks`` holds part, block, before (ids that precede it in its part), n_ids, doc_ids, data;
+    ``table`` the frequency of each id; ``manifest`` one row with the coder's parameters and the
+    table's checksum. Null texts are empty; every document ends with ``END_ID``. Keys are integers;
+    null keys stand first, rows of one key in the order of their texts' hashes. An empty table gives
+    no block. A task writes its blocks one by one, so its memory does not grow with its range.
     """
-    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(tokenizer), "doc_id long, n long, packed binary"), "tokens", "none")
-    counts = tokens.select("packed").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    spark = docs.sparkSession
+    small_batches(spark)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    tokens = materialize(keyed.mapInArrow(tidy(_tokenize(tokenizer)), "doc_id long, tie long, packed binary"), "tokens", "none")
+    counts = tokens.select("packed").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     total = np.zeros(max((r.id for r in counts), default=0) + 1, np.int64)
     for r in counts:
         total[r.id] = r.n
     freq = quantize(total)
     ranges = ranges or max(1, min(20_000, int(total.sum()) // (4 * BLOCK)))
-    ranged = tokens.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "packed")
-    blocks = ranged.mapInArrow(_pack_blocks(freq), "part int, block long, before long, n_ids long, doc_ids array<long>, data binary")
-    return materialize(blocks, "blocks", "none"), freq
+    ranged = tokens.repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select(F.spark_partition_id().alias("part"), "doc_id", "packed")
+    blocks = ranged.mapInArrow(tidy(_pack_blocks(freq)), "part int, block long, before long, n_ids long, doc_ids array<long>, data binary")
+    folder = f"{shared_dir(spark)}/gaitwright/token-files-{uuid.uuid4().hex}"
+    blocks.write.option("compression", "none").parquet(f"{folder}/blocks")
+    discard(tokens)
+    table = [(int(i), int(freq[i])) for i in np.flatnonzero(freq)]
+    spark.createDataFrame(table, "id long, freq long").coalesce(1).write.parquet(f"{folder}/table")
+    manifest = [(1, BITS, LANES, CHECK, END_ID, len(freq), int(total.sum()), zlib.crc32(freq.astype("<i8").tobytes()))]
+    spark.createDataFrame(manifest, _MANIFEST).coalesce(1).write.parquet(f"{folder}/manifest")
+    return folder
+
+
+_MANIFEST = "version int, bits int, lanes int, check int, end_id int, vocabulary long, n_ids long, table_crc32 long"
+
+
+def read_table(spark: SparkSession, folder: str) -> np.ndarray:
+    """The shared frequencies of a folder of token files; as many numbers as the vocabulary has.
+
+    Raises ValueError when they or the coder's parameters are not those of the manifest.
+    """
+    m = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest").first()
+    freq = np.zeros(m.vocabulary, np.int64)
+    for r in spark.read.schema("id long, freq long").parquet(f"{folder}/table").collect():
+        freq[r.id] = r.freq
+    if (m.version, m.bits) != (1, BITS) or zlib.crc32(freq.astype("<i8").tobytes()) != m.table_crc32:
+        raise ValueError("damaged or unknown token files")
+    return freq
 
 
-def read_tokens(blocks: DataFrame, freq: np.ndarray) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the written blocks.
+def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the files of ``folder`` alone.
 
     One task adds up the ids of the parts; it gets one row per part.
     """
+    blocks = spark.read.schema("part int, block long, before long, n_ids long, doc_ids array<long>, data binary").parquet(f"{folder}/blocks")
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("n"))
     starts = parts.select(F.col("part"), (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("part_start"))
     placed = blocks.join(F.broadcast(starts), "part").select((F.col("part_start") + F.col("before")).alias("first"), "doc_ids", "data")
-    return placed.mapInArrow(_read_blocks(freq), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(_read_blocks(read_table(spark, folder))), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_index(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return read_tokens(*write_tokens(docs, tokenizer))
+    """doc_id, start, n_tokens, ids_crc32 of every document, from token files written and read back."""
+    return read_tokens(docs.sparkSession, write_tokens(docs, tokenizer))
