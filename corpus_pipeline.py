@@ -8,9 +8,10 @@ and read again, so a lost executor never sends work back beyond the stage it was
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaitwright.llm import decontam, mixing, omh, quality, rans
-from gaitwright.llm.common import materialize, table
+from gaitwright.llm.common import discard, materialize, table
 from gaitwright.session import ship_package
 
 
@@ -38,11 +39,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in rANS blocks, in ascending doc_id order; the index read back from them."""
+    """Token ids in rANS blocks, in ascending doc_id order; the index read back from their folder, ``files``."""
     import public_tokenizers
 
     ship_package(spark)
-    return rans.token_index(docs, public_tokenizers.path("word_bpe_49k.json"))
+    folder = rans.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return rans.read_tokens(spark, folder).withColumn("files", F.lit(folder))
 
 
 STAGES = [
@@ -59,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
