@@ -174,13 +174,13 @@ def ridge_calibrator(spark, sf_dir):
     return on.groupBy("fold").agg(F.round(F.avg("slope"), 8).alias("slope"), F.round(F.avg("intercept"), 2).alias("intercept"), way("clip").alias("clipped"), way("round_0.5").alias("halves"))
 
 
-NATIONS_SQL = "nat AS (SELECT c_nationkey AS id, round(avg(o_totalprice) / 1000, 3) AS y_true, round(avg(c_acctbal) * 33, 3) AS base, round(avg(o_totalprice) / 1000 + (c_nationkey % 7 - 3) * 2, 3) AS cand FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)"
+NATIONS_SQL = "nat AS (SELECT c_nationkey AS id, round(avg(o_totalprice) / 1000, 3) AS y_true, round(avg(c_acctbal) / 32, 3) AS base, round(avg(o_totalprice) / 1000 + (c_nationkey % 7 - 3) * 2, 3) AS cand FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)"
 
 
 def _nations(spark, sf_dir) -> DataFrame:
     o = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     m = o.groupBy(F.col("c_nationkey").alias("id")).agg(F.avg("o_totalprice").alias("t"), F.avg("c_acctbal").alias("b"))
-    return m.select("id", F.round(F.col("t") / 1000, 3).alias("y_true"), F.round(F.col("b") * 33, 3).alias("base"), F.round(F.col("t") / 1000 + (F.col("id") % 7 - 3) * 2, 3).alias("cand"))
+    return m.select("id", F.round(F.col("t") / 1000, 3).alias("y_true"), F.round(F.col("b") / 32, 3).alias("base"), F.round(F.col("t") / 1000 + (F.col("id") % 7 - 3) * 2, 3).alias("cand"))
 
 
 NATION_DRAWS_SQL = NATIONS_SQL + ", num AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM nat), pick AS (SELECT d, " + drawn("d", "k", "n") + " AS i FROM (SELECT DISTINCT n FROM num), (SELECT unnest(range(20000)) AS d), (SELECT unnest(range(25)) AS k) WHERE k < n), dr AS (SELECT d, y_true, base, cand FROM pick JOIN num USING (i))"
