@@ -29,7 +29,8 @@ def test_query(spark, duck, sf_dir, name):
     if name not in ORACLES:
         assert got
         return
-    want = duck.execute(f"select {', '.join(columns)} from ({ORACLES[name]})").fetchall()
+    quoted = ", ".join(f'"{c}"' for c in columns)
+    want = duck.execute(f"select {quoted} from ({ORACLES[name]})").fetchall()
     assert len(got) == len(want)
     for a, b in zip(got, rows_of(want)):
         for x, y in zip(a, b):
