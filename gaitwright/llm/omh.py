@@ -290,10 +290,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     shared = materialize(members.join(common, "key"), "shared")
     discard(nodes, common)
     texts = _packed(docs, shared.select("node").distinct())
-    label = _relabel(None, _links(texts, _pairs(shared, least), least))
+    label = merge_labels(None, _links(texts, _pairs(shared, least), least))
     shared = shared.drop("to")
     inside = _open(shared, label, "key")
-    label = _relabel(label, _links(texts, _pairs(_close(inside).union(_drawn(inside)), least), least))
+    label = merge_labels(label, _links(texts, _pairs(_close(inside).union(_drawn(inside)), least), least))
     label = _settle(texts, inside.filter(F.col("n") > CLOSE), label, least)
     discard(inside, shared, texts)
     return sketched.select("doc_id", "node").join(label, "node", "left").select("doc_id", "node", F.coalesce("label", "node").alias("label"))
@@ -306,7 +306,7 @@ def _packed(docs: DataFrame, asked: DataFrame) -> DataFrame:
     return materialize(texts.groupBy("node").agg(F.first("packed").alias("packed")), "texts", "none")
 
 
-def _relabel(label: DataFrame | None, links: DataFrame) -> DataFrame:
+def merge_labels(label: DataFrame | None, links: DataFrame) -> DataFrame:
     """``label`` (node, label; nodes that it lacks are their own) with what ``links`` (a, b) join made one."""
     if label is None:
         out = components(links)
@@ -472,7 +472,7 @@ def _settle(texts: DataFrame, large: DataFrame, label: DataFrame, least: float)
         still = _shared_bits("known", "to.known") + F.least("twice", "to.twice") + F.greatest("beyond", "to.beyond") >= _bound(longer, least)
         once = (F.col("draw") >= reach) | (F.col("node") < F.col("to.node"))
         met = drawn.join(first, "key").filter((F.col("label") != F.col("to.label")) & alike_size & enough & once & still)
-        label = _relabel(label, _links(texts, _pairs(met.select("node", "size", "to"), least), least))
+        label = merge_labels(label, _links(texts, _pairs(met.select("node", "size", "to"), least), least))
         discard(inside)
         done, reach = reach, reach * GROWTH
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fim, htmltemplate, importance, mixing, ogg, omh, quality, rans, sharding, suffixindex, toxicity
+from . import adaptjoin, decontam, fim, htmltemplate, importance, mixing, ogg, omh, quality, rans, sharding, suffixindex, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_adaptive_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptjoin.similar_sets(table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = fim.restore(fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
@@ -74,12 +78,14 @@ QUERIES = {
     "op8_suffix_decontamination": op8_suffix_decontamination,
     "op9_template_extraction": op9_template_extraction,
     "op10_hash_ring": op10_hash_ring,
+    "op11_adaptive_prefixes": op11_adaptive_prefixes,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_importance_resampling": op13_importance_resampling,
 }
 ORACLES = {
     "op5_systematic_mix": mixing.MIX_SQL,
     "op8_suffix_decontamination": decontam.AUDIT_SQL,
+    "op11_adaptive_prefixes": adaptjoin.SIMILAR_SQL,
     "op12_fill_in_middle": fim.FIM_SQL,
     "op13_importance_resampling": importance.RESAMPLE_SQL,
 }
