@@ -31,8 +31,8 @@ from .common import Batches, materialize, small_batches, tidy
 
 BUCKETS = 10_000
 RUNS = 3  #: words of the longest run
-CHUNK = 8_192  #: words that a chunk owns
-LONG = 1 << 17  #: bytes from which a text's chunks are dealt over all tasks
+CHUNK = 4_096  #: words that a chunk owns
+LONG = 1 << 15  #: bytes from which a text's chunks are dealt over all tasks
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c not in range(0x7B, 0x80) else 32 for c in range(256))
 
 

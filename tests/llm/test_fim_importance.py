@@ -136,7 +136,7 @@ def corpus(n: int, seed: int = 9) -> list[tuple]:
     return [(i, " ".join(r.choice(words) for _ in range(r.choice((0, 1, 2, 3, 19, 20, 25, 400))))) for i in range(n)]
 
 
-@pytest.mark.parametrize("size,long", [(8192, 1 << 17), (7, 50), (1, 0), (3, 500)])
+@pytest.mark.parametrize("size,long", [(4096, 1 << 15), (7, 50), (1, 0), (3, 500)])
 def test_draw_equals_brute_force_with_any_chunks(spark, size, long):
     docs = [*corpus(300), (None, "no id but many words " * 10), (5, None), (6, "")]
     target = [t for _, t in corpus(20, 1)]
