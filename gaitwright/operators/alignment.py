@@ -11,11 +11,13 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BANDS, band_pass, clean_eeg, clean_emg, clean_imu, power_envelope, warp, welch
+from .kernels import BANDS, band_pass, clean_eeg, clean_emg, clean_imu, power_envelope, robust, warp, welch
+from .series import lag_table
 
 MODALITIES = ("eeg", "emg", "imu")
 
@@ -279,6 +281,44 @@ def prepare_trial(eeg, emg, imu, rates: dict[str, float], preprocess: bool = Tru
     return {n: np.stack([chains[n](ch, rates[n]) for ch in x.T], axis=1) if preprocess else x for n, x in raw.items()}
 
 
+SYNC_RATE, SYNC_REACH, SYNC_LEAST = 100.0, 15.0, 0.2  #: Hz, seconds, correlation; fixed values
+
+
+def common_slices(rates: dict[str, float], sizes: dict[str, int], lag: float) -> tuple[dict[str, slice], float, float, float]:
+    """The samples of each modality in the time that all share, where EEG leads the other two by ``lag``
+    seconds, with the starts of EEG and of the others and the seconds that are left."""
+    starts = {"eeg": max(lag, 0.0)} | dict.fromkeys(("emg", "imu"), max(-lag, 0.0))
+    left = max(0.0, min((sizes[m] / rates[m] if rates[m] > 0 else 0.0) - starts[m] for m in MODALITIES))
+    slices = {}
+    for m in MODALITIES:
+        first = min(max(0, round(starts[m] * rates[m])), sizes[m])
+        slices[m] = slice(first, min(first + round(left * rates[m]), sizes[m]) if left > 0 else first)
+    return slices, starts["eeg"], starts["emg"], left
+
+
+def synced_trial(eeg, emg, imu, rates: dict[str, float], motor: Sequence[int] = (), preprocess: bool = True) -> tuple[dict[str, np.ndarray], dict]:
+    """The modalities of a recording whose devices were started apart, on one time axis and scaled, and
+    what was found: lag (seconds that EMG began later), peak, fallback, starts and the common seconds.
+
+    EEG comes filtered; EMG and IMU run through their chains first. The lag is that of the envelopes; a weak peak
+    leaves it 0. A modality may end up empty if the recordings do not overlap.
+    """
+    raw = dict(zip(MODALITIES, (checked(n, x) for n, x in zip(MODALITIES, (eeg, emg, imu)))))
+    if preprocess:
+        for m, chain in (("emg", clean_emg), ("imu", clean_imu)):
+            raw[m] = np.stack([chain(ch, rates[m]) for ch in raw[m].T], axis=1)
+    brain, muscle = sync_envelopes(raw["eeg"], raw["emg"], rates["eeg"], rates["emg"], motor, SYNC_RATE)
+    table = lag_table(muscle, brain, 0, round(SYNC_REACH * SYNC_RATE))
+    best = int(np.argmax(table["total"]))
+    found, peak = table["lag"][best] / SYNC_RATE, float(table["r"][best])
+    weak = not peak >= SYNC_LEAST
+    slices, t_eeg, t_rest, left = common_slices(rates, {m: len(x) for m, x in raw.items()}, 0.0 if weak else found)
+    out = {m: x[slices[m]] for m, x in raw.items()}
+    if preprocess and len(out["eeg"]):
+        out["eeg"] = np.stack([robust(ch, 6) for ch in out["eeg"].T], axis=1)
+    return out, {"lag": float(found), "peak": peak, "sync_fallback": weak, "eeg_start": t_eeg, "other_start": t_rest, "seconds": left}
+
+
 # ---- features --------------------------------------------------------------------------------
 
 SIZE = 630  #: of a trial of 30, 4 and 24 channels
@@ -331,30 +371,116 @@ def trial_rows(long: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 _TOLD = ("alignment_score", "feature_correlation", "path_expansion", "dtw_avg_cost")
+_FLUSH = 64  #: trials of an outgoing batch
+_NESTED = pa.list_(pa.list_(pa.float64()))
 
 
-def aligned_trials(trials: DataFrame, by: Sequence[str], strategy: str = "knot", config: AlignConfig = RUNTIME, eeg_rate: float | None = None, size: int | None = SIZE) -> DataFrame:
-    """(by, eeg, emg, imu, vector, what alignment tells, fallback, warning) of trials. ``vector`` is
-    null without ``eeg_rate``. A trial that is no trial (a modality missing or too short) has null
-    signals and says why in ``warning``."""
-    keys = list(by)
+def _matrix(cell: pa.ListScalar) -> np.ndarray:
+    """[time, channels] of an array of samples; an error if it is null or uneven."""
+    samples = cell.values
+    if samples is None or not len(samples):
+        raise ValueError("a modality is missing")
+    flat = samples.flatten().to_numpy(zero_copy_only=False)
+    if samples.null_count or len(flat) % len(samples) or (samples.value_lengths().to_numpy() != len(flat) // len(samples)).any():
+        raise ValueError("samples differ in their channels")
+    return flat.reshape(len(samples), -1)
 
-    def one(row: dict) -> dict:
-        out = {k: row[k] for k in keys}
-        try:
-            signals, told = align_trial(*(np.stack(row[m]) for m in MODALITIES), strategy, config)
-        except (ValueError, TypeError) as x:
-            return out | {"warning": str(x)[:160]}
-        vector = trial_vector(signals, eeg_rate, size).tolist() if eeg_rate else None
-        return out | {m: x.tolist() for m, x in signals.items()} | {"vector": vector} | told
 
-    names = [*keys, *MODALITIES, "vector", *_TOLD, "fallback", "warning"]
+def _nested(matrices: Sequence[np.ndarray | None]) -> pa.ListArray:
+    """An array of arrays for each matrix, null for None."""
+    held = [m for m in matrices if m is not None]
+    flat = np.concatenate([np.asarray(m, float).ravel() for m in held]) if held else np.zeros(0)
+    inner = pa.ListArray.from_arrays(pa.array(np.cumsum(np.r_[0, *(np.full(len(m), m.shape[1]) for m in held)]).astype(np.int32)), pa.array(flat))
+    ends = np.cumsum([0] + [0 if m is None else len(m) for m in matrices])
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), inner, mask=pa.array([m is None for m in matrices])) if len(matrices) else pa.array([], _NESTED)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            rows = [one(r) for r in part.to_dict("records")]
-            yield pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names)
 
-    kinds = ", ".join(f"`{c}` {trials.schema[c].dataType.simpleString()}" for c in keys)
-    told = ", ".join(f"{c} double" for c in _TOLD)
-    return trials.mapInPandas(run, f"{kinds}, eeg array<array<double>>, emg array<array<double>>, imu array<array<double>>, vector array<double>, {told}, fallback string, warning string")
+def _out_columns(rows: Sequence[dict], names: Sequence[str]) -> list[pa.Array]:
+    made = []
+    for n in names:
+        cells = [r.get(n) for r in rows]
+        made.append(_nested(cells) if n in MODALITIES else pa.array(cells, pa.list_(pa.float64()) if n == "vector" else pa.string() if n in ("fallback", "warning") else pa.bool_() if n == "sync_fallback" else pa.float64()))
+    return made
+
+
+def _kind(name: str) -> str:
+    kinds = dict.fromkeys(MODALITIES, "array<array<double>>") | {"vector": "array<double>", "fallback": "string", "warning": "string", "sync_fallback": "boolean"}
+    return f"{name} {kinds.get(name, 'double')}"
+
+
+def aligned_trials(trials: DataFrame, by: Sequence[str], strategy: str = "knot", config: AlignConfig = RUNTIME, eeg_rate: float | None = None, size: int | None = SIZE, columns: Sequence[str] | None = None) -> DataFrame:
+    """(by, eeg, emg, imu, vector, what alignment tells, fallback, warning) of trials, or only the
+    ``columns`` of these that are asked for. ``vector`` is null without ``eeg_rate``. A trial that is no
+    trial (a modality missing or too short) has null signals and says why in ``warning``."""
+    keys = list(by)
+    names = [*MODALITIES, "vector", *_TOLD, "fallback", "warning"]
+    names = [n for n in names if columns is None or n in columns]
+
+    def one(cells: list[pa.ListScalar]) -> dict:
+        try:
+            signals, told = align_trial(*map(_matrix, cells), strategy, config)
+        except (ValueError, TypeError) as x:
+            return {"warning": str(x)[:160]}
+        vector = trial_vector(signals, eeg_rate, size) if eeg_rate and "vector" in names else None
+        return signals | {"vector": vector} | told
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in range(0, len(batch), _FLUSH):
+                part = batch.slice(b, _FLUSH)
+                rows = [one(list(cells)) for cells in zip(*(part.column(m) for m in MODALITIES))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *_out_columns(rows, names)], [*keys, *names])
+
+    kinds = ", ".join([*(f"`{c}` {trials.schema[c].dataType.simpleString()}" for c in keys), *map(_kind, names)])
+    return trials.select(*keys, *MODALITIES).mapInArrow(run, kinds)
+
+
+def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool = True, motor: Sequence[str] = (), preprocess: bool = True) -> DataFrame:
+    """(by, eeg, emg, imu, lag, peak, sync_fallback, eeg_start, other_start, seconds, warning): trial rows, ready for
+    :func:`aligned_trials`, of recordings ``long`` (by, modality, channel, idx, value) with ``rates`` (by,
+    eeg_rate, emg_rate, imu_rate).
+
+    With ``sync`` devices were started apart: EEG comes filtered, streams are put in time by their envelopes
+    (EEG's over the ``motor`` channels, all if none is there), cut to the time they share and scaled.
+    Without, they began together: they are cut to the shortest duration and each runs through its chain;
+    lag, peak and starts are null. Channels are in order of name. A sample that is missing is 0. A recording
+    that lacks a modality or its rates has null signals and a warning.
+    """
+    keys = list(by)
+    names = [*MODALITIES, "lag", "peak", "sync_fallback", "eeg_start", "other_start", "seconds", "warning"]
+
+    def signal(part: pa.Table) -> tuple[np.ndarray, list[str]]:
+        if not len(part):
+            raise ValueError("a modality is missing")
+        channels, at = np.unique(np.array(part.column("channel").to_pylist(), str), return_inverse=True)
+        times, row = np.unique(part.column("idx").to_numpy(), return_inverse=True)
+        x = np.full((len(times), len(channels)), np.nan)
+        x[row, at] = part.column("value").cast(pa.float64()).to_numpy()
+        return x, channels.tolist()
+
+    def one(part: pa.Table, told: pa.Table) -> dict:
+        try:
+            if not len(told):
+                raise ValueError("no rates")
+            own = {m: float(told.column(f"{m}_rate")[0].as_py() or 0) for m in MODALITIES}
+            if min(own.values()) <= 0:
+                raise ValueError("a rate is missing")
+            x = {m: signal(part.filter(pc.equal(part.column("modality"), m))) for m in MODALITIES}
+            if not sync:
+                out = prepare_trial(*(x[m][0] for m in MODALITIES), own, preprocess)
+                return out | {"seconds": min(len(out[m]) / own[m] for m in MODALITIES)}
+            picked = [i for i, c in enumerate(x["eeg"][1]) if c in motor]
+            out, found = synced_trial(*(x[m][0] for m in MODALITIES), own, picked, preprocess)
+            return out | found
+        except ValueError as e:
+            return {"warning": str(e)[:160]}
+
+    def run(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
+        row = one(part, told)
+        ids = [pa.array([k.as_py()], k.type) for k in key]
+        return pa.Table.from_arrays([*ids, *_out_columns([row], names)], [*keys, *names])
+
+    kinds = ", ".join([*(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys), *map(_kind, names)])
+    left = long.select(*keys, "modality", "channel", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
+    right = rates.select(*keys, *(f"{m}_rate" for m in MODALITIES))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, kinds)

@@ -1,7 +1,7 @@
 """Signal steps that go sample by sample: zero-phase filters, spectra and warping paths.
 
 Each runs on one channel, or all channels, of one trial at a time; a trial's length bounds what a
-task holds. Frames are (by, idx, value) unless a function says otherwise.
+task holds. Recordings of any length are filtered in ``recordings``. Frames are (by, idx, value) unless a function says otherwise.
 """
 
 from __future__ import annotations
@@ -34,6 +34,31 @@ def butterworth(order: int, cut: float, rate: float, kind: str) -> np.ndarray:
     return np.array(out)
 
 
+def band_butterworth(order: int, low: float, high: float, rate: float) -> np.ndarray:
+    """Sections of one digital band-pass: each pole of the low-pass prototype becomes two of the band.
+
+    Every section has its zeros at zero and at the Nyquist frequency and gain 1 at the band's centre.
+    """
+    edges = np.tan(np.pi * np.array([low, high]) / rate)
+    width, centre = edges[1] - edges[0], np.sqrt(edges[0] * edges[1])
+    middle = np.exp(-2j * np.arctan(centre))
+    pairs = []
+    for p in np.exp(1j * np.pi * (2 * np.arange(order) + 1 + order) / (2 * order)):
+        if p.imag < -1e-12:
+            continue  # its conjugate has been taken
+        half = p * width / 2
+        root = np.sqrt(half * half - centre * centre + 0j)
+        two = [half + root, half - root]
+        pairs += [two] if abs(p.imag) <= 1e-12 else [[s, s.conjugate()] for s in two]
+    out = []
+    for pair in pairs:
+        z = [(1 + s) / (1 - s) for s in pair]
+        a1, a2 = -(z[0] + z[1]).real, (z[0] * z[1]).real
+        gain = abs((1 + a1 * middle + a2 * middle**2) / (1 - middle**2))
+        out.append((gain, 0.0, -gain, a1, a2))
+    return np.array(out)
+
+
 def notch(freq: float, q: float, rate: float) -> np.ndarray:
     w = 2 * np.pi * freq / rate
     beta = np.tan(w / q / 2)
@@ -44,8 +69,16 @@ def notch(freq: float, q: float, rate: float) -> np.ndarray:
 BLOCK = 128  #: samples filtered by one matrix product
 
 
-def _section(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """One section along the first axis, for all columns at once and a block of samples at a time.
+def steady_state(c: np.ndarray) -> tuple[np.ndarray, float]:
+    """State of a section that a constant 1 has run through for ever, and its output then."""
+    b0, b1, b2, a1, a2 = map(float, c)
+    gain = (b0 + b1 + b2) / (1 + a1 + a2)
+    return np.array([(b2 - a2 * gain) + (b1 - a1 * gain), b2 - a2 * gain]), gain
+
+
+def run_section(x: np.ndarray, c: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One section along the first axis from a given state, for all columns at once and a block of samples
+    at a time: the output, and the state after it.
 
     Two numbers of state pass from block to block. Inside a block the output is a product with the
     impulse response plus what the state at its start gives.
@@ -61,21 +94,28 @@ def _section(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     lag = np.subtract.outer(np.arange(n), np.arange(n))
     forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     carried = np.array([powers[n - 1 - i] @ into for i in range(n)]).T
-    # Starts in the steady state of the first value.
-    gain = (b0 + b1 + b2) / (1 + a1 + a2)
-    state = np.multiply.outer([(b2 - a2 * gain) + (b1 - a1 * gain), b2 - a2 * gain], x[0])
     out = np.empty_like(x, float)
     for i in range(0, len(x), n):
         part = x[i : i + n]
         k = len(part)
         out[i : i + k] = np.tensordot(forced[:k, :k], part, 1) + np.tensordot(free[:k], state, 1)
         state = np.tensordot(powers[k], state, 1) + np.tensordot(carried[:, n - k :], part, 1)
-    return out
+    return out, state
+
+
+def _section(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """One section along the first axis; it starts in the steady state of the first value."""
+    return run_section(x, c, np.multiply.outer(steady_state(c)[0], x[0]))[0]
+
+
+def edge_size(sections: np.ndarray) -> int:
+    """Samples by which a signal is carried on at both ends."""
+    return 3 * (2 * len(sections) + 1)
 
 
 def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     """Forward and backward along the first axis through all sections, with odd reflection at the ends."""
-    n = min(len(x) - 1, 3 * (2 * len(sections) + 1))
+    n = min(len(x) - 1, edge_size(sections))
     if len(x) < 2:
         return x.astype(float)
     y = np.concatenate([2 * x[0] - x[n:0:-1], x, 2 * x[-1] - x[-2 : -n - 2 : -1]]).astype(float)
@@ -86,10 +126,17 @@ def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     return y[n : n + len(x)]
 
 
-def band_pass(x: np.ndarray, low: float | None, high: float | None, rate: float, order: int = 4) -> np.ndarray:
+def band_sections(low: float | None, high: float | None, rate: float, order: int = 4) -> np.ndarray:
+    """One band-pass, or a high- or low-pass where an edge is None; no section if the band is empty."""
     low, high = band_edges(low, high, rate)
-    parts = [butterworth(order, f, rate, k) for f, k in ((low, "high"), (high, "low")) if f is not None]
-    return zero_phase(x, np.vstack(parts)) if parts else x
+    if low is None or high is None:
+        return np.vstack([butterworth(order, f, rate, k) for f, k in ((low, "high"), (high, "low")) if f is not None] or [np.zeros((0, 5))])
+    return band_butterworth(order, low, high, rate) if low < high else np.zeros((0, 5))
+
+
+def band_pass(x: np.ndarray, low: float | None, high: float | None, rate: float, order: int = 4) -> np.ndarray:
+    sections = band_sections(low, high, rate, order)
+    return zero_phase(x, sections) if len(sections) else x
 
 
 def linear_rest(x: np.ndarray) -> np.ndarray:
@@ -114,7 +161,7 @@ def clean_emg(x: np.ndarray, rate: float, mains: float = 50.0) -> np.ndarray:
     y = np.nan_to_num(x, nan=0.0, posinf=0.0, neginf=0.0)
     if mains < rate / 2:
         y = zero_phase(y, notch(mains, 30, rate))
-    return robust(band_pass(np.abs(band_pass(y, 20, 450, rate)), None, 6, rate), 8)
+    return robust(band_pass(np.abs(band_pass(y, 20, min(450, 0.99 * rate / 2), rate)), None, 6, rate), 8)
 
 
 def clean_imu(x: np.ndarray, rate: float) -> np.ndarray:

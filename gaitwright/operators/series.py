@@ -162,20 +162,55 @@ def at_fraction(df: DataFrame, by: Sequence[str], idx: str, value: str, wanted:
     return on.withColumn(value, F.col("__gw_a") + (F.col(at) - F.col("__gw_lo")) * (F.col("__gw_b") - F.col("__gw_a"))).drop("__gw_lo", "__gw_hi", "__gw_a", "__gw_b")
 
 
+def _products(p: np.ndarray, q: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Sum of p at i times q at j over all i - j of ``at``, by one Fourier product."""
+    return np.fft.irfft(np.fft.rfft(p, size) * np.conj(np.fft.rfft(q, size)), size)[at % size]
+
+
+def lag_table(x: np.ndarray, y: np.ndarray, shift: int, reach: int) -> dict[str, np.ndarray]:
+    """For each lag up to ``reach`` over which ``x`` and ``y`` (nan: no sample) overlap: the sum of products, the
+    overlap, and the correlation over the overlap, nan under four samples or for a flat side.
+
+    ``x`` begins ``shift`` samples after ``y``. Sums over overlaps come from prefix sums; where samples
+    are missing, from Fourier products with the other side's mask.
+    """
+    size = 1 << int(len(x) + len(y)).bit_length()
+    lags = np.arange(max(-reach, shift - len(y) + 1), min(reach, shift + len(x) - 1) + 1)
+    at = lags - shift
+    there = [~np.isnan(v) for v in (x, y)]
+    a, b = np.nan_to_num(x), np.nan_to_num(y)
+    total = _products(a, b, at, size)
+    if there[0].all() and there[1].all():
+        low, high = np.maximum(at, 0), np.minimum(at + len(y), len(x))  # places in x that meet y
+        n = high - low
+        upto = lambda v: np.r_[0.0, np.cumsum(v)]
+        part = lambda v, move: upto(v)[high - move] - upto(v)[low - move]
+        sums = [part(a, 0), part(a * a, 0), part(b, at), part(b * b, at)]
+    else:
+        m, k = (t * 1.0 for t in there)
+        n = np.rint(_products(m, k, at, size)).astype(int)
+        sums = [_products(a, k, at, size), _products(a * a, k, at, size), _products(m, b, at, size), _products(m, b * b, at, size)]
+    ok = np.maximum(n, 1)
+    spread = [np.maximum(q - s * s / ok, 0) for s, q in (sums[:2], sums[2:])]
+    scale = np.sqrt(spread[0]) * np.sqrt(spread[1])
+    flat = (spread[0] <= 1e-12 * np.maximum(sums[1], 1)) | (spread[1] <= 1e-12 * np.maximum(sums[3], 1)) | (scale <= 1e-12)
+    r = (total - sums[0] * sums[2] / ok) / np.where(flat, 1.0, scale)
+    met = n > 0
+    return {"lag": lags[met], "total": total[met], "overlap": n[met], "r": np.where((n < 4) | flat, np.nan, np.clip(r, -1, 1))[met]}
+
+
+_LAGS = "array<struct<lag:int,score:double,overlap:long,total:double,r:double>>"
+
+
 def _lag_products(reach: int):
-    """Products over the overlap, for each lag, of two dense series that begin at given sample numbers."""
+    """:func:`lag_table` of pairs of dense series that begin at given sample numbers."""
 
     def run(a0: pd.Series, a: pd.Series, b0: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for i, x, j, y in zip(a0, a, b0, b):
-            x, y = np.asarray(x, float), np.asarray(y, float)
-            size = 1 << int(len(x) + len(y)).bit_length()
-            # Gaps are null; they are 0 in the products and do not count in the overlap.
-            both = [np.fft.irfft(np.fft.rfft(p, size) * np.conj(np.fft.rfft(q, size)), size) for p, q in ((np.nan_to_num(x), np.nan_to_num(y)), (~np.isnan(x) * 1.0, ~np.isnan(y) * 1.0))]
-            lags = np.arange(max(-reach, int(i - j) - len(y) + 1), min(reach, int(i - j) + len(x) - 1) + 1)
-            at = (lags - int(i - j)) % size
-            n = np.rint(both[1][at]).astype(int)
-            out.append([{"lag": int(k), "score": float(s / m), "overlap": int(m)} for k, s, m in zip(lags, both[0][at], n) if m > 0])
+            t = lag_table(np.asarray(x, float), np.asarray(y, float), int(i - j), reach)
+            columns = zip(t["lag"].tolist(), t["total"].tolist(), t["overlap"].tolist(), t["r"].tolist())
+            out.append([{"lag": k, "score": s / m, "overlap": m, "total": s, "r": r} for k, s, m, r in columns])
         return pd.Series(out)
 
     return run
@@ -188,19 +223,24 @@ def _dense(df: DataFrame, by: Sequence[str], idx: str, value: str, start: str, n
 
 
 def lag_scores(a: DataFrame, b: DataFrame, by: Sequence[str], idx: str, value: str, reach: int) -> DataFrame:
-    """(by, lag, score, overlap): mean product of a at i and b at i - lag over the overlap, for lags up
-    to ``reach``. Both series of a key meet as arrays and all lags come from one Fourier product, so
-    the work does not grow with the reach; a series' length bounds what a task holds."""
+    """(by, lag, score, overlap, total, r) of a at i against b at i - lag, for lags up to ``reach``: sum of
+    products (total) and their mean (score) over the overlap, and the centred correlation there (r; nan under four
+    samples or for a flat side). Both series of a key meet as arrays and all lags come from one Fourier
+    product, so the work does not grow with the reach; a series' length bounds what a task holds."""
     pair = _dense(a, by, idx, value, "__gw_i", "__gw_a").join(_dense(b, by, idx, value, "__gw_j", "__gw_b"), list(by))
-    score = F.pandas_udf(_lag_products(reach), "array<struct<lag:int,score:double,overlap:long>>")
+    score = F.pandas_udf(_lag_products(reach), _LAGS)
     return pair.select(*by, F.inline(score("__gw_i", "__gw_a", "__gw_j", "__gw_b")))
 
 
 def best_lag(scores: DataFrame, by: Sequence[str], least: float = 0.2) -> DataFrame:
-    """Lag of the best score, the smallest of equals; 0 if the score is under ``least`` or NaN."""
-    best = scores.groupBy(*by).agg(F.max_by(F.struct("lag", "score"), F.struct("score", -F.col("lag"))).alias("b"))
-    weak = F.isnan("b.score") | (F.col("b.score") < least)
-    return best.select(*by, F.when(weak, 0).otherwise(F.col("b.lag")).alias("lag"), F.col("b.score").alias("peak"))
+    """(by, lag, peak, fallback) of each group of ``scores``: the lag of the greatest sum of products, the
+    smallest of equals, and the correlation there. A peak that is nan or under ``least`` is weak: its lag is 0.
+
+    The sum and not the mean chooses: a short overlap has a large mean by chance.
+    """
+    best = scores.groupBy(*by).agg(F.max_by(F.struct("lag", "r"), F.struct("total", -F.col("lag"))).alias("b"))
+    weak = F.isnan("b.r") | (F.col("b.r") < least)
+    return best.select(*by, F.when(weak, 0).otherwise(F.col("b.lag")).alias("lag"), F.col("b.r").alias("peak"), weak.alias("fallback"))
 
 
 def common_window(df: DataFrame, by: Sequence[str], stream: str, t: str, lags: DataFrame) -> DataFrame:

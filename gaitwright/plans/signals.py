@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gaitwright.operators import alignment as L
 from gaitwright.operators import kernels as K
+from gaitwright.operators import recordings as R
 from gaitwright.operators import series as S
 from gaitwright.operators import splits as G
 from gaitwright.streaming import windows as ST
@@ -116,24 +117,50 @@ def pooled_vectors(spark, sf_dir):
 # ---- kernels, splits and windows -------------------------------------------------------------
 
 
+LAGGED_SQL = SERIES_SQL + ", x AS (SELECT user_id, idx, value - avg(value) OVER (PARTITION BY user_id) AS v FROM s), a AS (SELECT user_id, idx + user_id % 11 AS idx, v + (idx * 7919 % 13 - 6) / 2 AS v FROM x)"
+
+
+@query("WITH " + LAGGED_SQL + """, p AS (SELECT a.user_id, (a.idx - x.idx)::INT AS lag, sum(a.v * x.v) AS total, corr(a.v, x.v) AS r, count(*) AS n FROM a JOIN x ON a.user_id = x.user_id AND x.idx BETWEEN a.idx - 40 AND a.idx + 40 GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN n < 4 THEN NULL ELSE r END AS peak, row_number() OVER (PARTITION BY user_id ORDER BY round(total, 6) DESC, lag) AS k FROM p)
+SELECT user_id, CASE WHEN peak >= 0.2 THEN lag ELSE 0 END AS lag, round(peak, 6) AS peak, coalesce(peak < 0.2, TRUE) AS fallback FROM b WHERE k = 1""")
+def best_lags(spark, sf_dir):
+    """How late a user's series runs behind itself, moved and disturbed."""
+    s = series(spark, sf_dir)
+    mean = s.groupBy("user_id").agg(F.avg("value").alias("m"))
+    v = s.join(mean, "user_id").select("user_id", "idx", (F.col("value") - F.col("m")).alias("v"))
+    a = v.select("user_id", (F.col("idx") + F.col("user_id") % 11).alias("idx"), (F.col("v") + (F.col("idx") * 7919 % 13 - 6) / 2).alias("v"))
+    return rounded(S.best_lag(S.lag_scores(a, v, BY, "idx", "v", 40), BY), "peak", digits=6)
+
+
 @query()
 def clean_eeg(spark, sf_dir):
-    return K.filtered(series(spark, sf_dir), BY, "value", lambda x: K.clean_eeg(x, 200.0))
+    return R.clean_eeg(series(spark, sf_dir), BY, "value", 200.0)
 
 
 @query()
 def clean_emg(spark, sf_dir):
-    return K.filtered(series(spark, sf_dir), BY, "value", lambda x: K.clean_emg(x, 1259.4))
+    return R.clean_emg(series(spark, sf_dir), BY, "value", 1259.4)
 
 
 @query()
 def clean_imu(spark, sf_dir):
-    return K.filtered(series(spark, sf_dir), BY, "value", lambda x: K.clean_imu(x, 148.1))
+    return R.clean_imu(series(spark, sf_dir), BY, "value", 148.1)
 
 
 @query()
 def power_envelopes(spark, sf_dir):
-    return K.filtered(series(spark, sf_dir), BY, "value", lambda x: K.power_envelope(x, 200.0))
+    return R.power_envelope(series(spark, sf_dir), BY, "value", 200.0)
+
+
+@query()
+def loaded_trials(spark, sf_dir):
+    """Every user's events as the recording of three devices started apart: on one time axis, cut and scaled."""
+    s = series(spark, sf_dir)
+    kinds = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(c).alias("channel"), F.lit(f).alias("factor")) for m, c, f in (("eeg", "c1", 1), ("eeg", "c2", 2), ("emg", "m1", 3), ("imu", "x", 5))))
+    long = s.select(*BY, "idx", "value", F.explode(kinds).alias("k")).select(*BY, "idx", "k.modality", "k.channel", (F.col("value") * F.col("k.factor")).alias("value"))
+    rates = s.select(*BY).distinct().select(*BY, F.lit(10.0).alias("eeg_rate"), F.lit(12.0).alias("emg_rate"), F.lit(8.0).alias("imu_rate"))
+    t = L.load_trials(long, rates, BY)
+    return t.select(*BY, *(F.size(m).alias(f"{m}_samples") for m in L.MODALITIES), "lag", "peak", "sync_fallback", "eeg_start", "other_start", "seconds", "warning")
 
 
 BANDS = (("delta", 0.5, 4), ("theta", 4, 8), ("alpha", 8, 13), ("beta", 13, 30), ("gamma", 30, 45))
@@ -173,7 +200,7 @@ def weighted_alignment(spark, sf_dir):
 
 @query()
 def trial_vectors(spark, sf_dir):
-    v = L.aligned_trials(trials(spark, sf_dir), BY, "resample", eeg_rate=500.0)
+    v = L.aligned_trials(trials(spark, sf_dir), BY, "resample", eeg_rate=500.0, columns=["vector"])
     return v.select(*BY, F.size("vector").alias("size"), F.aggregate("vector", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 

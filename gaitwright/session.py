@@ -6,7 +6,7 @@ import shutil
 import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
 
@@ -19,3 +19,17 @@ def ship_package(spark: SparkSession) -> None:
         archive = shutil.make_archive(f"{tempfile.mkdtemp()}/gaitwright", "zip", root.parent, root.name)
         spark.sparkContext.addPyFile(archive)
         _SENT.add(app)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names: its lineage ends there.
+
+    Where that is unset, a local session (tests) gets a temporary folder; on a cluster it is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="gaitwright-"))
+    return df.checkpoint()

@@ -194,3 +194,48 @@ def test_order_statistics_of_large_groups(spark):
     assert [q["at"] for q in got] == list(range(1, len(rows) + 1)) and [q.v for q in got] == sorted(v for _, v in rows)
     third = order.nth_value(df, [], "v", F.lit(3), "t").first()
     assert third.t == sorted(v for _, v in rows)[2] and third.n == len(rows)
+
+
+def modulated(r, seconds: float, shift: float) -> dict[str, np.ndarray]:
+    """Streams of devices started apart: the muscles' level follows the brain's, ``shift`` seconds off."""
+    level = lambda t: 1 + np.abs(np.sin(0.9 * t) + np.sin(2.1 * t + 1) + np.sin(0.37 * t))
+    t = {m: np.arange(int(seconds * f)) / f for m, f in (("eeg", 200.0), ("emg", 500.0), ("imu", 100.0))}
+    eeg = np.sin(2 * np.pi * 15 * t["eeg"])[:, None] * level(t["eeg"])[:, None] + r.normal(size=(len(t["eeg"]), 3)) / 10
+    emg = r.normal(size=(len(t["emg"]), 2)) * level(t["emg"] - shift)[:, None]
+    return {"eeg": eeg, "emg": emg, "imu": np.cumsum(r.normal(size=(len(t["imu"]), 2)), axis=0)}
+
+
+def test_recordings_are_put_in_time_cropped_and_scaled(spark):
+    r = np.random.default_rng(31)
+    rates = {"eeg": 200.0, "emg": 500.0, "imu": 100.0}
+    recordings = {1: modulated(r, 30, 2.0), 2: modulated(r, 24, -1.5), 3: {m: r.normal(size=(400, 2)) for m in L.MODALITIES}}
+    rows = [(s, m, f"{m}{c}", i, float(v)) for s, x in recordings.items() for m, a in x.items() for (i, c), v in np.ndenumerate(a)]
+    rows += [(4, "eeg", "eeg0", i, 1.0) for i in range(50)] + [(5, m, "a", i, float(i)) for m in L.MODALITIES for i in range(50)]
+    long = spark.createDataFrame(rows, "s int, modality string, channel string, idx int, value double").repartition(6)
+    known = spark.createDataFrame([(s, *rates.values()) for s in (1, 2, 3, 4)], "s int, eeg_rate double, emg_rate double, imu_rate double")
+    got = {q.s: q for q in L.load_trials(long, known, ["s"], motor=["eeg0", "eeg2"]).collect()}
+    assert got[4].warning == "a modality is missing" and got[5].warning == "no rates" and got[4].eeg is None
+    assert got[1].lag == pytest.approx(2.0, abs=0.5) and got[2].lag == pytest.approx(-1.5, abs=0.5)
+    for s in (1, 2, 3):
+        x, q = recordings[s], got[s]
+        emg, imu = (np.stack([f(c, rates[m]) for c in x[m].T], axis=1) for m, f in (("emg", K.clean_emg), ("imu", K.clean_imu)))
+        brain, muscle = L.sync_envelopes(x["eeg"], emg, 200.0, 500.0, [0, 2] if s < 3 else [0])
+        best = None
+        for lag in range(-1500, 1501):  # every lag for itself
+            i = np.arange(max(0, lag), min(len(muscle), len(brain) + lag))
+            if len(i) and (best is None or muscle[i] @ brain[i - lag] > best[0] + 1e-9):
+                best = muscle[i] @ brain[i - lag], lag, np.corrcoef(muscle[i], brain[i - lag])[0, 1] if len(i) >= 4 else np.nan
+        lag = best[1] / 100 if best[2] >= 0.2 else 0.0
+        assert (q.lag, q.peak, q.sync_fallback) == (pytest.approx(best[1] / 100), pytest.approx(best[2], abs=1e-8, nan_ok=True), not best[2] >= 0.2)
+        begin = {"eeg": max(0, lag), "emg": max(0, -lag), "imu": max(0, -lag)}
+        left = min(len(x[m]) / rates[m] - begin[m] for m in x)
+        assert (q.seconds, q.eeg_start, q.other_start) == pytest.approx((left, begin["eeg"], begin["emg"]))
+        cut = {m: a[round(begin[m] * rates[m]) :][: round(left * rates[m])] for m, a in (("eeg", x["eeg"]), ("emg", emg), ("imu", imu))}
+        scale = cut["eeg"] - np.median(cut["eeg"], axis=0)
+        want = np.clip(scale / (1.4826 * np.median(np.abs(scale), axis=0)), -6, 6)
+        assert np.allclose(q.eeg, want) and np.allclose(q.emg, cut["emg"]) and np.allclose(q.imu, cut["imu"])
+    aligned = L.aligned_trials(L.load_trials(long.filter("s < 4"), known, ["s"]), ["s"], "knot", columns=["emg", "alignment_score"]).collect()
+    assert {len(q.emg[0]) for q in aligned} == {256} and aligned[0].asDict().keys() == {"s", "emg", "alignment_score"}
+    plain = L.load_trials(long.filter("s = 3"), known, ["s"], sync=False).first()
+    want = L.prepare_trial(*recordings[3].values(), rates)
+    assert all(np.allclose(plain[m], want[m]) for m in L.MODALITIES) and plain.lag is None
