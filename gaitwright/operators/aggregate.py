@@ -1,18 +1,16 @@
-"""From trials and seeds to patients, variants and leaderboards; bootstrap intervals."""
+"""From trials and seeds to patients, variants and leaderboards."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import order
 from .contracts import clip, finite
 
-M = 2147483647
-
 
 def subject_regression(bags: DataFrame, by: Sequence[str], low: float, high: float, clip_first: bool = True) -> DataFrame:
     """Exact median of the bags of a subject; bags are clipped before it, or the median after it.
@@ -159,32 +157,3 @@ def class_weights(df: DataFrame, label: str, n_classes: int) -> DataFrame:
     on = grid.join(counts, "cls", "left").crossJoin(F.broadcast(total))
     n = F.coalesce("n", F.lit(0))
     return on.select("cls", n.alias("n"), F.when(n > 0, F.col("total") / (n_classes * n)).otherwise(0.0).alias("weight"), F.when(n > 0, 1 / F.sqrt(n)).otherwise(0.0).alias("sampling_weight"))
-
-
-# ---- bootstrap -------------------------------------------------------------------------------
-
-
-def draw_index(draw: Column, slot: Column, n: Column) -> Column:
-    """A row number below ``n``: mixed integer arithmetic that gives the same on every engine."""
-    z1 = ((draw * n + slot) * 48271 + 11) % M
-    z2 = ((z1 * z1) % M * 3 + z1 * 69621 + 7) % M
-    return ((z2 * z2) % M + z2 * 16807 + 5) % M % n
-
-
-def bootstrap_draws(df: DataFrame, order: Sequence[str], draws: int, by: Sequence[str] = ()) -> DataFrame:
-    """(by, draw, rows of ``df``): each group drawn with replacement as often as it has rows.
-
-    Draws travel as counts: (draw, row) pairs are aggregated before they meet the rows, so repeats cost
-    nothing. Meant for frames of one row per patient; draws times rows are spread over the cluster.
-    """
-    numbered = df.withColumn("row", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
-    sizes = df.groupBy(*by).agg(F.count("*").alias("n"))
-    grid = sizes.crossJoin(df.sparkSession.range(draws).withColumnRenamed("id", "draw")).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    picked = grid.withColumn("row", draw_index(F.col("draw"), F.col("slot"), F.col("n")).cast("int")).groupBy(*by, "draw", "row").agg(F.count("*").alias("times"))
-    return picked.join(numbered, [*by, "row"])
-
-
-def bootstrap_interval(per_draw: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """2.5 and 97.5 percentiles over draws; draws without a value are left out."""
-    ok = per_draw.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    return ok.groupBy(*by).agg(F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"), F.count("*").alias("draws"))

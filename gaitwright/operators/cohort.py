@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .aggregate import bootstrap_draws, bootstrap_interval, draw_index
+from . import order
+from .aggregate import subject_classes, subject_regression
+from .bootstrap import HELD, METRICS, bootstrap_interval, draw_index, draw_metrics, draw_statistics
 from .contracts import repeated_keys, require_columns, require_empty
+from .metrics import class_metrics, confusion, regression_metrics
 
 # ---- joins with checks -----------------------------------------------------------------------
 
@@ -52,7 +55,7 @@ def with_auxiliary(split: DataFrame, auxiliary: DataFrame, subject: str) -> Data
     """(fold, role, subject): auxiliary subjects join the training side of every fold; one that a fold
     holds on another side is an error."""
     folds = split.select("fold").distinct()
-    added = folds.crossJoin(F.broadcast(auxiliary.select(subject).distinct())).select("fold", F.lit("train").alias("role"), subject)
+    added = folds.crossJoin(auxiliary.select(subject).distinct()).select("fold", F.lit("train").alias("role"), subject)
     require_empty(split.filter(F.col("role") != "train").join(auxiliary, subject, "left_semi"), "auxiliary subjects held out")
     return split.select("fold", "role", subject).union(added).distinct()
 
@@ -94,13 +97,8 @@ def as_two_kinds(long: DataFrame, best: DataFrame, task: str = "task") -> DataFr
 def label_distribution(rows: DataFrame, by: Sequence[str], classes: Sequence[str], numbers: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """(by, label, value, n) of class labels, and (by, label, n, sum, mean, min, max) of numeric labels
     rounded to four digits; null labels do not count."""
-    sets = " , ".join(f"({', '.join([*by, c])})" for c in classes)
-    view = "__gw_rows"
-    rows.createOrReplaceTempView(view)
-    named = " ".join(f"when grouping({c}) = 0 then '{c}'" for c in classes)
-    value = f"coalesce({', '.join(f'cast({c} as string)' for c in classes)})"
-    groups = ", ".join(by) + ", " if by else ""
-    counts = rows.sparkSession.sql(f"select {groups}case {named} end as label, {value} as value, count(*) as n from {view} group by grouping sets ({sets})").filter("value is not null")
+    named = rows.select(*by, *(F.col(c).cast("string").alias(c) for c in classes)).unpivot(list(by), list(classes), "label", "value")
+    counts = named.filter("value is not null").groupBy(*by, "label", "value").agg(F.count("*").alias("n"))
     long = rows.select(*by, *(F.col(c).cast("double").alias(c) for c in numbers)).unpivot(list(by), list(numbers), "label", "v").filter("v is not null")
     four = lambda c: F.round(c, 4)
     stats = long.groupBy(*by, "label").agg(F.count("*").alias("n"), four(F.sum("v")).alias("sum"), four(F.avg("v")).alias("mean"), four(F.min("v")).alias("min"), four(F.max("v")).alias("max"))
@@ -133,10 +131,46 @@ def objective(errors: Mapping[str, tuple[Column, float]], f1: Mapping[str, Colum
     return sum(parts[1:], parts[0]) / len(parts)
 
 
+def ordinal_loss(df: DataFrame, by: Sequence[str], losses: str) -> DataFrame:
+    """(by, loss): the mean over a chain's logits of the mean over the rows that each has; a logit without rows does not
+    count, and 0 stands where none has any."""
+    each = df.select(*by, F.posexplode(losses).alias("k", "v")).groupBy(*by, "k").agg(F.avg("v").alias("m"))
+    return each.groupBy(*by).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("loss"))
+
+
 def error_order(df: DataFrame, by: Sequence[str], subject: str) -> DataFrame:
-    """``df`` with ``place``: patients by absolute error, the least first, equal ones by id."""
+    """``df`` with ``place``: patients by absolute error, the least first, equal ones by id. Ranges of errors
+    are ordered alone."""
     e = F.abs(F.col("y_pred") - F.col("y_true"))
-    return df.withColumn("abs_error", e).withColumn("place", F.row_number().over(W.partitionBy(*by).orderBy("abs_error", subject)))
+    return order.numbered(df.withColumn("abs_error", e), "abs_error", subject, name="place", by=by)
+
+
+def evaluated_tasks(scores: Mapping[str, tuple[DataFrame, float, float, float]], classes: Mapping[str, tuple[DataFrame, Sequence[str]]], by: Sequence[str] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All tasks of one model in one evaluation: (task, by, metric, value), and each task's subjects.
+
+    ``scores``: bags (by, subject_id, y_true, y_pred) of a task with its range and tolerance; bags are held in the range
+    and a subject has their median. ``classes``: bags (by, subject_id, y_true, prob_c0...) with the labels of
+    the classes; a subject has the first class of the largest mean probability, and its truth and
+    prediction come back as labels.
+    """
+    keys, long, subjects = [*by, "subject_id"], [], {}
+
+    def told(task: str, m: DataFrame, names: Sequence[str]) -> None:
+        long.append(m.unpivot(list(by), list(names), "metric", "value").select(F.lit(task).alias("task"), *by, "metric", F.col("value").cast("double").alias("value")))
+
+    for task, (bags, low, high, tolerance) in scores.items():
+        one = subject_regression(bags, keys, low, high)
+        told(task, regression_metrics(one, by, tolerance), ("mae", "rmse", "r2", "pearson", "spearman", "tolerance_acc"))
+        subjects[task] = one.withColumns({"error": F.col("y_pred") - F.col("y_true"), "abs_error": F.abs(F.col("y_pred") - F.col("y_true"))})
+    for task, (bags, labels) in classes.items():
+        one = subject_classes(bags, keys, [f"prob_c{k}" for k in range(len(labels))])
+        told(task, class_metrics(confusion(one, by, len(labels)), by), ("accuracy", "macro_f1", "kappa", "weighted_kappa"))
+        named = F.array(*map(F.lit, labels))
+        subjects[task] = one.withColumns({c: F.element_at(named, F.col(c).cast("int") + 1) for c in ("y_true", "y_pred")})
+    out = long[0]
+    for part in long[1:]:
+        out = out.unionByName(part)
+    return out, subjects
 
 
 def seed_weights(df: DataFrame, by: Sequence[str], seeds: Sequence[str], tolerance: float, steps: int = 20) -> DataFrame:
@@ -175,56 +209,38 @@ def scaled_prediction(y: Column, how: str, low: float, high: float) -> Column:
 DRAWS, CASE_DRAWS = 20_000, 2000
 
 
-def endpoint_intervals(df: DataFrame, order: Sequence[str], tolerance: float, by: Sequence[str] = (), draws: int = DRAWS) -> DataFrame:
+def endpoint_intervals(df: DataFrame, order: Sequence[str], tolerance: float, by: Sequence[str] = (), draws: int = DRAWS, held: int = HELD) -> DataFrame:
     """(by, metric, low, high): bootstrap intervals of MAE, RMSE, R², Pearson, Spearman and the share within
     the tolerance. A draw without a value (a flat side) does not count."""
-    d = bootstrap_draws(df, order, draws, by)
-    per = _draw_metrics(_draw_ranks(d, [*by, "draw"]), [*by, "draw"], "y_pred", tolerance)
-    long = per.unpivot([*by, "draw"], list(_METRICS), "metric", "value")
+    per = draw_statistics(df, order, draws, by, "y_true", ["y_pred"], tolerance, held=held)
+    long = per.unpivot([*by, "draw"], list(METRICS), "metric", "value")
     return bootstrap_interval(long, [*by, "metric"], "value").select(*by, "metric", "low", "high")
 
 
-_METRICS = ("mae", "rmse", "r2", "pearson", "spearman", "tolerance")
-
-
-def _draw_ranks(d: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Average ranks in a draw in which a row counts ``times``."""
-    for c in ("y_true", "y_pred"):
-        upto = F.sum("times").over(W.partitionBy(*by).orderBy(c))
-        own = F.sum("times").over(W.partitionBy(*by, c))
-        d = d.withColumn(f"rank_{c}", upto - (own - 1) / 2)
-    return d
+_DELTAS = ("mae", "r2", "tolerance")
 
 
-def _draw_metrics(d: DataFrame, by: Sequence[str], pred: str, tolerance: float) -> DataFrame:
-    t, e = F.col("times"), F.col(pred) - F.col("y_true")
-    n = F.sum("times")
-    mean = lambda x: F.sum(t * x) / n
-    cov = lambda a, b: mean(a * b) - mean(a) * mean(b)
-    r = lambda a, b: F.when((cov(a, a) > 1e-9) & (cov(b, b) > 1e-9), cov(a, b) / F.sqrt(cov(a, a) * cov(b, b)))
-    y, p = F.col("y_true"), F.col(pred)
-    out = {"mae": mean(F.abs(e)), "rmse": F.sqrt(mean(e * e)), "r2": F.when(cov(y, y) > 1e-9, 1 - mean(e * e) / cov(y, y)), "pearson": r(y, p), "tolerance": mean((F.abs(e) <= tolerance).cast("double"))}
-    if f"rank_{pred}" in d.columns:
-        out["spearman"] = r(F.col("rank_y_true"), F.col(f"rank_{pred}"))
-    return d.groupBy(*by).agg(*(c.alias(k) for k, c in out.items()))
+def _deltas(per: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, metric, value): metrics of ``cand`` less those of ``base``."""
+    of = lambda m, c: F.max(F.when(F.col("pred") == c, F.col(m)))
+    wide = per.groupBy(*by).agg(*((of(m, "cand") - of(m, "base")).alias(f"delta_{m}") for m in _DELTAS))
+    return wide.unpivot(list(by), [f"delta_{m}" for m in _DELTAS], "metric", "value")
 
 
-def paired_intervals(base: DataFrame, candidate: DataFrame, key: Sequence[str], tolerance: float, draws: int = DRAWS) -> DataFrame:
-    """(metric, estimate, low, high, n): MAE, R² and share within the tolerance of a candidate less those of
+def paired_intervals(base: DataFrame, candidate: DataFrame, key: Sequence[str], tolerance: float, by: Sequence[str] = (), draws: int = DRAWS, held: int = HELD) -> DataFrame:
+    """(by, metric, estimate, low, high, n): MAE, R² and share within the tolerance of a candidate less those of
     the base, on the same drawn patients. Both sides have the same patients with the same truth."""
-    pair = one_to_one(base.select(*key, "y_true", F.col("y_pred").alias("base")), candidate.select(*key, F.col("y_true").alias("__gw_t"), F.col("y_pred").alias("cand")), key)
+    ids = [*by, *key]
+    pair = one_to_one(base.select(*ids, "y_true", F.col("y_pred").alias("base")), candidate.select(*ids, F.col("y_true").alias("__gw_t"), F.col("y_pred").alias("cand")), ids)
     require_empty(pair.filter("y_true != __gw_t"), "patients whose truth differs")
-    pair = pair.drop("__gw_t")
-
-    def deltas(d: DataFrame, by: Sequence[str]) -> DataFrame:
-        a, b = (_draw_metrics(d, by, c, tolerance).select(*by, *(F.col(m).alias(f"{m}_{c}") for m in ("mae", "r2", "tolerance"))) for c in ("cand", "base"))
-        both = a.join(b, list(by))
-        wide = both.select(*by, *((F.col(f"{m}_cand") - F.col(f"{m}_base")).alias(f"delta_{m}") for m in ("mae", "r2", "tolerance")))
-        return wide.unpivot(list(by), ["delta_mae", "delta_r2", "delta_tolerance"], "metric", "value")
-
-    point = deltas(pair.withColumns({"times": F.lit(1), "all": F.lit(0)}), ["all"]).select("metric", F.col("value").alias("estimate"))
-    spread = bootstrap_interval(deltas(bootstrap_draws(pair, key, draws), ["draw"]), ["metric"], "value").drop("draws")
-    return point.join(spread, "metric").crossJoin(F.broadcast(pair.agg(F.count("*").alias("n"))))
+    once = pair.drop("__gw_t").withColumn("times", F.lit(1))
+    whole = [draw_metrics(once, by, "y_true", c, tolerance).withColumn("pred", F.lit(c)) for c in ("base", "cand")]
+    point = _deltas(whole[0].unionByName(whole[1]), by).select(*by, "metric", F.col("value").alias("estimate"))
+    per = draw_statistics(once, key, draws, by, "y_true", ["base", "cand"], tolerance, ranks=False, held=held)
+    spread = bootstrap_interval(_deltas(per, [*by, "draw"]), [*by, "metric"], "value").drop("draws")
+    sizes = once.groupBy(*by).agg(F.count("*").alias("n"))
+    on = point.join(spread, [*by, "metric"])
+    return on.join(sizes, list(by)) if by else on.crossJoin(F.broadcast(sizes))
 
 
 def case_intervals(scores: DataFrame, by: Sequence[str], case: str, value: str, draws: int = CASE_DRAWS) -> DataFrame:

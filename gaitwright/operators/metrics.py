@@ -59,12 +59,17 @@ def regression_metrics(df: DataFrame, by: Sequence[str], tolerance: float, bin_s
 
 
 def error_summary(df: DataFrame, by: Sequence[str], tolerance: float) -> DataFrame:
-    """Signed and absolute error summaries with the sample SD, and hits of all."""
+    """Signed and absolute error summaries with the sample SD, and hits of all. Medians come from ranges of values."""
     e = F.col("y_pred") - F.col("y_true")
-    return df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.avg(e).alias("mean_error"), F.median(e).alias("median_error"), F.median(F.abs(e)).alias("median_abs_error"),
-        F.stddev_samp(e).alias("sd_error"), F.sum((F.abs(e) <= tolerance).cast("long")).alias("hits"),
+    with_error = df.withColumns({"__gw_err": e, "__gw_abs": F.abs(e)})
+    out = with_error.groupBy(*by).agg(
+        F.count("*").alias("n"), F.avg("__gw_abs").alias("mae"), F.avg("__gw_err").alias("mean_error"), F.stddev_samp("__gw_err").alias("sd_error"),
+        F.sum((F.col("__gw_abs") <= tolerance).cast("long")).alias("hits"),
     )
+    for value, name in (("__gw_err", "median_error"), ("__gw_abs", "median_abs_error")):
+        m = order.medians(with_error, by, value, name)
+        out = out.join(m, list(by), "left") if by else out.crossJoin(F.broadcast(m))
+    return out.select(*by, "n", "mae", "mean_error", "median_error", "median_abs_error", "sd_error", "hits")
 
 
 def over_folds(per_fold: DataFrame, metrics: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -127,9 +132,9 @@ def calibration(df: DataFrame, by: Sequence[str], bins: int = 5) -> DataFrame:
     There are min(bins, max(2, n // 3)) bins; edges are exact percentiles, equal edges collapse, bins
     are closed on the right. The edges of a group are one short row that is joined to it.
     """
-    q = F.least(F.lit(bins), F.greatest(F.lit(2), F.floor(F.count("*") / 3)))
-    options = [F.when(q == k, F.percentile("y_pred", F.array(*(F.lit(i / k) for i in range(k + 1))))) for k in range(2, bins + 1)]
-    edges = df.groupBy(*by).agg(F.array_distinct(F.coalesce(*options)).alias("edges"))
+    q = F.least(F.lit(bins), F.greatest(F.lit(2), F.floor(F.col("n") / 3)))
+    edges = order.percentiles(df, by, "y_pred", F.transform(F.sequence(F.lit(0).cast("long"), q.cast("long")), lambda i: i / q), "edges")
+    edges = edges.withColumn("edges", F.array_distinct("edges"))
     on = df.join(edges, list(by)) if by else df.crossJoin(edges)
     at = F.greatest(F.lit(0), F.size(F.filter("edges", lambda x: x < F.col("y_pred"))) - 1)
     return on.withColumn("bin", at).groupBy(*by, "bin").agg(F.count("*").alias("n"), F.avg("y_true").alias("mean_true"), F.avg("y_pred").alias("mean_pred"), F.avg(F.abs(F.col("y_true") - F.col("y_pred"))).alias("mae"))

@@ -7,8 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from . import order
+from .contracts import require_empty
 
 
 def fold_sizes(n: int, folds: int) -> list[int]:
@@ -111,16 +113,20 @@ def hashed_split(df: DataFrame, key: str, folds: int, validation: float, seed: i
     dealt = _place(df.select(key).distinct(), [], _hash_order(F.lit(str(seed)), F.col(key).cast("string")), key, "place")
     rounds = dealt.withColumn("fold", (F.col("place") % folds).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).drop("place")
     test = rounds.filter("fold = round").select("round", key, F.lit("test").alias("role"))
-    rest = inner_split(rounds.filter("fold != round").select("round", key), ["round"], key, validation, seed, least=1)
+    rest = inner_split(rounds.filter("fold != round").select("round", key), ["round"], key, validation, seed, least=1, rest=0)
     return test.unionByName(rest).select("round", key, "role")
 
 
-def inner_split(df: DataFrame, by: Sequence[str], key: str, share: float, seed: int, least: int = 2) -> DataFrame:
+def inner_split(df: DataFrame, by: Sequence[str], key: str, share: float, seed: int, least: int = 2, rest: int = 2) -> DataFrame:
     """(by, key, role): max(``least``, round(share of the group)) keys, first in a hash order, are
-    validation and the others train."""
+    validation and the others train. A group that keeps fewer than ``rest`` for training is an error,
+    found by a job at once (0: none is run)."""
     hashed = _hash_order(F.lit("v"), F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col(key).cast("string"))
     placed = _place(df, by, hashed, key, "__gw_p")
     sizes = df.groupBy(*by).agg(F.greatest(F.lit(least), F.bround(F.count("*") * share, 0)).alias("__gw_v"))
+    if rest:
+        kept = df.groupBy(*by).agg((F.count("*") - F.greatest(F.lit(least), F.bround(F.count("*") * share, 0))).alias("n"))
+        require_empty(kept.filter(F.col("n") < rest), f"groups with fewer than {rest} training keys")
     return placed.join(sizes, list(by)).select(*by, key, F.when(F.col("__gw_p") < F.col("__gw_v"), "validation").otherwise("train").alias("role"))
 
 
@@ -146,9 +152,15 @@ def weighted_draws(df: DataFrame, by: Sequence[str], key: str, weight: str, draw
     weight holds it. Spans are cut into cells of the unit interval and meet draws by the cell, so
     no draw is compared with all rows.
     """
-    part = W.partitionBy(*by)
-    upto = F.sum(weight).over(part.orderBy(key).rowsBetween(W.unboundedPreceding, 0)) / F.sum(weight).over(part)
-    spans = df.select(*by, key, weight).withColumn("__gw_b", upto).withColumn("__gw_a", F.coalesce(F.lag("__gw_b").over(part.orderBy(key)), F.lit(0.0)))
+    if isinstance(df.schema[key].dataType, NumericType):
+        placed = order.cumulated(df.select(*by, key, weight), by, key, weight, "upto").withColumnsRenamed({"upto": "__gw_b", "upto_before": "__gw_b_before"})
+    else:  # a group with keys of another kind is added up in one task
+        part = W.partitionBy(*by).orderBy(key)
+        placed = df.select(*by, key, weight).withColumn("__gw_b", F.sum(weight).over(part.rowsBetween(W.unboundedPreceding, 0)))
+        placed = placed.withColumn("__gw_b_before", F.coalesce(F.lag("__gw_b").over(part), F.lit(0.0)))
+    whole = df.groupBy(*by).agg(F.sum(weight).alias("__gw_t"))
+    on = placed.join(whole, list(by)) if by else placed.crossJoin(F.broadcast(whole))
+    spans = on.select(*by, key, (F.col("__gw_b_before") / F.col("__gw_t")).alias("__gw_a"), (F.col("__gw_b") / F.col("__gw_t")).alias("__gw_b"))
     cells = spans.withColumn("__gw_c", F.explode(F.sequence((F.col("__gw_a") * CELLS).cast("int"), (F.least(F.col("__gw_b"), F.lit(1 - 1e-12)) * CELLS).cast("int"))))
     hashed = _hash_order(F.lit("d"), F.lit(str(seed)), *(F.col(c).cast("string") for c in by), F.col("draw").cast("string"))
     asked = df.select(*by).distinct().withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__gw_u", F.conv(F.substring(hashed, 1, 8), 16, 10).cast("double") / float(1 << 32))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaitwright.operators import aggregate as A
+from gaitwright.operators import bootstrap as B
 from gaitwright.operators import contracts as P
 from gaitwright.operators import metrics as M
 
@@ -257,7 +258,7 @@ def class_weights(spark, sf_dir):
 
 
 BOOT_SQL = """p AS (SELECT fold, subject_id, y_true, a, b, row_number() OVER (PARTITION BY fold ORDER BY subject_id) - 1 AS row, count(*) OVER (PARTITION BY fold) AS n FROM two),
-z AS (SELECT fold, draw, n, ((draw * n + slot) * 48271 + 11) % 2147483647 AS z1 FROM (SELECT DISTINCT fold, n FROM p), (SELECT unnest(range(100)) AS draw), LATERAL (SELECT unnest(range(n)) AS slot)),
+z AS (SELECT fold, draw, n, ((draw * n + slot) * 48271 + 11) % 2147483647 AS z1 FROM (SELECT DISTINCT fold, n FROM p), (SELECT unnest(range(20000)) AS draw), LATERAL (SELECT unnest(range(n)) AS slot)),
 y AS (SELECT fold, draw, n, ((z1 * z1) % 2147483647 * 3 + z1 * 69621 + 7) % 2147483647 AS z2 FROM z),
 i AS (SELECT fold, draw, ((z2 * z2) % 2147483647 + z2 * 16807 + 5) % 2147483647 % n AS row FROM y),
 dr AS (SELECT i.fold, draw, avg(abs(b - y_true)) - avg(abs(a - y_true)) AS d_mae, avg(abs(a - y_true)) AS mae FROM i JOIN p ON p.fold = i.fold AND p.row = i.row GROUP BY 1, 2)"""
@@ -266,19 +267,19 @@ dr AS (SELECT i.fold, draw, avg(abs(b - y_true)) - avg(abs(a - y_true)) AS d_mae
 def _draws(spark, sf_dir):
     base, cand = two_models(spark, sf_dir)
     paired = base.join(cand.withColumnRenamed("y_pred", "cand"), ["fold", "subject_id", "y_true"])
-    drawn = A.bootstrap_draws(paired, ["subject_id"], 100, ["fold"])
-    mae = lambda c: F.sum(F.col("times") * F.abs(F.col(c) - F.col("y_true"))) / F.sum("times")
-    return drawn.groupBy("fold", "draw").agg(mae("y_pred").alias("mae"), (mae("cand") - mae("y_pred")).alias("d_mae"))
+    per = B.draw_statistics(paired, ["subject_id"], 20_000, ["fold"], "y_true", ["y_pred", "cand"], 0.0, ranks=False)
+    mae = lambda c: F.max(F.when(F.col("pred") == c, F.col("mae")))
+    return per.groupBy("fold", "draw").agg(mae("y_pred").alias("mae"), (mae("cand") - mae("y_pred")).alias("d_mae"))
 
 
 @query("WITH " + TWO_SQL + ", " + BOOT_SQL + " SELECT fold, round(quantile_cont(mae, 0.025), 4) AS low, round(quantile_cont(mae, 0.975), 4) AS high, count(*) AS draws FROM dr GROUP BY fold")
 def bootstrap_mae(spark, sf_dir):
-    return rounded(A.bootstrap_interval(_draws(spark, sf_dir), ["fold"], "mae"), "low", "high", digits=4)
+    return rounded(B.bootstrap_interval(_draws(spark, sf_dir), ["fold"], "mae"), "low", "high", digits=4)
 
 
 @query("WITH " + TWO_SQL + ", " + BOOT_SQL + " SELECT fold, round(quantile_cont(d_mae, 0.025), 4) AS low, round(quantile_cont(d_mae, 0.975), 4) AS high, count(*) AS draws FROM dr GROUP BY fold")
 def paired_bootstrap(spark, sf_dir):
-    return rounded(A.bootstrap_interval(_draws(spark, sf_dir), ["fold"], "d_mae"), "low", "high", digits=4)
+    return rounded(B.bootstrap_interval(_draws(spark, sf_dir), ["fold"], "d_mae"), "low", "high", digits=4)
 
 
 @query("WITH " + TWO_SQL + """, g AS (SELECT fold, w / 20 AS w, avg(abs(w / 20 * a + (1 - w / 20) * b - y_true)) AS mae FROM two, (SELECT unnest(range(21)) AS w) GROUP BY ALL)
