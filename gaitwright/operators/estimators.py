@@ -1,28 +1,24 @@
-"""Baselines of the reference on pyspark.ml, with its penalties and scaling."""
+"""Baselines on pyspark.ml: scaling, penalties, folds, saved models."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
+from pyspark.ml import PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
 from .cohort import one_hot
-from .contracts import clip
+from .stages import Bounded, Constant, NamedLabels, Standardiser
 
 
 def standardised(train: DataFrame, rows: DataFrame, vector: str = "x") -> DataFrame:
-    """``rows`` with population-standardised ``features``; flat features keep scale 1. Means and
-    scales come from ``train``: one row of two arrays, broadcast."""
-    long = train.select(F.posexplode(vector).alias("p", "v")).groupBy("p").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s"))
-    scale = F.when(F.col("s") > 1e-12, F.col("s")).otherwise(1.0)
-    packed = long.agg(F.array_sort(F.collect_list(F.struct("p", "m", scale.alias("s")))).alias("__gw_c"))
-    z = F.zip_with(vector, "__gw_c", lambda v, c: (v - c["m"]) / c["s"])
-    return rows.crossJoin(F.broadcast(packed)).withColumn("features", array_to_vector(z)).drop("__gw_c")
+    """``rows`` with population-standardised ``features``; flat features keep scale 1. Means and scales come from ``train``."""
+    return Standardiser(inputCol=vector, outputCol="features").fit(train).transform(rows)
 
 
 def constant(train: DataFrame, rows: DataFrame, label: str, kind: str) -> DataFrame:
@@ -50,30 +46,34 @@ REGISTRY: dict[str, Callable] = {
 }
 
 
-def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """``test`` with ``y_pred``: standardise by the training rows, fit, predict, hold within bounds.
+def fit(name: str, train: DataFrame, label: str, bounds: tuple[float, float] | None = None, vector: str = "x") -> PipelineModel:
+    """A model that predicts raw rows: scaling by the training rows, the predictor, names of labels, bounds.
+    It is saved and loaded whole.
 
     Boosted classes are numbered densely for the fit and named back; a single class is predicted as it is.
     """
+    after = [Bounded(inputCol="y_pred", outputCol="y_pred", low=float(bounds[0]), high=float(bounds[1]))] if bounds else []
     if name == "boosted_classes":
-        classes = [r[0] for r in train.select(label).distinct().orderBy(label).collect()]  # as many as there are labels
+        classes = [float(r[0]) for r in train.select(label).distinct().orderBy(label).collect()]  # as many as there are labels
         if len(classes) < 2:
-            return constant(train, test, label, "classification").select(*test.columns, F.col("y_pred").cast("double").alias("y_pred"))
-        train = train.withColumn(label, (F.array_position(F.array(*map(F.lit, classes)), F.col(label)) - 1).cast("double"))
+            return PipelineModel([Constant(inputCol=vector, outputCol="y_pred", value=classes[0]), *after])
+        train = train.withColumn(label, (F.array_position(F.array(*map(F.lit, classes)), F.col(label).cast("double")) - 1).cast("double"))
+        after = [NamedLabels(inputCol="y_pred", outputCol="y_pred", labels=classes), *after]
     columns = dict(featuresCol="features", labelCol=label, predictionCol="y_pred")
-    ready = standardised(train, train)
+    scaler = Standardiser(inputCol=vector, outputCol="features").fit(train)
+    ready = scaler.transform(train)
     if name == "forest":
         counts = train.groupBy(label).agg((1 / F.count("*")).alias("weight"))
         ready = ready.join(F.broadcast(counts), label)
     n, spread = train.agg(F.count("*"), F.stddev_pop(label)).first()
     if name == "ridge":
         columns["spread"] = spread or 1.0
-    out = REGISTRY[name](n, **columns).fit(ready).transform(standardised(train, test))
-    if name == "boosted_classes":
-        out = out.withColumn("y_pred", F.element_at(F.array(*(F.lit(float(c)) for c in classes)), F.col("y_pred").cast("int") + 1))
-    if bounds:
-        out = out.withColumn("y_pred", clip(F.col("y_pred"), *bounds))
-    return out.select(*test.columns, "y_pred")
+    return PipelineModel([scaler, REGISTRY[name](n, **columns).fit(ready), *after])
+
+
+def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds: tuple[float, float] | None = None) -> DataFrame:
+    """``test`` with ``y_pred`` of a model of ``train``, see :func:`fit`."""
+    return fit(name, train, label, bounds).transform(test).select(*test.columns, "y_pred")
 
 
 def cross_fitted(name: str, df: DataFrame, label: str, fold: str, folds: Sequence[int], bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -86,6 +86,7 @@ def cross_fitted(name: str, df: DataFrame, label: str, fold: str, folds: Sequenc
 
 
 def isotonic(train: DataFrame, rows: DataFrame, label: str = "y_true", score: str = "y_pred") -> DataFrame:
+    """One fit for the whole frame; ``calibration`` has fits by group."""
     model = R.IsotonicRegression(featuresCol=score, labelCol=label, predictionCol="calibrated").fit(train)
     return model.transform(rows)
 
@@ -118,10 +119,15 @@ def run_folds(name: str, df: DataFrame, label: str, fold: str, folds: Sequence[i
     return out.select("*", *one_hot(F.col("y_pred"), n_classes)), M.class_metrics(M.confusion(out, [fold], n_classes), [fold])
 
 
-def save_model(model, path: str) -> None:
-    """Replace a fitted model's files."""
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel, path: str, **about: object) -> None:
+    """Replace a fitted model's files; what is told about it is a JSON table beside them."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    told = [(k, json.dumps(v)) for k, v in sorted(about.items())]
+    spark.createDataFrame(told, "name string, value string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
 
 
-def load_model(kind: type, path: str):
-    return kind.load(path)
+def load_model(path: str) -> tuple[PipelineModel, dict[str, object]]:
+    """A saved model, ready for raw rows, and what was told about it."""
+    rows = SparkSession.active().read.schema("name string, value string").json(f"{path}/about").collect()
+    return PipelineModel.load(f"{path}/model"), {r.name: json.loads(r.value) for r in rows}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -117,12 +117,15 @@ def read_reports(spark: SparkSession, root: str, metric: str) -> DataFrame:
 
 
 def read_split(spark: SparkSession, path: str, fold: int | None = None) -> DataFrame:
-    """(fold, role, subject_id) of a split document; ``fold`` 0, -1 or null takes all."""
-    doc = spark.read.option("multiLine", True).json(path).select(F.explode("folds").alias("f"))
-    have = doc.schema["f"].dataType.names
-    roles = [(r, c) for r, c in (("train", "train_subjects"), ("validation", "val_subjects"), ("test", "test_subjects"), ("test", "val_test_subjects")) if c in have]
-    sides = [F.struct(F.lit(r).alias("role"), F.col(f"f.{c}").alias("ids")) for r, c in roles]
-    out = doc.select(F.col("f.fold").cast("int").alias("fold"), F.explode(F.array(*sides)).alias("s")).select("fold", "s.role", F.explode("s.ids").alias("subject_id")).withColumn("subject_id", F.col("subject_id").cast("string"))
+    """(fold, role, subject_id) of a split document with ``folds``, or of one line for each fold as
+    :func:`write_split` gives; ``fold`` 0, -1 or null takes all."""
+    sides = [("train", "train_subjects"), ("validation", "validation_subjects"), ("validation", "val_subjects"), ("test", "test_subjects"), ("test", "val_test_subjects")]
+    kind = "fold: int, " + ", ".join(f"{c}: array<string>" for _, c in sides)
+    text = spark.read.option("wholetext", True).text(path).select("value", F.from_json("value", f"folds array<struct<{kind}>>")["folds"].alias("folds"))
+    lines = F.transform(F.split("value", "\n"), lambda x: F.from_json(x, f"struct<{kind}>"))
+    folds = text.select(F.explode(F.coalesce("folds", lines)).alias("f")).filter("f.fold is not null")
+    roles = F.array(*(F.struct(F.lit(r).alias("role"), F.col(f"f.{c}").alias("ids")) for r, c in sides))
+    out = folds.select(F.col("f.fold").alias("fold"), F.explode(roles).alias("s")).select("fold", "s.role", F.explode("s.ids").alias("subject_id"))
     return out.filter(F.col("fold") == fold) if fold and fold > 0 else out
 
 
@@ -203,19 +206,27 @@ def consistency_audit(summary: DataFrame, path: str) -> None:
     write_nonempty(summary.select("task", "MAE", "RMSE", "R2", "Spearman", "Tolerance", "`Hit/N`"), path)
 
 
-_HELD: dict[str, DataFrame] = {}
-
-
-def held_table(df: DataFrame, root: str, key: str) -> DataFrame:
-    """:func:`cached_table`, kept in executor memory as well while the session holds it."""
-    name = f"{df.sparkSession.sparkContext.applicationId}/{root}/{key}"
-    if name not in _HELD:
-        _HELD[name] = cached_table(df, root, key).persist()
-    return _HELD[name]
-
-
 def write_split(split: DataFrame, path: str, subject: str = "subject_id", **told: object) -> None:
-    """One JSON line for each fold with the sorted ids of its sides and what is told of the split."""
+    """One JSON line for each fold with the sorted ids of its sides and what is told of the split;
+    :func:`read_split` reads them back."""
     ids = lambda role: F.array_sort(F.collect_set(F.when(F.col("role") == role, F.col(subject).cast("string")))).alias(f"{role}_subjects")
     folds = split.groupBy("fold").agg(ids("train"), ids("validation"), ids("test"))
     write_table(folds.withColumns({k: F.lit(v) for k, v in told.items()}) if told else folds, path, "json")
+
+
+def ensure_split(path: str, make: Callable[[], DataFrame], spark: SparkSession, subject: str = "subject_id", subjects: DataFrame | None = None, **told: object) -> DataFrame:
+    """The split written under ``path``; made and written first if it is not there or, where ``subjects`` is given,
+    if its ids are not these. A split in which a fold shares subjects between training and held-out
+    rows is an error."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
+    if there and subjects is not None:
+        ids = subjects.select(F.col(subject).cast("string").alias("subject_id")).distinct()
+        had = read_split(spark, path).select("subject_id").distinct()
+        there = ids.exceptAll(had).isEmpty() and had.exceptAll(ids).isEmpty()
+    if not there:
+        write_split(make(), path, subject, **told)
+    out = read_split(spark, path)
+    shared = out.groupBy("fold", "subject_id").agg(F.countDistinct(F.col("role") == "train").alias("n")).filter("n > 1")
+    require_empty(shared, "subjects on both sides of a fold")
+    return out
