@@ -72,6 +72,18 @@ def expected_value(logits: Column, low: float, high: float) -> Column:
     return dot(softmax(F.transform(logits, lambda x: x.cast("double"))), centres)
 
 
+def bounded_value(logits: Column, residual: Column, low: float, high: float, step: float) -> Column:
+    """:func:`expected_value` and a residual that moves it by less than one ``step`` of the bins."""
+    if step <= 0 or high <= low:
+        raise ValueError("a step is positive and high is above low")
+    return expected_value(logits, low, high) + F.lit(float(step)) * F.tanh(residual.cast("double"))
+
+
+def bin_of(target: Column, low: float, high: float, step: float) -> Column:
+    """The bin nearest to a target, held inside; halves go to the even bin."""
+    return F.greatest(F.lit(0), F.least(F.lit(round((high - low) / step)), F.bround((target - low) / step, 0).cast("int")))
+
+
 def holds(a: Column, part: Column) -> Column:
     """First place, from 1, at which an array has a sub-sequence; 0 if nowhere."""
     places = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - F.size(part) + 1)), lambda i: F.slice(a, i, F.size(part)) == part)
@@ -87,9 +99,11 @@ def log_softmax(a: Column) -> Column:
     return F.transform(a, lambda x: x - rest)
 
 
-def soft_label_loss(logits: Column, target: Column, n: int, width: float) -> Column:
-    """Cross-entropy against a label that falls off with the distance from the target."""
-    return -dot(distance_label(target, n, width), log_softmax(logits))
+def soft_label_loss(logits: Column, target: Column, n: int, width: float, weights: Column | None = None) -> Column:
+    """Cross-entropy against a label that falls off with the distance from the target, times the target's
+    weight of ``weights``, an array by class."""
+    loss = -dot(distance_label(target, n, width), log_softmax(logits))
+    return loss if weights is None else loss * F.element_at(weights, target.cast("int") + 1)
 
 
 def huber(error: Column, delta: float = 1.0) -> Column:
@@ -102,6 +116,14 @@ def binary_loss(logit: Column, hit: Column) -> Column:
     return F.greatest(logit, F.lit(0.0)) - logit * hit + F.log1p(F.exp(-F.abs(logit)))
 
 
+def ordinal_losses(logits: Column, target: Column, weights: Column | None = None) -> Column:
+    """Of each conditional logit of a chain its loss for a class, null where the target is not above the class
+    before: those rows say nothing about it. ``weights`` has one weight for each class, taken by the target."""
+    weight = F.lit(1.0) if weights is None else F.element_at(weights, target.cast("int") + 1)
+    loss = lambda x, k: binary_loss(x.cast("double"), (target > k).cast("int")) * weight
+    return F.transform(logits, lambda x, k: F.when((k == 0) | (target > k - 1), loss(x, k)))
+
+
 def attention_pool(features: Column, scores: Column) -> Column:
     """Weighted mean (softmax of the scores), mean and maximum of equally long vectors, one after the other."""
     w = softmax(F.transform(scores, lambda s: s.cast("double")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -37,6 +38,14 @@ def replace_first(text: Column, pattern: str, by: str | Column) -> Column:
     return F.when(hit.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), at - 1), by, F.substring(text, at + F.length(hit), F.length(text))))
 
 
+def with_duration(text: Column, days: Column, lead: str = "course", unit: str = "days", ends: str = ",.") -> Column:
+    """The trimmed text with its first statement of the course, from ``lead`` up to one of ``ends``, said anew from the
+    data; a statement that no end follows stays. Empty for a null or blank text."""
+    stops = re.escape(ends)
+    said = F.concat(F.lit(f"{lead} "), days.cast("int").cast("string"), F.lit(f" {unit}"))
+    return F.coalesce(replace_first(F.trim(text), rf"{re.escape(lead)}[^{stops}]*?(?=[{stops}])", said), F.lit(""))
+
+
 def strip_thinking(text: Column, stops: Sequence[str] = ("<|im_end|>", "<|im_start|>", "</s>")) -> Column:
     """Without the first think block, cut at the first chat mark, trimmed."""
     bare = replace_first(text, r"(?s)<think>.*?</think>", "")
@@ -59,6 +68,11 @@ LEAKS = {
     "metric": r"(?i)\b(fma|bi|barthel)[^.;]{0,12}\d",
 }
 
+WRIST_SCORE = r"(?i)\bwrist\s*\d+\s*points?\b"
+#: Words of instructions, and wordings of the prompt's own list of what must not be said.
+INSTRUCTIONS = ("avoid", "do not", "never", "must not", "should not")
+ECHOES = ("not provided in the input", "and similar statements", "unsupported statements")
+
 
 def leak_flags(text: Column, own_id: Column | None = None, id_pattern: str = r"\b[SP]\d{2,}\b", patterns: Mapping[str, str] = LEAKS) -> dict[str, Column]:
     """One boolean for each rule; ``other_patient`` if an id that is not ``own_id`` stands in the text."""
@@ -68,6 +82,27 @@ def leak_flags(text: Column, own_id: Column | None = None, id_pattern: str = r"\
     return out
 
 
+def constraint_echo(text: Column, instructions: Sequence[str] = INSTRUCTIONS, echoes: Sequence[str] = ECHOES) -> Column:
+    """Whether a text copies its safety instructions: an instruction together with a wording of the prompt.
+    Either of them alone is no fault."""
+    return contains_any(F.lower(text), [w.lower() for w in instructions]) & contains_any(F.lower(text), [w.lower() for w in echoes])
+
+
+def recommendation_audit(text: Column, forbidden: Column, id_pattern: str = r"\b[SP]\d{2,}\b", patterns: Mapping[str, str] = LEAKS, wrist: str = WRIST_SCORE, instructions: Sequence[str] = INSTRUCTIONS, echoes: Sequence[str] = ECHOES) -> Column:
+    """struct of the audit of a recommendation, which names no patient and no score: ``unsupported`` (the claims of
+    ``forbidden``, an array of wordings, that it makes, and "constraint_echo"), one boolean for each rule, and
+    ``safe``. A null text is not safe; a null ``forbidden`` forbids nothing."""
+    whole = F.coalesce(text, F.lit(""))
+    echo = constraint_echo(whole, instructions, echoes)
+    claims = F.filter(F.coalesce(forbidden, F.array().cast("array<string>")), lambda c: F.contains(whole, c))
+    unsupported = F.concat(claims, F.when(echo, F.array(F.lit("constraint_echo"))).otherwise(F.array().cast("array<string>")))
+    flags = {name: whole.rlike(p) for name, p in patterns.items()} | {"patient": whole.rlike(id_pattern), "wrist_score": whole.rlike(wrist)}
+    bad = F.size(unsupported) > 0
+    for flag in flags.values():
+        bad = bad | flag
+    return F.struct(unsupported.alias("unsupported"), *(c.alias(n) for n, c in flags.items()), echo.alias("constraint_echo"), (~bad & text.isNotNull()).alias("safe"))
+
+
 def required_groups(bi: Column, tone: Column) -> Column:
     """What a recommendation must cover: daily living up to a Barthel index of 60, tone unless "0"."""
     return F.array_compact(F.array(F.lit("motor"), F.when(bi <= 60, "adl"), F.when(tone != "0", "tone")))
@@ -109,6 +144,13 @@ def chat(system: Column, user: Column, assistant: Column | None = None) -> Colum
 
 
 def rendered(messages: Column) -> Column:
+    """Messages as one text. A record without messages, or whose text is blank, is an error when it is read."""
+    text = _rendered(messages)
+    empty = (F.coalesce(F.size(messages), F.lit(0)) < 1) | (F.trim(F.coalesce(text, F.lit(""))) == "")
+    return F.when(empty, F.raise_error(F.lit("a record without messages")).cast("string")).otherwise(text)
+
+
+def _rendered(messages: Column) -> Column:
     return F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), m["content"])), "\n")
 
 

@@ -13,13 +13,32 @@ from . import order
 
 
 def characters(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(text, r"\s+", ""), ""), lambda c: c != "")
+    """Every character, white space too."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")
 
 
+#: Characters that are tokens of their own: ideographs, their marks and full-width forms; fixed values.
+IDEOGRAPHS = (
+    r"\u2600-\u27bf\u2e80-\u2fdf\u2ff0-\u303f\u3100-\u312f\u31a0-\u31bf\u31c0-\u31ef\u3200-\u33ff\u3400-\u4db5\u4e00-\u9fbb"
+    r"\uf900-\ufa2d\ufa30-\ufa6a\ufa70-\ufad9\ufe10-\ufe1f\ufe30-\ufe4f\uff00-\uffef\x{20000}-\x{2a6d6}\x{2f800}-\x{2fa1d}"
+)
+
+
+def mixed_tokens(text: Column) -> Column:
+    """Tokens of a text of ideographs and other writing: an ideograph is a token, other words stay whole, marks
+    are split off as usual for this score: points and commas stay inside numbers, a dash goes after a digit."""
+    apart = (
+        (f"([{IDEOGRAPHS}])", " $1 "), (r"([{-~\[-` -&(-+:-@/])", " $1 "), (r"([^0-9])([.,])", "$1 $2 "), (r"([.,])([^0-9])", " $1 $2"), (r"([0-9])(-)", "$1 $2 "),
+    )
+    for pattern, by in apart:
+        text = F.regexp_replace(text, pattern, by)
+    return words(text)
+
+
 def _overlaps(most: int):
     def run(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
         out = []
@@ -52,14 +71,36 @@ def bleu(n: int, smooth: float = 0.1) -> Column:
     return F.when((F.col("hyp_len") == 0) | (F.col("match_1") == 0), 0.0).otherwise(brevity * F.exp(logs))
 
 
+def halved_bleu(n: int = 4) -> Column:
+    """BLEU-n of summed counts in which the first order without a match counts half a match, the next a
+    quarter and so on; 0 where no order has a match or the texts are too short for one."""
+    orders = range(1, n + 1)
+    none = lambda i: sum((F.when(F.col(f"match_{k}") == 0, 1).otherwise(0) for k in range(1, i + 1)), F.lit(0))
+    share = lambda i: F.when(F.col(f"match_{i}") > 0, F.col(f"match_{i}").cast("double")).otherwise(F.pow(F.lit(2.0), -none(i))) / F.col(f"hyp_{i}")
+    logs = sum((F.log(F.when(F.col(f"hyp_{i}") > 0, share(i))) for i in orders), F.lit(0.0)) / n
+    brevity = F.when(F.col("hyp_len") >= F.col("ref_len"), 1.0).otherwise(F.exp(1 - F.col("ref_len") / F.col("hyp_len")))
+    empty = sum((F.col(f"match_{i}") for i in orders), F.lit(0)) == 0
+    return F.when(empty | (F.col(f"hyp_{n}") == 0), 0.0).otherwise(brevity * F.exp(logs))
+
+
 def sentence_bleu(counts: DataFrame, key: Sequence[str]) -> DataFrame:
     return counts.select(*key, *(bleu(n).alias(f"bleu_{n}") for n in range(1, 5)))
 
 
+def summed_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    names = ["hyp_len", "ref_len", *(f"{a}_{n}" for a in ("match", "hyp") for n in range(1, 5))]
+    return counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+
+
+def mixed_corpus_bleu(pairs: DataFrame, by: Sequence[str], hyp: str = "hyp", ref: str = "ref") -> DataFrame:
+    """(by, mixed_corpus_bleu): BLEU of all pairs of a group by :func:`mixed_tokens`, in percent."""
+    counts = overlap_counts(pairs, by, mixed_tokens(F.col(hyp)), mixed_tokens(F.col(ref)))
+    return summed_counts(counts, by).select(*by, (100 * halved_bleu()).alias("mixed_corpus_bleu"))
+
+
 def corpus_bleu(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """BLEU of summed counts."""
-    names = ["hyp_len", "ref_len", *(f"{a}_{n}" for a in ("match", "hyp") for n in range(1, 5))]
-    sums = counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    sums = summed_counts(counts, by)
     return sums.select(*by, *((bleu(n) * 100).alias(f"bleu_{n}") for n in range(1, 5)))
 
 
@@ -120,11 +161,16 @@ def review_tables(reports: DataFrame, subject: str, system: str, seed: int, show
 def key_faults(ratings: DataFrame, key: DataFrame, rater: str, review: str = "review_id") -> DataFrame:
     """(rater, review, problem): reviews a rater has not rated ("missing"), rated without being in the
     key ("unknown"), or rated more than once ("repeated")."""
-    due = ratings.select(rater).distinct().crossJoin(F.broadcast(key.select(review).distinct()))
     done = ratings.groupBy(rater, review).agg(F.count("*").alias("n"))
-    on = due.withColumn("due", F.lit(True)).join(done, [rater, review], "full")
-    problem = F.when(F.col("n").isNull(), "missing").when(F.col("due").isNull(), "unknown").when(F.col("n") > 1, "repeated")
-    return on.select(rater, review, problem.alias("problem")).filter("problem is not null")
+    known = key.select(review).distinct()
+    raters = ratings.select(rater).distinct()
+    # Only reviews that some rater lacks meet the raters, each of whose pairs is a fault or is taken out again.
+    seen = done.groupBy(review).agg(F.count("*").alias("__gw_k"))
+    lacking = known.join(seen, review, "left").crossJoin(raters.agg(F.count("*").alias("__gw_r"))).filter(F.coalesce("__gw_k", F.lit(0)) < F.col("__gw_r")).select(review)
+    missing = lacking.crossJoin(raters).join(done, [rater, review], "left_anti").select(rater, review, F.lit("missing").alias("problem"))
+    unknown = done.join(known, review, "left_anti").select(rater, review, F.lit("unknown").alias("problem"))
+    repeated = done.filter("n > 1").join(known, review, "left_semi").select(rater, review, F.lit("repeated").alias("problem"))
+    return missing.unionByName(unknown).unionByName(repeated)
 
 
 def rating_summary(ratings: DataFrame, by: Sequence[str], case: str, score: str) -> DataFrame:
@@ -144,11 +190,10 @@ def audit_rates(rows: DataFrame, by: Sequence[str], flags: Sequence[str]) -> Dat
 
 
 def scored_groups(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(group, n, char_bleu1..4, char_corpus_bleu, word_bleu1..4, rouge1_f, rouge2_f, rougeL_f) of rows
+    """(group, n, char_bleu1..4, mixed_corpus_bleu, word_bleu1..4, rouge1_f, rouge2_f, rougeL_f) of rows
     that have a human reference (hyp, ref, has_human_reference), of all and of each value of ``by``.
 
-    Character BLEU is the mean over reports, character corpus BLEU and word BLEU are of summed counts;
-    all in percent.
+    Character BLEU is the mean over reports; BLEU of mixed tokens and of words is of summed counts; all in percent.
     """
     ok = rows.filter(F.coalesce("has_human_reference", F.lit(False)) & (F.trim(F.coalesce("ref", F.lit(""))) != ""))
     groups = F.explode(F.array(F.lit("all"), *(F.col(c).cast("string") for c in by))).alias("group")
@@ -159,7 +204,7 @@ def scored_groups(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     percent = lambda x: 100 * F.avg(x)
     chars = c.groupBy("group").agg(F.count("*").alias("n"), *(percent(bleu(n)).alias(f"char_bleu{n}") for n in range(1, 5)))
     rouge = rouge_n(w.withColumn("l", rouge_l(words(F.col("hyp")), words(F.col("ref")))), ["group", "l"]).groupBy("group").agg(percent("rouge1_f").alias("rouge1_f"), percent("rouge2_f").alias("rouge2_f"), percent("l").alias("rougeL_f"))
-    whole = corpus_bleu(c, ["group"]).select("group", F.col("bleu_4").alias("char_corpus_bleu"))
+    whole = mixed_corpus_bleu(ok, ["group"])
     worded = corpus_bleu(w, ["group"]).withColumnsRenamed({f"bleu_{n}": f"word_bleu{n}" for n in range(1, 5)})
     return chars.join(whole, "group").join(worded, "group").join(rouge, "group")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gaitwright.functions import arrays as V
 from gaitwright.functions import text as T
 from gaitwright.operators import aggregate as A
+from gaitwright.operators import calibration as CA
 from gaitwright.operators import cohort as H
 from gaitwright.operators import metrics as M
 from gaitwright.operators import textscores as X
@@ -174,6 +175,35 @@ def ridge_calibrator(spark, sf_dir):
     return on.groupBy("fold").agg(F.round(F.avg("slope"), 8).alias("slope"), F.round(F.avg("intercept"), 2).alias("intercept"), way("clip").alias("clipped"), way("round_0.5").alias("halves"))
 
 
+@query("WITH " + PATIENTS_SQL + """, d AS (SELECT fold, y_pred AS x, count(*) AS w, sum(y_true) AS s FROM patients GROUP BY 1, 2), c AS (SELECT fold, x, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs, w, s FROM d WINDOW o AS (PARTITION BY fold ORDER BY x)),
+m AS (SELECT a.fold, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON a.fold = b.fold AND b.i >= a.i),
+l AS (SELECT fold, a, b, min(m) OVER (PARTITION BY fold, a ORDER BY b DESC) AS least FROM m), v AS (SELECT fold, i, max(g) AS v FROM (SELECT fold, b AS i, max(least) OVER (PARTITION BY fold, b ORDER BY a) AS g FROM l) GROUP BY 1, 2)
+SELECT p.fold, p.subject_id, round(v, 4) AS calibrated FROM patients p JOIN c ON c.fold = p.fold AND c.x = p.y_pred JOIN v ON v.fold = c.fold AND v.i = c.i""")
+def isotonic_folds(spark, sf_dir):
+    """Each fold's predictions on the step that is nearest to its truth."""
+    p = patients(spark, sf_dir).select("fold", "subject_id", "y_true", "y_pred")
+    done = CA.isotonic_calibrated(p, CA.isotonic_blocks(p, ["fold"]), ["fold"])
+    return rounded(done.select("fold", "subject_id", "calibrated"), "calibrated", digits=4)
+
+
+@query("WITH " + PATIENTS_SQL + ", " + "cl AS (SELECT fold, subject_id, least(5, floor(min(y_true) / 60000))::INT AS t, [" + ", ".join(f"avg((least(5, floor(y_pred / 60000)) = {k})::INT * 0.5 + 0.0625)" for k in range(6)) + """] AS p FROM bags GROUP BY 1, 2), dec AS (SELECT fold, subject_id, t, list_position(p, list_max(p)) - 1 AS g FROM cl),
+r AS (SELECT 'score' AS task, fold, avg(abs(y_pred - y_true)) AS mae, sqrt(avg((y_pred - y_true) ** 2)) AS rmse, avg((abs(y_pred - y_true) <= 60000)::INT) AS tolerance_acc FROM patients GROUP BY fold),
+f AS (SELECT fold, k, CASE WHEN sum((t = k)::INT) + sum((g = k)::INT) > 0 THEN 2 * sum((t = k AND g = k)::INT) / (sum((t = k)::INT) + sum((g = k)::INT)) ELSE 0 END AS f1 FROM dec, (SELECT unnest(range(6)) AS k) GROUP BY 1, 2),
+m AS (SELECT 'class' AS task, d.fold, avg((t = g)::INT) AS accuracy, any_value(x.macro_f1) AS macro_f1 FROM dec d JOIN (SELECT fold, avg(f1) AS macro_f1 FROM f GROUP BY 1) x ON x.fold = d.fold GROUP BY d.fold),
+l AS (SELECT task, fold, metric, v FROM (UNPIVOT r ON mae, rmse, tolerance_acc INTO NAME metric VALUE v) UNION ALL SELECT task, fold, metric, v FROM (UNPIVOT m ON accuracy, macro_f1 INTO NAME metric VALUE v))
+SELECT task, fold, metric, round(v, 6) AS value FROM l""")
+def task_evaluation(spark, sf_dir):
+    """A score and a class of every patient in one evaluation, by fold."""
+    b = bags(spark, sf_dir).select("fold", "subject_id", "y_true", "y_pred")
+    low = b.groupBy("fold", "subject_id").agg(F.min("y_true").alias("y_true"))
+    level = lambda c: F.least(F.lit(5), F.floor(F.col(c) / 60000)).cast("int")
+    given = [((level("y_pred") == k).cast("int") * 0.5 + 0.0625).cast("double").alias(f"prob_c{k}") for k in range(6)]
+    c = b.select("fold", "subject_id", *given).join(low.select("fold", "subject_id", level("y_true").alias("y_true")), ["fold", "subject_id"])
+    told, _ = H.evaluated_tasks({"score": (b, 0.0, 500000.0, 60000.0)}, {"class": (c, list("abcdef"))}, ["fold"])
+    kept = told.filter(F.col("metric").isin("mae", "rmse", "tolerance_acc", "accuracy", "macro_f1"))
+    return rounded(kept.select("task", "fold", "metric", "value"), "value", digits=6)
+
+
 NATIONS_SQL = "nat AS (SELECT c_nationkey AS id, round(avg(o_totalprice) / 1000, 3) AS y_true, round(avg(c_acctbal) / 32, 3) AS base, round(avg(o_totalprice) / 1000 + (c_nationkey % 7 - 3) * 2, 3) AS cand FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1)"
 
 

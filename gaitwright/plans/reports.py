@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gaitwright.functions import arrays as V
 from gaitwright.functions import text as T
+from gaitwright.operators import cohort as H
 from gaitwright.operators import estimators as E
 from gaitwright.operators import metrics as M
 from gaitwright.operators import textscores as X
@@ -44,6 +48,66 @@ def corpus_bleu(spark, sf_dir):
     return rounded(X.corpus_bleu(counts(spark, sf_dir)), *(f"bleu_{n}" for n in range(1, 5)), digits=6)
 
 
+def mixed_sql(text: str) -> str:
+    """Tokens of :func:`textscores.mixed_tokens` with spaces between, in SQL."""
+    for pattern, by in ((f"([{X.IDEOGRAPHS}])", r" \1 "), (r"([{-~\[-` -&(-+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        pattern = re.sub(r"\\u([0-9a-f]{4})", r"\\x{\1}", pattern)
+        text = f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    return text
+
+
+MIXED_SQL = PAIRS_SQL.replace("text AS hyp", mixed_sql("text") + " AS hyp").replace("lead(text) OVER", "lead(" + mixed_sql("text") + ") OVER")
+
+
+def _halved_sql() -> str:
+    none = lambda i: " + ".join(f"(match_{k} = 0)::INT" for k in range(1, i + 1))
+    logs = " + ".join(f"ln(CASE WHEN match_{i} > 0 THEN match_{i}::DOUBLE ELSE pow(2.0, -({none(i)})) END / hyp_{i})" for i in range(1, 5))
+    return f"CASE WHEN match_1 + match_2 + match_3 + match_4 = 0 OR hyp_4 = 0 THEN 0 ELSE CASE WHEN hyp_len >= ref_len THEN 1 ELSE exp(1 - ref_len / hyp_len) END * exp(({logs}) / 4) END"
+
+
+@query("WITH " + MIXED_SQL + ", t AS (SELECT conv_id % 7 AS part, sum(hyp_len) AS hyp_len, sum(ref_len) AS ref_len, " + ", ".join(f"sum(match_{n}) AS match_{n}, sum(hyp_{n}) AS hyp_{n}" for n in range(1, 5)) + f" FROM o GROUP BY 1) SELECT part, round(100 * ({_halved_sql()}), 6) AS mixed_corpus_bleu FROM t")
+def mixed_corpus_bleu(spark, sf_dir):
+    p = pairs(spark, sf_dir).withColumn("part", F.col("conv_id") % 7)
+    return rounded(X.mixed_corpus_bleu(p, ["part"]), "mixed_corpus_bleu", digits=6)
+
+
+@query("WITH c AS (SELECT conv_id, turn, list_filter(regexp_extract_all(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '(?s).'), lambda x: x <> '') AS r, list_filter(regexp_extract_all(text, '(?s).'), lambda x: x <> '') AS h, text FROM conversations), l AS (SELECT conv_id, turn, h, r FROM c WHERE r IS NOT NULL AND text IS NOT NULL), g AS (SELECT conv_id, turn, side, unnest(t) AS x FROM (SELECT conv_id, turn, 'h' AS side, h AS t FROM l UNION ALL SELECT conv_id, turn, 'r', r FROM l)), k AS (SELECT conv_id, turn, x, sum((side = 'h')::INT) AS a, sum((side = 'r')::INT) AS b FROM g GROUP BY ALL), m AS (SELECT conv_id, turn, sum(least(a, b)) AS m FROM k GROUP BY 1, 2) SELECT conv_id, turn, len(h)::BIGINT AS hyp_len, len(r)::BIGINT AS ref_len, coalesce(m, 0)::BIGINT AS matches FROM l LEFT JOIN m USING (conv_id, turn)")
+def character_overlaps(spark, sf_dir):
+    """Single characters that two turns share, white space counted."""
+    p = pairs(spark, sf_dir)
+    c = X.overlap_counts(p, ["conv_id", "turn"], X.characters(F.col("hyp")), X.characters(F.col("ref")), 1)
+    return c.select("conv_id", "turn", "hyp_len", "ref_len", F.col("match_1").alias("matches"))
+
+
+@query(r"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS x, text FROM conversations), f AS (SELECT conv_id, turn, text, regexp_matches(x, '\{[a-z_]+\}|\[[A-Z_]{3,}\]') AS placeholder, regexp_matches(x, '(?i)</?think>') AS thinking, regexp_matches(x, '(?i)<\|im_(start|end)\|>|^\s*(system|user|assistant)\s*:') AS prompt_echo, regexp_matches(x, '(?i)\b(fma|bi|barthel)[^.;]{0,12}\d') AS metric, regexp_matches(x, '\b[SP]\d{2,}\b') AS patient, regexp_matches(x, '(?i)\bwrist\s*\d+\s*points?\b') AS wrist_score,
+(contains(lower(x), 'avoid') OR contains(lower(x), 'the')) AND (contains(lower(x), 'and') OR contains(lower(x), 'que')) AS constraint_echo, list_filter(['in', 'pour', 'zz'], lambda c: contains(x, c)) AS claims FROM a)
+SELECT conv_id, turn, array_to_string(list_concat(claims, CASE WHEN constraint_echo THEN ['constraint_echo'] ELSE [] END), ',') AS unsupported, placeholder, thinking, prompt_echo, metric, patient, wrist_score, constraint_echo,
+text IS NOT NULL AND len(claims) = 0 AND NOT (placeholder OR thinking OR prompt_echo OR metric OR patient OR wrist_score OR constraint_echo) AS safe FROM f""")
+def recommendation_audits(spark, sf_dir):
+    """Turns as recommendations; the wordings are ones that occur."""
+    forbidden = F.array(*map(F.lit, ("in", "pour", "zz")))
+    a = T.recommendation_audit(F.col("text"), forbidden, instructions=("avoid", "the"), echoes=("and", "que"))
+    c = load(spark, sf_dir, "conversations").select("conv_id", "turn", a.alias("a"))
+    return c.select("conv_id", "turn", F.array_join("a.unsupported", ",").alias("unsupported"), *(f"a.{n}" for n in ("placeholder", "thinking", "prompt_echo", "metric", "patient", "wrist_score", "constraint_echo", "safe")))
+
+
+@query("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE * 4) AS z FROM embeddings), s AS (SELECT vec_id, label % 6 AS t, z, list_sum(list_transform(z[1:5], lambda x: exp(x - list_max(z[1:5])))) AS q FROM e), v AS (SELECT vec_id, t, list_sum(list_transform(range(1, 6), lambda k: exp(z[k] - list_max(z[1:5])) / q * (k - 1) * 25)) + 25 * tanh(z[6]) AS bounded, least(4, greatest(0, CASE WHEN abs((z[7] * 10 + 50) / 25 - floor((z[7] * 10 + 50) / 25) - 0.5) < 1e-12 THEN 2 * round((z[7] * 10 + 50) / 50) ELSE round((z[7] * 10 + 50) / 25) END))::INT AS bin FROM s) SELECT vec_id, round(bounded, 8) AS bounded, bin FROM v")
+def bounded_decoding(spark, sf_dir):
+    """Five bins from 0 to 100, a residual, and the bin of a target."""
+    z = F.transform("embedding", lambda x: x.cast("double") * 4)
+    e = load(spark, sf_dir, "embeddings").select("vec_id", z.alias("z"))
+    return e.select("vec_id", F.round(V.bounded_value(F.slice("z", 1, 5), F.col("z")[5], 0.0, 100.0, 25.0), 8).alias("bounded"), V.bin_of(F.col("z")[6] * 10 + 50, 0.0, 100.0, 25.0).alias("bin"))
+
+
+@query("WITH e AS (SELECT label % 3 AS part, label % 6 AS t, embedding FROM embeddings), k AS (SELECT part, t, unnest(embedding[1:5])::DOUBLE * 4 AS z, unnest(range(5)) AS k FROM e), l AS (SELECT part, k, (greatest(z, 0) - z * (t > k)::INT + ln(1 + exp(-abs(z)))) * (t + 1) / 2.0::DOUBLE AS v FROM k WHERE k = 0 OR t > k - 1), m AS (SELECT part, k, avg(v) AS m FROM l GROUP BY 1, 2) SELECT part, round(avg(m), 8) AS loss FROM m GROUP BY 1")
+def ordinal_losses(spark, sf_dir):
+    """Loss of a chain of five logits over the rows that each of them has, classes weighed."""
+    z = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double") * 4)
+    weights = F.array(*(F.lit((t + 1) / 2) for t in range(6)))
+    e = load(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("part"), V.ordinal_losses(z, F.col("label") % 6, weights).alias("v"))
+    return rounded(H.ordinal_loss(e, ["part"], "v"), "loss", digits=8)
+
+
 @query("WITH " + PAIRS_SQL + " SELECT conv_id, turn, round(CASE WHEN hyp_1 + ref_1 > 0 THEN 2 * match_1 / (hyp_1 + ref_1) ELSE 0 END, 8) AS rouge1_f, round(CASE WHEN hyp_2 + ref_2 > 0 THEN 2 * match_2 / (hyp_2 + ref_2) ELSE 0 END, 8) AS rouge2_f FROM o")
 def rouge_n(spark, sf_dir):
     return rounded(X.rouge_n(counts(spark, sf_dir), ["conv_id", "turn"]), "rouge1_f", "rouge2_f", digits=8)

@@ -11,10 +11,12 @@ from gaitwright.functions import arrays as V
 from gaitwright.functions import text as T
 from gaitwright.operators import aggregate as A
 from gaitwright.operators import alignment as L
+from gaitwright.operators import bootstrap as B
 from gaitwright.operators import contracts as P
 from gaitwright.operators import estimators as E
 from gaitwright.operators import kernels as K
 from gaitwright.operators import metrics as M
+from gaitwright.operators import recordings as RE
 from gaitwright.operators import series as S
 from gaitwright.operators import splits as G
 from gaitwright.operators import textscores as X
@@ -134,7 +136,7 @@ def test_warping_of_equals_is_the_diagonal():
 
 def test_bootstrap_draws_look_independent(spark):
     df = frame(spark, [(i, float(i)) for i in range(29)], "id int, v double")
-    drawn = A.bootstrap_draws(df, ["id"], 500)
+    drawn = B.bootstrap_draws(df, ["id"], 500)
     distinct = drawn.groupBy("draw").count().agg(F.avg("count")).first()[0]
     assert distinct == pytest.approx(29 * (1 - (28 / 29) ** 29), abs=0.4)
     assert drawn.groupBy("draw").agg(F.sum("times").alias("n")).filter("n != 29").count() == 0
@@ -250,3 +252,137 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     pick = lambda df: sorted((r.start, r.event_type, r.n) for r in df.collect())
     assert pick(spark.table("counts")) == pick(want)
     assert windows.sliding(events, "ts", "2 days", "1 day", "event_type", "value").count() > want.count() * 0.9
+
+
+def plain_lag(a, b, reach):
+    """Lag of the greatest sum over the overlap, and the centred correlation there, lag by lag."""
+    best = None
+    for lag in range(-reach, reach + 1):
+        i = range(max(0, lag), min(len(a), len(b) + lag))
+        if not len(i):
+            continue
+        x, y = a[list(i)], b[[k - lag for k in i]]
+        total = float(x @ y)
+        if best is None or total > best[0] + 1e-9:
+            scale = np.linalg.norm(x - x.mean()) * np.linalg.norm(y - y.mean())
+            best = total, lag, float((x - x.mean()) @ (y - y.mean()) / scale) if len(x) >= 4 and scale > 1e-12 else np.nan
+    return best[1:]
+
+
+def test_lags_equal_a_plain_loop_with_reach_near_the_length(spark):
+    r = np.random.default_rng(12)
+    rows, want = [], {}
+    for s in range(100):
+        n = int(r.integers(60, 160))
+        base = r.normal(size=400).cumsum()
+        base -= base.mean()
+        shift = int(r.integers(-40, 40))
+        a, b = base[100 + shift : 100 + shift + n] + r.normal(size=n), base[100 : 100 + n - int(r.integers(0, 20))]
+        a, b = a - a.mean(), b - b.mean()
+        want[s] = plain_lag(a, b, n - 3)
+        rows += [(s, "a", i, float(v)) for i, v in enumerate(a)] + [(s, "b", i, float(v)) for i, v in enumerate(b)]
+        table = S.lag_table(a, b, 0, n - 3)
+        assert (table["lag"][table["total"].argmax()], table["r"][table["total"].argmax()]) == (want[s][0], pytest.approx(want[s][1], abs=1e-9))
+    df = frame(spark, rows, "s int, side string, idx int, v double")
+    for reach in (20, 300):
+        got = S.best_lag(S.lag_scores(df.filter("side = 'a'"), df.filter("side = 'b'"), ["s"], "idx", "v", reach), ["s"], 0.2).collect()
+        for row in got:
+            a, b = (np.array([v for s, side, _, v in rows if s == row.s and side == k]) for k in "ab")
+            lag, peak = plain_lag(a, b, reach)
+            weak = not peak >= 0.2
+            assert row.lag == (0 if weak else lag) and row.fallback == weak
+            assert row.peak == pytest.approx(peak, abs=1e-8, nan_ok=True)
+
+
+def test_gaps_and_flat_sides_of_lags():
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=50), r.normal(size=44)
+    holes = a.copy()
+    holes[[3, 20, 21]] = np.nan
+    table = S.lag_table(holes, b, 4, 60)
+    for lag, total, n, corr in zip(table["lag"], table["total"], table["overlap"], table["r"]):
+        pairs = [(holes[i], b[i + 4 - lag]) for i in range(50) if 0 <= i + 4 - lag < 44 and not np.isnan(holes[i])]
+        x, y = np.array(pairs).T
+        assert n == len(pairs) and total == pytest.approx(x @ y, abs=1e-9)
+        assert np.isnan(corr) if n < 4 else corr == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-8)
+    assert np.isnan(S.lag_table(np.full(30, 2.0), b, 0, 10)["r"]).all()
+
+
+@pytest.mark.parametrize("low,high,rate", [(1, 45, 250.0), (8, 30, 200.0), (20, 450, 1259.4), (20, 450, 2000.0)])
+def test_band_response_is_the_closed_form(low, high, rate):
+    for order in (3, 4):
+        sections = K.band_butterworth(order, low, high, rate)
+        assert sections.shape == (order, 5)
+        k = np.tan(np.pi * np.array([low, high]) / rate)
+        for f in np.linspace(low / 3, min(rate / 2 * 0.97, high * 1.8), 20):
+            z, w = np.exp(-2j * np.pi * f / rate), np.tan(np.pi * f / rate)
+            got = np.prod([abs((b0 + b1 * z + b2 * z * z) / (1 + a1 * z + a2 * z * z)) for b0, b1, b2, a1, a2 in sections])
+            want = (1 + ((w * w - k[0] * k[1]) / (w * (k[1] - k[0]))) ** (2 * order)) ** -0.5
+            assert 20 * np.log10(got / want) == pytest.approx(0, abs=0.01)
+        poles = np.concatenate([np.roots([1, a1, a2]) for *_, a1, a2 in sections])
+        assert np.abs(poles).max() < 1
+
+
+def test_chunked_filters_equal_filters_of_whole_series(spark):
+    r = np.random.default_rng(7)
+    series = {1: r.normal(size=1000).cumsum(), 2: r.normal(size=37), 3: r.normal(size=28), 4: np.array([5.0]), 5: r.normal(size=2), 6: r.normal(size=400)}
+    df = frame(spark, [(s, i, float(v)) for s, x in series.items() for i, v in enumerate(x)], "s int, idx int, v double").repartition(5)
+    for sections in (K.band_sections(1, 45, 200.0), K.band_sections(None, 6, 200.0), K.notch(50, 30, 200.0)):
+        for chunk, fold in ((64, 4), (7, 3), (1 << 14, 1 << 10)):
+            got = RE.zero_phase(df, ["s"], "v", sections, chunk, fold).orderBy("s", "idx").collect()
+            assert [(q.s, q.idx) for q in got] == [(s, i) for s, x in series.items() for i in range(len(x))]
+            for s, x in series.items():
+                assert [q.v for q in got if q.s == s] == pytest.approx(K.zero_phase(x, sections), abs=1e-9)
+
+
+def test_cleaning_of_recordings_equals_cleaning_of_arrays(spark):
+    r = np.random.default_rng(4)
+    series = {"a": r.normal(size=700).cumsum(), "b": r.normal(size=300)}
+    series["b"][5] = np.nan
+    df = frame(spark, [(s, i, float(v)) for s, x in series.items() for i, v in enumerate(x)], "s string, idx int, v double")
+    for rate, long, whole in ((200.0, RE.clean_eeg, K.clean_eeg), (1259.4, RE.clean_emg, K.clean_emg), (148.1, RE.clean_imu, K.clean_imu), (200.0, RE.power_envelope, K.power_envelope)):
+        filled = df if long is not RE.power_envelope else df.filter("s = 'a'")
+        got = long(filled, ["s"], "v", rate, chunk=100).orderBy("s", "idx").collect()
+        for s in {q.s for q in got}:
+            assert [q.v for q in got if q.s == s] == pytest.approx(whole(series[s], rate), abs=1e-7)
+    assert RE.clean_imu(df.limit(0), ["s"], "v", 100.0).count() == 0
+
+
+def plain_draws(rows, draws, tolerance):
+    """Statistics of each draw, row by row; ranks by counting."""
+    n, out = len(rows), []
+    for d in range(draws):
+        own = [rows[B.draw_index(d, k, n)] for k in range(n)]
+        y, p = (np.array(v) for v in zip(*own))
+        rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+        r = lambda a, b: np.corrcoef(a, b)[0, 1] if a.var() > 1e-9 and b.var() > 1e-9 else np.nan
+        out.append([np.abs(p - y).mean(), np.sqrt(((p - y) ** 2).mean()), 1 - ((p - y) ** 2).mean() / y.var() if y.var() > 1e-9 else np.nan, r(y, p), (np.abs(p - y) <= tolerance).mean(), r(rank(y), rank(p))])
+    return np.array(out)
+
+
+def test_draws_as_vectors_equal_draws_as_rows(spark):
+    r = np.random.default_rng(9)
+    groups = {"a": 40, "b": 3, "c": 1, "d": 150}
+    rows = [(g, i * 3 % 1009, float(r.integers(0, 9)), float(r.integers(0, 9)), float(r.normal())) for g, n in groups.items() for i in range(n)]
+    df = frame(spark, rows, "g string, id int, y double, p double, q double").repartition(5)
+    names = ["mae", "rmse", "r2", "pearson", "tolerance", "spearman"]
+    for held in (1 << 17, 2):
+        got = B.draw_statistics(df, ["id"], 60, ["g"], "y", ["p", "q"], 2.0, held=held).orderBy("draw").collect()
+        assert len(got) == 60 * 2 * len(groups)
+        for g in groups:
+            own = sorted((i, y, p, q) for k, i, y, p, q in rows if k == g)
+            for pred, at in (("p", 2), ("q", 3)):
+                want = plain_draws([(x[1], x[at]) for x in own], 60, 2.0)
+                found = np.array([[np.nan if x[m] is None else x[m] for m in names] for x in got if x.g == g and x.pred == pred], float)
+                assert np.allclose(found, want, atol=1e-7, equal_nan=True)
+    assert B.draw_statistics(df.limit(0), ["id"], 10, [], "y", ["p"], 1.0).count() == 0
+    named = B.draw_statistics(df.withColumn("id", F.col("id").cast("string")), ["id"], 5, [], "y", ["p"], 1.0)
+    assert named.count() == 5
+
+
+def test_row_numbers_of_groups(spark):
+    rows = [(g, i % 7, i) for g in "xy" for i in range(400)]
+    df = frame(spark, rows, "g string, v int, id int").repartition(4)
+    got = B.numbered(df, ["v", "id"], ["g"]).collect()
+    for g in "xy":
+        assert [(q.v, q.id) for q in sorted((q for q in got if q.g == g), key=lambda q: q.row)] == sorted((v, i) for k, v, i in rows if k == g)
