@@ -435,6 +435,17 @@ def aligned_trials(trials: DataFrame, by: Sequence[str], strategy: str = "knot",
     return trials.select(*keys, *MODALITIES).mapInArrow(run, kinds)
 
 
+def pivoted(part: pa.Table) -> tuple[np.ndarray, list[str]]:
+    """[time, channels] of the rows (channel, idx, value) of one signal, and the channels in order of name."""
+    if not len(part):
+        raise ValueError("a modality is missing")
+    channels, at = np.unique(np.array(part.column("channel").to_pylist(), str), return_inverse=True)
+    times, row = np.unique(part.column("idx").to_numpy(), return_inverse=True)
+    x = np.full((len(times), len(channels)), np.nan)
+    x[row, at] = part.column("value").cast(pa.float64()).to_numpy()
+    return x, channels.tolist()
+
+
 def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool = True, motor: Sequence[str] = (), preprocess: bool = True) -> DataFrame:
     """(by, eeg, emg, imu, lag, peak, sync_fallback, eeg_start, other_start, seconds, warning): trial rows, ready for
     :func:`aligned_trials`, of recordings ``long`` (by, modality, channel, idx, value) with ``rates`` (by,
@@ -449,15 +460,6 @@ def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool
     keys = list(by)
     names = [*MODALITIES, "lag", "peak", "sync_fallback", "eeg_start", "other_start", "seconds", "warning"]
 
-    def signal(part: pa.Table) -> tuple[np.ndarray, list[str]]:
-        if not len(part):
-            raise ValueError("a modality is missing")
-        channels, at = np.unique(np.array(part.column("channel").to_pylist(), str), return_inverse=True)
-        times, row = np.unique(part.column("idx").to_numpy(), return_inverse=True)
-        x = np.full((len(times), len(channels)), np.nan)
-        x[row, at] = part.column("value").cast(pa.float64()).to_numpy()
-        return x, channels.tolist()
-
     def one(part: pa.Table, told: pa.Table) -> dict:
         try:
             if not len(told):
@@ -465,7 +467,7 @@ def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool
             own = {m: float(told.column(f"{m}_rate")[0].as_py() or 0) for m in MODALITIES}
             if min(own.values()) <= 0:
                 raise ValueError("a rate is missing")
-            x = {m: signal(part.filter(pc.equal(part.column("modality"), m))) for m in MODALITIES}
+            x = {m: pivoted(part.filter(pc.equal(part.column("modality"), m))) for m in MODALITIES}
             if not sync:
                 out = prepare_trial(*(x[m][0] for m in MODALITIES), own, preprocess)
                 return out | {"seconds": min(len(out[m]) / own[m] for m in MODALITIES)}

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import metrics as M
-from .cohort import one_hot
+from .cohort import checkpoint_choice, one_hot
+from .splits import hashed_split
 from .stages import Bounded, Constant, NamedLabels, Standardiser
 
 
@@ -46,9 +49,9 @@ REGISTRY: dict[str, Callable] = {
 }
 
 
-def fit(name: str, train: DataFrame, label: str, bounds: tuple[float, float] | None = None, vector: str = "x") -> PipelineModel:
+def fit(name: str, train: DataFrame, label: str, bounds: tuple[float, float] | None = None, vector: str = "x", settings: Mapping[str, object] | None = None) -> PipelineModel:
     """A model that predicts raw rows: scaling by the training rows, the predictor, names of labels, bounds.
-    It is saved and loaded whole.
+    It is saved and loaded whole. ``settings`` of the predictor go before its own.
 
     Boosted classes are numbered densely for the fit and named back; a single class is predicted as it is.
     """
@@ -68,7 +71,13 @@ def fit(name: str, train: DataFrame, label: str, bounds: tuple[float, float] | N
     n, spread = train.agg(F.count("*"), F.stddev_pop(label)).first()
     if name == "ridge":
         columns["spread"] = spread or 1.0
-    return PipelineModel([scaler, REGISTRY[name](n, **columns).fit(ready), *after])
+    stage = REGISTRY[name](n, **columns)
+    own = stage.getClassifier() if name == "boosted_classes" else stage
+    for key, value in (settings or {}).items():
+        own.set(own.getParam(key), value)
+    if name == "boosted_classes":
+        stage.setClassifier(own)
+    return PipelineModel([scaler, stage.fit(ready), *after])
 
 
 def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -76,6 +85,40 @@ def fit_predict(name: str, train: DataFrame, test: DataFrame, label: str, bounds
     return fit(name, train, label, bounds).transform(test).select(*test.columns, "y_pred")
 
 
+def validated(name: str, df: DataFrame, label: str, subject: str, grid: Sequence[Mapping[str, object]], patience: int, folds: int = 3, seed: int = 0, bounds: tuple[float, float] | None = None) -> tuple[PipelineModel, DataFrame, DataFrame]:
+    """A model whose settings are chosen on patients that it has not seen: the model of all rows, the history (model,
+    step, settings, loss, spread) and the choice (model, best_epoch, best_value, last_epoch).
+
+    Patients are dealt to ``folds`` inner folds by a hash, and every entry of ``grid`` (settings of the predictor, in
+    order of step) is fitted without each of them. The loss is the mean absolute error, or one less the weighted F1
+    of classes, over the folds. Of the steps up to the one at which ``patience`` steps brought nothing better
+    the best is taken, the first of equals.
+    """
+    spark = df.sparkSession
+    dealt = hashed_split(df.select(subject).distinct(), subject, folds, 0.0, seed).filter("role = 'test'")
+    inner = df.join(dealt.select(subject, F.col("round").alias("__gw_fold")), subject)
+    regression = name in ("ridge", "forest_regression", "boosted")
+    columns = dict(featuresCol="features", labelCol=label, predictionCol="y_pred")
+    if name == "forest":
+        counts = df.groupBy(label).agg((1 / F.count("*")).alias("weight"))
+        inner = inner.join(F.broadcast(counts), label)  # one row a class
+    n, spread = df.agg(F.count("*"), F.stddev_pop(label)).first()
+    stage = REGISTRY[name](n, **columns, **({"spread": spread or 1.0} if name == "ridge" else {}))
+    tried = stage.getClassifier() if name == "boosted_classes" else stage
+    judge = RegressionEvaluator(labelCol=label, predictionCol="y_pred", metricName="mae") if regression else MulticlassClassificationEvaluator(labelCol=label, predictionCol="y_pred", metricName="f1")
+    if name == "boosted_classes":  # the settings belong to the classifier inside
+        maps = [{stage.classifier: tried.copy({tried.getParam(k): v for k, v in g.items()})} for g in grid]
+    else:
+        maps = [{tried.getParam(k): v for k, v in g.items()} for g in grid]
+    found = CrossValidator(estimator=Pipeline(stages=[Standardiser(inputCol="x", outputCol="features"), stage]), estimatorParamMaps=maps, evaluator=judge, numFolds=folds, foldCol="__gw_fold").fit(inner)
+    losses = [m if regression else 1 - m for m in found.avgMetrics]
+    rows = [(name, i + 1, json.dumps(dict(g), sort_keys=True), float(v), float(s)) for i, (g, v, s) in enumerate(zip(grid, losses, found.stdMetrics))]
+    history = spark.createDataFrame(rows, "model string, step int, settings string, loss double, spread double")  # one row an entry of the grid
+    choice = checkpoint_choice(history, ["model"], "step", "loss", patience)
+    best = dict(grid[choice.first().best_epoch - 1])
+    return fit(name, df, label, bounds, settings=best), history, choice
+
+
 def cross_fitted(name: str, df: DataFrame, label: str, fold: str, folds: Sequence[int], bounds: tuple[float, float] | None = None) -> DataFrame:
     """Predictions of every row by a model that has not seen its fold."""
     parts = [fit_predict(name, df.filter(F.col(fold) != k), df.filter(F.col(fold) == k), label, bounds) for k in folds]

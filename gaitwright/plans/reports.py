@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -195,3 +194,11 @@ def ridge_folds(spark, sf_dir):
 @query()
 def logistic_folds(spark, sf_dir):
     return E.cross_fitted("logistic", _vectors(spark, sf_dir), "label", "fold", [0, 1, 2]).select("vec_id", "fold", "label", "y_pred")
+
+
+@query()
+def validated_history(spark, sf_dir):
+    """Penalties of a ridge tried on vectors of inner folds; what was chosen stands beside each."""
+    v = _vectors(spark, sf_dir).withColumn("subject", F.col("vec_id") % 50)
+    _, history, choice = E.validated("ridge", v, "label", "subject", [{"regParam": 10.0**k} for k in range(-3, 3)], 2, folds=3, seed=4, bounds=(0.0, 9.0))
+    return history.join(choice, "model").select("step", "settings", "loss", "spread", "best_epoch", "best_value", "last_epoch")

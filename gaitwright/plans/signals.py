@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaitwright.functions import tables as TF
 from gaitwright.operators import alignment as L
 from gaitwright.operators import kernels as K
 from gaitwright.operators import recordings as R
@@ -16,7 +17,7 @@ from gaitwright.operators import splits as G
 from gaitwright.streaming import windows as ST
 
 from .evaluation import rounded
-from .registry import load, query
+from .registry import ORACLES, load, query
 
 BY = ["user_id"]
 SERIES_SQL = "s AS (SELECT user_id, event_type, value, epoch(ts)::DOUBLE AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) - 1 AS idx FROM events)"
@@ -155,9 +156,7 @@ def power_envelopes(spark, sf_dir):
 @query()
 def loaded_trials(spark, sf_dir):
     """Every user's events as the recording of three devices started apart: on one time axis, cut and scaled."""
-    s = series(spark, sf_dir)
-    kinds = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(c).alias("channel"), F.lit(f).alias("factor")) for m, c, f in (("eeg", "c1", 1), ("eeg", "c2", 2), ("emg", "m1", 3), ("imu", "x", 5))))
-    long = s.select(*BY, "idx", "value", F.explode(kinds).alias("k")).select(*BY, "idx", "k.modality", "k.channel", (F.col("value") * F.col("k.factor")).alias("value"))
+    s, long = series(spark, sf_dir), _long(spark, sf_dir)
     rates = s.select(*BY).distinct().select(*BY, F.lit(10.0).alias("eeg_rate"), F.lit(12.0).alias("emg_rate"), F.lit(8.0).alias("imu_rate"))
     t = L.load_trials(long, rates, BY)
     return t.select(*BY, *(F.size(m).alias(f"{m}_samples") for m in L.MODALITIES), "lag", "peak", "sync_fallback", "eeg_start", "other_start", "seconds", "warning")
@@ -174,6 +173,33 @@ def band_powers(spark, sf_dir):
     return rounded(K.spectral_features(series(spark, sf_dir), BY, "value", 200.0), *(n for n, _, _ in BANDS), digits=6)
 
 
+def _sql_series(spark, sf_dir, df: DataFrame, columns: str) -> str:
+    """The name of a view of a user's series for table functions."""
+    TF.register(spark)
+    view = "gait_" + "".join(c for c in sf_dir if c.isalnum()) + "_" + columns.replace(", ", "_")
+    df.createOrReplaceTempView(view)
+    return view
+
+
+@query(ORACLES["band_powers"].replace("SELECT user_id, round(ln", "SELECT user_id::VARCHAR AS series, round(ln"))
+def band_powers_in_sql(spark, sf_dir):
+    df = series(spark, sf_dir).select(F.col("user_id").cast("string").alias("series"), "idx", "value", F.lit(200.0).alias("rate"))
+    view = _sql_series(spark, sf_dir, df, "series, idx, value, rate")
+    return rounded(spark.sql(f"SELECT * FROM gait_band_powers(TABLE(SELECT * FROM {view}) PARTITION BY series)"), *(n for n, _, _ in BANDS), digits=6)
+
+
+@query()
+def knot_alignment_in_sql(spark, sf_dir):
+    """The trials of :func:`trials_from_long` by the table function."""
+    view = _sql_series(spark, sf_dir, _long(spark, sf_dir).withColumnRenamed("user_id", "series").withColumn("series", F.col("series").cast("string")), "series, modality, channel, idx, value")
+    return spark.sql(f"SELECT * FROM gait_knot_alignment(TABLE(SELECT * FROM {view}) PARTITION BY series)")
+
+
+def _long(spark, sf_dir) -> DataFrame:
+    kinds = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(c).alias("channel"), F.lit(f).alias("factor")) for m, c, f in (("eeg", "c1", 1), ("eeg", "c2", 2), ("emg", "m1", 3), ("imu", "x", 5))))
+    return series(spark, sf_dir).select(*BY, "idx", "value", F.explode(kinds).alias("k")).select(*BY, "idx", "k.modality", "k.channel", (F.col("value") * F.col("k.factor")).alias("value"))
+
+
 def trials(spark, sf_dir) -> DataFrame:
     """A trial for each user: 30, 4 and 24 channels that are functions of the events' values."""
     channels = lambda n, f: F.transform(F.sequence(F.lit(1), F.lit(n)), f)
@@ -206,9 +232,7 @@ def trial_vectors(spark, sf_dir):
 
 @query("WITH " + SERIES_SQL + ", c AS (SELECT user_id, idx, modality, channel, value * factor AS v FROM s, (VALUES ('eeg', 'c1', 1), ('eeg', 'c2', 2), ('emg', 'm1', 3), ('imu', 'x', 5)) AS k(modality, channel, factor)), m AS (SELECT user_id, modality, count(DISTINCT idx) AS n, count(DISTINCT channel) AS k, sum(v * (idx + 1)) AS s FROM c GROUP BY 1, 2) SELECT user_id, max(n) AS samples, sum(k)::BIGINT AS channels, round(sum(s), 4) AS total FROM m GROUP BY 1")
 def trials_from_long(spark, sf_dir):
-    kinds = F.array(*(F.struct(F.lit(m).alias("modality"), F.lit(c).alias("channel"), F.lit(f).alias("factor")) for m, c, f in (("eeg", "c1", 1), ("eeg", "c2", 2), ("emg", "m1", 3), ("imu", "x", 5))))
-    long = series(spark, sf_dir).select(*BY, "idx", "value", F.explode(kinds).alias("k")).select(*BY, "idx", "k.modality", "k.channel", (F.col("value") * F.col("k.factor")).alias("value"))
-    t = L.trial_rows(long, BY)
+    t = L.trial_rows(_long(spark, sf_dir), BY)
     total = sum(F.aggregate(F.transform(F.col(m), lambda r, i: F.aggregate(r, F.lit(0.0), lambda a, x: a + x) * (i + 1)), F.lit(0.0), lambda a, x: a + x) for m in L.MODALITIES)
     return t.select(*BY, F.size("eeg").cast("long").alias("samples"), sum(F.size(F.col(m)[0]) for m in L.MODALITIES).cast("long").alias("channels"), F.round(total, 4).alias("total"))
 

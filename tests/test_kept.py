@@ -137,3 +137,29 @@ def test_isotonic_equals_the_library_for_each_group(spark):
     whole = CA.isotonic_calibrated(asked.drop("g"), CA.isotonic_blocks(df.drop("g"), []), [])
     assert whole.count() == asked.count() and whole.filter("calibrated is null").count() == 2
     assert CA.isotonic_blocks(df.limit(0), ["g"]).count() == 0
+
+
+@pytest.mark.parametrize("name,grid", [("ridge", [{"regParam": r} for r in (0.0, 0.1, 5.0, 500.0, 0.2)]), ("logistic", [{"maxIter": n} for n in (1, 20)])])
+def test_validated_choice_follows_its_history(spark, name, grid):
+    df = numbers(spark).withColumn("subject", (F.col("id") / 3).cast("int"))
+    model, history, choice = E.validated(name, df, "y", "subject", grid, 2, folds=3, seed=1, bounds=(0.0, 2.0))
+    rows = sorted(history.collect(), key=lambda q: q.step)
+    assert [q.step for q in rows] == list(range(1, len(grid) + 1)) and [eval(q.settings) for q in rows] == grid
+    got = choice.first()
+    best, last = None, len(rows)
+    for q in rows:
+        if best is None or q.loss < best.loss:
+            best = q
+        elif q.step - best.step >= 2:
+            last = q.step
+            break
+    assert (got.best_epoch, got.best_value, got.last_epoch) == (best.step, best.loss, last)
+    want = E.fit(name, df, "y", (0.0, 2.0), settings=grid[best.step - 1]).transform(df)
+    assert {q.id: q.y_pred for q in model.transform(df).collect()} == pytest.approx({q.id: q.y_pred for q in want.collect()})
+    if name == "ridge":  # the loss is the mean over folds of patients, fitted without them
+        from gaitwright.operators.splits import hashed_split
+
+        folds = hashed_split(df.select("subject").distinct(), "subject", 3, 0.0, 1).filter("role = 'test'").select("subject", "round")
+        dealt = df.join(folds, "subject")
+        errors = [E.fit(name, dealt.filter(F.col("round") != k), "y", settings=grid[1]).transform(dealt.filter(F.col("round") == k)).agg(F.avg(F.abs(F.col("y_pred") - F.col("y")))).first()[0] for k in range(3)]
+        assert rows[1].loss == pytest.approx(np.mean(errors), rel=1e-6)
