@@ -101,7 +101,7 @@ def lag_correlation(spark, sf_dir):
     x = S.z_score(series(spark, sf_dir), BY, "value", "z")
     mean = series(spark, sf_dir).groupBy("user_id").agg(F.avg("value").alias("m"))
     v = x.join(mean, "user_id").select("user_id", "idx", (F.col("value") - F.col("m")).alias("v"))
-    return rounded(S.lag_scores(v, v, BY, "idx", "v", 5), "score")
+    return rounded(S.lag_scores(v, v, BY, "idx", "v", 5).select("user_id", "lag", "score", "overlap"), "score")
 
 
 @query("WITH " + SERIES_SQL + ", b AS (SELECT user_id, event_type, max(idx) AS b FROM s GROUP BY 1, 2), m AS (SELECT user_id, min(b) AS b FROM b GROUP BY 1) SELECT s.user_id, count(*) AS n FROM s JOIN m ON s.user_id = m.user_id WHERE idx <= b GROUP BY 1")

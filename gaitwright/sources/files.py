@@ -206,6 +206,26 @@ def consistency_audit(summary: DataFrame, path: str) -> None:
     write_nonempty(summary.select("task", "MAE", "RMSE", "R2", "Spearman", "Tolerance", "`Hit/N`"), path)
 
 
+_HELD: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def held_table(df: DataFrame, root: str, key: str) -> DataFrame:
+    """:func:`cached_table`, kept in executor memory as well until :func:`release_tables`; what stopped
+    applications held is forgotten."""
+    app = df.sparkSession.sparkContext.applicationId
+    for old in [k for k in _HELD if k[0] != app]:
+        del _HELD[old]
+    if (app, root, key) not in _HELD:
+        _HELD[app, root, key] = cached_table(df, root, key).persist()
+    return _HELD[app, root, key]
+
+
+def release_tables() -> None:
+    """Free the memory of all held tables."""
+    while _HELD:
+        _HELD.popitem()[1].unpersist()
+
+
 def write_split(split: DataFrame, path: str, subject: str = "subject_id", **told: object) -> None:
     """One JSON line for each fold with the sorted ids of its sides and what is told of the split;
     :func:`read_split` reads them back."""

@@ -92,6 +92,9 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/c/confusion").columns == ["fold", "y_true", "0", "1+"]
     once = files.held_table(rows, f"{tmp_path}", "k")
     assert files.held_table(rows.limit(0), f"{tmp_path}", "k") is once and once.count() == 2
+    files.release_tables()
+    assert files.held_table(rows.limit(0), f"{tmp_path}", "k").count() == 2
+    files.release_tables()
 
 
 def test_baselines_over_folds(spark, tmp_path):
