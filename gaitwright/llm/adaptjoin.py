@@ -15,13 +15,15 @@ a few of ten thousand documents, at any size of the corpus.
 
 Equal sets are one node, whatever their number. No group yields all its pairs:
 
-- First a token's list is a star: its members meet ``LEADERS`` of them, drawn by hash. Verified pairs become
+- Lists of up to ``SHORT`` sets, by far the most, are one row each and yield their pairs there: nothing is gained by
+  asking such pairs for more.
+- A longer list is a star first: its members meet ``LEADERS`` of them, drawn by hash. Verified pairs become
   components, so that groups of near copies collapse.
-- Then every list that still holds several components is joined with itself by the rule above, across
-  components only. This loses no link between different components, and is the exact way for all
-  that the stars have missed.
+- Then every long list that still holds several components is joined with itself by the rule above, across
+  components only. A pair that shares a token of a short list has met there; one that does not has all its
+  shared tokens in long lists, so their number is right. So no link between components is lost.
 
-Pairs that cannot link go inside the join: sizes, places of the token, and a parity sketch of ``64 *
+Pairs that cannot link go before they are made: by sizes, by places of the token, and by a parity sketch of ``64 *
 LANES`` bits. A token flips one bit of its set's sketch, so sketches differ in at most as many bits
 as the sets do in tokens. What is left is verified on the sets themselves.
 """
@@ -42,9 +44,11 @@ from .omh import components, merge_labels
 
 PERCENT = 90
 SHINGLE = 3
+SHORT = 4  #: sets of a list that meet at once
 LEVELS = 8  #: longest prefixes have so many tokens less one beyond the plain ones
 LEADERS = 3
-LANES = 8  #: longs of a sketch
+LANES = 16  #: longs of a sketch
+PLACE_BITS = 24  #: of a token's place, a tenth of a set's tokens
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 14
 VERIFY = 200  #: cost of a candidate in entries of a list, and one more for each eight tokens
 ASKED_BITS = 24  #: of a filter of 2 MB for documents to read again; full, it lets all pass
@@ -212,72 +216,107 @@ def _place(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - ASKED_BITS).cast("int")
 
 
-def _links(docs: DataFrame, found: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """a, b: the ``pairs`` (a, b; a table) whose sets link. Reads the texts of one document of each asked node."""
     spark = docs.sparkSession
-    asked = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "asked")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    asked = materialize(nodes.join(ids, "id"), "asked")
     held = found.join(asked, "node").groupBy("node").agg(F.min(_place(F.col("doc_id"))).alias("at")).select(F.expr("at div 32768").cast("int").alias("part"), (F.col("at") % 32768).cast("long").alias("bit"))
     bits = bytearray(1 << ASKED_BITS - 3)
     for r in held.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 512 rows of 4 KB at most
         bits[r.part * 4096 : (r.part + 1) * 4096] = r.bits
     sets = docs.select("text", _place(F.col("doc_id")).alias("at")).mapInArrow(tidy(_sets_of(spark.sparkContext.broadcast(bytes(bits)))), "node binary, tokens binary")
-    sets = materialize(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("tokens").alias("tokens")), "sets", "none")
-    one = sets.select(F.col("node").alias("a"), F.col("tokens").alias("own"))
-    two = sets.select(F.col("node").alias("b"), F.col("tokens").alias("other"))
-    out = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "own", "other").mapInArrow(tidy(_verify(percent)), "a binary, b binary"), "links")
+    sets = materialize(sets.join(asked, "node").groupBy("id").agg(F.first("tokens").alias("tokens")), "sets", "none")
+    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("own"))
+    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("other"))
+    out = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "own", "other").mapInArrow(tidy(_verify(percent)), "a long, b long"), "links")
     discard(asked, sets, pairs)
     return out
 
 
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Whether sizes and sketches of two sets let them link."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    least = F.expr(f"({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent}")
+def _n(x: Column) -> Column:
+    return F.shiftright(x["np"], PLACE_BITS)
+
+
+def _pos(x: Column) -> Column:
+    return x["np"].bitwiseAND((1 << PLACE_BITS) - 1)
+
+
+def _least(n: Column, m: Column, percent: int) -> Column:
+    """Tokens that two linked sets of these sizes share at least."""
+    return F.floor((percent * (n + m) + 99 + percent) / (100 + percent))
+
+
+def _may_meet(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and the token's places let two sets link: before it lie at most as many shared tokens as
+    places in either, after it as many as are left of either."""
+    n, m = _n(a), _n(b)
+    most = F.least(n - _pos(a), m - _pos(b)) + F.least(_pos(a), _pos(b))
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most >= _least(n, m, percent))
+
+
+def _sketches_agree(a: str, b: str, n: Column, m: Column, percent: int) -> Column:
     differ = sum((F.bit_count(F.col(f"{a}.{s}").bitwiseXOR(F.col(f"{b}.{s}"))) for s in _SKETCH), F.lit(0))
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= n + m - 2 * least)
+    return differ <= n + m - 2 * _least(n, m, percent)
 
 
-def _lists(prefixes: DataFrame, percent: int) -> DataFrame:
-    """The lists of tokens that several sets have: token, node, n, sketch, pos, level (least ``l`` of which the
-    token counts) and take (the ``l`` of the set), as a written table."""
+def _entries(prefixes: DataFrame) -> DataFrame:
+    """(token, id, np, size): the tokens that several sets have in their longest prefixes, with the number of those
+    sets; ``np`` is the size of the set and the token's place in its order. A written table."""
     shared = prefixes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
-    entries = materialize(prefixes.select("node", "n", F.posexplode("tokens").alias("pos", "token")).join(shared, "token"), "entries")
-    level = F.greatest(F.lit(1), F.col("pos") - (F.col("n") - F.expr(f"(n * {percent} + 99) div 100")) + 1)
-    entries_at = entries.withColumn("level", level.cast("int"))
+    each = prefixes.select("id", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "id", F.expr(f"n * {1 << PLACE_BITS} + pos").alias("np"))
+    return materialize(each.join(shared, "token"), "entries")
+
+
+def _short_pairs(entries: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of the short lists that may link."""
+    lists = entries.filter(F.col("size") <= SHORT).groupBy("token").agg(F.collect_list(F.struct("id", "np")).alias("m"))  # SHORT members at most
+    pair = lambda x, y: F.struct(x["id"].alias("a"), y["id"].alias("b"))
+    met = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (x["id"] < y["id"]) & _may_meet(x, y, percent)), lambda y: pair(x, y))))
+    pairs = lists.select(F.inline(met)).distinct()
+    x, y = (prefixes.select(F.col("id").alias(c), F.struct("n", *_SKETCH).alias(f"of_{c}")) for c in ("a", "b"))
+    told = pairs.join(x, "a").join(y, "b")
+    return told.filter(_sketches_agree("of_a", "of_b", F.col("of_a.n"), F.col("of_b.n"), percent)).select("a", "b")
+
+
+def _long_lists(entries: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Entries of the long lists with sketch, level (least ``l`` of which the token counts) and take (the ``l`` of
+    the set), as a written table."""
+    n = F.shiftright("np", PLACE_BITS)
+    level = F.greatest(F.lit(1).cast("long"), F.col("np").bitwiseAND((1 << PLACE_BITS) - 1) - (n - F.floor((n * percent + 99) / 100)) + 1)
+    long = entries.filter(F.col("size") > SHORT).withColumns({"n": n, "level": level.cast("int")})
     # Entries of the lists up to each level: what a probe reads, and by matches what it may have to verify.
-    upto = entries_at.groupBy("node").agg(F.first("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("level") <= k, F.col("size") - 1)), F.lit(0)).alias(f"e{k}") for k in range(1, LEVELS + 1)))
+    upto = long.groupBy("id").agg(F.first("n").alias("n"), *(F.coalesce(F.sum(F.when(F.col("level") <= k, F.col("size") - 1)), F.lit(0)).alias(f"e{k}") for k in range(1, LEVELS + 1)))
     cost = lambda k: F.col(f"e{k}") + F.col(f"e{k}") / k * (VERIFY + F.col("n") / 8)
-    most = F.expr(f"least({LEVELS}, (n * {percent} + 99) div 100)").cast("int")  # no set shares more than its need
+    most = F.floor((F.col("n") * percent + 99) / 100)  # no set shares more than that
     best = F.array_min(F.array(*(F.struct(F.when(F.lit(k) <= most, cost(k)).otherwise(F.lit(float("inf"))).alias("cost"), F.lit(k).alias("take")) for k in range(1, LEVELS + 1))))
-    told = prefixes.select("node", *_SKETCH).join(upto.select("node", best["take"].alias("take")), "node")
-    lists = materialize(entries_at.drop("size").join(told, "node"), "lists")
-    discard(entries)
-    return lists
+    told = prefixes.select("id", *_SKETCH).join(upto.select("id", best["take"].alias("take")), "id")
+    return materialize(long.drop("size", "n").join(told, "id"), "lists")
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members of each list with leaders drawn by hash."""
-    kept = F.struct("node", "n", *_SKETCH)
-    drawn = lists.groupBy("token").agg(F.array(*(F.min_by(kept, F.xxhash64("node", "token", F.lit(i))) for i in range(LEADERS))).alias("to"))
-    leaders = drawn.select("token", F.explode(F.array_distinct("to")).alias("to")).select("token", "to.*")
-    m, o = lists.select("token", "node", "n", *_SKETCH).alias("m"), leaders.alias("o")
-    met = m.join(o, (F.col("m.token") == F.col("o.token")) & (F.col("m.node") != F.col("o.node")) & _may_link("m", "o", percent))
-    return materialize(met.select(F.least("m.node", "o.node").alias("a"), F.greatest("m.node", "o.node").alias("b")).distinct(), "pairs")
+    """Pairs of the members of each long list with leaders drawn by hash."""
+    kept = F.struct("id", "np", *_SKETCH)
+    drawn = lists.groupBy("token").agg(F.array(*(F.min_by(kept, F.xxhash64("id", "token", F.lit(i))) for i in range(LEADERS))).alias("to"))
+    m, o = lists.select("token", "id", "np", *_SKETCH).alias("m"), drawn.select("token", F.explode(F.array_distinct("to")).alias("to")).select("token", "to.*").alias("o")
+    both = [{"np": F.col(f"{x}.np")} for x in "mo"]
+    on = (F.col("m.token") == F.col("o.token")) & (F.col("m.id") != F.col("o.id")) & _may_meet(*both, percent) & _sketches_agree("m", "o", *map(_n, both), percent)
+    return m.join(o, on).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b"))
 
 
 def _open_pairs(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components with as many shared prefix tokens as the probing set asks for."""
-    named = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = lists.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     several = named.groupBy("token").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("token")
     inside = materialize(named.join(several, "token"), "open")
     p, i = inside.filter("level <= take").alias("p"), inside.alias("i")
-    rest = F.least(F.col("p.n") - F.col("p.pos"), F.col("i.n") - F.col("i.pos")) + F.least("p.pos", "i.pos")
+    both = [{"np": F.col(f"{x}.np")} for x in "pi"]
+    n, m = map(_n, both)
     on = (
-        (F.col("p.token") == F.col("i.token")) & (F.col("p.label") != F.col("i.label")) & (F.col("i.level") <= F.col("p.take"))
-        & ((F.col("i.n") < F.col("p.n")) | ((F.col("i.n") == F.col("p.n")) & (F.col("i.node") < F.col("p.node"))))
-        & _may_link("p", "i", percent) & (rest * (100 + percent) >= percent * (F.col("p.n") + F.col("i.n")))
+        (F.col("p.token") == F.col("i.token")) & (F.col("p.label") != F.col("i.label")) & (F.col("i.level") <= F.col("p.take")) & ((m < n) | ((m == n) & (F.col("i.id") < F.col("p.id"))))
+        & _may_meet(*both, percent) & _sketches_agree("p", "i", n, m, percent)
     )
-    met = p.join(i, on).groupBy(F.col("p.node").alias("a"), F.col("i.node").alias("b"), F.col("p.take").alias("take")).agg(F.count("*").alias("matches"))
+    met = p.join(i, on).groupBy(F.col("p.id").alias("a"), F.col("i.id").alias("b"), F.col("p.take").alias("take")).agg(F.count("*").alias("matches"))
     pairs = materialize(met.filter("matches >= take").select("a", "b"), "pairs")
     discard(inside)
     return pairs
@@ -299,15 +338,19 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = scanned.filter("block is null").select("doc_id", "node", "n")
     often = docs.sparkSession.sparkContext.broadcast(_counters(scanned.filter("block is not null")))
     each = texts.mapInArrow(tidy(_prefix(often, percent)), "node binary, n long, " + "".join(f"{s} long, " for s in _SKETCH) + "tokens array<long>")
-    prefixes = materialize(each.dropDuplicates(["node"]), "prefixes")
-    lists = _lists(prefixes, percent)
-    discard(prefixes)
-    stars = _links(texts, found, _star_pairs(lists, percent), percent)
+    # A node's number is written with it, so it is the same wherever it is read.
+    prefixes = materialize(each.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "prefixes")
+    nodes = prefixes.select("id", "node")
+    entries = _entries(prefixes)
+    lists = _long_lists(entries, prefixes, percent)
+    pairs = materialize(_short_pairs(entries, prefixes, percent).union(_star_pairs(lists, percent)).distinct(), "pairs")
+    discard(entries)
+    stars = _links(texts, found, nodes, pairs, percent)
     label = components(stars)
     discard(stars)
-    label = merge_labels(label, _links(texts, found, _open_pairs(lists, label, percent), percent))
+    label = merge_labels(label, _links(texts, found, nodes, _open_pairs(lists, label, percent), percent))
     discard(lists)
-    named = found.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = found.join(nodes, "node", "left").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     out = named.join(least, "label", "left")
     own = F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
