@@ -178,12 +178,12 @@ def ridge_calibrator(spark, sf_dir):
 @query("WITH " + PATIENTS_SQL + """, d AS (SELECT fold, y_pred AS x, count(*) AS w, sum(y_true) AS s FROM patients GROUP BY 1, 2), c AS (SELECT fold, x, row_number() OVER o AS i, sum(w) OVER o AS cw, sum(s) OVER o AS cs, w, s FROM d WINDOW o AS (PARTITION BY fold ORDER BY x)),
 m AS (SELECT a.fold, a.i AS a, b.i AS b, (b.cs - a.cs + a.s) / (b.cw - a.cw + a.w) AS m FROM c a JOIN c b ON a.fold = b.fold AND b.i >= a.i),
 l AS (SELECT fold, a, b, min(m) OVER (PARTITION BY fold, a ORDER BY b DESC) AS least FROM m), v AS (SELECT fold, i, max(g) AS v FROM (SELECT fold, b AS i, max(least) OVER (PARTITION BY fold, b ORDER BY a) AS g FROM l) GROUP BY 1, 2)
-SELECT p.fold, p.subject_id, round(v, 4) AS calibrated FROM patients p JOIN c ON c.fold = p.fold AND c.x = p.y_pred JOIN v ON v.fold = c.fold AND v.i = c.i""")
+SELECT p.fold, p.subject_id, round(v + 1e-7, 4) AS calibrated FROM patients p JOIN c ON c.fold = p.fold AND c.x = p.y_pred JOIN v ON v.fold = c.fold AND v.i = c.i""")
 def isotonic_folds(spark, sf_dir):
     """Each fold's predictions on the step that is nearest to its truth."""
     p = patients(spark, sf_dir).select("fold", "subject_id", "y_true", "y_pred")
     done = CA.isotonic_calibrated(p, CA.isotonic_blocks(p, ["fold"]), ["fold"])
-    return rounded(done.select("fold", "subject_id", "calibrated"), "calibrated", digits=4)
+    return rounded(done.select("fold", "subject_id", (F.col("calibrated") + 1e-7).alias("calibrated")), "calibrated", digits=4)  # no ties at the last digit
 
 
 @query("WITH " + PATIENTS_SQL + ", " + "cl AS (SELECT fold, subject_id, least(5, floor(min(y_true) / 60000))::INT AS t, [" + ", ".join(f"avg((least(5, floor(y_pred / 60000)) = {k})::INT * 0.5 + 0.0625)" for k in range(6)) + """] AS p FROM bags GROUP BY 1, 2), dec AS (SELECT fold, subject_id, t, list_position(p, list_max(p)) - 1 AS g FROM cl),
