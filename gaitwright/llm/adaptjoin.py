@@ -295,13 +295,16 @@ def _long_lists(entries: DataFrame, prefixes: DataFrame, percent: int) -> DataFr
 
 
 def _star_pairs(lists: DataFrame, percent: int) -> DataFrame:
-    """Pairs of the members of each long list with leaders drawn by hash."""
+    """Pairs of the members of each long list with leaders drawn by hash, ``LEADERS`` for each member: what passes the
+    sketches is mostly linked, and what is left out here meets in :func:`_open_pairs`."""
     kept = F.struct("id", "np", *_SKETCH)
     drawn = lists.groupBy("token").agg(F.array(*(F.min_by(kept, F.xxhash64("id", "token", F.lit(i))) for i in range(LEADERS))).alias("to"))
     m, o = lists.select("token", "id", "np", *_SKETCH).alias("m"), drawn.select("token", F.explode(F.array_distinct("to")).alias("to")).select("token", "to.*").alias("o")
     both = [{"np": F.col(f"{x}.np")} for x in "mo"]
     on = (F.col("m.token") == F.col("o.token")) & (F.col("m.id") != F.col("o.id")) & _may_meet(*both, percent) & _sketches_agree("m", "o", *map(_n, both), percent)
-    return m.join(o, on).select(F.least("m.id", "o.id").alias("a"), F.greatest("m.id", "o.id").alias("b"))
+    met = m.join(o, on).groupBy(F.col("m.id").alias("m")).agg(F.array_sort(F.collect_set(F.struct(F.xxhash64("o.id"), F.col("o.id").alias("o")))).alias("to"))  # as many as it has lists
+    each = met.select("m", F.explode(F.slice("to", 1, LEADERS)).alias("to"))
+    return each.select(F.least("m", "to.o").alias("a"), F.greatest("m", "to.o").alias("b"))
 
 
 def _open_pairs(lists: DataFrame, label: DataFrame, percent: int) -> DataFrame:
