@@ -138,11 +138,12 @@ def ordinal_loss(df: DataFrame, by: Sequence[str], losses: str) -> DataFrame:
     return each.groupBy(*by).agg(F.coalesce(F.avg("m"), F.lit(0.0)).alias("loss"))
 
 
-def error_order(df: DataFrame, by: Sequence[str], subject: str) -> DataFrame:
+def error_order(df: DataFrame, by: Sequence[str], subject: str, digits: int = 6) -> DataFrame:
     """``df`` with ``place``: patients by absolute error, the least first, equal ones by id. Ranges of errors
-    are ordered alone."""
+    are ordered alone. Errors count as equal to ``digits``: sums differ in their last bits by the order of their rows."""
     e = F.abs(F.col("y_pred") - F.col("y_true"))
-    return order.numbered(df.withColumn("abs_error", e), "abs_error", subject, name="place", by=by)
+    known = df.withColumns({"abs_error": e, "__gw_d": F.round(e, digits)})
+    return order.numbered(known, "__gw_d", subject, name="place", by=by).drop("__gw_d")
 
 
 def evaluated_tasks(scores: Mapping[str, tuple[DataFrame, float, float, float]], classes: Mapping[str, tuple[DataFrame, Sequence[str]]], by: Sequence[str] = ()) -> tuple[DataFrame, dict[str, DataFrame]]:
