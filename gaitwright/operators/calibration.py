@@ -80,11 +80,10 @@ def isotonic_calibrated(rows: DataFrame, blocks: DataFrame, by: Sequence[str], s
     known = F.col("__gw_x").isNotNull() & ~F.isnan("__gw_x")
     mine = _ranged(whole.filter(known), edges, by, "__gw_x")
     both = mine.withColumn("__gw_p", F.lit(None).cast(placed.schema["__gw_p"].dataType)).withColumn("__gw_row", F.lit(True)).unionByName(placed.withColumn("__gw_row", F.lit(False)), allowMissingColumns=True)
-    inside = W.partitionBy(*keys, "__gw_r").orderBy("__gw_x")
-    seen = both.withColumns({
-        "__gw_a": F.last("__gw_p", True).over(inside.rangeBetween(W.unboundedPreceding, W.currentRow)),
-        "__gw_b": F.first("__gw_p", True).over(inside.rangeBetween(W.currentRow, W.unboundedFollowing)),
-    }).filter("__gw_row").join(near, [*keys, "__gw_r"])
+    inside = W.partitionBy(*keys, "__gw_r")
+    # The next step is the last one from above: a frame that ends behind its rows is read again for each of them.
+    upto = lambda order: F.last("__gw_p", True).over(inside.orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    seen = both.withColumns({"__gw_a": upto(F.col("__gw_x")), "__gw_b": upto(F.desc("__gw_x"))}).filter("__gw_row").join(near, [*keys, "__gw_r"])
     a, b = F.coalesce("__gw_a", "__gw_before"), F.coalesce("__gw_b", "__gw_after")
     a, b = F.coalesce(a, b), F.coalesce(b, a)
     share = F.when(b["x"] > a["x"], (F.col("__gw_x") - a["x"]) / (b["x"] - a["x"])).otherwise(0.0)

@@ -26,3 +26,14 @@ def test_review_numbers_of_a_large_key_do_not_meet(spark, tmp_path):
     got = {tuple(q) for q in QUERIES["review_key_faults"](spark, str(tmp_path)).select("rater", "review_id", "problem").collect()}
     missing = {("a", k, "missing") for k in (0, 50, 350, 1000000)}
     assert got == missing | {("b", k + 1000000, "unknown") for k in (0, 70, 350)}
+
+
+def test_calibration_of_many_rows_between_two_steps(spark):
+    rows = spark.range(60_000).select(F.lit(0).alias("g"), (0.25 + F.col("id") / 120_000).alias("y_pred"))
+    blocks = spark.createDataFrame([(0, 0.0, 0.1, 1.0, 1.0), (0, 0.9, 1.0, 1.0, 3.0)], "g int, low double, high double, weight double, value double")
+    done = CA.isotonic_calibrated(rows, blocks, ["g"])
+    began = time.time()
+    off = done.select(F.max(F.abs(F.col("calibrated") - (1 + 2 * (F.col("y_pred") - 0.1) / 0.8))), F.count("*")).first()
+    assert off[0] < 1e-9 and off[1] == 60_000
+    assert time.time() - began < 30
+    assert "rangeframe, currentrow" not in done._jdf.queryExecution().optimizedPlan().toString().lower()
