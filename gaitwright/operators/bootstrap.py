@@ -3,8 +3,10 @@
 A draw takes as many rows of a group as it has, with replacement; which ones is integer arithmetic, the
 same on every engine. Draws times rows never exist as rows where a group has up to ``HELD`` rows: the
 group travels as arrays, every task takes some of the draws, and a draw is a vector of counts whose
-products with the rows' terms give all its sums at once. Larger groups go by rows: pairs of draw and row
-are counted, joined and aggregated. Both ways give the same numbers.
+products with the rows' terms give all its sums at once. Larger groups are cut into blocks of ``BLOCK``
+rows: a task takes some of the draws and one block, and the sums of blocks are added up. Only where ranks are
+asked for do larger groups go by rows: pairs of draw and row are counted, joined and aggregated. All
+ways give the same numbers.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ HELD = 1 << 17  #: rows of a group that travels as arrays, 3 MB with two predict
 SHARE = 250  #: draws of a task
 CELLS = 1 << 22  #: draws times rows that a task holds at once
 SLOTS = 1 << 16  #: slots of a draw in one row of the grid
+BLOCK = 1 << 21  #: rows of a large group that a task holds, some 350 MB with two predictions and their terms
+PIECE = 1 << 14  #: rows of a block that travel as one row
+STEP = 1 << 13  #: slots that are dealt at once
+WIDE_SHARE = 1000  #: draws of a task on a block
 METRICS = ("mae", "rmse", "r2", "pearson", "tolerance", "spearman")
 
 
@@ -91,6 +97,11 @@ def draw_metrics(d: DataFrame, by: Sequence[str], truth: str, pred: str, toleran
 
 def _counts(draws: np.ndarray, n: int) -> np.ndarray:
     """Times that each row is in each draw."""
+    if n >= STEP:
+        out, at = np.empty((len(draws), n)), np.empty(n, np.int64)
+        for row, draw in zip(out, draws):
+            _block_counts(int(draw), n, 0, n, row, at)
+        return out
     at = draw_index(draws[:, None].astype(np.int64), np.arange(n, dtype=np.int64)[None, :], n)
     return np.bincount((at + np.arange(len(draws))[:, None] * n).ravel(), minlength=len(draws) * n).reshape(len(draws), n).astype(float)
 
@@ -129,18 +140,108 @@ def _statistics(draws: np.ndarray, y: np.ndarray, preds: np.ndarray, tolerance:
     return out
 
 
-def draw_statistics(df: DataFrame, order: Sequence[str], draws: int, by: Sequence[str], truth: str, preds: Sequence[str], tolerance: float, ranks: bool = True, held: int = HELD) -> DataFrame:
+def _fold(z: np.ndarray, spare: np.ndarray) -> None:
+    """``z`` in place by a lesser number of the same rest modulo ``M``: its low 31 bits plus the others."""
+    np.right_shift(z, 31, out=spare)
+    np.bitwise_and(z, M, out=z)
+    np.add(z, spare, out=z)
+
+
+def _block_counts(draw: int, n: int, low: int, high: int, out: np.ndarray, at: np.ndarray) -> None:
+    """Times that rows ``low`` to ``high`` are in a draw of ``n`` rows, as :func:`draw_index` deals them; ``at`` is a
+    buffer of n numbers. Rests are only taken as far as products stay in 63 bits."""
+    steps = np.arange(min(n, STEP), dtype=np.int64) * 48271
+    squares, spares = np.empty_like(steps), np.empty_like(steps)
+    for first in range(0, n, STEP):
+        z = at[first : first + STEP]
+        own, spare = squares[: len(z)], spares[: len(z)]
+        np.add(steps[: len(z)], (draw * n + first) * 48271 + 11, out=z)
+        _fold(z, spare)
+        _fold(z, spare)
+        for by, more, times in ((69621, 7, 3), (16807, 5, 1)):
+            np.multiply(z, z, out=own)
+            _fold(own, spare)
+            if times > 1:
+                own *= times
+            z *= by
+            z += own
+            z += more
+            _fold(z, spare)
+        _fold(z, spare)
+        z[z == M] = 0
+        np.floor_divide(z, n, out=spare)
+        spare *= n
+        z -= spare
+    if high - low < n:
+        at = at[(at >= low) & (at < high)] - low
+    out[:] = np.bincount(at, minlength=high - low)
+
+
+def _terms(y: np.ndarray, preds: Sequence[np.ndarray], tolerance: float) -> np.ndarray:
+    """[row, term]: what the sums of a draw are made of; two terms of the truth and six of each prediction."""
+    out = [y, y * y]
+    for p in preds:
+        e = np.abs(p - y)
+        out += [e, e * e, p, p * p, y * p, e <= tolerance]
+    return np.stack(out, axis=1).astype(float)
+
+
+def _wide_statistics(whole: DataFrame, order: Sequence[str], draws: int, keys: Sequence[str], values: Sequence[str], preds: Sequence[str], tolerance: float, groups: int, most: int, block: int) -> DataFrame:
+    """:func:`draw_statistics` without ranks of groups of any size, by blocks of rows."""
+    names, kinds = [*keys, "draw"], ", ".join([*(f"`{k}` {whole.schema[k].dataType.simpleString()}" for k in keys), "draw long, n long, sums array<double>"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("piece")
+        y, *given = (np.concatenate(part[v].to_list()).astype(float) for v in values)
+        n, low = int(part["n"].iloc[0]), int(part["block"].iloc[0]) * block
+        terms, at = _terms(y, given, tolerance), np.empty(n, np.int64)
+        own, out = range(int(part["first"].iloc[0]), min(int(part["first"].iloc[0]) + WIDE_SHARE, draws)), []
+        times = np.empty((max(1, CELLS // len(y)), len(y)))
+        for b in range(own.start, own.stop, len(times)):
+            some = range(b, min(b + len(times), own.stop))
+            for i, draw in enumerate(some):
+                _block_counts(draw, n, low, low + len(y), times[i], at)
+            sums = 0.0
+            for r in range(0, len(y), 1024):  # small products, which stay on the task's own core
+                sums = sums + times[: len(some), r : r + 1024] @ terms[r : r + 1024]
+            out += sums.tolist()
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "draw": list(own), "n": n, "sums": out})[[*names, "n", "sums"]]
+
+    sizes = whole.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = numbered(whole, order, keys).withColumns({"block": F.expr(f"row div {block}"), "piece": F.expr(f"row div {min(PIECE, block)}")})
+    packed = rows.groupBy(*keys, "block", "piece").agg(F.array_sort(F.collect_list(F.struct("row", *values))).alias("__gw_p"))
+    packed = packed.join(sizes, list(keys)) if keys else packed.crossJoin(F.broadcast(sizes))
+    firsts = F.explode(F.sequence(F.lit(0), F.lit(max(draws, 1) - 1), F.lit(WIDE_SHARE)))
+    cells = packed.select(*keys, "n", "block", "piece", *(F.col(f"__gw_p.{v}").alias(v) for v in values), firsts.alias("first"))
+    tasks = min(4096, 2 * groups * -(-draws // WIDE_SHARE) * -(-most // block))
+    sums = cells.repartition(max(1, tasks), *keys, "block", "first").groupBy(*keys, "block", "first").applyInPandas(run, kinds)
+    count = 2 + 6 * len(preds)
+    added = sums.groupBy(*names).agg(F.first("n").alias("n"), *(F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(count)))
+    mean = lambda i: F.col(f"s{i}") / F.col("n")
+    vy = mean(1) - mean(0) * mean(0)
+    out = []
+    for k, c in enumerate(preds):
+        a, s, p, pp, yp, hit = (mean(2 + 6 * k + i) for i in range(6))
+        vp = pp - p * p
+        r = F.when((vy > 1e-9) & (vp > 1e-9), (yp - mean(0) * p) / F.sqrt(vy * vp))
+        out.append(F.struct(F.lit(c).alias("pred"), a.alias("mae"), F.sqrt(s).alias("rmse"), F.when(vy > 1e-9, 1 - s / vy).alias("r2"), r.alias("pearson"), hit.alias("tolerance")))
+    return added.select(*names, F.inline(F.array(*out)))
+
+
+def draw_statistics(df: DataFrame, order: Sequence[str], draws: int, by: Sequence[str], truth: str, preds: Sequence[str], tolerance: float, ranks: bool = True, held: int = HELD, block: int = BLOCK) -> DataFrame:
     """(by, draw, pred, mae, rmse, r2, pearson, tolerance, spearman) of every draw and prediction column; null
     or nan where a side is flat. Rows without truth or a prediction do not count. Counts the rows of groups first.
     """
     keys, metrics = list(by), list(METRICS if ranks else METRICS[:-1])
     columns = [truth, *preds]
     whole = df.select(*dict.fromkeys([*keys, *order]), *(F.col(c).cast("double").alias(f"__gw_v{i}") for i, c in enumerate(columns))).dropna(subset=[f"__gw_v{i}" for i in range(len(columns))])
-    most = whole.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    most, groups = whole.groupBy(*keys).count().agg(F.coalesce(F.max("count"), F.lit(0)), F.count("*")).first()
     values = [f"__gw_v{i}" for i in range(len(columns))]
+    if most > held and not ranks:
+        return _wide_statistics(whole, order, draws, keys, values, preds, tolerance, groups, most, block).select(*keys, "draw", "pred", *metrics)
     if most > held:
         d = bootstrap_draws(whole, order, draws, keys)
-        d = draw_ranks(d, [*keys, "draw"], values) if ranks else d
+        d = draw_ranks(d, [*keys, "draw"], values)
         parts = [draw_metrics(d, [*keys, "draw"], values[0], v, tolerance).withColumn("pred", F.lit(c)) for v, c in zip(values[1:], preds)]
         out = parts[0]
         for part in parts[1:]:

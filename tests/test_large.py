@@ -14,6 +14,30 @@ from gaitwright.operators import cohort as H
 from gaitwright.plans import QUERIES
 
 
+def test_draws_in_blocks_are_the_draws_of_plain_loops(spark):
+    r = np.random.default_rng(3)
+    rows = [(g, i, *map(float, r.normal(size=3))) for g, n in (("a", 90), ("b", 37), ("c", 1)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, id int, y double, p double, q double").repartition(5)
+    for block in (1 << 21, 40, 7):
+        got = B.draw_statistics(df, ["id"], 30, ["g"], "y", ["p", "q"], 0.5, ranks=False, held=2, block=block).collect()
+        assert len(got) == 30 * 2 * 3
+        for q in got:
+            own = sorted(x[1:] for x in rows if x[0] == q.g)
+            picked = [own[B.draw_index(q.draw, s, len(own))] for s in range(len(own))]
+            y, p = (np.array([x[i] for x in picked]) for i in (1, 2 if q.pred == "p" else 3))
+            assert q.mae == pytest.approx(np.abs(p - y).mean()) and q.rmse == pytest.approx(math.sqrt(((p - y) ** 2).mean())) and q.tolerance == pytest.approx((np.abs(p - y) <= 0.5).mean())
+            assert (q.pearson is None) if y.var() < 1e-9 else q.pearson == pytest.approx(np.corrcoef(y, p)[0, 1])
+
+
+def test_block_counts_are_those_of_draw_index():
+    for draw, n in ((0, 5), (19_999, 40_000), (123, 1 << 17)):
+        want = np.bincount([B.draw_index(draw, s, n) for s in range(n)], minlength=n)
+        for low, high in ((0, n), (n // 3, n)):
+            out = np.empty(high - low)
+            B._block_counts(draw, n, low, high, out, np.empty(n, np.int64))
+            assert (out == want[low:high]).all()
+
+
 def test_errors_that_differ_by_rounding_are_equal(spark):
     rows = [(0, i, 0.0, 0.1 + 0.2 if i % 2 else 0.3) for i in range(20)]
     got = H.error_order(spark.createDataFrame(rows, "fold int, subject_id int, y_true double, y_pred double").repartition(4), ["fold"], "subject_id").collect()
