@@ -7,6 +7,7 @@ task holds. Recordings of any length are filtered in ``recordings``. Frames are
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,25 +77,29 @@ def steady_state(c: np.ndarray) -> tuple[np.ndarray, float]:
     return np.array([(b2 - a2 * gain) + (b1 - a1 * gain), b2 - a2 * gain]), gain
 
 
+@lru_cache(maxsize=256)
+def _tables(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, ...]:
+    """What a section does to ``BLOCK`` samples: powers of its step, its free and forced output, what samples leave."""
+    step, into = np.array([[-a1, 1], [-a2, 0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    free = np.array([p[0] for p in powers[:BLOCK]])
+    impulse = np.r_[b0, free[:-1] @ into]
+    lag = np.subtract.outer(np.arange(BLOCK), np.arange(BLOCK))
+    forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
+    return np.array(powers), free, forced, np.array([powers[BLOCK - 1 - i] @ into for i in range(BLOCK)]).T
+
+
 def run_section(x: np.ndarray, c: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """One section along the first axis from a given state, for all columns at once and a block of samples
     at a time: the output, and the state after it.
 
     Two numbers of state pass from block to block. Inside a block the output is a product with the
-    impulse response plus what the state at its start gives.
+    impulse response plus what the state at its start gives. Both are kept for later series.
     """
-    b0, b1, b2, a1, a2 = map(float, c)
-    step, into = np.array([[-a1, 1], [-a2, 0]]), np.array([b1 - a1 * b0, b2 - a2 * b0])
-    n = min(BLOCK, len(x))
-    powers = [np.eye(2)]
-    for _ in range(n):
-        powers.append(step @ powers[-1])
-    free = np.array([p[0] for p in powers[:n]])
-    impulse = np.r_[b0, free[:-1] @ into]
-    lag = np.subtract.outer(np.arange(n), np.arange(n))
-    forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
-    carried = np.array([powers[n - 1 - i] @ into for i in range(n)]).T
-    out = np.empty_like(x, float)
+    powers, free, forced, carried = _tables(*map(float, c))
+    n, out = BLOCK, np.empty_like(x, float)
     for i in range(0, len(x), n):
         part = x[i : i + n]
         k = len(part)

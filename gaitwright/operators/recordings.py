@@ -116,10 +116,14 @@ def _one_way(chunks: DataFrame, by: Sequence[str], cascade: Cascade, most: int,
             done = [cascade.run(np.asarray(x, float), s)[0].tolist() for x, s in zip(part["x"], part["start"])]
             yield part[[*names, "chunk"]].assign(x=done)
 
-    sums = cut(chunks.mapInPandas(from_rest, f"{kinds}, chunk long, n long, gives array<double>"))
     unit = [float(v) for v in cascade.steady(1.0)]  # the steady state is in proportion to the value
     first = chunks.filter("chunk = 0").select(*names, F.array(*(F.col("x")[0] * v for v in unit)).alias("start"))
-    starts = _starts(sums, first, by, cascade, most, fold)
+    starts = first.withColumn("chunk", F.lit(0).cast("long"))
+    if most > 1:  # only series of several chunks are folded
+        several = chunks.filter("chunk > 0").select(*names).distinct()
+        sums = cut(chunks.join(several, names, "left_semi").mapInPandas(from_rest, f"{kinds}, chunk long, n long, gives array<double>"))
+        folded = _starts(sums, first.join(several, names, "left_semi"), by, cascade, most, fold)
+        starts = starts.join(several, names, "left_anti").unionByName(folded.select(*starts.columns))
     return cut(chunks.join(starts, [*names, "chunk"]).mapInPandas(from_start, f"{kinds}, chunk long, x array<double>"))
 
 

@@ -11,6 +11,8 @@ from gaitwright.operators import aggregate as A
 from gaitwright.operators import bootstrap as B
 from gaitwright.operators import calibration as CA
 from gaitwright.operators import cohort as H
+from gaitwright.operators import kernels as K
+from gaitwright.operators import recordings as R
 from gaitwright.plans import QUERIES
 
 
@@ -78,3 +80,21 @@ def test_calibration_of_many_rows_between_two_steps(spark):
     assert off[0] < 1e-9 and off[1] == 60_000
     assert time.time() - began < 30
     assert "rangeframe, currentrow" not in done._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_short_series_are_not_folded_and_share_tables(spark, monkeypatch):
+    r = np.random.default_rng(7)
+    series = {k: r.normal(size=int(n)) for k, n in enumerate((1, 2, 40, 90, 300))}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "s int, idx long, v double").repartition(4)
+    sections = K.band_sections(8, 30, 200.0)
+    seen, whole = [], R._starts
+    monkeypatch.setattr(R, "_starts", lambda sums, *rest: seen.append({q.s for q in sums.select("s").distinct().collect()}) or whole(sums, *rest))
+    for chunk in (1 << 14, 128):
+        got = R.zero_phase(df, ["s"], "v", sections, chunk, 2).orderBy("s", "idx").collect()
+        for k, x in series.items():
+            assert np.allclose([q.v for q in got if q.s == k], K.zero_phase(x, sections) if len(x) > 1 else x, atol=1e-8)
+    assert seen and all(0 not in s and 4 in s for s in seen)
+    K._tables.cache_clear()
+    for x in series.values():
+        K.zero_phase(x, sections)
+    assert K._tables.cache_info().misses == len(sections)
