@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gaitwright.session import small_batches
+
 from .kernels import BANDS, band_pass, clean_eeg, clean_emg, clean_imu, power_envelope, robust, warp, welch
 from .series import lag_table
 
@@ -431,6 +433,7 @@ def aligned_trials(trials: DataFrame, by: Sequence[str], strategy: str = "knot",
                 rows = [one(list(cells)) for cells in zip(*(part.column(m) for m in MODALITIES))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keys), *_out_columns(rows, names)], [*keys, *names])
 
+    small_batches(trials.sparkSession, _FLUSH)
     kinds = ", ".join([*(f"`{c}` {trials.schema[c].dataType.simpleString()}" for c in keys), *map(_kind, names)])
     return trials.select(*keys, *MODALITIES).mapInArrow(run, kinds)
 

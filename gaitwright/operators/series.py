@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gaitwright.session import small_batches
+
 
 def _w(by: Sequence[str], order: str):
     return W.partitionBy(*by).orderBy(order)
@@ -227,6 +229,7 @@ def lag_scores(a: DataFrame, b: DataFrame, by: Sequence[str], idx: str, value: s
     products (total) and their mean (score) over the overlap, and the centred correlation there (r; nan under four
     samples or for a flat side). Both series of a key meet as arrays and all lags come from one Fourier
     product, so the work does not grow with the reach; a series' length bounds what a task holds."""
+    small_batches(a.sparkSession)
     pair = _dense(a, by, idx, value, "__gw_i", "__gw_a").join(_dense(b, by, idx, value, "__gw_j", "__gw_b"), list(by))
     score = F.pandas_udf(_lag_products(reach), _LAGS)
     return pair.select(*by, F.inline(score("__gw_i", "__gw_a", "__gw_j", "__gw_b")))

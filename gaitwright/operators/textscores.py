@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaitwright.session import small_batches
+
 from . import order
 
 
@@ -60,6 +62,7 @@ def _count_names(most: int) -> list[str]:
 def overlap_counts(pairs: DataFrame, key: Sequence[str], hyp: Column, ref: Column, most: int = 4) -> DataFrame:
     """(key, hyp_len, ref_len, match_n, hyp_n, ref_n for n up to ``most``): clipped n-gram matches of two
     token arrays. A pair is one row and is counted where it is, without a shuffle."""
+    small_batches(pairs.sparkSession)
     counts = F.pandas_udf(_overlaps(most), ", ".join(f"{c} long" for c in _count_names(most)))
     return pairs.select(*key, counts(hyp, ref).alias("__gw_n")).select(*key, "__gw_n.*")
 

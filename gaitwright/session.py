@@ -21,6 +21,17 @@ def ship_package(spark: SparkSession) -> None:
         _SENT.add(app)
 
 
+#: Rows of an Arrow batch where a row is a text, a series or a trial.
+WIDE_ROWS = 256
+
+
+def small_batches(spark: SparkSession, rows: int = WIDE_ROWS) -> None:
+    """Lower the session's rows in an Arrow batch to ``rows``; a lower setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as a checkpoint in the folder that ``spark.checkpoint.dir`` names: its lineage ends there.
 
