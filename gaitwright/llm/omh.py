@@ -24,8 +24,9 @@ all order words in the same way, here by how many texts have them. Words are cou
 counters, whose size does not grow; words that share one only make the order less sharp. Texts that share such a word meet, and of those only
 pairs go on that may share enough of the rarest ``KNOWN`` of their words: how many they share at most
 is told by 256 bits of rare words that travel with each text of up to ``KNOWN_SIZE`` words. Texts of a common word meet by rounds of ever more leaders
-until each member has met every other that is not of its component by then. No round and no pair is
-left out, so texts that share a bucket are linked if they are alike.
+until each member has met every other that is not of its component by then. Texts that share several of
+the commoner ones (``OFTEN``) meet at the first of them: a row has the ``EARLIER`` last of these that the text
+has before the row's own word, and what both have there is no reason to meet again. No round and no pair is left out, so texts that share a bucket are linked if they are alike.
 
 Texts of equal words are one node from the start, so a group of copies is one row in all of this.
 """
@@ -60,6 +61,7 @@ LEADERS = 1
 KNOWN, KNOWN_SIZE = 0.3, 250  #: share of a text's words, the rarest, that its rows carry as 256 bits, and words up to which they do
 ASKED_BITS = 24  #: of a filter of 2 MB, which lets all texts pass when it is full
 COUNTERS = 1 << 20  #: of the words of crowded texts; words may share one
+OFTEN, EARLIER = 16, 64  #: texts from which on a rare word is a common one, and words of those that a row carries at most
 REACH, GROWTH = 64, 64  #: leaders of the first round over rare words, and times those of the round before
 _WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _FACTORS = np.array([xxhash.xxh64_intdigest(b"word %d" % i) | 1 for i in range(K)], np.uint64)
@@ -386,7 +388,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["counter", "n"])
 
 
-_RARE = "node binary, size int, rest int, known struct<b0:bigint,b1:bigint,b2:bigint,b3:bigint>, twice int, beyond int, key bigint"
+_RARE = "node binary, size int, rest int, known struct<b0:bigint,b1:bigint,b2:bigint,b3:bigint>, twice int, beyond int, earlier array<bigint>, key bigint"
 
 
 def _rare_words(counts: Broadcast, least: float):
@@ -394,13 +396,14 @@ def _rare_words(counts: Broadcast, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, often = zstandard.ZstdDecompressor(), counts.value
-        names = [c.split()[0] for c in ("node", "size", "rest", "known", "twice", "beyond", "key")]
+        names = [c.split()[0] for c in ("node", "size", "rest", "known", "twice", "beyond", "earlier", "key")]
         for batch in batches:
             columns: list[list] = [[] for _ in names]
             for node, x in zip(batch.column("node").to_pylist(), batch.column("packed").to_pylist()):
                 words = _labelled_words(x, unpack)
                 texts, size = often[(words % np.uint64(COUNTERS)).astype(np.int64)], len(words)
-                words = words[np.lexsort((words, texts))]
+                order = np.lexsort((words, texts))
+                words, common = words[order].view(np.int64), int(np.searchsorted(texts[order], OFTEN))
                 own = int((texts == 1).sum())  # no other text has them; they come first
                 taken = int(size * (1 - least) + 1e-6) + 1
                 if taken <= own:
@@ -411,10 +414,11 @@ def _rare_words(counts: Broadcast, least: float):
                     bits[w & 3] |= 1 << (w >> 2 & 63)
                 known = {f"b{j}": b - (1 << 64) if b >> 63 else b for j, b in enumerate(bits)}
                 n = taken - own
+                earlier = [words[max(common, i - EARLIER) : i] for i in range(own, taken)]
                 told = ([node] * n, [size] * n, [size - i for i in range(own, taken)], [known] * n, [carried - own - sum(b.bit_count() for b in bits)] * n)
-                for column, part in zip(columns, (*told, [size - carried if size <= KNOWN_SIZE else size] * n, words[own:taken].view(np.int64).tolist())):
+                for column, part in zip(columns, (*told, [size - carried if size <= KNOWN_SIZE else size] * n, earlier, words[own:taken].tolist())):
                     column += part
-            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.struct([(f"b{j}", pa.int64()) for j in range(4)]), pa.int32(), pa.int32(), pa.int64()]
+            kinds = [pa.binary(), pa.int32(), pa.int32(), pa.struct([(f"b{j}", pa.int64()) for j in range(4)]), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
@@ -430,12 +434,13 @@ def _shared_bits(a: str, b: str) -> Column:
 
 
 def _rare(texts: DataFrame, asked: DataFrame, least: float) -> DataFrame:
-    """key, node, size, rest, known, twice, beyond: for each text of ``asked`` (node) the labelled words of which
+    """key, node, size, rest, known, twice, beyond, earlier: for each text of ``asked`` (node) the labelled words of which
     alike texts share one: its rarest among ``asked``, without those that no other text has.
 
     ``rest`` counts the text's words from this one on. ``known`` has a bit for each of its rarest words that
     other texts may have, ``twice`` counts those words whose bit another one has set, ``beyond`` the words
     after them; a text of more than ``KNOWN_SIZE`` words carries none, and all its words are beyond.
+    ``earlier`` has the last common words of the text before this one.
     """
     own = materialize(texts.join(asked, "node", "left_semi"), "crowded", "none")
     counted = own.select("packed").mapInArrow(tidy(_count_words), "counter long, n long").groupBy("counter").agg(F.sum("n").cast("int").alias("n")).toArrow()
@@ -447,6 +452,22 @@ def _rare(texts: DataFrame, asked: DataFrame, least: float) -> DataFrame:
     return rare
 
 
+def _meetings(drawn: DataFrame, reach: int, least: float) -> DataFrame:
+    """node, size, to: members of rare words with those whose draw is below ``reach``, where they may be alike."""
+    first = drawn.filter(F.col("draw") < reach).select("key", F.struct("node", "size", "rest", "known", "twice", "beyond", "earlier", "label", "draw").alias("to"))
+    longer = F.greatest("size", "to.size")
+    alike_size = F.least("size", "to.size") >= _bound(longer, least)
+    # The first word that two texts share has all others behind it; what they share lies among the rare
+    # words of both or behind those of one.
+    enough = F.least("rest", "to.rest") >= _bound(longer, least)
+    still = _shared_bits("known", "to.known") + F.least("twice", "to.twice") + F.greatest("beyond", "to.beyond") >= _bound(longer, least)
+    once = (F.col("draw") >= reach) | (F.col("node") < F.col("to.node"))
+    # At an earlier word of both they meet too, in this round or another: all else that is asked holds there as well.
+    fresh = ~F.arrays_overlap("earlier", "to.earlier")
+    met = drawn.join(first, "key").filter((F.col("label") != F.col("to.label")) & alike_size & enough & once & still & fresh)
+    return met.select("node", "size", "to")
+
+
 def _settle(texts: DataFrame, large: DataFrame, label: DataFrame, least: float) -> DataFrame:
     """``label`` after all texts that large buckets (``large``: node, size, key) hold apart have met where
     they can be alike."""
@@ -463,16 +484,7 @@ def _settle(texts: DataFrame, large: DataFrame, label: DataFrame, least: float)
         if drawn.isEmpty():
             discard(inside, groups, asked)
             return label
-        first = drawn.filter(F.col("draw") < reach).select("key", F.struct("node", "size", "rest", "known", "twice", "beyond", "label", "draw").alias("to"))
-        longer = F.greatest("size", "to.size")
-        alike_size = F.least("size", "to.size") >= _bound(longer, least)
-        # The first word that two texts share has all others behind it; what they share lies among the rare
-        # words of both or behind those of one.
-        enough = F.least("rest", "to.rest") >= _bound(longer, least)
-        still = _shared_bits("known", "to.known") + F.least("twice", "to.twice") + F.greatest("beyond", "to.beyond") >= _bound(longer, least)
-        once = (F.col("draw") >= reach) | (F.col("node") < F.col("to.node"))
-        met = drawn.join(first, "key").filter((F.col("label") != F.col("to.label")) & alike_size & enough & once & still)
-        label = merge_labels(label, _links(texts, _pairs(met.select("node", "size", "to"), least), least))
+        label = merge_labels(label, _links(texts, _pairs(_meetings(drawn, reach, least), least), least))
         discard(inside)
         done, reach = reach, reach * GROWTH
 

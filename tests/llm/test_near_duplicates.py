@@ -2,8 +2,11 @@
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
+import zstandard
+from pyspark.sql import functions as F
 
 from gaitwright.llm import omh
 
@@ -175,3 +178,19 @@ def test_alignment_counts_order():
     words = [b"%d" % i for i in range(100)]
     assert omh.alike(words, words) and not omh.alike(words, words[50:] + words[:50])
     assert omh.alike(words, [*words[:80], *[b"x"] * 20]) and not omh.alike(words, [*words[:79], *[b"x"] * 21])
+
+
+def test_texts_of_several_common_words_meet_once(spark):
+    """Texts of one passage share several rare words; each alike pair meets, and meets at one of them."""
+    r = random.Random(21)
+    passage, pool = [f"w{i}" for i in range(80)], [f"x{i}" for i in range(60)]
+    texts = {b"%02d" % i: " ".join(passage + r.sample(pool, 20)).encode() for i in range(80)}
+    packed = spark.createDataFrame([(n, zstandard.compress(t)) for n, t in texts.items()], "node binary, packed binary")
+    groups = omh._rare(packed, packed.select("node"), 0.8)
+    inside = omh._open_words(groups, packed.select("node", F.col("node").alias("label")))
+    drawn = inside.withColumn("draw", F.pmod(F.xxhash64("node", "key"), F.col("n")))
+    met = []
+    for done, reach in ((0, 8), (8, 1 << 20)):
+        met += [frozenset((bytes(q.node), bytes(q.to.node))) for q in omh._meetings(drawn.filter(F.col("draw") >= done), reach, 0.8).collect()]
+    alike = {frozenset((a, b)) for a, b in combinations(texts, 2) if omh.alike(texts[a].split(), texts[b].split())}
+    assert len(met) == len(set(met)) and alike <= set(met) and len(alike) > 1000
