@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,14 +42,35 @@ def mixed_tokens(text: Column) -> Column:
     return words(text)
 
 
+#: Tokens of a pair from which its n-grams are numbered and sorted; below it counting them one by one takes less time.
+LONG_PAIR = 200
+
+
+def shared_ngrams(h: list, r: list, most: int) -> list[int]:
+    """Clipped matches of the n-grams of two token lists, for each n up to ``most``."""
+    if len(h) + len(r) < LONG_PAIR:
+        counted = ((Counter(zip(*(t[i:] for i in range(n)))) for t in (h, r)) for n in range(1, most + 1))
+        return [sum((a & b).values()) for a, b in counted]
+    known: dict = {}
+    x, y = (np.array([known.setdefault(t, len(known)) for t in tokens], np.int64) for tokens in (h, r))
+    a, b, out = x, y, []
+    for n in range(1, most + 1):
+        if n > 1:  # the number of the n-gram one shorter, and of its last token
+            a, b = a[:-1] * len(known) + x[n - 1 :], b[:-1] * len(known) + y[n - 1 :]
+            numbers = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+            a, b = numbers[: len(a)], numbers[len(a) :]
+        size = len(x) + len(y)
+        out.append(int(np.minimum(np.bincount(a, minlength=size), np.bincount(b, minlength=size)).sum()))
+    return out
+
+
 def _overlaps(most: int):
     def run(hyp: pd.Series, ref: pd.Series) -> pd.DataFrame:
         out = []
         for h, r in zip(hyp, ref):
             row = [len(h), len(r)]
-            for n in range(1, most + 1):
-                a, b = (Counter(zip(*(t[i:] for i in range(n)))) for t in (list(h), list(r)))
-                row += [sum((a & b).values()), max(0, len(h) - n + 1), max(0, len(r) - n + 1)]
+            for n, match in enumerate(shared_ngrams(list(h), list(r), most), 1):
+                row += [match, max(0, len(h) - n + 1), max(0, len(r) - n + 1)]
             out.append(row)
         return pd.DataFrame(out, columns=_count_names(most), dtype="int64")
 
@@ -63,8 +85,11 @@ def overlap_counts(pairs: DataFrame, key: Sequence[str], hyp: Column, ref: Colum
     """(key, hyp_len, ref_len, match_n, hyp_n, ref_n for n up to ``most``): clipped n-gram matches of two
     token arrays. A pair is one row and is counted where it is, without a shuffle."""
     small_batches(pairs.sparkSession)
-    counts = F.pandas_udf(_overlaps(most), ", ".join(f"{c} long" for c in _count_names(most)))
-    return pairs.select(*key, counts(hyp, ref).alias("__gw_n")).select(*key, "__gw_n.*")
+    return pairs.select(*key, _counts(most)(hyp, ref).alias("__gw_n")).select(*key, "__gw_n.*")
+
+
+def _counts(most: int = 4):
+    return F.pandas_udf(_overlaps(most), ", ".join(f"{c} long" for c in _count_names(most)))
 
 
 def bleu(n: int, smooth: float = 0.1) -> Column:
@@ -90,9 +115,11 @@ def sentence_bleu(counts: DataFrame, key: Sequence[str]) -> DataFrame:
     return counts.select(*key, *(bleu(n).alias(f"bleu_{n}") for n in range(1, 5)))
 
 
+_SUMMED = ["hyp_len", "ref_len", *(f"{a}_{n}" for a in ("match", "hyp") for n in range(1, 5))]
+
+
 def summed_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    names = ["hyp_len", "ref_len", *(f"{a}_{n}" for a in ("match", "hyp") for n in range(1, 5))]
-    return counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in names))
+    return counts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in _SUMMED))
 
 
 def mixed_corpus_bleu(pairs: DataFrame, by: Sequence[str], hyp: str = "hyp", ref: str = "ref") -> DataFrame:
@@ -199,17 +226,20 @@ def scored_groups(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Character BLEU is the mean over reports; BLEU of mixed tokens and of words is of summed counts; all in percent.
     """
     ok = rows.filter(F.coalesce("has_human_reference", F.lit(False)) & (F.trim(F.coalesce("ref", F.lit(""))) != ""))
-    groups = F.explode(F.array(F.lit("all"), *(F.col(c).cast("string") for c in by))).alias("group")
-    ok = ok.select(groups, F.coalesce("hyp", F.lit("")).alias("hyp"), "ref").withColumn("id", F.monotonically_increasing_id())
-    key = ["group", "id"]
-    w = overlap_counts(ok, [*key, "hyp", "ref"], words(F.col("hyp")), words(F.col("ref")))
-    c = overlap_counts(ok, key, characters(F.col("hyp")), characters(F.col("ref")))
-    percent = lambda x: 100 * F.avg(x)
-    chars = c.groupBy("group").agg(F.count("*").alias("n"), *(percent(bleu(n)).alias(f"char_bleu{n}") for n in range(1, 5)))
-    rouge = rouge_n(w.withColumn("l", rouge_l(words(F.col("hyp")), words(F.col("ref")))), ["group", "l"]).groupBy("group").agg(percent("rouge1_f").alias("rouge1_f"), percent("rouge2_f").alias("rouge2_f"), percent("l").alias("rougeL_f"))
-    whole = mixed_corpus_bleu(ok, ["group"])
-    worded = corpus_bleu(w, ["group"]).withColumnsRenamed({f"bleu_{n}": f"word_bleu{n}" for n in range(1, 5)})
-    return chars.join(whole, "group").join(worded, "group").join(rouge, "group")
+    small_batches(rows.sparkSession)
+    hyp, ref = F.coalesce("hyp", F.lit("")), F.col("ref")
+    groups = F.array(F.lit("all"), *(F.col(c).cast("string") for c in by)).alias("groups")
+    told = ok.select(groups, *(f(t).alias(f"{n}_{side}") for n, f in (("w", words), ("c", characters), ("m", mixed_tokens)) for side, t in (("h", hyp), ("r", ref))))
+    # A pair is counted once, for all of its groups.
+    each = told.select("groups", rouge_l(F.col("w_h"), F.col("w_r")).alias("rougeL_f"), *(_counts()(F.col(f"{n}_h"), F.col(f"{n}_r")).alias(n) for n in "wcm"))
+    chars, rouge = [f"char_bleu{n}" for n in range(1, 5)], ["rouge1_f", "rouge2_f", "rougeL_f"]
+    each = each.select("groups", "rougeL_f", "w", "m", "c.*").select("groups", "rougeL_f", "w", "m", *(bleu(n).alias(c) for n, c in enumerate(chars, 1)))
+    each = rouge_n(each.select("*", "w.*"), each.columns)
+    sums = [F.struct(*(F.sum(f"{n}.{c}").alias(c) for c in _SUMMED)).alias(n) for n in "wm"]
+    g = each.withColumn("group", F.explode("groups")).filter("group is not null").groupBy("group").agg(F.count("*").alias("n"), *((100 * F.avg(c)).alias(c) for c in (*chars, *rouge)), *sums)
+    g = g.select("*", "m.*").select(*g.columns, (100 * halved_bleu()).alias("mixed_corpus_bleu"))
+    g = g.select("*", "w.*").select(*g.columns, *((100 * bleu(n)).alias(f"word_bleu{n}") for n in range(1, 5)))
+    return g.select("group", "n", *chars, "mixed_corpus_bleu", *(f"word_bleu{n}" for n in range(1, 5)), *rouge)
 
 
 def audited(rows: DataFrame, facts_ok: str, advice_ok: str, whole_ok: str, split: str) -> DataFrame:
