@@ -458,7 +458,7 @@ def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool
     (EEG's over the ``motor`` channels, all if none is there), cut to the time they share and scaled.
     Without, they began together: they are cut to the shortest duration and each runs through its chain;
     lag, peak and starts are null. Channels are in order of name. A sample that is missing is 0. A recording
-    that lacks a modality or its rates has null signals and a warning.
+    that lacks a modality or its rates has null signals and a warning; rates without recording give no row.
     """
     keys = list(by)
     names = [*MODALITIES, "lag", "peak", "sync_fallback", "eeg_start", "other_start", "seconds", "warning"]
@@ -481,9 +481,9 @@ def load_trials(long: DataFrame, rates: DataFrame, by: Sequence[str], sync: bool
             return {"warning": str(e)[:160]}
 
     def run(key: tuple, part: pa.Table, told: pa.Table) -> pa.Table:
-        row = one(part, told)
-        ids = [pa.array([k.as_py()], k.type) for k in key]
-        return pa.Table.from_arrays([*ids, *_out_columns([row], names)], [*keys, *names])
+        rows = [one(part, told)] if len(part) else []
+        ids = [pa.array([k.as_py()] * len(rows), k.type) for k in key]
+        return pa.Table.from_arrays([*ids, *_out_columns(rows, names)], [*keys, *names])
 
     kinds = ", ".join([*(f"`{c}` {long.schema[c].dataType.simpleString()}" for c in keys), *map(_kind, names)])
     left = long.select(*keys, "modality", "channel", F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
