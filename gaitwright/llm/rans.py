@@ -20,11 +20,13 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -160,11 +162,13 @@ def decode_block(block: bytes, table: Table, parts: range | None = None) -> tupl
 
 # ---- tokens ----------------------------------------------------------------------------------
 
-#: Beyond printable ASCII, plain white space and composed Latin-1 letters, texts are left to the library word by word:
+#: Words with more than printable ASCII and composed Latin-1 letters are left to the library:
 #: for these characters lower case and splitting need no other rules.
 _ODD = re.compile(r"[^ -~\n\r\tÀ-ÖØ-öø-ÿ]")
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^ \n\r\ta-z0-9à-öø-ÿß]+")
-_CACHE, _KEPT = 250_000, 100_000  #: pieces that a task remembers (some 130 bytes each), and how many of the first it keeps when full
+_CACHE, _KEPT = 600_000, 300_000  #: pieces that a worker remembers (some 130 bytes each), and how many of the first it keeps when full
+_LONGEST = 64  #: characters of pieces that are remembered
+_GROUP = 8 << 20  #: bytes of texts that are cut into words at once
 #: The rules that plain texts are cut by; a tokenizer file with others gets whole texts.
 _RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -177,13 +181,26 @@ _RULES = {
 _LE4 = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
 
+class _Pieces(dict):
+    """Ids of the pieces met so far; ``make`` tells those of others."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.make(piece)
+        if len(piece) <= _LONGEST:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of whole texts by the library, one call for each different piece.
 
     The tokenizer drops white space and codes each piece between its own word borders alone, so a
-    text's ids are its pieces' ids in order. Plain texts are cut at these borders and the pieces go
-    to the library's model; other texts are cut at spaces, line ends and tabs only, and their odd
-    words, or words with a special token, go to the library whole. A tokenizer file of other rules
+    text's ids are its words' ids in order. Words of plain characters are cut into pieces, which go to
+    the library's model; odd words, or words with a special token, go to the library whole. A batch is
+    cut into words by Arrow and each different word is looked up once. A tokenizer file of other rules
     than ``_RULES`` gets every text whole.
     """
 
@@ -199,49 +216,94 @@ class Encoder:
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.pieces: dict[str, bytes] = {}
+        # A special token with white space inside would go over a word's border.
+        self.by_word = self.known_rules and not any(re.search(r"\s", s) for s in self.specials)
+        self.pieces = _Pieces(self._piece)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _piece(self, piece: str) -> bytes:
         found = self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))
         return _LE4[len(found)](*[t.id for t in found]) if len(found) < len(_LE4) else np.array([t.id for t in found], "<u4").tobytes()
 
-    def _plain(self, text: str) -> bytes:
-        pieces = _SPLIT.findall(text.lower())
+    def _word(self, word: str) -> bytes:
+        if _ODD.search(word) or any(s in word for s in self.specials):
+            return self._whole(word)
+        return self._plain(word.lower())
+
+    def _plain(self, word: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _SPLIT.findall(word)))
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        together = " ".join(words)
+        if _ODD.search(together) or any(s in together for s in self.specials):
+            return [self._word(w) for w in words]
+        return [self._plain(w) for w in together.lower().split(" ")]
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, count of each text) of texts, null ones empty."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_word:
+            each = [self._whole(t) for t in texts.to_pylist()]
+            return np.frombuffer(b"".join(each), "<u4"), np.array([len(e) // 4 for e in each], np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        if not len(coded):
+            return np.zeros(0, "<u4"), np.zeros(len(texts), np.int64)
         if len(self.pieces) > _CACHE:
-            self.pieces = dict(islice(self.pieces.items(), _KEPT))
-        known = self.pieces
-        for p in set(pieces).difference(known):
-            known[p] = self._piece(p)
-        return b"".join([known[p] for p in pieces])
+            kept = list(islice(self.pieces.items(), _KEPT))
+            self.pieces.clear()
+            self.pieces.update(kept)
+        own = self._words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        starts, flat, at = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(own), "<u4"), coded.indices.to_numpy()
+        n = sizes[at]
+        ends = np.r_[0, np.cumsum(n)]
+        place = np.repeat(starts[at] - ends[:-1], n)
+        place += np.arange(ends[-1])
+        return flat[place], np.diff(ends[np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if not self.known_rules:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not _ODD.search(text) and not any(s in text for s in self.specials):
-            return self._plain(text)
-        out = []
-        for word in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
-            if _ODD.search(word) or any(s in word for s in self.specials):
-                out.append(np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
-            elif word:
-                out.append(self._plain(word))
-        return b"".join(out)
+        return self.encode_all(pa.array([text], pa.string()))[0].astype("<u4").tobytes()
+
+
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder: its pieces stay known from task to task."""
+    return Encoder(path)
 
 
 def _tokenize(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = Encoder(path), zstandard.ZstdCompressor(level=1)
-        end = np.array([END_ID], "<u4").tobytes()
+        enc, pack = _encoder(path), zstandard.ZstdCompressor(level=1)
         small = enc.tokenizer.get_vocab_size() <= 65536
-        for batch in batches:
-            ids = [enc.encode(t or "") + end for t in batch.column("text").to_pylist()]
-            packed = [pack.compress(np.frombuffer(i, "<u4").astype("<u2").tobytes() if small else b"\1" + i) for i in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), pa.array(packed, pa.binary())], ["doc_id", "tie", "packed"])
+        for group in _grouped(batches):
+            ids, n = enc.encode_all(group.column("text").combine_chunks())
+            ends = np.cumsum(n)
+            ids = np.insert(ids, ends, END_ID).astype("<u2" if small else "<u4")
+            raw, ends = memoryview(ids.tobytes()), (ends + np.arange(1, len(n) + 1)) * ids.itemsize
+            texts = (raw[b:e] for b, e in zip(np.r_[0, ends][:-1].tolist(), ends.tolist()))
+            packed = pa.array([pack.compress(t if small else b"\1" + t) for t in texts], pa.binary())
+            yield from group.drop_columns("text").append_column("packed", packed).combine_chunks().to_batches()
 
     return run
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches together up to some ``_GROUP`` bytes of texts."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= _GROUP:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def unpack(packed: bytes) -> np.ndarray:
     """Packed ids: two bytes each, or after a leading byte four."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
@@ -251,11 +313,11 @@ def unpack(packed: bytes) -> np.ndarray:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for p in batch.column("packed").to_pylist():
-            c = np.bincount(unpack(p))
-            if len(c) > len(total):
-                total = np.r_[total, np.zeros(len(c) - len(total), np.int64)]
-            total[: len(c)] += c
+        ids = [unpack(p) for p in batch.column("packed").to_pylist()]
+        c = np.bincount(np.concatenate(ids)) if ids else total[:0]
+        if len(c) > len(total):
+            total = np.r_[total, np.zeros(len(c) - len(total), np.int64)]
+        total[: len(c)] += c
     used = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], ["id", "n"])
 

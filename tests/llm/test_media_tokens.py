@@ -1,11 +1,13 @@
 """Ogg values and rANS blocks: exact round trips, checksums, edge cases."""
 
 import hashlib
+import random
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -134,3 +136,17 @@ def test_frequencies_add_up():
     for counts in ([1], [1, 0, 10**9], list(range(1, 40_000)), [1] * 60_000 + [10**7]):
         f = rans.quantize(np.array(counts))
         assert f.sum() == 1 << rans.BITS and ((f > 0) == (np.array(counts) > 0)).all()
+
+
+def test_batches_of_texts_are_cut_into_words_and_looked_up_once(monkeypatch):
+    r = random.Random(8)
+    parts = ["Word", "word", "É", "ß", "'s", "'S", "7", "½", "\x0b", "\x0c", "\x1c", "\x85", " ", " ", " ", "\n", "\t", "\r", "é", "日本", "İ", "ſ", "<|endoftext|>", "<|", "\x00", "x" * 70, "Tail"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)] + [None, "", "   "]
+    enc = rans.Encoder(TOKENIZER)
+    asked = []
+    monkeypatch.setattr(enc, "_words", lambda words, own=enc._words: asked.extend(words) or own(words))
+    ids, n = enc.encode_all(pa.array(texts, pa.string()))
+    assert len(asked) == len(set(asked)) and np.split(ids, np.cumsum(n)[:-1])[5].tolist() == enc.tokenizer.encode(texts[5], add_special_tokens=False).ids
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(rans, "_CACHE", 3), monkeypatch.setattr(rans, "_KEPT", 2)
+    assert enc.encode_all(pa.array(texts, pa.string()))[0].tolist() == ids.tolist()  # what is remembered changes no result
