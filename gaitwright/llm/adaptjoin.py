@@ -25,7 +25,9 @@ Equal sets are one node, whatever their number. No group yields all its pairs:
 
 Pairs that cannot link go before they are made: by sizes, by places of the token, and by a parity sketch of ``64 *
 LANES`` bits. A token flips one bit of its set's sketch, so sketches differ in at most as many bits
-as the sets do in tokens. What is left is verified on the sets themselves.
+as the sets do in tokens. Large sets fill such a sketch, so those of more than ``WIDE`` tokens have another one of
+half as many bits as tokens or more, which is asked once a pair. What is left is verified on the sets themselves; their
+words travel for that, packed, which is a fraction of their tokens.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +51,7 @@ SHORT = 4  #: sets of a list that meet at once
 LEVELS = 8  #: longest prefixes have so many tokens less one beyond the plain ones
 LEADERS = 3
 LANES = 16  #: longs of a sketch
+WIDE = 1024  #: tokens from which a set has a wide sketch too
 PLACE_BITS = 24  #: of a token's place, a tenth of a set's tokens
 COUNTERS, COUNTER_BLOCK = 1 << 20, 1 << 14
 VERIFY = 200  #: cost of a candidate in entries of a list, and one more for each eight tokens
@@ -150,16 +154,32 @@ def _sketch(tokens: np.ndarray) -> list[int]:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64).tolist()
 
 
+def wide_sketch(tokens: np.ndarray) -> bytes | None:
+    """As :func:`_sketch`, of a power of two of bits that is at least half the number of tokens; None for ``WIDE`` tokens or fewer."""
+    if len(tokens) <= WIDE:
+        return None
+    bits = 1 << (len(tokens) - 1).bit_length() - 1
+    return np.packbits(np.bincount((tokens >> np.uint64(17)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def wide_differ(a: bytes, b: bytes) -> int:
+    """Tokens that one of two sets has and the other has not, at least: the wider sketch is folded to the other's width."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 _SKETCH = [f"s{i}" for i in range(LANES)]
 
 
 def _prefix(counters: Broadcast, percent: int):
-    """(node, n, sketch, tokens): the longest prefix of each set, once a task."""
+    """(node, n, sketch, wide, tokens): the longest prefix of each set, once a task."""
 
     def run(batches: Batches) -> Batches:
         often, met = counters.value, set()
         for batch in batches:
-            nodes, sizes, sketches, prefixes = [], [], [], []
+            nodes, sizes, sketches, wides, prefixes = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 tokens = token_set(words_of(text))
                 node = node_of(tokens)
@@ -170,40 +190,55 @@ def _prefix(counters: Broadcast, percent: int):
                 met.add(node)
                 n = len(tokens)
                 order = np.lexsort((tokens, often[(tokens % np.uint64(COUNTERS)).astype(np.int64)]))
-                nodes.append(node), sizes.append(n), sketches.append(_sketch(tokens))
+                nodes.append(node), sizes.append(n), sketches.append(_sketch(tokens)), wides.append(wide_sketch(tokens))
                 prefixes.append(tokens[order[: n - need(n, percent) + LEVELS]].view(np.int64))
             lanes = [pa.array(x, pa.int64()) for x in (zip(*sketches) if sketches else [()] * LANES)]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), *lanes, pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", *_SKETCH, "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), *lanes, pa.array(wides, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], ["node", "n", *_SKETCH, "wide", "tokens"])
 
     return run
 
 
 def _sets_of(asked: Broadcast):
-    """(node, tokens) of documents that the filter lets pass."""
+    """(node, words) of documents that the filter lets pass, words packed."""
 
     def run(batches: Batches) -> Batches:
-        bits, met = np.unpackbits(np.frombuffer(asked.value, np.uint8), bitorder="little"), set()
+        bits, met, pack = np.unpackbits(np.frombuffer(asked.value, np.uint8), bitorder="little"), set(), zstandard.ZstdCompressor(level=3)
         for batch in batches:
             nodes, sets = [], []
             texts = batch.filter(pa.array(bits[batch.column("at").to_numpy()].astype(bool))).column("text")
             for text in texts:
-                tokens = token_set(words_of(text.as_py()))
-                node = node_of(tokens)
+                words = words_of(text.as_py())
+                node = node_of(token_set(words))
                 if node is not None and node not in met:
                     if len(met) >= MET:
                         met.clear()
                     met.add(node)
-                    nodes.append(node), sets.append(tokens.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "tokens"])
+                    nodes.append(node), sets.append(pack.compress(b" ".join(words)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "words"])
 
     return run
 
 
 def _verify(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        tokens = lambda words: token_set(unpack.decompress(words.as_py()).split(b" "))
+        for batch in batches:
+            hits = [linked(tokens(a), tokens(b), percent) for a, b in zip(batch.column("own"), batch.column("other"))]
+            yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
+
+    return run
+
+
+def _ask_wide(percent: int):
+    """The pairs that sizes and wide sketches let link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, other = batch.column("own"), batch.column("other")
-            hits = [linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), percent) for a, b in zip(own, other)]
+            hits = []
+            for n, m, own, other in zip(*(batch.column(c).to_pylist() for c in ("n", "m", "own", "other"))):
+                least = (percent * (n + m) + 99 + percent) // (100 + percent)
+                hits.append(own is None or other is None or wide_differ(own, other) <= n + m - 2 * least)
             yield batch.select(["a", "b"]).filter(pa.array(hits, pa.bool_()))
 
     return run
@@ -216,21 +251,26 @@ def _place(key: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - ASKED_BITS).cast("int")
 
 
-def _links(docs: DataFrame, found: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """a, b: the ``pairs`` (a, b; a table) whose sets link. Reads the texts of one document of each asked node."""
+def _links(docs: DataFrame, found: DataFrame, prefixes: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """a, b: the pairs ``met`` (a, b; a table) whose sets link. Reads the texts of one document of each asked node."""
     spark = docs.sparkSession
+    nodes = prefixes.select("id", "node")
+    one, two = (prefixes.select(F.col("id").alias(c), F.col("n").alias(n), F.col("wide").alias(w)) for c, n, w in (("a", "n", "own"), ("b", "m", "other")))
+    told = met.join(one, "a").join(two, "b").select("a", "b", "n", "m", "own", "other")
+    pairs = materialize(told.mapInArrow(tidy(_ask_wide(percent)), "a long, b long"), "told")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     asked = materialize(nodes.join(ids, "id"), "asked")
     held = found.join(asked, "node").groupBy("node").agg(F.min(_place(F.col("doc_id"))).alias("at")).select(F.expr("at div 32768").cast("int").alias("part"), (F.col("at") % 32768).cast("long").alias("bit"))
     bits = bytearray(1 << ASKED_BITS - 3)
     for r in held.groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():  # 512 rows of 4 KB at most
         bits[r.part * 4096 : (r.part + 1) * 4096] = r.bits
-    sets = docs.select("text", _place(F.col("doc_id")).alias("at")).mapInArrow(tidy(_sets_of(spark.sparkContext.broadcast(bytes(bits)))), "node binary, tokens binary")
-    sets = materialize(sets.join(asked, "node").groupBy("id").agg(F.first("tokens").alias("tokens")), "sets", "none")
-    one = sets.select(F.col("id").alias("a"), F.col("tokens").alias("own"))
-    two = sets.select(F.col("id").alias("b"), F.col("tokens").alias("other"))
+    sets = docs.select("text", _place(F.col("doc_id")).alias("at")).mapInArrow(tidy(_sets_of(spark.sparkContext.broadcast(bytes(bits)))), "node binary, words binary")
+    # Grouped as it is joined, so that the words are dealt out once.
+    sets = materialize(sets.join(asked, "node").groupBy("node").agg(F.first("id").alias("id"), F.first("words").alias("words")).select("id", "words"), "sets", "none")
+    one = sets.select(F.col("id").alias("a"), F.col("words").alias("own"))
+    two = sets.select(F.col("id").alias("b"), F.col("words").alias("other"))
     out = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "own", "other").mapInArrow(tidy(_verify(percent)), "a long, b long"), "links")
-    discard(asked, sets, pairs)
+    discard(asked, sets, pairs, met)
     return out
 
 
@@ -340,7 +380,7 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scanned = materialize(texts.mapInArrow(tidy(_name_sets), f"doc_id {kind}, node binary, n long, block int, counts binary"), "sets")
     found = scanned.filter("block is null").select("doc_id", "node", "n")
     often = docs.sparkSession.sparkContext.broadcast(_counters(scanned.filter("block is not null")))
-    each = texts.mapInArrow(tidy(_prefix(often, percent)), "node binary, n long, " + "".join(f"{s} long, " for s in _SKETCH) + "tokens array<long>")
+    each = texts.mapInArrow(tidy(_prefix(often, percent)), "node binary, n long, " + "".join(f"{s} long, " for s in _SKETCH) + "wide binary, tokens array<long>")
     # A node's number is written with it, so it is the same wherever it is read.
     prefixes = materialize(each.dropDuplicates(["node"]).withColumn("id", F.monotonically_increasing_id()), "prefixes")
     nodes = prefixes.select("id", "node")
@@ -348,10 +388,10 @@ def similar_sets(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = _long_lists(entries, prefixes, percent)
     pairs = materialize(_short_pairs(entries, prefixes, percent).union(_star_pairs(lists, percent)).distinct(), "pairs")
     discard(entries)
-    stars = _links(texts, found, nodes, pairs, percent)
+    stars = _links(texts, found, prefixes, pairs, percent)
     label = components(stars)
     discard(stars)
-    label = merge_labels(label, _links(texts, found, nodes, _open_pairs(lists, label, percent), percent))
+    label = merge_labels(label, _links(texts, found, prefixes, _open_pairs(lists, label, percent), percent))
     discard(lists)
     named = found.join(nodes, "node", "left").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     least = named.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))

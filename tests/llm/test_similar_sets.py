@@ -131,3 +131,27 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert adaptjoin.similar_sets(odd_documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.lit(1).alias("node"))).count() == got.count()
     with pytest.raises(ValueError):
         adaptjoin.similar_sets(no_documents, 40)
+
+
+def test_wide_sketches_bound_the_difference_of_large_sets():
+    r = np.random.default_rng(17)
+    draw = lambda n: np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+    for n in (1100, 4400, 9000, 30_000):
+        a, b = draw(n), draw(n + n // 20)
+        near = np.unique(np.r_[a[n // 30 :], draw(n // 40)])
+        allowed = lambda x, y: len(x) + len(y) - 2 * ((90 * (len(x) + len(y)) + 189) // 190)
+        assert adaptjoin.wide_differ(*map(adaptjoin.wide_sketch, (a, near))) <= len(np.setxor1d(a, near)) <= allowed(a, near)
+        assert adaptjoin.wide_differ(*map(adaptjoin.wide_sketch, (a, b))) > allowed(a, b)  # sets without a common token never travel
+    assert adaptjoin.wide_sketch(draw(1000)) is None and adaptjoin.wide_differ(adaptjoin.wide_sketch(draw(1100)), adaptjoin.wide_sketch(draw(9000))) <= 10_100
+
+
+def test_unlike_large_sets_that_share_a_token_are_not_read(spark, monkeypatch):
+    r = np.random.default_rng(18)
+    texts = [" ".join(["one rare start", *(f"w{i}" for i in r.integers(0, 1 << 40, 9000))]) for _ in range(4)]
+    texts.append(texts[3].rsplit(" ", 5)[0] + " another end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(adaptjoin, "materialize", lambda df, tag, codec="zstd", own=adaptjoin.materialize: seen.append((tag, out := own(df, tag, codec), out.count())) or out)
+    got = {x.doc_id: x.component_id for x in adaptjoin.similar_sets(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 3}
+    assert max(n for tag, _, n in seen if tag == "asked") == 2
