@@ -1,37 +1,48 @@
 """Main text of web pages by equivalence classes of tokens.
 
-Tokens are tags with the containers around them and, on pages that mark no main part, whole text
-blocks. Over the pages of one host a token has an occurrence vector: how often it stands on each
-page. Tokens with equal vectors form a class. Tags that stand once on nearly every page, in one
-order, and text blocks that stand on nearly every page without main part are the root of the host's
-template; empty pages do not count. Other classes nest in it where their containers do.
-Root tokens cut a page into slots. A container of the root holds the slots inside it, and how much
-text its slots hold over all pages of the host is known from the same counts. One container of each
-host is its main one: of those marked as article or main part the one with the most text, or else,
-on hosts of ``LEAST_PAGES`` pages or more, the innermost that holds ``MOST`` of the text. A page's
-text is what stands in the slots of its host's main container, less text of the template. Menus,
-footers, notices and the like inside it are told by their tags and class names: they may vary from
-page to page as an article does. Pages that lack the main container go by their own marks.
+Tokens are tags with the containers around them and whole text blocks of pages that mark no main
+part. Over the pages of one host a token has an occurrence vector: how often it stands on each page.
+Tokens with equal vectors form a class. Tags that stand once on nearly every page, in one order, and
+text blocks that stand on nearly every page without main part are the root of the host's template;
+empty pages do not count. A token that stands once in each instance of its container has the
+container's vector and belongs to its class, which nests so in others.
+
+Classes tell roles of tokens apart, and new roles make new classes: a tag takes the place in its
+container's class where it stands, and one that stands equally often in each instance of its container
+takes its number there. A told container tells what is inside it. Tokens that leave the order of their
+class are taken out of it. This goes on by rounds, for the hosts that still change, until nothing new
+is told apart.
+
+A container holds the slots inside it, and how much text they hold over all its pages is known from
+the same counts. One container of each host is its main one: of those of the root marked as article
+or main part the one with the most text, or else, on hosts of ``LEAST_PAGES`` pages or more, the
+innermost that holds ``MOST`` of the text. Where the root tells nothing, as its container holds all
+text, each other class whose container stands once on its pages (a layout) has its own. A page's text
+is what stands in the slots of its main container, less text of the template and less the instances of
+repeated classes that hold a fixed text (comments, teasers). Menus, footers, notices and the like
+inside it are told by their tags and class names: they may vary from page to page as an article does.
+Pages that lack the main container go by their own marks.
 
 A vector is never gathered: its fingerprint is the sum over pages of a hash of (page, count), so
 vectors are compared by two sums that Spark adds up with partial aggregation. A host with a third
-of all pages costs no more than others, and pages are not grouped by host.
+of all pages costs no more than others, and pages are not grouped by host. Pages are scanned once for
+their outline (tags, containers, lengths); rounds read outlines.
 """
 
 from __future__ import annotations
 
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, tidy
+from .common import discard, materialize, small_batches, tidy
 
 #: Template tokens up to which templates are broadcast; beyond it hosts are joined by a shuffle.
 BROADCAST_TOKENS = 100_000
@@ -72,6 +83,7 @@ class Place:
     main: bool
     weak: bool = False  #: outside by a part of a class name only
     up: int = 0  #: key of the container around this one
+    outer: Place | None = field(default=None, compare=False, repr=False)
 
     @property
     def outside(self) -> bool:
@@ -99,7 +111,7 @@ def _enter(place: Place, tag: str, attrs: str) -> Place:
     whole = not frame and any(p and p <= _OUTSIDE_WORDS for p in parts)
     weak = not frame and not names & _MAIN_WORDS and any(p & _OUTSIDE_WORDS for p in parts)
     hard = (place.hard and tag != "main") or tag in _OUTSIDE or head or whole
-    return Place(_hash(f"{place.key}<{tag} {' '.join(sorted(named))}"), hard, place.main or tag in ("article", "main") or bool(words & _MAIN_WORDS) and tag in ("div", "section", "td"), place.weak and tag != "main" or weak, place.key)
+    return Place(_hash(f"{place.key}<{tag} {' '.join(sorted(named))}"), hard, place.main or tag in ("article", "main") or bool(words & _MAIN_WORDS) and tag in ("div", "section", "td"), place.weak and tag != "main" or weak, place.key, place)
 
 
 def scan(page: str) -> Iterator[tuple[str, int, Place, str]]:
@@ -148,13 +160,13 @@ def _clean(text: str) -> str:
     return " ".join(htmllib.unescape(text).split())
 
 
-def blocks_of(events: list[tuple[str, int, Place, str]]) -> Iterator[tuple[Place, str]]:
-    """(place, text) of the text blocks among the events of :func:`scan`."""
+def _parts(events: list[tuple[str, int, Place, str]]) -> Iterator[tuple[bool, int, Place, str]]:
+    """(is text, token, place, text) of opened tags and of text blocks in page order."""
     parts, where = [], _TOP
-    for kind, _, place, text in events:
+    for kind, token, place, text in events:
         if kind == "text":
             if parts and (where.hard, where.weak, where.main) != (place.hard, place.weak, place.main) and (done := _clean("".join(parts))):
-                yield where, done
+                yield True, 0, where, done
                 parts = []
             if not parts:
                 where = place
@@ -162,17 +174,101 @@ def blocks_of(events: list[tuple[str, int, Place, str]]) -> Iterator[tuple[Place
         elif kind == "tag":
             if text == "br":
                 parts.append(" ")
+            if not text.startswith("/"):
+                yield False, token, place, text
         else:
             if parts and (done := _clean("".join(parts))):
-                yield where, done
+                yield True, 0, where, done
             parts = []
 
 
+def blocks_of(events: list[tuple[str, int, Place, str]]) -> Iterator[tuple[Place, str]]:
+    """(place, text) of the text blocks among the events of :func:`scan`."""
+    return ((place, text) for is_text, _, place, text in _parts(events) if is_text)
+
+
+# ---- outlines and roles ----------------------------------------------------------------------
+
+_MAIN, _OUT, _TEXT, _TAG = 1, 2, 4, 8
+
+
+@dataclass
+class Outline:
+    """Opened tags and text blocks of a page in order. ``up`` is the number of the container around
+    each and ``own`` of the one a tag opens, else 0; ``size`` counts the characters of a text."""
+
+    token: list[int]
+    up: list[int]
+    own: list[int]
+    size: list[int]
+    flag: list[int]
+
+
+def outline_of(parts: list[tuple[bool, int, Place, str]]) -> Outline:
+    out, number = Outline([], [], [], [], []), {id(_TOP): 0}
+    for is_text, token, place, text in parts:
+        opens = not is_text and text in _CONTAINER
+        around = place.outer if opens else place
+        out.up.append(number[id(around)])
+        if opens:
+            number[id(place)] = len(number)
+        out.own.append(number[id(place)] if opens else 0)
+        out.token.append(place.key if opens else _hash(f"{place.key} text {text}") if is_text else token)
+        out.size.append(len(text) if is_text else 0)
+        out.flag.append(_MAIN * place.main + _OUT * place.outside + (_TEXT if is_text else _TAG))
+    return out
+
+
+def _mix(a: int, b: int) -> int:
+    x = (a * 0x9E3779B97F4A7C15 + b) & 0xFFFFFFFFFFFFFFFF
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
+    return (x ^ (x >> 32)) >> 1
+
+
+@dataclass
+class Template:
+    """What the classes of a host say about a page."""
+
+    order: dict[int, float] = field(default_factory=dict)  #: tokens of classes, with their mean place
+    nth: dict[int, int] = field(default_factory=dict)  #: tokens that stand so often in each container
+    lists: set[int] = field(default_factory=set)  #: repeated containers, of which texts are counted too
+    fixed: set[int] = field(default_factory=set)  #: texts of the template
+    marked: list[int] = field(default_factory=list)  #: main containers by mark, the first on a page counts
+    big: list[int] = field(default_factory=list)  #: main containers by their text
+    records: dict[int, int] = field(default_factory=dict)  #: repeated containers and their fixed texts, with the class
+
+
+def roles_of(page: Outline, template: Template) -> tuple[list[int], list[bool]]:
+    """The role of each token, and whether it comes before one that it follows in its class.
+
+    A role is the token, told apart by the role of its container, then by its number in it, or else by
+    the token of the container's class that it follows.
+    """
+    told, after, seen = {0: 0}, {}, Counter()
+    often = Counter(zip(page.up, page.token)) if template.nth else {}
+    roles, late = [], []
+    for token, up, own, flag in zip(page.token, page.up, page.own, page.flag):
+        role = _mix(token, told[up]) if told[up] else token
+        if own and role in template.nth and often[up, token] == template.nth[role]:
+            seen[up, token] += 1
+            role = _mix(role, seen[up, token])
+        elif role not in template.order and flag & _TAG and up in after:
+            role = _mix(role, after[up])
+        late.append(role in template.order and up in after and (template.order[role], role) < (template.order[after[up]], after[up]))
+        if role in template.order:
+            after[up] = role
+        if own:
+            told[own] = role if role != token else 0
+        roles.append(role)
+    return roles, late
+
+
 # ---- templates -------------------------------------------------------------------------------
 
 #: Stand for the pages of a host that are not empty, and those of them without main part.
 _PAGES, _PLAIN = -1, -2
-_TOKENS = "host string, token long, label string, around long, main boolean, outside boolean, s1 long, s2 long, pages long, total long, place double, chars long"
+_OUTLINES = "host string, page string, token array<long>, up array<int>, own array<int>, size array<int>, flag array<tinyint>"
+_TOKENS = "host string, token long, each int, around long, kind int, own boolean, s1 long, s2 long, pages long, total long, late long, place double, chars long, whole long"
 
 
 def _masses(events: list[tuple[str, int, Place, str]]) -> dict[int, int]:
@@ -190,39 +286,71 @@ def _masses(events: list[tuple[str, int, Place, str]]) -> dict[int, int]:
     return mass
 
 
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each (host, token): the vector's fingerprint, pages, occurrences and the sum of its order numbers."""
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<tinyint>": pa.list_(pa.int8())}
+    names, types = zip(*(c.split() for c in schema.split(", ")))
+    columns = zip(*rows) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types)], list(names))
+
+
+def _outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outlines of pages that are not empty."""
     for batch in batches:
-        sums: dict[tuple[str, int], list] = {}
+        rows = []
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html"))):
-            own: dict[int, list] = {}
-            any_main, n = False, 0
             events = list(scan(page))
-            mass = _masses(events)
-            for kind, token, place, text in events:
-                if kind == "tag":
-                    n += 1
-                    own.setdefault(token, [0, n, text, place])[0] += 1
-                    any_main |= place.main
             if events[:-1] and page.strip():
-                own[_PAGES] = [1, 0, "#pages", _TOP]
-            if not any_main and _PAGES in own:
-                own[_PLAIN] = [1, 0, "#pages", _TOP]
-                for place, text in blocks_of(events):
-                    own.setdefault(_hash(f"{place.key} text {text}"), [0, n, "#text", place])[0] += 1
-            for token, (count, order, label, place) in own.items():
+                o = outline_of(list(_parts(events)))
+                rows.append((host, page_id, o.token, o.up, o.own, o.size, o.flag))
+        yield _batch(rows, _OUTLINES)
+
+
+def _count(page: Outline, template: Template) -> Iterator[tuple]:
+    """(role, count, count in each container or 0, container's role, kind, opens, late, place, chars, whole)."""
+    roles, late = roles_of(page, template)
+    role_of, above, held = {0: 0}, {0: 0}, Counter()
+    for role, up, own, size, flag in zip(roles, page.up, page.own, page.size, page.flag):
+        if own:
+            role_of[own], above[own] = role, up
+        if not flag & _OUT:
+            held[up] += size
+    for e in range(len(role_of) - 1, 0, -1):  # a container comes after the one around it
+        held[above[e]] += held[e]
+    plain = not any(f & _MAIN for f in page.flag)
+    found: dict[int, list] = {}
+    inside: dict[int, Counter] = {}
+    n = sum(bool(f & _TAG) for f in page.flag)
+    at = 0
+    for role, up, own, flag, behind in zip(roles, page.up, page.own, page.flag, late):
+        at += bool(flag & _TAG)
+        if flag & _TEXT and not plain and role_of[up] not in template.lists:
+            continue
+        f = found.setdefault(role, [0, role_of[up], flag, bool(own), 0, at / max(1, n), 0])
+        f[0] += 1
+        f[4] |= behind
+        f[6] += held[own] if own else 0
+        inside.setdefault(role, Counter())[up] += 1
+    for role, (count, around, flag, own, behind, place, chars) in found.items():
+        each = set(inside[role].values())
+        yield role, count, each.pop() if len(each) == 1 else 0, around, flag, own, int(behind), place, chars, held[0]
+    yield _PAGES, 1, 0, 0, 0, False, 0, 0.0, 0, held[0]
+    if plain:
+        yield _PLAIN, 1, 0, 0, 0, False, 0, 0.0, 0, held[0]
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each (host, role, count in each container): the vector's fingerprint and sums over pages."""
+    for batch in batches:
+        sums: dict[tuple[str, int, int], list] = {}
+        templates = _templates(batch, "host")
+        columns = (batch.column(c).to_pylist() for c in ("host", "page", "token", "up", "own", "size", "flag"))
+        for host, page_id, *lists in zip(*columns):
+            for role, count, each, around, kind, own, *more in _count(Outline(*lists), templates[host]):
                 h = xxhash.xxh64_intdigest(f"{page_id} {count}")
-                s = sums.setdefault((host, token), [label, place, 0, 0, 0, 0, 0.0, 0])
-                s[2] += h & 0x3FFFFFFF
-                s[3] += h >> 34
-                s[4] += 1
-                s[5] += count
-                s[6] += order / max(1, n)
-                s[7] += mass[place.key] if label in _CONTAINER else 0
-        rows = [(h, t, s[0], s[1].key, s[1].main, s[1].outside, *s[2:]) for (h, t), s in sums.items()]
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-        columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * len(kinds), kinds)]
-        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TOKENS.split(", ")])
+                s = sums.setdefault((host, role, each), [around, kind, own, 0, 0, 0, 0, 0, 0.0, 0, 0])
+                for i, v in enumerate((h & 0x3FFFFFFF, h >> 34, 1, count, *more), 3):
+                    s[i] += v
+        yield _batch([(*k, *s) for k, s in sums.items()], _TOKENS)
 
 
 def host_of(url: Column) -> Column:
@@ -234,76 +362,208 @@ def _narrow(pages: DataFrame) -> DataFrame:
     return pages.select(host_of(F.col("url")).alias("host"), identity.alias("page"), F.coalesce(F.col("html"), F.lit("")).alias("html"))
 
 
-def deduce_templates(pages: DataFrame) -> DataFrame:
-    """host, class, token, label, main, outside, place, root: the tokens of each host's classes.
+#: A line of a host's template: a token, what it is used for, and the number that goes with it.
+_USES = ("order", "nth", "lists", "fixed", "marked", "big", "records")
+_LINES = "__gw_token", "__gw_use", "__gw_value"
 
-    ``class`` is the fingerprint of the shared vector; ``root`` marks tags that stand once on each of
-    nearly all pages of the host, and text that stands, how often ever, on nearly all without main part. ``place`` is the mean order of the token on its pages. Classes of one
-    token on few pages are left out unless they are root.
-    """
-    found = _narrow(pages).mapInArrow(tidy(_occurrences), _TOKENS).groupBy("host", "token").agg(
-        F.min("label").alias("label"), F.min("around").alias("around"), F.bool_or("main").alias("main"), F.bool_or("outside").alias("outside"),
-        F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.sum("pages").alias("pages"), F.sum("total").alias("total"), (F.sum("place") / F.sum("pages")).alias("place"), F.sum("chars").alias("chars"),
+
+def _templates(batch: pa.RecordBatch, host: str) -> dict[str, Template]:
+    """The template of each host in a batch; lines come as arrays beside the rows."""
+    out: dict[str, Template] = {}
+    for i, name in enumerate(batch.column(host).to_pylist()):
+        if name in out:
+            continue
+        t = out[name] = Template()
+        if _LINES[0] not in batch.schema.names:
+            continue
+        lines = list(zip(*(batch.column(c)[i].as_py() or () for c in _LINES)))
+        for token, use, value in sorted(lines, key=lambda line: (line[1], line[2])):
+            kept = getattr(t, _USES[use])
+            if isinstance(kept, list):
+                kept.append(token)
+            elif isinstance(kept, set):
+                kept.add(token)
+            else:
+                kept[token] = value if use == 0 else int(value)
+    return out
+
+
+def _with_lines(rows: DataFrame, host: str, lines: DataFrame) -> DataFrame:
+    """``rows`` with the template lines (host, token, use, value) of their host as arrays."""
+    lists = lines.groupBy(F.col("host").alias("__gw_host")).agg(F.collect_list(F.struct("token", "use", "value")).alias("l"))
+    lists = lists.select("__gw_host", *(F.col(f"l.{c}").alias(n) for c, n in zip(("token", "use", "value"), _LINES)))
+    if lines.count() <= BROADCAST_TOKENS:
+        lists = F.broadcast(lists)
+    return rows.join(lists, F.col(host) == F.col("__gw_host"), "left").drop("__gw_host")
+
+
+def _vectors(outlines: DataFrame) -> DataFrame:
+    """host, token, class, around, kind, flags and sums of every token, with the pages of its host."""
+    sums = outlines.mapInArrow(tidy(_occurrences), _TOKENS).groupBy("host", "token", "each").agg(
+        F.min("around").alias("around"), F.min("kind").alias("kind"), F.bool_or("own").alias("own"), F.max(F.col("kind").bitwiseAND(_MAIN)).alias("main"), F.max(F.col("kind").bitwiseAND(_OUT)).alias("out"),
+        *(F.sum(c).alias(c) for c in ("s1", "s2", "pages", "total", "late", "place", "chars", "whole")),
+    )
+    found = sums.groupBy("host", "token").agg(
+        F.max_by("each", F.struct("pages", "each")).alias("each"), F.max("pages").alias("each_pages"), F.min("around").alias("around"), (F.min("kind").bitwiseAND(_TEXT) > 0).alias("text"), F.bool_or("own").alias("own"),
+        (F.max("main") > 0).alias("main"), (F.max("out") > 0).alias("outside"), F.struct(F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).alias("class"),
+        *(F.sum(c).alias(c) for c in ("pages", "total", "late", "chars", "whole")), (F.sum("place") / F.sum("pages")).alias("place"),
     )
     found = materialize(found, "tokens")
-    counted = found.filter(F.col("label") == "#pages").groupBy("host")
+    counted = found.filter(F.col("token") < 0).groupBy("host")
     hosts = counted.agg(*(F.max(F.when(F.col("token") == t, F.col("pages"))).alias(n) for t, n in ((_PAGES, "host_pages"), (_PLAIN, "plain_pages"))))
-    text = F.col("label") == "#text"
     fixed = (F.col("pages") >= 2) & (F.col("pages") >= F.col("plain_pages") * SUPPORT)
     once = (F.col("total") == F.col("pages")) & (F.col("pages") >= F.col("host_pages") * SUPPORT)
-    known = found.filter(F.col("label") != "#pages").join(hosts, "host").withColumn("root", F.when(text, fixed).otherwise(once))
-    known = known.filter(F.col("root") | ~text & (F.col("pages") >= LEAST_PAGES))
-    return known.select("host", F.struct("s1", "s2").alias("class"), "token", "label", "around", "main", "outside", "place", "root", "pages", "chars", "host_pages")
+    known = found.filter(F.col("token") >= 0).join(hosts, "host").withColumn("root", F.coalesce(F.when(F.col("text"), fixed).otherwise(once), F.lit(False)))
+    return known.filter(F.col("root") | (F.col("pages") >= LEAST_PAGES) | (F.col("each") > 1) & (F.col("pages") >= 2)).drop("plain_pages")
+
+
+def _told(known: DataFrame) -> DataFrame:
+    """host, token, use, value: what the classes of a round tell apart; use -1 takes a token out of its class."""
+    many = known.filter("host_pages >= 2")
+    opened = many.filter("own").select("host", F.col("token").alias("around"), F.col("class").alias("outer"))
+    once = (F.col("each") == 1) & (F.col("each_pages") == F.col("pages"))
+    # A token of its container's vector that stands once in each instance is of the container's class.
+    nested = ~F.col("root") & once & (F.col("class") == F.col("outer"))
+    even = F.col("own") & (F.col("each") > 1) & (F.col("each_pages") >= F.col("pages") * SUPPORT) & (F.col("pages") >= 2)
+    repeated = F.col("own") & ~F.col("outside") & (F.col("total") > F.col("pages")) & (F.col("pages") >= LEAST_PAGES)
+    uses = [
+        (F.col("root") & (F.col("total") == F.col("pages")) | nested, 0, F.col("place")),
+        (even, 1, F.col("each")),
+        (repeated, 2, F.lit(0)),
+        (F.col("late") > F.col("pages") * (1 - SUPPORT), -1, F.lit(0)),
+    ]
+    lines = F.array(*(F.when(on, F.struct(F.lit(use).alias("use"), value.cast("double").alias("value"))) for on, use, value in uses))
+    return many.join(opened, ["host", "around"], "left").select("host", "token", F.explode(F.array_compact(lines)).alias("line")).select("host", "token", "line.*")
+
+
+def _in_force(told: DataFrame) -> DataFrame:
+    return told.filter("use >= 0").join(told.filter("use = -1").select("host", "token", F.lit(0).alias("use")), ["host", "token", "use"], "left_anti").select("host", "token", "use", "value")
+
+
+def _deduce(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens of each host's classes in its last round, and all that rounds told apart."""
+    outlines = materialize(_narrow(pages).mapInArrow(tidy(_outlines), _OUTLINES), "outlines")
+    known = materialize(_vectors(outlines), "classes")
+    told = materialize(_told(known), "told")
+    fresh, rounds = told, [known]
+    while not fresh.isEmpty():
+        hosts = fresh.select("host").distinct()
+        again = outlines.join(F.broadcast(hosts), "host", "left_semi")
+        now = materialize(_vectors(_with_lines(again, "host", _in_force(told.join(hosts, "host", "left_semi")))), "classes")
+        fresh = materialize(_told(now).join(told.select("host", "token", "use"), ["host", "token", "use"], "left_anti"), "told")
+        rounds = [*(r.join(F.broadcast(hosts), "host", "left_anti") for r in rounds), now]
+        told = told.union(fresh)
+    known = rounds[0]
+    for r in rounds[1:]:
+        known = known.unionByName(r)
+    final = materialize(known, "templates"), materialize(_in_force(told), "told")
+    discard(outlines)
+    return final
+
+
+def deduce_templates(pages: DataFrame) -> DataFrame:
+    """host, class, token, around, text, own, main, outside, place, root and sums: the tokens of each host's classes.
+
+    ``class`` is the fingerprint of the shared vector; ``root`` marks tags that stand once on each of
+    nearly all pages of the host, and text that stands, how often ever, on nearly all without main part. ``around`` is
+    the role of the container, ``own`` marks tokens that open one, ``place`` is the mean order of the token on its pages. Tokens
+    on few pages are left out unless they are root or stand equally often in each container.
+    """
+    return _deduce(pages)[0]
 
 
 def main_containers(templates: DataFrame) -> DataFrame:
-    """host, chosen: the key of the main container of each host that has one."""
-    held = templates.filter(F.col("root") & (F.col("chars") > 0) & ~F.col("outside"))
-    whole = templates.groupBy("host").agg(F.max("chars").alias("whole"))
-    on = held.join(whole, "host").withColumn("big", (F.col("chars") >= F.col("whole") * MOST) & (F.col("host_pages") >= LEAST_PAGES))
-    marked = F.max_by(F.when(F.col("main"), F.col("around")), F.when(F.col("main"), F.struct(F.col("chars"), -F.col("place"))))
-    inner = F.max_by(F.when(F.col("big"), F.col("around")), F.when(F.col("big"), F.col("place")))
-    return on.groupBy("host").agg(F.coalesce(marked, inner).alias("chosen")).filter("chosen is not null")
+    """host, chosen, marked, rank: the keys of the main containers of each host that has some, the root's
+    and, where that is none or holds all text, those of other classes of two tokens or more."""
+    group = F.when(F.col("root"), F.struct(F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))).otherwise(F.col("class"))
+    grouped = templates.filter((F.col("total") == F.col("pages")) & (F.col("root") | ~F.col("text"))).withColumn("group", group)
+    sizes = grouped.groupBy("host", "group").agg(F.count("*").alias("n"))
+    held = grouped.filter(F.col("own") & (F.col("chars") > 0) & ~F.col("outside") & (F.col("root") | (F.col("pages") >= LEAST_PAGES))).join(sizes, ["host", "group"]).filter("root or n > 1")
+    big = (F.col("chars") >= F.col("whole") * MOST) & (F.col("host_pages") >= LEAST_PAGES)
+    kept = F.struct("token", "place", (F.col("chars") >= F.col("whole")).alias("all"))
+    by_mark = F.max_by(F.when(F.col("main"), kept), F.when(F.col("main"), F.struct(F.col("chars"), -F.col("place"))))
+    by_text = F.max_by(F.when(big, kept), F.when(big, F.struct("place")))
+    best = held.groupBy("host", "group").agg(F.bool_or("root").alias("root"), by_mark.alias("m"), by_text.alias("b")).withColumn("c", F.coalesce("m", "b")).filter("c is not null")
+    clear = best.filter(F.col("root") & (F.col("m").isNotNull() | ~F.col("c.all"))).select("host")
+    layouts = best.filter(~F.col("root")).join(clear, "host", "left_anti")
+    # Of nested layouts that hold a page's text the innermost comes first, the root last.
+    rank = F.when(F.col("root"), F.when(F.col("m").isNotNull(), -1.0).otherwise(2.0)).otherwise(1 - F.col("c.place"))
+    return best.filter("root").unionByName(layouts).select("host", F.col("c.token").alias("chosen"), F.col("m").isNotNull().alias("marked"), rank.alias("rank"))
 
 
 def nest_classes(templates: DataFrame) -> DataFrame:
     """host, class, size, parent: valid classes (two tokens or more, or root) with the class their
     containers belong to; null where the containers are of several classes or of none."""
-    tags = templates.filter(F.col("label") != "#text")
-    opens = tags.filter(~F.col("label").startswith("/")).select("host", F.col("around").alias("inner"), F.col("class").alias("outer"))
+    tags = templates.filter(~F.col("text"))
+    opens = tags.filter("own").select("host", F.col("token").alias("inner"), F.col("class").alias("outer"))
     sized = tags.groupBy("host", "class").agg(F.count("*").alias("size"), F.bool_or("root").alias("root"), F.collect_set("around").alias("around"))
     pairs = sized.select("host", "class", "size", "root", F.explode("around").alias("inner")).join(opens, ["host", "inner"], "left")
     parent = F.when(F.countDistinct(F.when(F.col("outer") != F.col("class"), F.col("outer"))) == 1, F.min(F.when(F.col("outer") != F.col("class"), F.col("outer"))))
     return pairs.groupBy("host", "class").agg(F.max("size").alias("size"), F.bool_or("root").alias("root"), parent.alias("parent")).filter(F.col("root") | (F.col("size") > 1))
 
 
-def extract_page(page: str, template: list[dict], chosen: int | None = None) -> str:
-    """Main text of a page under its host's root tokens (dicts with token, label, main, outside, place)
-    and the key of its main container."""
-    fixed = {t["token"] for t in template if t["label"] == "#text"}
-    events = list(scan(page))
-    inside = {0: False}
-    for _, _, place, _ in events:
-        if place.key not in inside:
-            inside[place.key] = place.key == chosen or inside.get(place.up, False)
-    has_main = any(place.main for _, _, place, _ in events)
-    blocks = [b for b in blocks_of(events) if not b[0].hard]
-    if own := [b for b in blocks if inside[b[0].key]]:
-        blocks = own
+def record_classes(templates: DataFrame) -> DataFrame:
+    """host, token, record: containers and texts of repeated classes that hold a fixed text in each
+    instance and together less of the pages' text than a main container leaves."""
+    repeated = templates.filter((F.col("total") > F.col("pages")) & (F.col("pages") >= LEAST_PAGES) & (F.col("text") | F.col("own")))
+    small = F.max(F.when(F.col("own"), F.col("chars") / F.greatest(F.lit(1), F.col("whole")))) < 1 - MOST
+    classes = repeated.groupBy("host", "class").agg(F.bool_or("text").alias("labelled"), small.alias("small")).filter("labelled and small")
+    # Below 2^53, as the number travels as a double.
+    record = F.shiftrightunsigned(F.xxhash64("class.s1", "class.s2"), 11)
+    return repeated.join(classes, ["host", "class"]).select("host", "token", record.alias("record"))
+
+
+def extract_page(page: str, template: Template | None = None) -> str:
+    """Main text of a page under the template of its host."""
+    template = template or Template()
+    parts = list(_parts(list(scan(page))))
+    shape = outline_of(parts)
+    roles, _ = roles_of(shape, template)
+    role, above = {0: 0}, {0: 0}
+    for r, up, own in zip(roles, shape.up, shape.own):
+        if own:
+            role[own], above[own] = r, up
+    present = set(role.values())
+
+    def within(roots: set[int]) -> list[bool]:
+        inside = {0: 0 in roots}
+        for e in above:  # a container comes after the one around it
+            inside[e] = e in roots or inside[above[e]]
+        return [inside[up] for up in shape.up]
+
+    records = set()
+    for r, up, own in zip(roles, shape.up, shape.own):
+        if not own and r in template.records:
+            top = None
+            while up and template.records.get(role[up]) == template.records[r]:
+                top, up = up, above[up]
+            if top:
+                records.add(top)
+    gone = within(records)
+    chosen = next((c for c in template.marked if c in present), None)
+    has_main = any(place.main for _, _, place, _ in parts)
+    if chosen is None and not has_main:
+        chosen = next((c for c in template.big if c in present), None)
+    own = within({e for e, r in role.items() if e and r == chosen})
+    blocks = [(place, text, r, i, g) for (is_text, _, place, text), r, i, g in zip(parts, roles, own, gone) if is_text and not place.hard]
+    if inner := [b for b in blocks if b[3]]:
+        blocks = inner
     elif has_main:
         blocks = [b for b in blocks if b[0].main]
+    # A page of records alone is a list by nature.
+    blocks = [b for b in blocks if not b[4]] or blocks
     # A container of a partly listed name that holds all of the main part is no menu.
     blocks = [b for b in blocks if not b[0].weak] or blocks
     # A page of which nothing else is left is a copy of others, not their template.
-    blocks = [b for b in blocks if has_main or _hash(f"{b[0].key} text {b[1]}") not in fixed] or blocks
-    return "\n\n".join(text for _, text in blocks)
+    blocks = [b for b in blocks if has_main or b[2] not in template.fixed] or blocks
+    return "\n\n".join(b[1] for b in blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        inputs = (batch.column(c).to_pylist() for c in ("__gw_html", "__gw_template", "__gw_chosen"))
-        texts = [extract_page(page or "", template or [], chosen) for page, template, chosen in zip(*inputs)]
-        keep = [n for n in batch.schema.names if n not in ("__gw_html", "__gw_template", "__gw_chosen")]
+        templates = _templates(batch, "__gw_of")
+        texts = [extract_page(page or "", templates[host]) for page, host in zip(batch.column("__gw_html").to_pylist(), batch.column("__gw_of").to_pylist())]
+        keep = [n for n in batch.schema.names if not n.startswith("__gw_")]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
 
@@ -316,14 +576,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     tags, names or repeated text stays. Repeated pages are extracted one by one.
     """
     small_batches(pages.sparkSession)
-    known = materialize(deduce_templates(pages), "templates")
-    # Tags have done their part when the main container is known; of the template only its texts travel on.
-    texts = known.filter(F.col("root") & (F.col("label") == "#text")).groupBy("host").agg(F.collect_list(F.struct("token", "label")).alias("__gw_template"))
-    templates = materialize(main_containers(known).withColumnRenamed("chosen", "__gw_chosen").join(texts, "host", "full").withColumnRenamed("host", "__gw_host"), "mains")
+    known, told = _deduce(pages)
+    line = lambda use, value: ("token", F.lit(use).alias("use"), F.lit(value).cast("double").alias("value"))
+    fixed = known.filter("root and text").select("host", *line(3, 0))
+    mains = main_containers(known).select("host", F.col("chosen").alias("token"), F.when(F.col("marked"), 4).otherwise(5).alias("use"), F.col("rank").alias("value"))
+    records = record_classes(known).select("host", *line(6, F.col("record")))
+    # Of what was told apart, pages need what leads to these tokens; lists have done their part.
+    lines = materialize(told.filter("use < 2").union(fixed).union(mains).union(records), "mains")
     narrow = pages.select("page_id", "url", F.col("html").alias("__gw_html"), host_of(F.col("url")).alias("__gw_of"))
-    tokens = templates.agg(F.sum(1 + F.greatest(F.lit(0), F.size("__gw_template")))).first()[0] or 0
-    if tokens <= BROADCAST_TOKENS:
-        templates = F.broadcast(templates)
-    joined = narrow.join(templates, F.col("__gw_of") == F.col("__gw_host"), "left").drop("__gw_of", "__gw_host")
+    joined = _with_lines(narrow, "__gw_of", lines)
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    return joined.select("page_id", "url", "__gw_html", "__gw_template", "__gw_chosen").mapInArrow(tidy(_extract), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return joined.mapInArrow(tidy(_extract), f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

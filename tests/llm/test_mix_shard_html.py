@@ -170,3 +170,57 @@ def test_slots_decide_where_names_tell_nothing(spark):
     big = {k for k, n in counts[0].items() if n == 12 and counts[1][k] >= htmltemplate.MOST * whole and k}
     chosen = {r.chosen for r in htmltemplate.main_containers(htmltemplate.deduce_templates(pages)).collect()}
     assert chosen <= big and len(chosen) == 1 and counts[1][chosen.pop()] == min(counts[1][k] for k in big)
+
+
+PAGES = "page_id long, url string, html string"
+
+
+def some_words(i, n):
+    return " ".join(f"w{i * 31 % 97 + k * 7}" for k in range(n))
+
+
+def test_unnamed_containers_are_told_apart_by_their_number(spark):
+    """Three containers without names: by their path they are one token that stands three times."""
+    page = "<body><div><p>{}</p></div><div><p>{}</p><div><p>{}</p></div><div><p>{}</p></div></div><div><p>{}</p></div></body>"
+    rows = [(i, f"http://u.example.com/{i}", page.format(some_words(i, 3), some_words(i + 50, 5), some_words(i + 90, 3), some_words(i + 20, 40), some_words(i + 70, 4))) for i in range(12)]
+    rows += [(12, "http://u.example.com/12", "<body><div><p>odd</p></div></body>")]  # one odd page changes nothing
+    got = {r.page_id: r.text for r in htmltemplate.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    # Inside the second container the second of two is told apart in a later round.
+    assert got == {i: some_words(i + 20, 40) for i in range(12)} | {12: "odd"}
+
+
+def test_places_in_a_class_tell_roles_apart(spark):
+    """A fixed text between two runs of unnamed containers of changing number."""
+    page = "<body>{}<h2>Read on</h2><div><p>{}</p></div></body>"
+    few = lambda i: "".join(f"<div><p>{some_words(i + k, 2)}</p></div>" for k in range(1 + i % 3))
+    rows = [(i, f"http://p.example.com/{i}", page.format(few(i), some_words(i + 50, 60))) for i in range(12)]
+    got = {r.page_id: r.text for r in htmltemplate.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: some_words(i + 50, 60) for i in range(12)}
+
+
+def test_each_layout_of_a_host_has_its_main_container(spark):
+    a = '<body><div class="k1"><p>{m}</p></div><div class="k2"><h1>{t}</h1><p>{b}</p></div></body>'
+    b = '<body><table class="q1"><tr><td class="q2"><h1>{t}</h1><p>{b}</p></td><td class="q3"><p>{m}</p></td></tr></table></body>'
+    rows = [(i, f"http://l.example.com/{i}", (a, b)[i % 2].format(m=some_words(i, 3), t=some_words(i + 9, 2), b=some_words(i + 50, 40))) for i in range(16)]
+    got = {r.page_id: r.text for r in htmltemplate.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: f"{some_words(i + 9, 2)}\n\n{some_words(i + 50, 40)}" for i in range(16)}
+
+
+def test_repeated_classes_with_a_fixed_text_are_no_article(spark):
+    """Readers' words in containers without telling names, inside the article; lists without such a text stay."""
+    said = lambda i, k: f'<div class="z9"><p>{some_words(i + 13 * k, 4)}</p><div class="z8"><p>Answer this</p></div></div>'
+    page = "<body><article><h1>{t}</h1><p>{b}</p><ul>{l}</ul>{c}</article></body>"
+    rows = [
+        (i, f"http://r.example.com/{i}", page.format(t=some_words(i, 2), b=some_words(i + 50, 60), l="".join(f"<li>item {i} {k}</li>" for k in range(2 + i % 3)), c="".join(said(i, k) for k in range(i % 4))))
+        for i in range(16)
+    ]
+    got = {r.page_id: r.text for r in htmltemplate.extract_pages(spark.createDataFrame(rows, PAGES)).collect()}
+    assert got == {i: "\n\n".join([some_words(i, 2), some_words(i + 50, 60), *(f"item {i} {k}" for k in range(2 + i % 3))]) for i in range(16)}
+
+
+def test_tokens_out_of_order_leave_their_class(spark):
+    page = '<body><div class="a"><p>{}</p></div><div class="b"><p>{}</p></div></body>'
+    swapped = '<body><div class="b"><p>{}</p></div><div class="a"><p>{}</p></div></body>'
+    rows = [(i, f"http://o.example.com/{i}", (page, swapped)[i % 2].format(some_words(i, 5), some_words(i + 50, 5))) for i in range(12)]
+    pages = spark.createDataFrame(rows, PAGES)
+    assert htmltemplate.deduce_templates(pages).filter("root and own").count() == 2  # the body and the one of the two that kept its class
